@@ -5,17 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, oracle
+from . import lm, mixing, neardup, oracle, topk, urls, warc
 from .common import table
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.class_lm(table(spark, sf_dir, "documents"))
+
+
+def op4_cover_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(table(spark, sf_dir, "pages"))
+    return records.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
+def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_source_mix": op2_source_mix}
+    return {
+        "op1_embedding_neardup": op1_embedding_neardup,
+        "op2_source_mix": op2_source_mix,
+        "op3_class_lm": op3_class_lm,
+        "op4_cover_topk": op4_cover_topk,
+        "op5_warc_derivatives": op5_warc_derivatives,
+        "op7_url_templates": op7_url_templates,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
