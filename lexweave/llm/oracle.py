@@ -104,9 +104,25 @@ SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM pairs
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
 """
 
+def jaccard(table: str, words: int, percent: int) -> str:
+    """WITH clauses that end in joined(doc_id, n_shingles, component_id)."""
+    return rf"""
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM {table}),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < {words} THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - {words - 2}), lambda i: array_to_string(ws[i:i + {words - 1}], ' '))) END AS sh FROM w),
+o AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n - count(*) AS u, count(*) AS i FROM o a JOIN o b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+l AS (SELECT a, b FROM c WHERE 100 * i >= {percent} * u),
+reach(id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, l.b FROM reach r JOIN l ON l.a = r.other),
+joined AS (SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, (SELECT min(other) FROM reach r WHERE r.id = s.doc_id) AS component_id FROM s)"""
+
+
 SQL = {
     "op1_embedding_neardup": NEAR_VECTORS,
     "op2_source_mix": MIX,
     "op4_cover_topk": TOP_K,
     "op5_warc_derivatives": WARC,
+    "op9_jaccard_join": f"WITH RECURSIVE {jaccard('documents', 3, 90)} SELECT * FROM joined",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, neardup, oracle, topk, urls, warc
+from . import jaccard, lm, mixing, neardup, oracle, topk, urls, warc
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_neardup": op1_embedding_neardup,
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_cover_topk": op4_cover_topk,
         "op5_warc_derivatives": op5_warc_derivatives,
         "op7_url_templates": op7_url_templates,
+        "op9_jaccard_join": op9_jaccard_join,
     }
 
 
