@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lm, mixing, neardup, oracle, topk, urls, warc
+from . import bpe, jaccard, langid, lm, mixing, neardup, oracle, quality, topk, urls, warc
 from .common import table
 
 
@@ -32,14 +33,27 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode_native(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_neardup": op1_embedding_neardup,
@@ -47,8 +61,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_class_lm": op3_class_lm,
         "op4_cover_topk": op4_cover_topk,
         "op5_warc_derivatives": op5_warc_derivatives,
+        "op6_byte_bpe": op6_byte_bpe,
         "op7_url_templates": op7_url_templates,
+        "op8_language_id": op8_language_id,
         "op9_jaccard_join": op9_jaccard_join,
+        "op10_pu_quality": op10_pu_quality,
     }
 
 
