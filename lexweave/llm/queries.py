@@ -35,7 +35,7 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.encode_native(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep_ids=False)
 
 
 def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
