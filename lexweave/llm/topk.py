@@ -1,19 +1,21 @@
 """Exact top-k search by inner product with cover trees on both sides.
 
 The rows are cut into blocks; each block gets a cover tree: a node has a centre,
-which is one of its points, and a radius that covers them; its children's
-centres are more than half that radius apart, and each child covers the points
-within half the radius of its centre. The queries get trees in the same way.
-A query block meets every data block (queries are a stated set). A node pair's
-best inner product is at most
+which is one of its points, and the radius that covers its points. Its children's
+centres are a net: the farthest points in turn, more than half the radius apart,
+until every point is within half the radius of one, or the most children are reached
+(in many dimensions nearly all points are far from each other); each point goes
+to its nearest centre. The queries get trees in the same way. A query block meets
+every data block (queries are a stated set). A node pair's best inner product is
+at most
 
     <q, d> + |q| * R + |d| * r + r * R
 
 for centres q, d and radii r, R. If that is below the worst k-th score of the
-query node's queries, the pair is pruned. Otherwise the larger node is opened,
-children with the best bounds first. A task keeps its queries' best scores from
-block to block, so the bounds tighten. Scores of all tasks meet in a window of
-k rows per query and task.
+query node's queries, the pair is pruned. Otherwise the larger node is opened;
+a query leaf scans the leaves that are left, the best bounds first. A task keeps
+its queries' best scores from block to block, so the bounds tighten. Scores of
+all tasks meet in a window of k rows per query and task.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components,
 and rows without an id, take no part; only vectors of equal length are compared;
@@ -33,53 +35,60 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 
-K, EVERY, BLOCK, QUERIES, LEAF = 10, 100, 4096, 256, 16
+K, EVERY, BLOCK, QUERIES = 10, 100, 8192, 512
+#: Most points of a leaf and most children of a node, of trees over rows and over queries.
+ROWS_TREE, QUERIES_TREE = (64, 48), (64, 8)
 EXACT = 2.0**53
 
 
 class Tree:
     """Points in tree order; node i has a centre, a radius, its points' range and its children."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray):
+    def __init__(self, ids: np.ndarray, points: np.ndarray, most: int, fanout: int):
+        self.most, self.fanout = most, fanout
+        self.float = points.astype(np.float64)
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.children: list[np.ndarray] = []
         self.span: list[tuple[int, int]] = []
-        self.order: list[int] = []
-        self.raw = points
-        self.float = points.astype(np.float64)
+        self.order: list[np.ndarray] = []
+        self.filled = 0
         if len(ids):
             self._grow(np.arange(len(ids)), 0)
-        order = np.array(self.order, np.int64)
+        order = np.concatenate(self.order) if self.order else np.empty(0, np.int64)
         self.ids, self.points = ids[order], self.float[order]
-        self.exact = points[order] if self.raw.dtype == object else None
-        at = np.array(self.centre, np.int64)
-        self.at = self.float[at] if len(at) else self.float
+        self.exact = points[order] if points.dtype == object else None
+        self.at = self.float[np.array(self.centre, np.int64)]
         self.length = np.sqrt((self.at**2).sum(1))
         self.r = np.array(self.radius)
+        self.leaf = np.array([not len(c) for c in self.children], bool)
+        self.start, self.size = (np.array([x[i] for x in self.span], np.int64) for i in (0, 1))
+        self.size -= self.start
 
     def _grow(self, members: np.ndarray, centre: int) -> int:
-        node = len(self.centre)
-        far = np.sqrt(((self.float[members] - self.float[centre]) ** 2).sum(1))
+        node, start = len(self.centre), self.filled
+        points = self.float[members]
+        far = np.sqrt(((points - self.float[centre]) ** 2).sum(1))
+        radius = float(far.max())
         self.centre.append(centre)
-        self.radius.append(float(far.max()))
+        self.radius.append(radius)
         self.children.append(np.empty(0, np.int64))
         self.span.append((0, 0))
-        start = len(self.order)
-        if len(members) <= LEAF or not far.max():
-            self.order.extend(members.tolist())
+        if len(members) <= self.most or not radius:
+            self.order.append(members)
+            self.filled += len(members)
         else:
-            half, kids, pick, dist = far.max() / 2, [], centre, far
-            while True:
-                near = dist <= half
-                kids.append((members[near], pick))
-                members = members[~near]
-                if not len(members):
-                    break
-                pick = members[0]
-                dist = np.sqrt(((self.float[members] - self.float[pick]) ** 2).sum(1))
-            self.children[node] = np.array([self._grow(m, c) for m, c in kids])
-        self.span[node] = (start, len(self.order))
+            # a net: each new centre is the point farthest from those so far, until all are covered
+            picks, owner, gap = [centre], np.zeros(len(members), np.int64), far
+            while gap.max() > radius / 2 and len(picks) < self.fanout:
+                new = int(gap.argmax())
+                dist = np.sqrt(((points - points[new]) ** 2).sum(1))
+                closer = dist < gap
+                owner[closer] = len(picks)
+                gap = np.minimum(gap, dist)
+                picks.append(int(members[new]))
+            self.children[node] = np.array([self._grow(members[owner == i], c) for i, c in enumerate(picks) if (owner == i).any()])
+        self.span[node] = (start, self.filled)
         return node
 
 
@@ -93,9 +102,9 @@ class Best:
 
     def offer(self, query: int, own: int, scores: np.ndarray, ids: np.ndarray) -> None:
         keep = (scores >= self.worst[query]) & (ids != own)
-        if not keep.any():
-            return
         scores, ids = scores[keep], ids[keep]
+        if not len(ids):
+            return
         if len(ids) > self.k:
             first = np.lexsort((ids, -scores))[: self.k]
             scores, ids = scores[first], ids[first]
@@ -111,54 +120,56 @@ def search(queries: Tree, data: Tree, best: Best) -> None:
         return
     slow = queries.exact is not None or data.exact is not None
 
-    def base(q: int, spans: list[tuple[int, int]]) -> None:
-        rows = np.concatenate([np.arange(*s) for s in spans])
-        for i in range(*queries.span[q]):
-            if slow:
-                a = queries.exact[i] if queries.exact is not None else queries.points[i].astype(np.int64).astype(object)
-                b = data.exact[rows] if data.exact is not None else data.points[rows].astype(np.int64).astype(object)
-                scores = np.array([sum(int(x) * int(y) for x, y in zip(a, p, strict=True)) for p in b], object)
-            else:
-                scores = data.points[rows] @ queries.points[i]
-            best.offer(i, queries.ids[i], scores, data.ids[rows])
-
     def bound(q: int, nodes: np.ndarray) -> np.ndarray:
         r, big = queries.r[q], data.r[nodes]
         top = data.at[nodes] @ queries.at[q] + queries.length[q] * big + data.length[nodes] * r + r * big
         return top + np.abs(top) * 1e-9 + 1.0
 
-    stack = [(0, 0)]
-    while stack:
-        q, d = stack.pop()
-        floor = best.worst[slice(*queries.span[q])].min()
-        if bound(q, np.array([d]))[0] < floor:
-            continue
-        kids, own = data.children[d], queries.children[q]
-        if len(own) and (not len(kids) or queries.r[q] >= data.r[d]):
-            stack.extend((int(c), d) for c in own)
-        elif not len(kids):
-            base(q, [data.span[d]])
-        elif len(own):
-            top = bound(q, kids)
-            stack.extend((q, int(c)) for c in kids[np.argsort(top)])
-        else:
-            # a query leaf: open children by their bounds, leaves in batches
-            top = bound(q, kids)
-            order = np.argsort(-top)
-            inner, batch = [], []
-            for c in order:
-                if top[c] < best.worst[slice(*queries.span[q])].min():
-                    break
-                if len(data.children[kids[c]]):
-                    inner.append((q, int(kids[c])))
-                    continue
-                batch.append(data.span[kids[c]])
-                if len(batch) == 256:
-                    base(q, batch)
-                    batch = []
-            if batch:
-                base(q, batch)
-            stack.extend(reversed(inner))
+    def prune(q: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = bound(q, nodes)
+        keep = top >= best.worst[slice(*queries.span[q])].min()
+        return nodes[keep], top[keep]
+
+    def opened(nodes: np.ndarray) -> np.ndarray:
+        return np.concatenate([data.children[n] for n in nodes]) if len(nodes) else nodes
+
+    def exact_scores(i: int, rows: np.ndarray) -> np.ndarray:
+        a = [int(x) for x in (queries.exact if queries.exact is not None else queries.points)[i]]
+        b = data.exact if data.exact is not None else data.points
+        return np.array([sum(x * int(y) for x, y in zip(a, b[row], strict=True)) for row in rows], object)
+
+    def scan(q: int, leaves: np.ndarray) -> None:
+        sizes = data.size[leaves]
+        rows = np.arange(sizes.sum()) + np.repeat(data.start[leaves] - np.cumsum(sizes) + sizes, sizes)
+        low, high = queries.span[q]
+        scores = None if slow else queries.points[low:high] @ data.points[rows].T
+        for i in range(low, high):
+            best.offer(i, queries.ids[i], exact_scores(i, rows) if slow else scores[i - low], data.ids[rows])
+
+    def visit(q: int, nodes: np.ndarray) -> None:
+        nodes, _ = prune(q, nodes)
+        kids = queries.children[q]
+        if len(kids):
+            # the side with the larger node is opened
+            large = ~data.leaf[nodes] & (data.r[nodes] > queries.r[q])
+            nodes = np.concatenate([nodes[~large], opened(nodes[large])]).astype(np.int64)
+            for kid in kids:
+                visit(int(kid), nodes)
+            return
+        leaves = []
+        while len(nodes):
+            leaves.append(nodes[data.leaf[nodes]])
+            nodes, _ = prune(q, opened(nodes[~data.leaf[nodes]]).astype(np.int64))
+        nodes = np.concatenate(leaves) if leaves else nodes
+        # the best bounds first, so that the worst k-th score rises early
+        nodes = nodes[np.argsort(-bound(q, nodes), kind="stable")]
+        step = 8
+        while len(nodes):
+            scan(q, nodes[:step])
+            nodes, _ = prune(q, nodes[step:])
+            step *= 4
+
+    visit(0, np.array([0]))
 
 
 def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -180,12 +191,12 @@ def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
         yield out(dims)
 
 
-def _tree(dims: int, ids: bytes, vs: bytes) -> Tree:
+def _tree(dims: int, ids: bytes, vs: bytes, most: int, fanout: int) -> Tree:
     """The tree over floor(1024 * x) of the packed vectors."""
     points = np.floor(np.frombuffer(vs, np.float64).reshape(-1, dims) * 1024.0) if dims else np.zeros((len(ids) // 8, 0))
     if points.size and float(np.abs(points).max()) ** 2 * max(dims, 1) >= EXACT / 4:
         points = np.array([[int(x) for x in p] for p in points.tolist()], object)
-    return Tree(np.frombuffer(ids, np.int64), points)
+    return Tree(np.frombuffer(ids, np.int64), points, most, fanout)
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -219,12 +230,12 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 if last != row["block"]:
-                    last, tree = row["block"], _tree(row["dims"], row["ids"], row["vs"])
+                    last, tree = row["block"], _tree(row["dims"], row["ids"], row["vs"], *ROWS_TREE)
                 key = (row["dims"], row["q_ids"])
                 if key not in bests:
                     if len(bests) == 64:
                         yield flush()
-                    asked_trees[key] = _tree(row["dims"], row["q_ids"], row["q_vs"])
+                    asked_trees[key] = _tree(row["dims"], row["q_ids"], row["q_vs"], *QUERIES_TREE)
                     bests[key] = Best(len(asked_trees[key].ids), k)
                 search(asked_trees[key], tree, bests[key])
         yield flush()
