@@ -1,9 +1,469 @@
-"""The citation queries and their SQL."""
+"""The citation queries and, for each, what it must give, computed another way.
 
+The driver's tables hold no citations, so each query writes them from columns: a
+row's text is one of a few templates filled with the row's own values, and the
+SQL says what the template stands for, from the same columns.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.similarity import round4, similarity
+from ..operators import cases as C
+from ..operators import links as L
+from ..operators import resolve as R
+from ..operators import works as W
+from ..sources.registry import Registers, courts, local
+from . import pipeline as P
+
+_held: dict[str, Registers] = {}
+L_, T_, B_ = "https://www.legislation.gov.uk", "https://caselaw.nationalarchives.gov.uk", "https://www.bailii.org"
+
+
+def registers(spark: SparkSession) -> Registers:
+    """The seed registers, loaded once in an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _held:
+        _held.clear()
+        _held[app] = Registers.default(spark)
+    return _held[app]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _choose(key: Column, texts: list[Column]) -> Column:
+    out = texts[-1]
+    for i, t in reversed(list(enumerate(texts[:-1]))):
+        out = F.when(key % len(texts) == i, t).otherwise(out)
+    return out
+
+
+def _say(*parts: object) -> Column:
+    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+
+
+def _case(key: str, values: list[str]) -> str:
+    """SQL: the value of template ``key % n``."""
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text for each line, of eight kinds."""
+    n, k = F.col("l_linenumber"), F.col("l_partkey") % 90 + 1
+    texts = [
+        _say("See section ", n, " of the Human Rights Act 1998."),
+        _say("Under the Theft Act 1968 (c. 60), s ", n, "(", k, ")(a) applies."),
+        _say("See ss ", k, " to ", k + 2, " of the Companies Act 2006 today."),
+        _say("Relying on paragraph ", k, " of Schedule ", n, " to the Equality Act 2010, they won."),
+        _say("The Fictional Widgets Act 1911 (c. ", k, ") is made up."),
+        _say("See SI 2017/", k, ", regulation ", n, "."),
+        _say("They cite the Interplanetary Sandwich Act 1977, s ", k, " often."),
+        _say("See the Working Time Order 1998, regulation ", n, "."),
+    ]
+    # every line has a number of its own within its order
+    key = F.col("l_orderkey") * 8 + n
+    return _table(spark, sf_dir, "lineitem").select(key.alias("doc_id"), _choose(F.col("l_orderkey") + n, texts).alias("text"))
+
+
+LINES = f"""
+SELECT doc_id, t, n, k,
+  {_case('t', ["'section ' || n || ' of the Human Rights Act 1998'", "'Theft Act 1968 (c. 60), s ' || n || '(' || k || ')(a)'", "'ss ' || k || ' to ' || (k + 2) || ' of the Companies Act 2006'",
+               "'paragraph ' || k || ' of Schedule ' || n || ' to the Equality Act 2010'", "'The Fictional Widgets Act 1911 (c. ' || k || ')'", "'SI 2017/' || k || ', regulation ' || n",
+               "'Interplanetary Sandwich Act 1977, s ' || k", "'Working Time Order 1998, regulation ' || n"])} AS surface,
+  {_case('t', ['4', '10', '4', '11', '0', '4', '14', '8'])} AS start,
+  {_case('t', ["'ukpga-1998-42'", "'ukpga-1968-60'", "'ukpga-2006-46'", "'ukpga-2010-15'", "'ukpga-1911-' || k", "'uksi-2017-' || k", 'NULL', "'uksi-1998-1833'"])} AS work_id,
+  {_case('t', ["'exact'", "'number'", "'exact'", "'exact'", "'number'", "'number'", "'unresolved'", "'exact'"])} AS method,
+  {_case('t', ['1.0', '1.0', '1.0', '1.0', '0.95', '0.95', '0.0', '1.0'])}::DOUBLE AS confidence,
+  {_case('t', [f"'{L_}/ukpga/1998/42/section/' || n", f"'{L_}/ukpga/1968/60/section/' || n || '#section-' || n || '-' || k || '-a'", f"'{L_}/ukpga/2006/46/section/' || k",
+               f"'{L_}/ukpga/2010/15/schedule/' || n || '/paragraph/' || k", f"'{L_}/ukpga/1911/' || k", f"'{L_}/uksi/2017/' || k || '/regulation/' || n",
+               f"'{L_}/all?title=Interplanetary+Sandwich+Act&year=1977'", f"'{L_}/uksi/1998/1833/regulation/' || n"])} AS url,
+  {_case('t', [f"'{L_}/id/ukpga/1998/42/section/' || n", f"'{L_}/id/ukpga/1968/60/section/' || n || '/' || k || '/a'", f"'{L_}/id/ukpga/2006/46/section/' || k",
+               f"'{L_}/id/ukpga/2010/15/schedule/' || n || '/paragraph/' || k", f"'{L_}/id/ukpga/1911/' || k", f"'{L_}/id/uksi/2017/' || k || '/regulation/' || n", 'NULL',
+               f"'{L_}/id/uksi/1998/1833/regulation/' || n"])} AS id_uri,
+  {_case('t', ["'section ' || n", "'section ' || n || '(' || k || ')(a)'", "'section ' || k || ' to ' || (k + 2)", "'schedule ' || n || ', paragraph ' || k", "''", "'regulation ' || n", "'section ' || k", "'regulation ' || n"])} AS label
+FROM (SELECT l_orderkey * 8 + l_linenumber AS doc_id, (l_orderkey + l_linenumber) % 8 AS t, l_linenumber AS n, l_partkey % 90 + 1 AS k FROM lineitem)
+"""
+
+
+def citations_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: a text per line, each citation with offsets, target, method, page and identifier."""
+    r = P.resolve(_lineitem(spark, sf_dir), registers(spark))
+    return r.citations.select("doc_id", "surface", "start", "end", F.col("work.id").alias("work_id"), "method", "confidence", "url", "id_uri", L.labels(F.col("provisions")).alias("label"))
+
+
+FULL = f"SELECT doc_id, surface, start::INT AS start, (start + length(surface))::INT AS \"end\", work_id, method, confidence, url, id_uri, label FROM ({LINES})"
+
+
+def citator_pinpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = P.resolve(_lineitem(spark, sf_dir), registers(spark))
+    rows = P.citing_pinpoints(r).filter("kind = 'work'")
+    return rows.groupBy("id", "pinpoint").agg(F.count_distinct("doc_id").alias("documents"), F.sum("n").alias("mentions"))
+
+
+PINPOINTS = f"SELECT work_id AS id, CASE WHEN label = '' THEN '(whole work)' ELSE label END AS pinpoint, count(DISTINCT doc_id) AS documents, count(*)::BIGINT AS mentions FROM ({LINES}) WHERE work_id IS NOT NULL GROUP BY ALL"
+
+
+def citator_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.cited_works(P.resolve(_lineitem(spark, sf_dir), registers(spark)))
+    return found.select("id", "citation", "url", "mentions", F.size("cited_by").cast("long").alias("documents"))
+
+
+WORKS = f"""
+SELECT work_id AS id, {_case("any_value(t)", ["'Human Rights Act 1998 (c. 42)'", "'Theft Act 1968 (c. 60)'", "'Companies Act 2006 (c. 46)'", "'Equality Act 2010 (c. 15)'",
+  "'Fictional Widgets Act (c. ' || any_value(k) || ')'", "'uksi 2017/' || any_value(k) || ' (SI 2017/' || any_value(k) || ')'", "NULL", "'Working Time Regulations 1998 (SI 1998/1833)'"])} AS citation,
+  '{L_}/' || replace(work_id, '-', '/') AS url, count(*)::BIGINT AS mentions, count(DISTINCT doc_id)::BIGINT AS documents
+FROM ({LINES}) WHERE work_id IS NOT NULL GROUP BY work_id
+"""
+
+
+def citator_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.unresolved_works(P.resolve(_lineitem(spark, sf_dir), registers(spark)))
+
+
+UNRESOLVED = f"SELECT 'Interplanetary Sandwich Act' AS reference, count(*) AS count FROM ({LINES}) WHERE work_id IS NULL HAVING count(*) > 0"
+
+
+def citator_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.corpus_stats(P.resolve(_lineitem(spark, sf_dir), registers(spark)))
+
+
+STATS = f"""
+SELECT (SELECT count(*) FROM lineitem) AS documents, count(*) AS total_citations, count(work_id) AS resolved_citations, 0::BIGINT AS total_case_citations,
+  0::BIGINT AS resolved_case_citations, count(DISTINCT work_id) AS distinct_works, 0::BIGINT AS distinct_cases FROM ({LINES})
+"""
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of several citations: definitions, back-references, context."""
+    k = F.col("o_orderkey") % 40 + 1
+    texts = [
+        _say('The Data Protection Act 2018 ("the DPA") applies. Section ', k, " of the DPA is engaged."),
+        _say("The Theft Act 1968 applies. The 1968 Act was later amended. Section ", k, " remains."),
+        _say("See the Theft Act 1968 and SI 2017/692. The Act, s ", k, ", governs."),
+        _say("The Theft Act 1968 and the Working Time Regulations 1998 apply. The Regulations, reg ", k, ", bite."),
+        _say("The Act is in force, see s ", k, "."),
+        _say("The court applied the PACE codes and TUPE, reg ", k, "."),
+        _say("The 1861 Act was cited. The Data Protecton Act 2018, s ", k, "."),
+    ]
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), _choose(F.col("o_orderkey"), texts).alias("text"))
+
+
+def back_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = P.resolve(_orders(spark, sf_dir), registers(spark))
+    return r.citations.select("doc_id", "ord", "surface", F.col("work.id").alias("work_id"), "method", round4("confidence").alias("confidence"), "url", F.array_join("notes", "; ").alias("notes"))
+
+
+def _back_rows() -> str:
+    dpa, theft, wtr = "ukpga/2018/12", "ukpga/1968/60", "uksi/1998/1833"
+    rows: list[list[tuple]] = [
+        [("'The Data Protection Act 2018'", dpa, "exact", 1.0, "''", ""), ("'the DPA'", dpa, "short-form", 0.92, "''", ""), ("'Section ' || k || ' of the DPA'", dpa, "short-form", 0.92, "'/section/' || k", "")],
+        [("'The Theft Act 1968'", theft, "exact", 1.0, "''", ""), ("'The 1968 Act'", theft, "anaphora", 0.9, "''", ""), ("'Section ' || k", theft, "context", 0.7, "'/section/' || k", "pinpoint attached to most recent work")],
+        [("'Theft Act 1968'", theft, "exact", 1.0, "''", ""), ("'SI 2017/692'", "uksi/2017/692", "number", 1.0, "''", ""), ("'The Act, s ' || k", theft, "anaphora", 0.8, "'/section/' || k", "")],
+        [("'The Theft Act 1968'", theft, "exact", 1.0, "''", ""), ("'Working Time Regulations 1998'", wtr, "exact", 1.0, "''", ""), ("'The Regulations, reg ' || k", wtr, "anaphora", 0.8, "'/regulation/' || k", "")],
+        [("'The Act'", None, "unresolved", 0.0, "''", "back-reference with no antecedent"), ("'s ' || k", None, "unresolved", 0.0, "''", "pinpoint with no antecedent work")],
+        [("'the PACE'", "ukpga/1984/60", "alias", 0.88, "''", ""), ("'TUPE, reg ' || k", "uksi/2006/246", "alias", 0.88, "'/regulation/' || k", "")],
+        [("'The 1861 Act'", "ukpga/1861/100", "anaphora", 0.65, "''", "year matched the registry, not the document"), ("'The Data Protecton Act 2018, s ' || k", dpa, "fuzzy", 0.973, "'/section/' || k", "")],
+    ]
+    out = []
+    for t, cites in enumerate(rows):
+        for i, (surface, path, method, confidence, end, note) in enumerate(cites):
+            work = f"'{path.replace('/', '-')}'" if path else "NULL"
+            url = f"'{L_}/{path}' || {end}" if path else f"'{L_}/all'"
+            out.append(f"SELECT doc_id, {i} AS ord, {surface} AS surface, {work} AS work_id, '{method}' AS method, {confidence}::DOUBLE AS confidence, {url} AS url, '{note}' AS notes FROM o WHERE t = {t}")
+    return "WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 7 AS t, o_orderkey % 40 + 1 AS k FROM orders) " + " UNION ALL ".join(out)
+
+
+def document_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = P.document_stats(P.resolve(_orders(spark, sf_dir), registers(spark)))
+    return stats.select("doc_id", "citations", "resolved", "unresolved", "distinct_works", F.array_join("works", ",").alias("works"), "case_citations", "cases_resolved", "distinct_cases")
+
+
+TOTALS = f"""
+SELECT o_orderkey AS doc_id, {_case('o_orderkey', ['3', '3', '3', '3', '2', '2', '2'])}::BIGINT AS citations, {_case('o_orderkey', ['3', '3', '3', '3', '0', '2', '2'])}::BIGINT AS resolved,
+  {_case('o_orderkey', ['0', '0', '0', '0', '2', '0', '0'])}::BIGINT AS unresolved, {_case('o_orderkey', ['1', '1', '2', '2', '0', '2', '2'])}::BIGINT AS distinct_works,
+  {_case('o_orderkey', ["'ukpga-2018-12'", "'ukpga-1968-60'", "'ukpga-1968-60,uksi-2017-692'", "'ukpga-1968-60,uksi-1998-1833'", "''", "'ukpga-1984-60,uksi-2006-246'", "'ukpga-1861-100,ukpga-2018-12'"])} AS works,
+  0::BIGINT AS case_citations, 0::BIGINT AS cases_resolved, 0::BIGINT AS distinct_cases FROM orders
+"""
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case citations of each rung of the ladder."""
+    k = F.col("c_custkey") % 60 + 1
+    texts = [
+        _say("See R (Miller) v Prime Minister [2019] UKSC 41 at [", k, "]."),
+        _say("Following Smith v Jones [2020] EWCA Civ ", k, ", costs follow."),
+        _say("See Patel v Mirza [2017] AC 467 at [", k, "]."),
+        _say("It was reported at [2020] AC 373."),
+        _say("See Essop v Home Office [2017] WLR 1343 at para ", k, "."),
+        _say("The case of Lachaux v Smith [2020] AC 612 differs."),
+        _say("The principle in Montgomery v Lanarkshire Health Board applies."),
+        _say("See Patel v Mirza [2006] AC ", k, "."),
+        _say("Applying Donoghue v Stevenson [1932] AC 562, it failed."),
+        _say("In Re X [2010] NIQB ", k, " relief was refused."),
+        _say("See [2019] EWHC ", k, " (ch); [2019] EWHC ", k + 1, "."),
+        _say("As in Hill v Hall [1999] UKHL ", k, ", no."),
+    ]
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), _choose(F.col("c_custkey"), texts).alias("text"))
+
+
+def case_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = P.resolve(_customers(spark, sf_dir), registers(spark))
+    return r.cases.select(
+        "doc_id", "ord", "surface", F.col("case_ref.name").alias("name"), F.col("case_ref.pinpoint").alias("pinpoint"), F.col("case.id").alias("case_id"), "method", "confidence",
+        F.array_join(F.transform("candidates", lambda c: c["id"]), ",").alias("candidates"), "url", "source",
+    )
+
+
+def _case_rows() -> str:
+    q = f"{T_}/search?query="
+    rows: list[list[tuple]] = [
+        [("'R (Miller) v Prime Minister [2019] UKSC 41 at [' || k || ']'", "'R (Miller) v Prime Minister'", "'[' || k || ']'", "'uksc-2019-41'", "neutral", 1.0, "", f"'{T_}/uksc/2019/41'", "tna")],
+        [("'Smith v Jones [2020] EWCA Civ ' || k", "'Smith v Jones'", "NULL", "'ewca-civ-2020-' || k", "neutral", 0.95, "", f"'{T_}/ewca/civ/2020/' || k", "tna")],
+        [("'Patel v Mirza [2017] AC 467 at [' || k || ']'", "'Patel v Mirza'", "'[' || k || ']'", "'uksc-2016-42'", "report", 0.95, "", f"'{T_}/uksc/2016/42'", "tna")],
+        [("'[2020] AC 373'", "NULL", "NULL", "'uksc-2019-41'", "report", 0.85, "", f"'{T_}/uksc/2019/41'", "tna")],
+        [("'Essop v Home Office [2017] WLR 1343 at para ' || k", "'Essop v Home Office'", "'para ' || k", "'uksc-2017-27'", "report", 0.9, "", f"'{T_}/uksc/2017/27'", "tna")],
+        [("'Lachaux v Smith [2020] AC 612'", "'Lachaux v Smith'", "NULL", "NULL", "unresolved", 0.0, "uksc-2019-27", f"'{q}Lachaux+v+Smith'", "search")],
+        [("'Montgomery v Lanarkshire Health Board'", "'Montgomery v Lanarkshire Health Board'", "NULL", "'uksc-2015-11'", "name", 0.9, "", f"'{T_}/uksc/2015/11'", "tna")],
+        [("'Patel v Mirza [2006] AC ' || k", "'Patel v Mirza'", "NULL", "NULL", "unresolved", 0.0, "", f"'{q}Patel+v+Mirza'", "search")],
+        [("'Donoghue v Stevenson [1932] AC 562'", "'Donoghue v Stevenson'", "NULL", "NULL", "unresolved", 0.0, "", f"'{q}Donoghue+v+Stevenson'", "search")],
+        [("'Re X [2010] NIQB ' || k", "'Re X'", "NULL", "'niqb-2010-' || k", "neutral", 0.95, "", "NULL", None)],
+        [("'[2019] EWHC ' || k || ' (ch)'", "NULL", "NULL", "'ewhc-ch-2019-' || k", "neutral", 0.95, "", f"'{T_}/ewhc/ch/2019/' || k", "tna"),
+         ("'[2019] EWHC ' || (k + 1)", "NULL", "NULL", "'ewhc-2019-' || (k + 1)", "neutral", 0.95, "", f"'{q}%5B2019%5D+EWHC+' || (k + 1)", "search")],
+        [("'Hill v Hall [1999] UKHL ' || k", "'Hill v Hall'", "NULL", "'ukhl-1999-' || k", "neutral", 0.95, "", f"'{B_}/uk/cases/UKHL/1999/' || k || '.html'", "bailii")],
+    ]
+    out = []
+    for t, cites in enumerate(rows):
+        for i, (surface, name, pin, case, method, confidence, candidates, url, source) in enumerate(cites):
+            shown = f"'{source}'" if source else "NULL"
+            out.append(f"SELECT doc_id, {i} AS ord, {surface} AS surface, {name} AS name, {pin} AS pinpoint, {case} AS case_id, '{method}' AS method, {confidence}::DOUBLE AS confidence, '{candidates}' AS candidates, {url} AS url, {shown} AS source FROM c WHERE t = {t}")
+    return "WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 12 AS t, c_custkey % 60 + 1 AS k FROM customer) " + " UNION ALL ".join(out)
+
+
+def citator_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.cited_cases(P.resolve(_customers(spark, sf_dir), registers(spark)))
+    return found.select("id", "mentions", F.size("cited_by").cast("long").alias("documents"))
+
+
+CASES = "SELECT case_id AS id, count(*)::BIGINT AS mentions, count(DISTINCT doc_id)::BIGINT AS documents FROM ({}) WHERE case_id IS NOT NULL GROUP BY case_id"
+
+
+def citator_unresolved_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.unresolved_cases(P.resolve(_customers(spark, sf_dir), registers(spark)))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    texts = [
+        _say("A & B <cited> the Human Rights Act 1998, s ", size, ", and Patel v Mirza [2016] UKSC 42."),
+        _say("The Companies Act 2006 applies. Section ", size, " imposes a duty."),
+        _say("No law in part \"", F.col("p_name"), "\" at all."),
+    ]
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _choose(F.col("p_partkey"), texts).alias("text"))
+
+
+def annotated_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.annotate(P.resolve(_parts(spark, sf_dir), registers(spark)))
+
+
+def annotated_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.annotate(P.resolve(_parts(spark, sf_dir), registers(spark)), "html", 0.9)
+
+
+def _annotated(html: bool) -> str:
+    size, name = "p_size", "p_name"
+    hra, ca, pm = f"{L_}/ukpga/1998/42/section/", f"{L_}/ukpga/2006/46", f"{T_}/uksc/2016/42"
+    if html:
+        link = lambda url, title, c, m, s: f"'<a href=\"' || {url} || '\" title=\"{title}\" data-confidence=\"{c}\" data-method=\"{m}\">' || {s} || '</a>'"
+        one = f"'A &amp; B &lt;cited&gt; the ' || {link(f"'{hra}' || {size}", 'Human Rights Act 1998 (c. 42)', '1.00', 'exact', f"'Human Rights Act 1998, s ' || {size}")} || ', and ' || {link(f"'{pm}'", 'Patel v Mirza [2016] UKSC 42, [2017] AC 467', '1.00', 'neutral', "'Patel v Mirza [2016] UKSC 42'")} || '.'"
+        two = f"{link(f"'{ca}'", 'Companies Act 2006 (c. 46)', '1.00', 'exact', "'The Companies Act 2006'")} || ' applies. Section ' || {size} || ' imposes a duty.'"
+        three = f"'No law in part &quot;' || {name} || '&quot; at all.'"
+    else:
+        one = f"'A & B <cited> the [Human Rights Act 1998, s ' || {size} || ']({hra}' || {size} || '), and [Patel v Mirza \\[2016\\] UKSC 42]({pm}).'"
+        two = f"'[The Companies Act 2006]({ca}) applies. [Section ' || {size} || ']({ca}/section/' || {size} || ') imposes a duty.'"
+        three = f"'No law in part \"' || {name} || '\" at all.'"
+    return f"SELECT p_partkey AS doc_id, {_case('p_partkey', [one, two, three])} AS annotated FROM part"
+
+
+def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's JSON, read back: totals, first surface and page, rounded confidence."""
+    found = P.to_json(P.resolve(_parts(spark, sf_dir), registers(spark)), include_text=True)
+    get = lambda path: F.get_json_object("json", path)
+    return found.select(
+        "doc_id", get("$.stats.citations").cast("long").alias("citations"), get("$.stats.case_citations").cast("long").alias("case_citations"), get("$.citations[0].provision_label").alias("label"),
+        get("$.citations[0].work.citation").alias("citation"), get("$.cases[0].case.neutral").alias("neutral"), F.length(get("$.text")).cast("long").alias("length"),
+    )
+
+
+JSON = f"""
+SELECT p_partkey AS doc_id, {_case('p_partkey', ['1', '2', '0'])}::BIGINT AS citations, {_case('p_partkey', ['1', '0', '0'])}::BIGINT AS case_citations,
+  {_case('p_partkey', ["'section ' || p_size", "''", 'NULL'])} AS label, {_case('p_partkey', ["'Human Rights Act 1998 (c. 42)'", "'Companies Act 2006 (c. 46)'", 'NULL'])} AS citation,
+  {_case('p_partkey', ["'[2016] UKSC 42'", 'NULL', 'NULL'])} AS neutral,
+  length({_case('p_partkey', ["'A & B <cited> the Human Rights Act 1998, s ' || p_size || ', and Patel v Mirza [2016] UKSC 42.'", "'The Companies Act 2006 applies. Section ' || p_size || ' imposes a duty.'", "'No law in part \"' || p_name || '\" at all.'"])})::BIGINT AS length
+FROM part
+"""
+
+
+def embedded_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real texts around a citation: offsets are code points of the whole document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n\nSee section "), (F.col("doc_id") % 200).cast("string"), F.lit(" of the Human Rights Act 1998.\n\n"), "text").alias("text"))
+    r = P.resolve(docs, registers(spark))
+    return r.citations.filter(F.col("work.id") == "ukpga-1998-42").select("doc_id", "start", "end", "url")
+
+
+EMBEDDED = f"""
+SELECT doc_id, (length(text) + 6)::INT AS start, (length(text) + 6 + length('section ' || doc_id % 200 || ' of the Human Rights Act 1998'))::INT AS "end",
+  '{L_}/ukpga/1998/42/section/' || doc_id % 200 AS url FROM documents WHERE text IS NOT NULL
+"""
+
+
+def versioned_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    docs = _table(spark, sf_dir, "supplier").select(k.alias("doc_id"), _say("See section ", k, "(1) of the Human Rights Act 1998.").alias("text"))
+    out = None
+    for text in ("latest", "prospective", "original", "as-at:1999-02-01"):
+        r = P.resolve(docs, registers(spark), R.Settings(version=L.version(text)))
+        one = r.citations.select("doc_id", F.lit(text).alias("asked"), "url", "id_uri")
+        out = one if out is None else out.union(one)
+    return out
+
+
+VERSIONED = " UNION ALL ".join(
+    f"SELECT s_suppkey AS doc_id, '{text}' AS asked, '{L_}/ukpga/1998/42/section/' || s_suppkey || '{end}#section-' || s_suppkey || '-1' AS url, '{L_}/id/ukpga/1998/42/section/' || s_suppkey || '/1' AS id_uri FROM supplier"
+    for text, end in (("latest", ""), ("prospective", ""), ("original", "/enacted"), ("as-at:1999-02-01", "/1999-02-01"))
+)
+
+
+def pinpoint_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts of a nested pinpoint a page's path names."""
+    k = F.col("s_suppkey")
+    texts = [_say("Part ", k, " of Schedule 2 to the Companies Act 2006"), _say("section ", k, " of Part 2 of the Companies Act 2006"), _say("Part ", k, " of the Companies Act 2006"),
+             _say("sections ", k, ", ", k + 1, " and ", k + 2, "A of the Companies Act 2006"), _say("paragraph ", k, " of Part 2 of Schedule 1 to the Companies Act 2006")]
+    docs = _table(spark, sf_dir, "supplier").select(k.alias("doc_id"), _choose(k, texts).alias("text"))
+    r = P.resolve(docs, registers(spark))
+    return r.citations.select("doc_id", "url", L.labels(F.col("provisions")).alias("label"), F.array_join("notes", "; ").alias("notes"))
+
+
+TARGETS = f"""
+SELECT s_suppkey AS doc_id, '{L_}/ukpga/2006/46' || {_case('s_suppkey', ["'/schedule/2'", "'/section/' || s_suppkey", "'/part/' || s_suppkey", "'/section/' || s_suppkey", "'/schedule/1/paragraph/' || s_suppkey"])} AS url,
+  {_case('s_suppkey', ["'schedule 2, part ' || s_suppkey", "'part 2, section ' || s_suppkey", "'part ' || s_suppkey", "'section ' || s_suppkey || ', section ' || (s_suppkey + 1) || ', section ' || (s_suppkey + 2) || 'A'", "'schedule 1, part 2, paragraph ' || s_suppkey"])} AS label,
+  {_case('s_suppkey', ["''", "''", "''", "'3 provisions cited; url is the first'", "''"])} AS notes FROM supplier
+"""
+
+
+def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return local(spark.createDataFrame(rows, schema))
+
+
+def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best works for misspelt titles, across years at a penalty."""
+    probes = _frame(spark, [("data protecton act", 2018), ("companies act", 1985), ("human rights act", None)], "norm string, year int")
+    found = R.search_works(probes, registers(spark).works, 0.86)
+    near = R.search_works(probes.filter("year = 1985"), registers(spark).works, 0.6)
+    one = found.union(near.select(*found.columns)).select("norm", "year", F.get("found", 0).alias("f"))
+    return one.select("norm", "year", F.col("f.work.id").alias("work_id"), round4("f.score").alias("score")).distinct()
+
+
+FUZZY = """
+SELECT * FROM (VALUES ('data protecton act', 2018, 'ukpga-2018-12', 0.973::DOUBLE), ('companies act', 1985, 'ukpga-1985-6', 1.0::DOUBLE), ('human rights act', NULL, 'ukpga-1998-42', 1.0::DOUBLE)) v(norm, year, work_id, score)
+"""
+
+
+def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparison keys of part names dressed up."""
+    name = F.col("p_name")
+    dressed = F.concat(F.lit("The  "), name, F.lit(" (Scotland) & Works Regulations 2003"))
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey", T.title_key(dressed).alias("title"), T.title_stem(dressed).alias("stem"), T.alias_key(F.concat(F.lit("the "), name, F.lit("."))).alias("alias"),
+        T.name_key(F.concat(name, F.lit(" Ltd vs. The "), name, F.lit(" and others"))).alias("case_name"), R.inferred_type(dressed, F.lit(2003)).alias("work_type"), T.query(dressed).alias("query"), T.html(F.concat(F.lit("<"), name, F.lit("'>"))).alias("html"),
+    )
+
+
+_KEY = "trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+NORMAL = f"""
+SELECT p_partkey, {_KEY} || ' scotland and works regulations' AS title, {_KEY} || ' scotland and works' AS stem, regexp_replace(lower(p_name), '[^a-z0-9 ]+', '', 'g') AS alias,
+  {_KEY} || ' v ' || {_KEY} AS case_name, 'ssi' AS work_type, replace(url_encode('The  ' || p_name || ' (Scotland) & Works Regulations 2003'), '%20', '+') AS query,
+  '&lt;' || replace(replace(p_name, '&', '&amp;'), '''', '&#x27;') || '&#x27;&gt;' AS html FROM part
+"""
+
+
+def judgment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of neutral citations in each court, from the nation table's keys."""
+    n = _table(spark, sf_dir, "nation").select("n_nationkey").join(courts(spark).select("code"), F.lit(True))
+    made = F.struct((F.col("n_nationkey") + 1990).alias("year"), F.col("code").alias("court"), F.col("n_nationkey").cast("string").alias("number"), F.lit(None).cast("string").alias("division")).cast(C.NEUTRAL)
+    rows = n.withColumn("n", made)
+    return rows.select("n_nationkey", "code", C.neutral_text(F.col("n")).alias("text"), L.judgment_link(F.col("n"))["url"].alias("url"), L.judgment_link(F.col("n"))["source"].alias("source"))
+
+
+def _judgments() -> str:
+    from ..functions.fixed import COURTS
+
+    rows = ", ".join("('{}', {}, {}, {})".format(c, f"'{p}'" if p else "NULL", f"'{s}'" if s else "NULL", str(need).lower()) for c, p, s, _, need in COURTS)
+    return f"""
+WITH c(code, first, second, needed) AS (VALUES {rows}),
+x AS (SELECT n_nationkey, n_nationkey + 1990 AS year, c.* FROM nation, c),
+y AS (SELECT *, CASE WHEN year >= 2001 AND NOT needed THEN '{T_}/' || first || '/' || year || '/' || n_nationkey END AS one,
+  CASE WHEN NOT needed THEN '{B_}/' || replace(replace(second, '{{year}}', year::VARCHAR), '{{number}}', n_nationkey::VARCHAR) END AS two FROM x)
+SELECT n_nationkey, code, '[' || year || '] ' || code || ' ' || n_nationkey AS text, coalesce(one, two) AS url, CASE WHEN one IS NOT NULL THEN 'tna' WHEN two IS NOT NULL THEN 'bailii' END AS source FROM y
+"""
+
+
+def register_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers(spark).list_works(2010).select("id", "title", "year")
+
+
+def register_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers(spark).sizes()
+
+
+def short_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which bracketed strings define a short form."""
+    k = F.col("s_suppkey")
+    shown = _choose(k, [_say("DPA ", k), _say("c. ", k), _say("SI 2017/", k), _say("the ", k, " Act"), _say("in part ", k), _say("UK")])
+    return _table(spark, sf_dir, "supplier").select(k.alias("doc_id"), shown.alias("candidate"), W.is_short_form(shown).alias("short"))
+
+
+SHORT = f"""
+SELECT s_suppkey AS doc_id, {_case('s_suppkey', ["'DPA ' || s_suppkey", "'c. ' || s_suppkey", "'SI 2017/' || s_suppkey", "'the ' || s_suppkey || ' Act'", "'in part ' || s_suppkey", "'UK'"])} AS candidate,
+  {_case('s_suppkey', ['true', 'false', 'false', 'true', 'false', 'true'])} AS short FROM supplier
+"""
+
+
+def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name and itself with its words in another order are equal."""
+    name = F.col("p_name")
+    turned = F.array_join(F.reverse(F.split(name, " ")), " ")
+    pairs = _table(spark, sf_dir, "part").select("p_partkey", name.alias("a"), turned.alias("b"))
+    return pairs.select("p_partkey", similarity("a", "b").alias("score"))
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    found = [
+        citations_full, back_references, case_citations, embedded_citations, document_totals, citator_pinpoints, citator_works, citator_unresolved, citator_stats, citator_cases,
+        citator_unresolved_cases, annotated_markdown, annotated_html, documents_json, versioned_links, pinpoint_targets, fuzzy_search, normal_forms, judgment_pages, register_listing,
+        register_sizes, short_forms, title_similarity,
+    ]
+    return {f.__name__: f for f in found}
+
+
+def oracle_sql() -> dict[str, str]:
+    cases = _case_rows()
+    return {
+        "citations_full": FULL, "back_references": _back_rows(), "case_citations": cases, "embedded_citations": EMBEDDED, "document_totals": TOTALS, "citator_pinpoints": PINPOINTS,
+        "citator_works": WORKS, "citator_unresolved": UNRESOLVED, "citator_stats": STATS, "citator_cases": CASES.format(cases),
+        "citator_unresolved_cases": f"SELECT name AS reference, count(*) AS count FROM ({cases}) WHERE case_id IS NULL GROUP BY name",
+        "annotated_markdown": _annotated(False), "annotated_html": _annotated(True), "documents_json": JSON, "versioned_links": VERSIONED, "pinpoint_targets": TARGETS, "fuzzy_search": FUZZY,
+        "normal_forms": NORMAL, "judgment_pages": _judgments(),
+        "register_listing": "SELECT * FROM (VALUES ('ukpga-2010-23', 'Bribery Act 2010', 2010), ('ukpga-2010-25', 'Constitutional Reform and Governance Act 2010', 2010), ('ukpga-2010-4', 'Corporation Tax Act 2010', 2010), ('ukpga-2010-15', 'Equality Act 2010', 2010), ('uksi-2010-2214', 'The Building Regulations 2010', 2010)) v(id, title, year)",
+        "register_sizes": "SELECT 178::BIGINT AS works, 10::BIGINT AS cases",
+        "short_forms": SHORT, "title_similarity": "SELECT p_partkey, 1.0::DOUBLE AS score FROM part",
+    }
