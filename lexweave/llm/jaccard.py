@@ -5,14 +5,14 @@ shingles have one global order: by how often they occur - as told by a sketch
 of fixed size that counts every shingle of every document - then by hash.
 
 1. Documents with equal sets form a class; one of them, the smallest id, stands for it.
-2. Two sets above the threshold share a shingle among the first ones of each
-   (the prefix, in the global order). Prefix shingles that are met in few
-   classes (RARE at most) give candidate pairs, as many as the prefixes at most
-   times a constant.
+2. Two sets above the threshold share SHARED shingles among the first ones of
+   each (the prefix, in the global order, of n - ceil(t * n) + SHARED). Prefix
+   shingles that are met in few classes (RARE at most) give candidate pairs, as
+   many as the prefixes at most times a constant; a pair stays if it has enough.
 3. The order of hashes is cut into FRAGMENTS ranges, each set into as many
    segments. Segments of candidates are intersected fragment by fragment, and
    the partial overlaps are summed per pair: the exact overlap.
-4. Classes that share a prefix shingle with more than RARE others - large groups
+4. Classes that share a prefix shingle with RARE others or more - large groups
    of near copies, as passages that many documents share come last in the order
    - are compared within the component that such shingles connect, block by
    block: every block pair whose sizes allow a link sums the overlaps of each
@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, small_batches
@@ -44,8 +44,10 @@ from .neardup import _roots
 
 WORDS, PERCENT = 3, 90
 RARE, FRAGMENTS, BLOCK = 24, 4, 256
-#: Counters of the sketch, and bits of the filter that keeps other texts out of the last reading.
-SKETCH_BITS, FILTER_BITS = 18, 24
+#: Prefix shingles that a pair must share, as far as the sets are large enough.
+SHARED = 6
+#: Counters of the sketch, and bits of the filters that keep shingles and texts which can't matter from being shuffled.
+SKETCH_BITS, FILTER_BITS = 18, 25
 CHUNK = 1 << 12
 #: Word hashes that a task keeps at hand.
 HELD = 1_000_000
@@ -86,9 +88,13 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def least_overlap(a: int, b: int, percent: int) -> int:
-    """The smallest overlap of sets of these sizes at the threshold."""
-    return -(-percent * (a + b) // (100 + percent))
+def needed(n: int, percent: int) -> int:
+    """Shingles that a set of this size shares with any partner within their prefixes."""
+    return min(SHARED, -(-percent * n // 100))
+
+
+def _needed(n: str, percent: int) -> Column:
+    return F.least(F.lit(SHARED), F.ceil(F.col(n) * percent / 100))
 
 
 def sketch(docs: DataFrame, words: int) -> np.ndarray:
@@ -125,7 +131,7 @@ def prefixes(docs: DataFrame, counts: Broadcast, words: int, percent: int) -> Da
                 n = len(h)
                 head = h
                 if n:
-                    keep = n - (-(-percent * n // 100)) + 1
+                    keep = n - (-(-percent * n // 100)) + needed(n, percent)
                     head = h[np.lexsort((h, often[_bucket(h)]))[:keep]]
                 s1, s2 = _signature(h)
                 sizes.append(n)
@@ -142,11 +148,12 @@ def prefixes(docs: DataFrame, counts: Broadcast, words: int, percent: int) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A filter of 2**FILTER_BITS bits: those of the given ids' hashes are set."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+def _filter_of(hashes: DataFrame) -> np.ndarray:
+    """A filter of 2**FILTER_BITS bits: those of the given hashes (column h) are
+    set. Its size is fixed; the fuller it is, the more others pass, which later joins remove."""
+    bit = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = (
-        ids.select((bit / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(id), {1 << FILTER_BITS}L), 32L) as int))").alias("mask"))
+        hashes.select(F.shiftright(bit, 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 31L as int))").alias("mask"))
         .groupBy("word")
         .agg(F.bit_or("mask").alias("mask"))
         .toArrow()
@@ -156,17 +163,39 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & ((1 << FILTER_BITS) - 1)
+    return ((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """id, n, token, often: the prefix shingles that several classes share."""
+    counted = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    often = cut(counted)
+    bits = classes.sparkSession.sparkContext.broadcast(_filter_of(often.select(F.col("token").alias("h"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(2)
+            flat = prefix.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(prefix.offsets.to_numpy())
+            keep = _passes(bits.value, flat)
+            ids, n = (np.repeat(batch.column(c).to_numpy(), sizes)[keep] for c in (0, 1))
+            yield pa.record_batch([pa.array(ids), pa.array(n), pa.array(flat[keep])], ["id", "n", "token"])
+
+    return classes.select("id", "n", "prefix").mapInArrow(run, "id long, n long, token long").join(often, "token")
+
+
 def segments(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id, n, fragment, segment (sorted hashes) of the documents in ``wanted`` (id, s1)."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    """id, s1, n, fragment, segment (sorted hashes) of the documents whose id is
+    ``wanted``; some others pass, and repeated rows stay."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted.select(F.xxhash64("id").alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         cuts = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            hit = (bits.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+            hit = _passes(bits.value, batch.column(2).to_numpy())
             ids, firsts, sizes, fragments, parts = [], [], [], [], []
             for i in np.flatnonzero(hit):
                 h = shingles(batch.column(1)[i].as_py(), words, hashes)
@@ -181,9 +210,8 @@ def segments(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 ["id", "s1", "n", "fragment", "segment"],
             )
 
-    rows = docs.select("doc_id", "text", bit.alias("bit")).filter("doc_id is not null").mapInArrow(run, "id long, s1 long, n long, fragment int, segment array<long>")
-    # the filter lets others through; repeated rows become one
-    return rows.join(wanted, ["id", "s1"], "left_semi").dropDuplicates(["id", "s1", "fragment"])
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).filter("doc_id is not null")
+    return rows.mapInArrow(run, "id long, s1 long, n long, fragment int, segment array<long>")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -197,22 +225,27 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
                     if m * percent > n * 100:
                         break
                     if a != b:
-                        left.append(min(a, b))
-                        right.append(max(a, b))
-                        na.append(n)
-                        nb.append(m)
+                        (x, nx), (y, ny) = sorted(((a, n), (b, m)))
+                        for column, value in zip((left, right, na, nb), (x, y, nx, ny), strict=True):
+                            column.append(value)
         yield pa.record_batch([pa.array(x, pa.int64()) for x in (left, right, na, nb)], ["a", "b", "na", "nb"])
 
 
-def _rare_links(postings: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _rare_pairs(postings: DataFrame, percent: int) -> DataFrame:
     lists = postings.groupBy("token").agg(F.collect_list(F.struct("n", "id")).alias("members")).select("members")
-    pairs = lists.mapInArrow(lambda it: _pairs(it, percent), "a long, b long, na long, nb long").dropDuplicates(["a", "b"])
-    one = parts.select(F.col("id").alias("a"), "fragment", F.col("segment").alias("x"))
-    two = parts.select(F.col("id").alias("b"), "fragment", F.col("segment").alias("y"))
-    overlaps = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("both"))
+    return lists.mapInArrow(lambda it: _pairs(it, percent), "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= F.least(_needed("na", percent), _needed("nb", percent))).select("a", "b")
+
+
+def _rare_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    one = parts.select(F.col("id").alias("a"), F.col("s1").alias("sa"), F.col("n").alias("na"), "fragment", F.col("segment").alias("x"))
+    two = parts.select(F.col("id").alias("b"), F.col("s1").alias("sb"), F.col("n").alias("nb"), "fragment", F.col("segment").alias("y"))
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    met = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "sa", "sb", "na", "nb", "fragment", both.alias("both"))
+    # repeated rows of a document count once
+    once = met.groupBy("a", "b", "sa", "sb", "na", "nb", "fragment").agg(F.max("both").alias("both"))
     return (
-        overlaps.groupBy("a", "b")
-        .agg(F.sum("both").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        once.groupBy("a", "b", "sa", "sb", "na", "nb")
+        .agg(F.sum("both").alias("both"))
         .filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
         .select("a", "b")
     )
@@ -275,8 +308,8 @@ def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 
 
 def _common_links(parts: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    whole = parts.join(groups, "id").groupBy("component", "n", "id").agg(F.flatten(F.collect_list("segment")).alias("parts"))
-    placed = whole.repartitionByRange("component", "n", "id").sortWithinPartitions("component", "n", "id")
+    whole = parts.join(groups, "id").groupBy("component", "n", "id", "s1").agg(F.array_distinct(F.flatten(F.collect_list("segment"))).alias("parts"))
+    placed = whole.repartitionByRange("component", "n", "id", "s1").sortWithinPartitions("component", "n", "id", "s1")
     blocks = cut(placed.mapInArrow(_blocks, "block long, component long, low long, high long, ids binary, sizes binary, ends binary, hashes binary"))
     here = blocks.select("component", "block", "low", "high")
     there = blocks.select("component", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
@@ -293,26 +326,25 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = docs.sparkSession.sparkContext.broadcast(sketch(texts, words))
     heads = cut(prefixes(texts, counts, words, percent))
-    classes = (
+    classes = cut(
         heads.filter("n > 0 and doc_id is not null")
         .groupBy("s1", "s2")
         .agg(F.min(F.struct("doc_id", "n", "prefix")).alias("c"))
-        .select("s1", F.col("c.doc_id").alias("id"), "c.n", "c.prefix")
+        .select("s1", "s2", F.col("c.doc_id").alias("id"), "c.n", "c.prefix")
     )
-    postings = classes.select("id", "s1", "n", F.explode("prefix").alias("token"))
-    often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    shared = cut(postings.join(often, "token"))
-    parts = cut(segments(texts, shared.select("id", "s1").distinct(), words))
-    rare = _rare_links(shared.filter(F.col("often") <= RARE), parts, percent)
-
-    # a shingle is a node as well; it gets an id below all documents' ids
+    found = cut(_postings(classes))
+    enough = found.groupBy("id", "n").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= _needed("n", percent)).select("id", "n")
+    shared = found.join(enough, ["id", "n"], "left_semi")
+    pairs = cut(_rare_pairs(shared.filter(F.col("often") <= RARE), percent))
+    # documents that share a common shingle are tied to one of them, which gives the groups to compare
     common = shared.filter(F.col("often") > RARE)
-    least = F.min(F.struct("n", "id")).alias("hub")
-    hubs = common.groupBy("token").agg(least).select("token", F.col("hub.id").alias("hub"))
+    hubs = common.groupBy("token").agg(F.min(F.struct("n", "id")).alias("hub")).select("token", F.col("hub.id").alias("hub"))
     groups = components(common.join(hubs, "token").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    links = rare.union(_common_links(parts, groups, percent))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(groups.select("id")).distinct()
+    parts = cut(segments(texts, ids, words))
+    links = _rare_links(pairs, parts, percent).union(_common_links(parts, groups, percent))
     # one document may stand for several sets if its id is repeated
-    same = heads.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
+    same = classes.select("s1", "s2", "id")
     member = heads.select("doc_id", "n", "s1", "s2").join(same, ["s1", "s2"], "left")
     member = member.withColumn("id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("id")))
     tied = member.filter("id <> doc_id").groupBy("doc_id").agg(F.count_distinct("s1").alias("sets"), F.min("id").alias("id"), F.max("id").alias("other"))
