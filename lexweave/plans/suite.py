@@ -381,7 +381,7 @@ def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     dressed = F.concat(F.lit("The  "), name, F.lit(" (Scotland) & Works Regulations 2003"))
     return _table(spark, sf_dir, "part").select(
         "p_partkey", T.title_key(dressed).alias("title"), T.title_stem(dressed).alias("stem"), T.alias_key(F.concat(F.lit("the "), name, F.lit("."))).alias("alias"),
-        T.name_key(F.concat(name, F.lit(" Ltd vs. The "), name, F.lit(" and others"))).alias("case_name"), R.inferred_type(dressed, F.lit(2003)).alias("work_type"), T.query(dressed).alias("query"), T.html(F.concat(F.lit("<"), name, F.lit("'>"))).alias("html"),
+        T.name_key(F.concat(name, F.lit(" Ltd vs. The "), name, F.lit(" and others"))).alias("case_name"), R.inferred_type(F.concat(name, F.lit(" (Scotland) Regulations")), F.lit(2003)).alias("work_type"), T.query(dressed).alias("query"), T.html(F.concat(F.lit("<"), name, F.lit("'>"))).alias("html"),
     )
 
 
