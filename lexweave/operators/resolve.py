@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,12 +63,6 @@ def inferred_type(title: Column, year: Column) -> Column:
     )
 
 
-def _index(works: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """key columns and ``name``: the works of a key in load order."""
-    rows = F.array_sort(F.collect_list(F.struct("ord", "work")))
-    return works.groupBy(*keys).agg(F.transform(rows, lambda r: r["work"]).alias(name))
-
-
 def search_works(probes: DataFrame, works: DataFrame, cutoff: float = fixed.SEARCH_CUTOFF, limit: int = fixed.SEARCH_LIMIT) -> DataFrame:
     """probes(norm, year) with ``found``: the best works as array of (score, work).
     Works of the year come first; the others, at a penalty, only if none of them passes."""
@@ -98,19 +93,13 @@ def match_works(refs: DataFrame, registers: Registers, settings: Settings = Sett
         .withColumn("_alias", F.coalesce(alias_key(F.col("title")), F.lit("")))
         .withColumn("_type", F.coalesce(F.when(F.col("work_type") != "", F.col("work_type")), inferred_type(F.col("title"), F.col("year"))))
     )
-    work = F.col("work")
-    by_number = _index(works, [work["year"].alias("year"), work["number"].alias("number")], "_numbered")
-    by_title_year = _index(works, [F.col("norm").alias("_norm"), work["year"].alias("year")], "_titled")
-    by_stem_year = _index(works, [F.col("stem").alias("_stem"), work["year"].alias("year")], "_stemmed")
-    by_title = _index(works, [F.col("norm").alias("_norm")], "_any_year")
-    aliased = works.select("ord", "work", F.explode("alias_keys").alias("key"))
-    by_alias = _index(aliased, [F.col("key").alias("_alias")], "_aliased")
-    r = r.join(by_number, ["year", "number"], "left").join(by_title_year, ["_norm", "year"], "left").join(by_stem_year, ["_stem", "year"], "left")
-    r = r.join(by_title, "_norm", "left").join(by_alias, "_alias", "left")
+    at = registers.index
+    r = r.join(at["number"], ["year", "number"], "left").join(at["title_year"], ["_norm", "year"], "left").join(at["stem_year"], ["_stem", "year"], "left")
+    r = r.join(at["title"], "_norm", "left").join(at["alias"].withColumnRenamed("alias", "_alias"), "_alias", "left")
 
     none = empty(f"array<{WORK}>")
-    numbered, titled_, alias = (F.coalesce(c, none) for c in ("_numbered", "_any_year", "_aliased"))
-    exact_year = F.coalesce(F.when(F.size("_titled") > 0, F.col("_titled")), F.col("_stemmed"), none)
+    numbered, titled_, alias = (F.coalesce(c, none) for c in ("numbered", "any_year", "alias_works"))
+    exact_year = F.coalesce(F.when(F.size("titled") > 0, F.col("titled")), F.col("stemmed"), none)
     title, year, number = F.col("title"), F.col("year"), F.col("number")
     typed = F.filter(numbered, lambda w: w["work_type"] == F.col("_type"))
     r = r.withColumn("_numbers", F.when(F.size(typed) > 0, typed).otherwise(numbered))
@@ -134,7 +123,9 @@ def match_works(refs: DataFrame, registers: Registers, settings: Settings = Sett
         .when(F.coalesce(has_title, F.lit(False)), F.lit(None).cast(MATCH))
         .otherwise(match(None, 0.0, "unresolved", _strings("no title or number to resolve")))
     )
-    r = r.withColumn("match", direct).drop("_numbered", "_titled", "_stemmed", "_any_year", "_aliased")
+    r = r.withColumn("match", direct).drop("numbered", "titled", "stemmed", "any_year", "alias_works")
+    # distinct references, from which the look-ups below branch off
+    r = r.persist(StorageLevel.MEMORY_AND_DISK)
 
     # several works of one number: the most similar title, the first of equals
     several = r.filter("match is null and size(_numbers) > 1").select("_norm", "year", "number", "_type", F.posexplode("_numbers").alias("i", "work")).distinct()
@@ -242,7 +233,6 @@ def resolve_works(found: DataFrame, registers: Registers, settings: Settings = S
     Mentions leave the row without their document's text; one shuffle by
     document brings the matches back in order for the fold.
     """
-    works = registers.works
     flat = found.select("doc_id", F.posexplode("citations").alias("ord", "c")).select(
         "doc_id", "ord", F.lit("cite").alias("role"), F.col("c.s").alias("start"), F.col("c.e").alias("end"), F.col("c.surface").alias("surface"), F.col("c.mention").alias("mention"), F.col("c.chain").alias("chain")
     )
@@ -263,11 +253,9 @@ def resolve_works(found: DataFrame, registers: Registers, settings: Settings = S
     rows = rows.withColumn("direct", direct)
     rows = rows.alias("l").join(matched.withColumn("direct", F.lit(True)).alias("r"), [*on, F.col("l.direct") == F.col("r.direct")], "left").select("l.*", "r.match")
 
-    aliased = _index(works.select("ord", "work", F.explode("alias_keys").alias("key")), [F.col("key").alias("alias")], "alias_works")
-    by_year = _index(works, [F.col("work.year").alias("back_year")], "year_works")
     name = F.when(F.col("role") == "define", F.col("mention.short")).when(F.col("anaphoric"), F.col("title"))
     rows = rows.withColumn("alias", alias_key(name)).withColumn("back_year", F.when(F.col("anaphoric"), F.col("year")))
-    rows = rows.join(aliased, "alias", "left").join(by_year, "back_year", "left")
+    rows = rows.join(registers.index["alias"], "alias", "left").join(registers.index["year"], "back_year", "left")
 
     item = F.struct("ord", "start", "end", "surface", "mention", "chain", "mentioned", "anaphoric", "title", "year", "number", "work_type", "alias", "match", F.coalesce("alias_works", empty(f"array<{WORK}>")).alias("alias_works"), F.coalesce("year_works", empty(f"array<{WORK}>")).alias("year_works"))
     short = F.struct("ord", "alias", F.col("match.work").alias("work"))
@@ -320,17 +308,12 @@ def match_cases(refs: DataFrame, registers: Registers, settings: Settings = Sett
     none_cases = empty(f"array<{CASE}>")
     keyed = refs.withColumn("_id", F.xxhash64(F.to_json(F.struct("name", "neutral", "reports")))).withColumn("_name", F.coalesce(name_key(F.col("name")), F.lit("")))
     one = keyed.dropDuplicates(["_id"]).select("_id", "_name", "name", "neutral", "reports").withColumn("_neutral", F.coalesce(F.lower(neutral_text(F.col("neutral"))), F.lit("")))
-    by_neutral = cases.filter("neutral_key is not null").groupBy(F.col("neutral_key").alias("_neutral")).agg(F.max_by("case", "ord").alias("registered"))
-    r = one.join(by_neutral, "_neutral", "left")
-
-    def index(column: str, name: str) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct("ord", "case")))
-        return cases.select("ord", "case", F.explode(column).alias(name)).groupBy(name).agg(F.transform(rows, lambda x: x["case"]).alias(f"{name}_cases"))
-
+    at = registers.index
+    r = one.join(at["neutral"], "_neutral", "left").persist(StorageLevel.MEMORY_AND_DISK)
     reports = r.select("_id", F.posexplode("reports").alias("i", "r"))
     reports = reports.withColumn("strict", report_key(F.col("r.year"), F.col("r.volume"), F.col("r.series"), F.col("r.page")))
     reports = reports.withColumn("loose", report_key(F.col("r.year"), F.lit("*"), F.col("r.series"), F.col("r.page")))
-    reports = reports.join(index("keys", "strict"), "strict", "left").join(index("loose", "loose"), "loose", "left")
+    reports = reports.join(at["strict"], "strict", "left").join(at["loose"], "loose", "left")
     hits = F.when(F.size("strict_cases") > 0, F.col("strict_cases")).otherwise(F.coalesce("loose_cases", none_cases))
     reports = reports.select("_id", F.struct("i", "r", hits.alias("hits"), (F.coalesce(F.size("strict_cases"), F.lit(0)) <= 0).alias("loose")).alias("hit"))
     r = r.join(reports.groupBy("_id").agg(F.array_sort(F.collect_list("hit"), lambda a, b: a["i"] - b["i"]).alias("hits")), "_id", "left")
@@ -346,9 +329,9 @@ def match_cases(refs: DataFrame, registers: Registers, settings: Settings = Sett
     agreed = pairs.withColumn("score", name_agreement("_name", name_key(F.col("other")))).groupBy("_id").agg(F.max("score").alias("_agrees"))
     r = r.join(agreed, "_id", "left")
 
-    r = r.join(index("names", "_name"), "_name", "left")
-    named = F.filter(F.coalesce("_name_cases", none_cases), lambda c: _years_agree(c, F.col("reports")))
-    r = r.withColumn("_named", named)
+    r = r.join(at["name"], "_name", "left")
+    named = F.filter(F.coalesce("name_cases", none_cases), lambda c: _years_agree(c, F.col("reports")))
+    r = r.withColumn("_named", named).persist(StorageLevel.MEMORY_AND_DISK)
     open_ = r.filter("name is not null and neutral is null and _single is null and size(_named) = 0").select(F.col("_name").alias("key"))
     r = r.join(search_cases(open_, cases, settings.suggest).withColumnRenamed("key", "_name"), "_name", "left")
     near = F.filter("found", lambda x: _years_agree(x["case"], F.col("reports")))

@@ -40,12 +40,11 @@ def extract(docs: DataFrame, registers: Registers, settings: Settings = Settings
     return find_citations(found, registers.aliases).select("doc_id", "case_mentions", "citations", "definitions")
 
 
-def resolve(docs: DataFrame, registers: Registers, settings: Settings = Settings(), keep: bool = False) -> Resolved:
-    """The citations of documents. ``keep`` stores the mentions (on disk if they
-    don't fit), so that works and cases don't extract twice."""
-    found = extract(docs, registers, settings)
-    if keep:
-        found = found.persist(StorageLevel.MEMORY_AND_DISK)
+def resolve(docs: DataFrame, registers: Registers, settings: Settings = Settings()) -> Resolved:
+    """The citations of documents. The mentions are kept (on disk if they don't
+    fit), since works, cases and the look-ups of each start from them; a lost
+    part is extracted again."""
+    found = extract(docs, registers, settings).persist(StorageLevel.MEMORY_AND_DISK)
     return Resolved(docs.select("doc_id", "text"), resolve_works(found, registers, settings), resolve_cases(found, registers, settings))
 
 

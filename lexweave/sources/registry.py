@@ -11,7 +11,7 @@ import os
 from dataclasses import dataclass, field
 from importlib import resources
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -110,33 +110,58 @@ def cases_of(parts: list[DataFrame]) -> DataFrame:
     return last.select("r.*")
 
 
+def _grouped(rows: list[Row], key, value: str, schema: str, spark: SparkSession) -> DataFrame:
+    """One row per key with the list of ``value`` in load order, as a literal table."""
+    found: dict[tuple, list] = {}
+    for row in sorted(rows, key=lambda r: r["ord"]):
+        for k in key(row):
+            found.setdefault(k, []).append(row[value])
+    return spark.createDataFrame([(*k, v) for k, v in found.items()], schema)
+
+
 @dataclass
 class Registers:
-    """The registers that documents are resolved against, kept for reuse."""
+    """The registers that documents are resolved against, with an index per
+    lookup. A register is a dimension of at most MOST_KEYS entries, so its
+    indexes are literal tables, built once; joins see their size."""
 
     works: DataFrame
     cases: DataFrame
     aliases: list[str] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
+    index: dict[str, DataFrame] = field(default_factory=dict)
 
     @staticmethod
     def of(works: DataFrame, cases: DataFrame) -> Registers:
-        def keys(df: DataFrame, column: str) -> list[str]:
-            found = [r[0] for r in df.select(F.explode(column)).distinct().limit(MOST_KEYS + 1).collect()]
-            if len(found) > MOST_KEYS:
-                raise ValueError(f"a register has more than {MOST_KEYS} {column}")
-            return sorted(found)
-
-        return Registers(works, cases, keys(works, "alias_keys"), keys(cases, "names"))
+        spark = works.sparkSession
+        w, c = (df.limit(MOST_KEYS + 1).collect() for df in (works, cases))
+        if max(len(w), len(c)) > MOST_KEYS:
+            raise ValueError(f"a register has more than {MOST_KEYS} entries")
+        work, case = f"array<{WORK}>", f"array<{CASE}>"
+        last = {r["neutral_key"]: r for r in sorted(c, key=lambda r: r["ord"]) if r["neutral_key"]}
+        index = {
+            "number": _grouped(w, lambda r: [(r["work"]["year"], r["work"]["number"])], "work", f"year int, number string, numbered {work}", spark),
+            "title_year": _grouped(w, lambda r: [(r["norm"], r["work"]["year"])], "work", f"_norm string, year int, titled {work}", spark),
+            "stem_year": _grouped(w, lambda r: [(r["stem"], r["work"]["year"])], "work", f"_stem string, year int, stemmed {work}", spark),
+            "title": _grouped(w, lambda r: [(r["norm"],)], "work", f"_norm string, any_year {work}", spark),
+            "alias": _grouped(w, lambda r: [(k,) for k in r["alias_keys"]], "work", f"alias string, alias_works {work}", spark),
+            "year": _grouped(w, lambda r: [(r["work"]["year"],)], "work", f"back_year int, year_works {work}", spark),
+            "neutral": spark.createDataFrame([(k, r["case"]) for k, r in last.items()], f"_neutral string, registered {CASE}"),
+            "strict": _grouped(c, lambda r: [(k,) for k in r["keys"]], "case", f"strict string, strict_cases {case}", spark),
+            "loose": _grouped(c, lambda r: [(k,) for k in r["loose"]], "case", f"loose string, loose_cases {case}", spark),
+            "name": _grouped(c, lambda r: [(k,) for k in r["names"]], "case", f"_name string, name_cases {case}", spark),
+        }
+        aliases, names = {k for r in w for k in r["alias_keys"]}, {k for r in c for k in r["names"]}
+        return Registers(spark.createDataFrame(w, works.schema), spark.createDataFrame(c, cases.schema), sorted(aliases), sorted(names), index)
 
     @staticmethod
     def load(spark: SparkSession, works: list[str] = (), cases: list[str] = (), seed: bool = True) -> Registers:
-        """The seed and the files named, in order; the rows are few, so they are held as literals."""
+        """The seed and the files named, in order."""
         parts = ([work_entries(spark)] if seed else []) + [read_works(spark, p) for p in works]
         more = ([case_entries(spark)] if seed else []) + [read_cases(spark, p) for p in cases]
         w = works_of(parts or [spark.createDataFrame([], _WORK_FILE)])
         c = cases_of(more or [spark.createDataFrame([], _CASE_FILE)])
-        return Registers.of(local(w), local(c))
+        return Registers.of(w, c)
 
     @staticmethod
     def default(spark: SparkSession) -> Registers:
