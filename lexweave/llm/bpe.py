@@ -33,6 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Words that a task keeps encoded.
 HELD = 500_000
@@ -149,7 +150,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary())], [*names, "decoded"])
 
     names = encoded.columns
-    return encoded.mapInArrow(run, encoded.schema.add("decoded", "binary"))
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
 
 
 # --- the native form ---------------------------------------------------------
