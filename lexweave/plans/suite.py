@@ -63,7 +63,7 @@ def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         _say("See ss ", k, " to ", k + 2, " of the Companies Act 2006 today."),
         _say("Relying on paragraph ", k, " of Schedule ", n, " to the Equality Act 2010, they won."),
         _say("The Fictional Widgets Act 1911 (c. ", k, ") is made up."),
-        _say("See SI 2017/", k, ", regulation ", n, "."),
+        _say("See SI 1950/", k, ", regulation ", n, "."),
         _say("They cite the Interplanetary Sandwich Act 1977, s ", k, " often."),
         _say("See the Working Time Order 1998, regulation ", n, "."),
     ]
@@ -75,17 +75,17 @@ def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = f"""
 SELECT doc_id, t, n, k,
   {_case('t', ["'section ' || n || ' of the Human Rights Act 1998'", "'Theft Act 1968 (c. 60), s ' || n || '(' || k || ')(a)'", "'ss ' || k || ' to ' || (k + 2) || ' of the Companies Act 2006'",
-               "'paragraph ' || k || ' of Schedule ' || n || ' to the Equality Act 2010'", "'The Fictional Widgets Act 1911 (c. ' || k || ')'", "'SI 2017/' || k || ', regulation ' || n",
+               "'paragraph ' || k || ' of Schedule ' || n || ' to the Equality Act 2010'", "'The Fictional Widgets Act 1911 (c. ' || k || ')'", "'SI 1950/' || k || ', regulation ' || n",
                "'Interplanetary Sandwich Act 1977, s ' || k", "'Working Time Order 1998, regulation ' || n"])} AS surface,
   {_case('t', ['4', '10', '4', '11', '0', '4', '14', '8'])} AS start,
-  {_case('t', ["'ukpga-1998-42'", "'ukpga-1968-60'", "'ukpga-2006-46'", "'ukpga-2010-15'", "'ukpga-1911-' || k", "'uksi-2017-' || k", 'NULL', "'uksi-1998-1833'"])} AS work_id,
+  {_case('t', ["'ukpga-1998-42'", "'ukpga-1968-60'", "'ukpga-2006-46'", "'ukpga-2010-15'", "'ukpga-1911-' || k", "'uksi-1950-' || k", 'NULL', "'uksi-1998-1833'"])} AS work_id,
   {_case('t', ["'exact'", "'number'", "'exact'", "'exact'", "'number'", "'number'", "'unresolved'", "'exact'"])} AS method,
   {_case('t', ['1.0', '1.0', '1.0', '1.0', '0.95', '0.95', '0.0', '1.0'])}::DOUBLE AS confidence,
   {_case('t', [f"'{L_}/ukpga/1998/42/section/' || n", f"'{L_}/ukpga/1968/60/section/' || n || '#section-' || n || '-' || k || '-a'", f"'{L_}/ukpga/2006/46/section/' || k",
-               f"'{L_}/ukpga/2010/15/schedule/' || n || '/paragraph/' || k", f"'{L_}/ukpga/1911/' || k", f"'{L_}/uksi/2017/' || k || '/regulation/' || n",
+               f"'{L_}/ukpga/2010/15/schedule/' || n || '/paragraph/' || k", f"'{L_}/ukpga/1911/' || k", f"'{L_}/uksi/1950/' || k || '/regulation/' || n",
                f"'{L_}/all?title=Interplanetary+Sandwich+Act&year=1977'", f"'{L_}/uksi/1998/1833/regulation/' || n"])} AS url,
   {_case('t', [f"'{L_}/id/ukpga/1998/42/section/' || n", f"'{L_}/id/ukpga/1968/60/section/' || n || '/' || k || '/a'", f"'{L_}/id/ukpga/2006/46/section/' || k",
-               f"'{L_}/id/ukpga/2010/15/schedule/' || n || '/paragraph/' || k", f"'{L_}/id/ukpga/1911/' || k", f"'{L_}/id/uksi/2017/' || k || '/regulation/' || n", 'NULL',
+               f"'{L_}/id/ukpga/2010/15/schedule/' || n || '/paragraph/' || k", f"'{L_}/id/ukpga/1911/' || k", f"'{L_}/id/uksi/1950/' || k || '/regulation/' || n", 'NULL',
                f"'{L_}/id/uksi/1998/1833/regulation/' || n"])} AS id_uri,
   {_case('t', ["'section ' || n", "'section ' || n || '(' || k || ')(a)'", "'section ' || k || ' to ' || (k + 2)", "'schedule ' || n || ', paragraph ' || k", "''", "'regulation ' || n", "'section ' || k", "'regulation ' || n"])} AS label
 FROM (SELECT l_orderkey * 8 + l_linenumber AS doc_id, (l_orderkey + l_linenumber) % 8 AS t, l_linenumber AS n, l_partkey % 90 + 1 AS k FROM lineitem)
@@ -117,7 +117,7 @@ def citator_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORKS = f"""
 SELECT work_id AS id, {_case("any_value(t)", ["'Human Rights Act 1998 (c. 42)'", "'Theft Act 1968 (c. 60)'", "'Companies Act 2006 (c. 46)'", "'Equality Act 2010 (c. 15)'",
-  "'Fictional Widgets Act (c. ' || any_value(k) || ')'", "'uksi 2017/' || any_value(k) || ' (SI 2017/' || any_value(k) || ')'", "NULL", "'Working Time Regulations 1998 (SI 1998/1833)'"])} AS citation,
+  "'Fictional Widgets Act (c. ' || any_value(k) || ')'", "'uksi 1950/' || any_value(k) || ' (SI 1950/' || any_value(k) || ')'", "NULL", "'The Working Time Regulations 1998 (SI 1998/1833)'"])} AS citation,
   '{L_}/' || replace(work_id, '-', '/') AS url, count(*)::BIGINT AS mentions, count(DISTINCT doc_id)::BIGINT AS documents
 FROM ({LINES}) WHERE work_id IS NOT NULL GROUP BY work_id
 """
