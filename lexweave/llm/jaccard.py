@@ -1,26 +1,28 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document is the set of its distinct word shingles, as 64-bit hashes. All
-shingles have one global order: by how often they occur - as told by a sketch
-of fixed size that counts every shingle of every document - then by hash.
+A document is the set of its distinct word shingles, as 64-bit hashes; their
+global order is that of the hashes, which deals shingles out evenly however
+often they occur. Fragments are ranges of that order, segments a set's part in them.
 
 1. Documents with equal sets form a class; one of them, the smallest id, stands for it.
-2. Two sets above the threshold share SHARED shingles among the first ones of
-   each (the prefix, in the global order, of n - ceil(t * n) + SHARED). Prefix
-   shingles that are met in few classes (RARE at most) give candidate pairs, as
-   many as the prefixes at most times a constant; a pair stays if it has enough.
-3. The order of hashes is cut into FRAGMENTS ranges, each set into as many
-   segments. Segments of candidates are intersected fragment by fragment, and
-   the partial overlaps are summed per pair: the exact overlap.
-4. Classes that share a prefix shingle with RARE others or more - large groups
-   of near copies, as passages that many documents share come last in the order
-   - are compared within the component that such shingles connect, block by
-   block: every block pair whose sizes allow a link sums the overlaps of each
-   fragment as a product of incidence matrices and returns a spanning forest.
-
-So every pair that can link is checked, whatever its group's size, while rows
-grow with the input. Text is read three times (sketch, prefixes, segments of the
-candidates); only candidates' segments are ever shuffled.
+2. Two linked sets differ in D shingles at most, which their sizes tell. If the
+   order is cut into D + SPARE fragments, SPARE segments at least are equal in
+   both, whichever shingles differ. So classes meet by fingerprints of whole
+   segments: shingles or passages that many documents share bring nobody
+   together, as others stand beside them in their segments. The cut is by band of
+   sizes; a set has fingerprints for its band and for the next one.
+3. Fingerprints of RARE classes at most give pairs, which stay if enough of them
+   are shared. Those of more classes tie each of these to one of them, the hub.
+   Pairs are verified by FRAGMENTS coarse fragments: the partial overlaps are
+   counted separately and summed per pair, which gives the exact overlap.
+4. Classes that a frequent fingerprint ties, but the links found so far leave in
+   several components, are compared block by block, without pairs of blocks
+   within one component: overlaps of each fragment are products of incidence
+   matrices, summed, and a spanning forest is returned.
+
+So every pair that can link is checked, or is connected by other links, whatever
+its group's size, while rows grow with the input. Text is read twice
+(fingerprints, segments of the candidates).
 
 Defined cases: null or blank text is an empty set and links with nothing; fewer
 words than a shingle has are one shingle, the whole sequence; rows with equal
@@ -35,20 +37,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, small_batches
 from .neardup import _roots
 
 WORDS, PERCENT = 3, 90
-RARE, FRAGMENTS, BLOCK = 24, 4, 256
-#: Prefix shingles that a pair must share, as far as the sets are large enough.
-SHARED = 6
-#: Counters of the sketch, and bits of the filters that keep shingles and texts which can't matter from being shuffled.
-SKETCH_BITS, FILTER_BITS = 18, 25
-CHUNK = 1 << 12
+RARE, FRAGMENTS, BLOCK = 8, 4, 256
+#: Bits of the filters that keep fingerprints and texts which can't matter from being shuffled.
+FILTER_BITS = 25
 #: Word hashes that a task keeps at hand.
 HELD = 1_000_000
 
@@ -84,34 +82,33 @@ def shingles(text: str | None, words: int, hashes: dict) -> np.ndarray:
     return np.unique(h)
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def bands(percent: int) -> np.ndarray:
+    """The least size of each band: a set's partners are in its band and the two beside it."""
+    found = [1]
+    while found[-1] < 1 << 40:
+        found.append(max(found[-1] + 1, found[-1] * 100 // percent + 1))
+    return np.array(found, np.int64)
 
 
-def needed(n: int, percent: int) -> int:
-    """Shingles that a set of this size shares with any partner within their prefixes."""
-    return min(SHARED, -(-percent * n // 100))
+def fingerprints(h: np.ndarray, band: int, least: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Those of a set's segments as cut for ``band``, and how many of them any
+    linked set shares at least, if the larger of both is in that band.
 
-
-def _needed(n: str, percent: int) -> Column:
-    return F.least(F.lit(SHARED), F.ceil(F.col(n) * percent / 100))
-
-
-def sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """How often shingles of each bucket occur, over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sums = _Hashes(), np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                np.add.at(sums, _bucket(shingles(text.as_py(), words, hashes)), 1)
-        at = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["bucket", "n"])
-
-    table = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(1 << SKETCH_BITS, np.int64)
-    sums[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    return sums
+    Equal segments number ``spare`` or more. Empty ones have no fingerprint, as
+    long as fewer than ``spare`` are empty; else they have, and a partner with
+    which only empty segments are shared has as many, and theirs, too."""
+    differ = int(2 * (least[band + 1] - 1) * (100 - percent) // (100 + percent))
+    if not differ:  # equal sets only
+        return np.empty(0, np.uint64), 0
+    spare = 2 + differ // 4
+    cuts = differ + spare
+    at = ((h >> np.uint64(32)) * np.uint64(cuts)) >> np.uint64(32)
+    ends = np.searchsorted(at, np.arange(cuts + 1, dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h), dtype=np.uint64)])
+    marks = _mix(sums[ends[1:]] - sums[ends[:-1]] + _mix(np.arange(cuts, dtype=np.uint64) + np.uint64(band << 40)) * _C)
+    filled = ends[1:] > ends[:-1]
+    need = spare - int(cuts - filled.sum())
+    return (marks[filled], need) if need > 0 else (marks, 1)
 
 
 def _signature(h: np.ndarray) -> tuple[int, int]:
@@ -119,33 +116,36 @@ def _signature(h: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def prefixes(docs: DataFrame, counts: Broadcast, words: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's signature), prefix: of each row."""
+def marked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n, s1, s2 (the set's signature), marks (fingerprints), own (how
+    many are of the set's own band), need, need_next (for either band): of each row."""
+    least = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, often = _Hashes(), counts.value
+        hashes = _Hashes()
         for batch in batches:
-            sizes, first, second, heads = [], [], [], []
+            rows, heads = [], []
             for text in batch.column(1):
                 h = shingles(text.as_py(), words, hashes)
                 n = len(h)
-                head = h
+                own = after = np.empty(0, np.uint64)
+                need = need_next = 0
                 if n:
-                    keep = n - (-(-percent * n // 100)) + needed(n, percent)
-                    head = h[np.lexsort((h, often[_bucket(h)]))[:keep]]
-                s1, s2 = _signature(h)
-                sizes.append(n)
-                first.append(s1)
-                second.append(s2)
-                heads.append(head.view(np.int64))
-            offsets = np.cumsum([0, *map(len, heads)])
+                    band = int(np.searchsorted(least, n, "right")) - 1
+                    own, need = fingerprints(h, band, least, percent)
+                    if n * 100 // percent >= least[band + 1]:
+                        after, need_next = fingerprints(h, band + 1, least, percent)
+                rows.append((n, *_signature(h), len(own), need, need_next))
+                heads += [own.view(np.int64), after.view(np.int64)]
+            offsets = np.cumsum([0, *map(len, heads)])[::2]
             flat = np.concatenate(heads) if heads else np.empty(0, np.int64)
+            n, s1, s2, own, need, need_next = (pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 6))
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                ["doc_id", "n", "s1", "s2", "prefix"],
+                [batch.column(0), n, s1, s2, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), own, need, need_next],
+                ["doc_id", "n", "s1", "s2", "marks", "own", "need", "need_next"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, marks array<long>, own long, need long, need_next long")
 
 
 def _filter_of(hashes: DataFrame) -> np.ndarray:
@@ -168,22 +168,26 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """id, n, token, often: the prefix shingles that several classes share."""
-    counted = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+def _postings(classes: DataFrame, percent: int) -> DataFrame:
+    """id, n, band, need, token, often: the fingerprints that several classes share."""
+    counted = classes.select(F.explode("marks").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     often = cut(counted)
     bits = classes.sparkSession.sparkContext.broadcast(_filter_of(often.select(F.col("token").alias("h"))))
+    least = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix = batch.column(2)
-            flat = prefix.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(prefix.offsets.to_numpy())
+            marks = batch.column(2)
+            flat = marks.flatten().to_numpy(zero_copy_only=False)
+            offsets = marks.offsets.to_numpy()
+            sizes = np.diff(offsets)
             keep = _passes(bits.value, flat)
-            ids, n = (np.repeat(batch.column(c).to_numpy(), sizes)[keep] for c in (0, 1))
-            yield pa.record_batch([pa.array(ids), pa.array(n), pa.array(flat[keep])], ["id", "n", "token"])
+            ids, n, own, need, need_next, start = (np.repeat(x, sizes)[keep] for x in (*(batch.column(c).to_numpy() for c in (0, 1, 3, 4, 5)), offsets[:-1] - offsets[0]))
+            after = np.flatnonzero(keep) - start >= own
+            band = np.searchsorted(least, n, "right") - 1 + after
+            yield pa.record_batch([pa.array(x) for x in (ids, n, band.astype(np.int64), np.where(after, need_next, need), flat[keep])], ["id", "n", "band", "need", "token"])
 
-    return classes.select("id", "n", "prefix").mapInArrow(run, "id long, n long, token long").join(often, "token")
+    return classes.select("id", "n", "marks", "own", "need", "need_next").mapInArrow(run, "id long, n long, band long, need long, token long").join(often, "token")
 
 
 def segments(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -215,25 +219,27 @@ def segments(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of allowed sizes within each rare shingle's list."""
+    """Pairs of classes of allowed sizes within each rare fingerprint's list, if the larger is of its band."""
+    least = bands(percent)
+    names = ["a", "b", "na", "nb", "need"]
     for batch in batches:
-        left, right, na, nb = [], [], [], []
-        for members in batch.column(0).to_pylist():
-            members = sorted((m["n"], m["id"]) for m in members)
-            for i, (n, a) in enumerate(members):
-                for m, b in members[i + 1 :]:
+        rows = []
+        for band, members in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
+            members = sorted((m["n"], m["id"], m["need"]) for m in members)
+            for i, (n, a, need) in enumerate(members):
+                for m, b, other in members[i + 1 :]:
                     if m * percent > n * 100:
                         break
-                    if a != b:
+                    if a != b and m >= least[band]:
                         (x, nx), (y, ny) = sorted(((a, n), (b, m)))
-                        for column, value in zip((left, right, na, nb), (x, y, nx, ny), strict=True):
-                            column.append(value)
-        yield pa.record_batch([pa.array(x, pa.int64()) for x in (left, right, na, nb)], ["a", "b", "na", "nb"])
+                        rows.append((x, y, nx, ny, max(need, other)))
+        yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [()] * 5)], names)
 
 
 def _rare_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    lists = postings.groupBy("token").agg(F.collect_list(F.struct("n", "id")).alias("members")).select("members")
-    return lists.mapInArrow(lambda it: _pairs(it, percent), "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= F.least(_needed("na", percent), _needed("nb", percent))).select("a", "b")
+    lists = postings.groupBy("token").agg(F.min("band").alias("band"), F.collect_list(F.struct("n", "id", "need")).alias("members")).select("band", "members")
+    met = lists.mapInArrow(lambda it: _pairs(it, percent), "a long, b long, na long, nb long, need long")
+    return met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
 
 
 def _rare_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -252,23 +258,23 @@ def _rare_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of sets of one component, sorted by size, become blocks."""
-    names = ["block", "component", "low", "high", "ids", "sizes", "ends", "hashes"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    """Runs of sets of one group and linked component, sorted by size, become blocks."""
+    names = ["block", "group", "linked", "low", "high", "ids", "sizes", "ends", "hashes"]
+    types = [*[pa.int64()] * 5, *[pa.binary()] * 4]
 
-    def block(component: int, held: list[tuple]) -> pa.RecordBatch:
+    def block(at: tuple, held: list[tuple]) -> pa.RecordBatch:
         hashes = [h[2] for h in held]
-        values = [held[0][1], component, held[0][0], held[-1][0], np.array([h[1] for h in held], np.int64).tobytes(), np.array([h[0] for h in held], np.int64).tobytes(), np.cumsum([len(h) for h in hashes]).astype(np.int64).tobytes(), np.concatenate(hashes).tobytes()]
+        values = [held[0][3], *at, held[0][0], held[-1][0], np.array([h[1] for h in held], np.int64).tobytes(), np.array([h[0] for h in held], np.int64).tobytes(), np.cumsum([len(h) for h in hashes]).astype(np.int64).tobytes(), np.concatenate(hashes).tobytes()]
         return pa.record_batch([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
     at, held, room = None, [], 0
     for batch in batches:
-        for component, n, key, parts in zip(*(batch.column(c).to_pylist() for c in ("component", "n", "id", "parts")), strict=True):
-            if held and (component != at or len(held) == BLOCK or room > 4_000_000):
+        for group, linked, n, key, name, parts in zip(*(batch.column(c).to_pylist() for c in ("group", "linked", "n", "id", "name", "parts")), strict=True):
+            if held and ((group, linked) != at or len(held) == BLOCK or room > 4_000_000):
                 yield block(at, held)
                 held, room = [], 0
-            at = component
-            held.append((n, key, np.array(parts, np.int64)))
+            at = group, linked
+            held.append((n, key, np.array(parts, np.int64), name))
             room += n
     if held:
         yield block(at, held)
@@ -307,13 +313,27 @@ def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
                 yield pa.record_batch([pa.array(ids[root[met]]), pa.array(ids[met])], ["a", "b"])
 
 
+def _open_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """id, group, linked of the groups that ``links`` leave in several components.
+    linked: that component if it fills a block of the group, else null."""
+    known = groups.select("id", F.col("component").alias("group")).join(components(links), "id", "left").select("id", "group", F.coalesce("component", "id").alias("linked"))
+    known = cut(known)
+    counted = known.groupBy("group", "linked").agg(F.count(F.lit(1)).alias("members"))
+    several = counted.groupBy("group").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("group")
+    large = counted.filter(F.col("members") >= BLOCK).select("group", "linked", F.lit(True).alias("fills"))
+    return cut(known.join(several, "group", "left_semi").join(large, ["group", "linked"], "left").select("id", "group", F.when(F.col("fills"), F.col("linked")).alias("linked")))
+
+
 def _common_links(parts: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    whole = parts.join(groups, "id").groupBy("component", "n", "id", "s1").agg(F.array_distinct(F.flatten(F.collect_list("segment"))).alias("parts"))
-    placed = whole.repartitionByRange("component", "n", "id", "s1").sortWithinPartitions("component", "n", "id", "s1")
-    blocks = cut(placed.mapInArrow(_blocks, "block long, component long, low long, high long, ids binary, sizes binary, ends binary, hashes binary"))
-    here = blocks.select("component", "block", "low", "high")
-    there = blocks.select("component", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = here.join(there, "component").filter("block <= block2").filter((F.col("low2") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("high2") * 100)).select("block", "block2")
+    whole = parts.join(groups, "id").groupBy("group", "linked", "n", "id", "s1").agg(F.array_distinct(F.flatten(F.collect_list("segment"))).alias("parts"))
+    order = ["group", "linked", "n", "id", "s1"]
+    placed = whole.withColumn("name", F.xxhash64("id", "s1")).repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = cut(placed.mapInArrow(_blocks, "block long, group long, linked long, low long, high long, ids binary, sizes binary, ends binary, hashes binary"))
+    here = blocks.select("group", "block", "linked", "low", "high")
+    there = here.select("group", *[F.col(c).alias(f"{c}2") for c in ("block", "linked", "low", "high")])
+    within = F.coalesce(F.col("linked") == F.col("linked2"), F.lit(False))
+    pairs = here.join(there, "group").filter("block <= block2").filter(~within)
+    pairs = pairs.filter((F.col("low2") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("high2") * 100)).select("block", "block2")
     full = ["ids", "sizes", "ends", "hashes"]
     left = blocks.select("block", *full)
     right = blocks.select(F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in full])
@@ -324,25 +344,28 @@ def _common_links(parts: DataFrame, groups: DataFrame, percent: int) -> DataFram
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(texts, words))
-    heads = cut(prefixes(texts, counts, words, percent))
+    heads = cut(marked(texts, words, percent))
+    carried = ["n", "marks", "own", "need", "need_next"]
     classes = cut(
         heads.filter("n > 0 and doc_id is not null")
         .groupBy("s1", "s2")
-        .agg(F.min(F.struct("doc_id", "n", "prefix")).alias("c"))
-        .select("s1", "s2", F.col("c.doc_id").alias("id"), "c.n", "c.prefix")
+        .agg(F.min(F.struct("doc_id", *carried)).alias("c"))
+        .select("s1", "s2", F.col("c.doc_id").alias("id"), *[F.col(f"c.{c}") for c in carried])
     )
-    found = cut(_postings(classes))
-    enough = found.groupBy("id", "n").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= _needed("n", percent)).select("id", "n")
-    shared = found.join(enough, ["id", "n"], "left_semi")
-    pairs = cut(_rare_pairs(shared.filter(F.col("often") <= RARE), percent))
-    # documents that share a common shingle are tied to one of them, which gives the groups to compare
+    found = cut(_postings(classes, percent))
+    enough = found.groupBy("id", "n", "band").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need").select("id", "n", "band")
+    shared = found.join(enough, ["id", "n", "band"], "left_semi")
+    # documents that share a frequent fingerprint are tied to one of them, which gives the groups to compare
     common = shared.filter(F.col("often") > RARE)
-    hubs = common.groupBy("token").agg(F.min(F.struct("n", "id")).alias("hub")).select("token", F.col("hub.id").alias("hub"))
-    groups = components(common.join(hubs, "token").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    hubs = common.groupBy("token").agg(F.min(F.struct("id", "n")).alias("hub")).select("token", F.col("hub.id").alias("hub"), F.col("hub.n").alias("size"))
+    ties = cut(common.join(hubs, "token").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("size").alias("na"), F.col("n").alias("nb")).distinct())
+    near = ties.filter((F.col("na") * percent <= F.col("nb") * 100) & (F.col("nb") * percent <= F.col("na") * 100)).select("a", "b")
+    pairs = cut(_rare_pairs(shared.filter(F.col("often") <= RARE), percent).union(near).distinct())
+    groups = cut(components(ties))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(groups.select("id")).distinct()
     parts = cut(segments(texts, ids, words))
-    links = _rare_links(pairs, parts, percent).union(_common_links(parts, groups, percent))
+    links = cut(_rare_links(pairs, parts, percent))
+    links = links.union(_common_links(parts, _open_groups(groups, links), percent))
     # one document may stand for several sets if its id is repeated
     same = classes.select("s1", "s2", "id")
     member = heads.select("doc_id", "n", "s1", "s2").join(same, ["s1", "s2"], "left")

@@ -233,3 +233,37 @@ def test_quality(spark):
     assert len(found) == 402 and all(0 <= r.score <= 1 for r in found.values())
     assert sum(found[i].predicted == q for i, _, q in rows) >= 392
     assert quality.classify(docs, labels.limit(0)).first().score == 0.5
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_of_drifting_copies(spark, k, percent):
+    """Copies of one passage that drift apart: frequent fingerprints, several
+    components, links only between neighbours, and a passage that unrelated texts share."""
+    draw = random.Random(11)
+    passage, rows = [f"p{i}" for i in range(50)], []
+    for group in range(3):
+        words = [f"g{group}w{draw.randrange(500)}" for _ in range(draw.choice([60, 150, 300]))]
+        for step in range(40):
+            near = list(words)
+            for _ in range(draw.randrange(6)):
+                near[draw.randrange(len(near))] = f"n{draw.randrange(10**6)}"
+            rows.append(" ".join(near))
+            if step % 8 == 7:
+                words[draw.randrange(len(words))] = f"d{step}"
+    for i in range(30):
+        rows.append(" ".join([*(f"o{draw.randrange(10**6)}" for _ in range(8)), *passage[: 40 + i % 11]]))
+    draw.shuffle(rows)
+    sets, root = [_sets(t, k) for t in rows], list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    found = {r.doc_id: r.component_id for r in jaccard.join(_docs(spark, list(enumerate(rows))), k, percent).collect()}
+    assert found == {i: top(i) for i in range(len(rows))}
