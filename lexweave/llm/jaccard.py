@@ -168,26 +168,33 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
 
 
-def _postings(classes: DataFrame, percent: int) -> DataFrame:
-    """id, n, band, need, token, often: the fingerprints that several classes share."""
-    counted = classes.select(F.explode("marks").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    often = cut(counted)
-    bits = classes.sparkSession.sparkContext.broadcast(_filter_of(often.select(F.col("token").alias("h"))))
+def _postings(heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """id, n, band, need, token, often: the fingerprints that several classes share.
+
+    Only fingerprints that several documents have leave the rows of ``heads``;
+    of these, the ones of documents that stand for no class go."""
+    heads = heads.filter("n > 0 and doc_id is not null")
+    repeated = heads.select(F.explode("marks").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    bits = heads.sparkSession.sparkContext.broadcast(_filter_of(repeated.select("h")))
     least = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(2)
+            marks = batch.column(3)
             flat = marks.flatten().to_numpy(zero_copy_only=False)
             offsets = marks.offsets.to_numpy()
             sizes = np.diff(offsets)
             keep = _passes(bits.value, flat)
-            ids, n, own, need, need_next, start = (np.repeat(x, sizes)[keep] for x in (*(batch.column(c).to_numpy() for c in (0, 1, 3, 4, 5)), offsets[:-1] - offsets[0]))
+            ids, s1, n, own, need, need_next, start = (np.repeat(x, sizes)[keep] for x in (*(batch.column(c).to_numpy() for c in (0, 1, 2, 4, 5, 6)), offsets[:-1] - offsets[0]))
             after = np.flatnonzero(keep) - start >= own
             band = np.searchsorted(least, n, "right") - 1 + after
-            yield pa.record_batch([pa.array(x) for x in (ids, n, band.astype(np.int64), np.where(after, need_next, need), flat[keep])], ["id", "n", "band", "need", "token"])
+            yield pa.record_batch([pa.array(x) for x in (ids, s1, n, band.astype(np.int64), np.where(after, need_next, need), flat[keep])], ["id", "s1", "n", "band", "need", "token"])
 
-    return classes.select("id", "n", "marks", "own", "need", "need_next").mapInArrow(run, "id long, n long, band long, need long, token long").join(often, "token")
+    met = heads.select("doc_id", "s1", "n", "marks", "own", "need", "need_next").mapInArrow(run, "id long, s1 long, n long, band long, need long, token long")
+    # repeated rows of a document count once
+    rows = cut(met.join(classes.select("id", "s1"), ["id", "s1"], "left_semi").distinct().drop("s1"))
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    return rows.join(often, "token")
 
 
 def segments(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -345,14 +352,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     """doc_id, n_shingles, component_id of each row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heads = cut(marked(texts, words, percent))
-    carried = ["n", "marks", "own", "need", "need_next"]
-    classes = cut(
-        heads.filter("n > 0 and doc_id is not null")
-        .groupBy("s1", "s2")
-        .agg(F.min(F.struct("doc_id", *carried)).alias("c"))
-        .select("s1", "s2", F.col("c.doc_id").alias("id"), *[F.col(f"c.{c}") for c in carried])
-    )
-    found = cut(_postings(classes, percent))
+    classes = cut(heads.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")))
+    found = cut(_postings(heads, classes, percent))
     enough = found.groupBy("id", "n", "band").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need").select("id", "n", "band")
     shared = found.join(enough, ["id", "n", "band"], "left_semi")
     # documents that share a frequent fingerprint are tied to one of them, which gives the groups to compare
