@@ -212,6 +212,21 @@ def test_warc(spark):
         assert f"Content-Length: {len(r.block.encode())}".encode() in head and body == r.block.encode() + b"\r\n\r\n"
 
 
+def test_warc_decodes_all_references(spark):
+    from html import unescape
+
+    raw = "&copy; 2024 &middot; &eacute;&#233;&#xE9; &notit; &copy 1 &#128; &#0; &#xD800; &NotEqualTilde; &amp;lt; &amp;copy; &unknown; & &; &hellip;&#39;"
+    html = f"<html><head><title>T&amp;C&#10;{raw}</title></head><body><p>{raw}</p>a&nbsp;&#160; b</body></html>"
+    rows = warc.derivatives(spark.createDataFrame([(1, "http://x", html)], "page_id long, url string, html string")).collect()
+    by = {r.warc_type: r for r in rows}
+    assert by["conversion"].block == unescape(raw) + "\na b"
+    assert f"\r\ntitle: T&C {unescape(raw)}\r\n" in by["metadata"].block
+    for r in rows:
+        head, _, body = bytes(r.record).partition(b"\r\n\r\n")
+        assert f"Content-Length: {len(r.block.encode())}".encode() in head and body == r.block.encode() + b"\r\n\r\n"
+        assert r.block_digest == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest()
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     kinds = {"en": ["the", "and", "of", "thing"], "fr": ["le", "être", "dans", "où"], "de": ["der", "und", "ß", "über"]}
