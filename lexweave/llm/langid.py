@@ -9,11 +9,14 @@ language, for every n-gram that any language has, and one row of back-off
 weights for each context. A document goes to the language with the lowest
 cross-entropy per character.
 
-A document is rejected if its cross-entropy exceeds both what the language's own
-documents, kept out of the counts, reach (their 99.9 % quantile and SLACK
-deviations) and what half of the other languages' documents have: it fits its
-best language no better than foreign text does, while text that changes its
-language on the way stays. It still gets its best language, so that a caller can decide.
+A document is rejected if its cross-entropy exceeds what documents of its best
+language reach (their 99.9 % quantile and SLACK deviations) by models that did
+not count them: the sample is dealt into FOLDS, and each fold is scored by a
+model of the others. A language with fewer than FEW documents takes quantile and
+deviation from all languages' documents about their means where these are
+larger; one with a single document takes its mean from the others, too. Only
+where no language has two documents nothing can be measured nor rejected. A
+rejected document still gets its best language, so that a caller can decide.
 
 The sample is bounded: at most about PER_LANGUAGE documents of a language, dealt
 by the hash of doc_id. Whole texts are read, for training and prediction.
@@ -31,12 +34,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, cut
 
 ORDER, PER_LANGUAGE, ALPHABET, SLACK = 4, 1500, 1000, 3.0
+#: Folds of the sample for calibration, and documents from which on a language has a quantile of its own.
+FOLDS, FEW = 5, 20
 UNKNOWN = "und"
 #: Characters that are worked on at once, and letters' worth of evidence that a score counts at most.
 SLICE, EVIDENCE = 1 << 19, 50
@@ -89,6 +94,7 @@ class Model:
     logs: list[np.ndarray] = field(default_factory=list)  # rows by key, columns by language
     contexts: list[np.ndarray] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
+    counts: list[int] = field(default_factory=list)  # by language: its n-grams
     limit: np.ndarray | None = None
 
     def log_prob(self, code: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -146,15 +152,34 @@ class Model:
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """lang, check (kept out of the counts) and text of the training sample."""
+    """lang, fold and text of the training sample; two documents of a language are never in one fold only."""
     usable = docs.filter((crc_mod("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rates = [(r["lang"], PER_LANGUAGE / r["n"]) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
     dealt = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     picked = F.lit(False)
     for lang, rate in sorted(rates):
         picked = picked | ((F.col("lang") == lang) & (dealt < rate))
-    check = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("check")), F.lit(5)) == 0
-    return usable.filter(picked).select("lang", check.alias("check"), "text")
+    dealt_in = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("check")), "doc_id", "text")  # PER_LANGUAGE rows
+    return usable.filter(picked).select("lang", (F.row_number().over(dealt_in) % FOLDS).alias("fold"), "text")
+
+
+def _limits(languages: list[str], own: dict[str, np.ndarray]) -> np.ndarray:
+    """The highest cross-entropy that each language accepts, from those of its documents by models that did not count them."""
+    own = {lang: h for lang, h in own.items() if len(h)}
+    about = np.concatenate([np.zeros(0), *(h - h.mean() for h in own.values())])
+    free = len(about) - len(own)
+    if free < 1:
+        return np.full(len(languages), np.inf)
+    beyond, deviation = np.quantile(about, 0.999), np.sqrt((about**2).sum() / free)
+    mean = np.mean([h.mean() for h in own.values()])
+    limit = np.empty(len(languages))
+    for i, lang in enumerate(languages):
+        h = own.get(lang, np.full(1, mean))
+        reach, spread = np.quantile(h, 0.999), h.std()
+        if len(h) < FEW:
+            reach, spread = max(reach, h.mean() + beyond), max(spread, deviation)
+        limit[i] = reach + SLACK * spread
+    return limit
 
 
 def train(docs: DataFrame) -> Model:
@@ -180,7 +205,7 @@ def train(docs: DataFrame) -> Model:
     lower = letters.value
     table = np.where(lower > 0, np.where(number[lower] > 0, number[lower], 1), 0).astype(np.uint16)
 
-    languages = sorted(r["lang"] for r in sample.filter("not check").select("lang").distinct().collect())
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     model = Model(languages, table)
     if not languages:
         return model
@@ -188,41 +213,41 @@ def train(docs: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[str, list] = {}
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(lang, []).append(grams(numbers(text, sent.value), ORDER))
-            for lang, codes in held.items():
+            held: dict[tuple, list] = {}
+            for lang, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault((lang, fold), []).append(grams(numbers(text, sent.value), ORDER))
+            for (lang, fold), codes in held.items():
                 keys, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
+                yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), fold, np.int32)), pa.array(keys), pa.array(n)], ["lang", "fold", "gram", "n"])
+
+    found = sample.mapInArrow(count, "lang string, fold int, gram long, n long").groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n")).toPandas()
 
-    found = sample.filter("not check").select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = []
-    for lang in languages:
-        own = found[found["lang"] == lang].sort_values("gram")
-        counts.append({"keys": own["gram"].to_numpy(np.int64), "n": own["n"].to_numpy(np.int64)})
-    model.fit(counts)
+    def fitted(rows) -> Model:
+        m = Model(languages, table)
+        sums = dict(iter(rows.groupby(["lang", "gram"], as_index=False)["n"].sum().groupby("lang")))
+        none = rows.iloc[:0]
+        own = [sums.get(lang, none).sort_values("gram") for lang in languages]
+        m.fit([{"keys": c["gram"].to_numpy(np.int64), "n": c["n"].to_numpy(np.int64)} for c in own])
+        m.counts = [len(c) for c in own]
+        return m
 
-    trained = spark.sparkContext.broadcast(model)
+    model = fitted(found)
+    trained = spark.sparkContext.broadcast([fitted(found[found["fold"] != k]) for k in range(FOLDS)])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = trained.value
         for batch in batches:
-            own, of, entropies = [], [], []
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                each, n = m.entropy(text)
-                if n:
-                    own.extend(lang == x for x in m.languages)
-                    of.extend(m.languages)
-                    entropies.extend(each.tolist())
-            yield pa.record_batch([pa.array(own, pa.bool_()), pa.array(of, pa.string()), pa.array(entropies, pa.float64())], ["own", "model", "h"])
-
-    kept_out = sample.filter("check").select("lang", "text").mapInArrow(check, "own boolean, model string, h double").toPandas()
-    model.limit = np.full(len(languages), np.inf)
-    for i, lang in enumerate(languages):
-        mine = kept_out[kept_out["model"] == lang]
-        own, foreign = mine.loc[mine["own"], "h"].to_numpy(), mine.loc[~mine["own"], "h"].to_numpy()
-        if len(own) >= 20:
-            model.limit[i] = max(np.quantile(own, 0.999) + SLACK * own.std(), np.median(foreign) if len(foreign) else 0.0)
+            of, entropies = [], []
+            for lang, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                m, i = trained.value[fold], languages.index(lang)
+                if m.counts[i]:  # the language has documents in other folds
+                    each, n = m.entropy(text)
+                    if n:
+                        of.append(lang)
+                        entropies.append(float(each[i]))
+            yield pa.record_batch([pa.array(of, pa.string()), pa.array(entropies, pa.float64())], ["lang", "h"])
+
+    scored = sample.mapInArrow(check, "lang string, h double").toPandas()
+    model.limit = _limits(languages, {lang: scored.loc[scored["lang"] == lang, "h"].to_numpy() for lang in languages})
     return model
 
 

@@ -239,6 +239,21 @@ def test_language_id(spark):
     assert kept == {i for i, _, _ in rows}
 
 
+def test_language_id_rejects_with_few_documents(spark):
+    """A rare language's documents stay, gibberish that is nearest to it goes; so does a language that nobody labelled."""
+    rng = random.Random(6)
+    kinds = {"en": (["the", "and", "of", "thing"], 120), "fr": (["le", "être", "dans", "où"], 60), "xx": (["zqa", "qazz", "zaq", "azq"], 14)}
+    rows = [(lang, " ".join(rng.choices(w, k=40))) for lang, (w, n) in kinds.items() for _ in range(n)]
+    junk = [(None, " ".join("".join(rng.choices("zqajxkwv", k=4)) for _ in range(40))) for _ in range(20)]
+    junk += [(None, " ".join(rng.choices(["μια", "και", "δεν", "zaqi"], k=40))) for _ in range(10)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows + junk)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert all(found[i].lang_pred == lang and not found[i].rejected for i, (lang, _) in enumerate(rows))
+    late = [found[i] for i in range(len(rows), len(rows + junk))]
+    assert any(r.lang_pred == "xx" for r in late) and all(r.rejected for r in late)
+    assert {r.doc_id for r in langid.keep_identified(df).collect()} == set(range(len(rows)))
+
+
 def test_quality(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choices(WORDS, k=40)) + "." if i % 5 else "SPAM!! " * 40, int(bool(i % 5))) for i in range(400)]
