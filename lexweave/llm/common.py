@@ -19,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a folder of our own only where none is named."""
+    """The folder that all machines share. Where none is named, one of our own if
+    there is one machine only (local mode), else an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexweave-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexweave-"))
     return context.getCheckpointDir()
 
 
@@ -32,19 +36,32 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.cut_path = path
+    return again
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``cut`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, what is run hands Python at most ``rows`` rows at a time: for rows of a megabyte."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 10_000, octets: int = 1 << 24) -> Iterator[None]:
+    """Within it, what is run hands Python at most ``rows`` rows and about
+    ``octets`` bytes at a time (one row at least): for long texts and blocks."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": octets}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def crc_mod(column: str | Column, modulus: int) -> Column:
@@ -53,12 +70,18 @@ def crc_mod(column: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Parts into which a vertex's edges are dealt where they meet its one row.
+SALTS = 8
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of the undirected ``edges``: (id, component), where
     component is the smallest id that can be reached. Ids without an edge to
     another id are not returned. Alternates large-star and small-star steps
-    until nothing changes; each step is two aggregations with map-side
-    combining and joins against one row per id, so a hub can be split.
+    until nothing changes. Each step is two aggregations with map-side combining
+    and joins against one row per id; a hub's edges are dealt over SALTS keys.
+    Only counts and sums of hashes come to the driver; a step's table is deleted
+    when the next one is written.
     """
     links = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -70,13 +93,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while mark[0]:
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _meet_all(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(root, "u")
+        joined = _meet_all(large, root)
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             root.select("u", F.col("m").alias("v"))
         )
-        links = cut(small.distinct())
+        last, links = links, cut(small.distinct())
+        discard(last)
         before, mark = mark, _mark(links)
         if mark == before:
             break
@@ -84,6 +108,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return tree.union(tree.select(F.col("component").alias("id"), "component").distinct())
 
 
+def _meet_all(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """``rows`` (u, v) with the value m that ``one`` (u, m) has for u."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    each = one.select("u", "m", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    return dealt.join(each, ["u", "salt"])
+
+
 def _mark(links: DataFrame) -> tuple:
     row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
     return tuple(row)

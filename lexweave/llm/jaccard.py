@@ -10,7 +10,11 @@ often they occur. Fragments are ranges of that order, segments a set's part in t
    both, whichever shingles differ. So classes meet by fingerprints of whole
    segments: shingles or passages that many documents share bring nobody
    together, as others stand beside them in their segments. The cut is by band of
-   sizes; a set has fingerprints for its band and for the next one.
+   sizes; a set has fingerprints for its band, and for the next one if a partner
+   can be there. One shuffle sorts them by fingerprint; a task then reads runs of
+   equal ones and holds a few rows only, whatever a run's length. A fingerprint
+   that occurs often within a few thousand documents is summed up to one row for
+   them before it is shuffled.
 3. Fingerprints of RARE classes at most give pairs, which stay if enough of them
    are shared. Those of more classes tie each of these to one of them, the hub.
    Pairs are verified by FRAGMENTS coarse fragments: the partial overlaps are
@@ -21,8 +25,10 @@ often they occur. Fragments are ranges of that order, segments a set's part in t
    matrices, summed, and a spanning forest is returned.
 
 So every pair that can link is checked, or is connected by other links, whatever
-its group's size, while rows grow with the input. Text is read twice
-(fingerprints, segments of the candidates).
+its group's size, while rows grow with the input. Nothing that grows with the
+input is sent to the driver or to all executors. Texts are read three times
+(classes, fingerprints, segments of the candidates), in batches bounded by bytes,
+so that a few long texts fill one as many short ones do.
 
 Defined cases: null or blank text is an empty set and links with nothing; fewer
 words than a shingle has are one shingle, the whole sequence; rows with equal
@@ -37,18 +43,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches
+from .common import components, cut, discard, small_batches
 from .neardup import _roots
 
 WORDS, PERCENT = 3, 90
 RARE, FRAGMENTS, BLOCK = 8, 4, 256
-#: Bits of the filters that keep fingerprints and texts which can't matter from being shuffled.
-FILTER_BITS = 25
-#: Word hashes that a task keeps at hand.
-HELD = 1_000_000
+#: Sizes of a band go up to STRETCH times its least one: more bands cost more sets
+#: of fingerprints, wider ones longer sets; the sum is least from 1.5 to 1.7.
+STRETCH = 1.6
+#: Word hashes that a task keeps at hand, and fingerprints that it sums up at once.
+HELD, CHUNK = 1_000_000, 500_000
+#: Low bits of a fingerprint that tell its band.
+BAND_BITS = 6
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -86,29 +95,46 @@ def bands(percent: int) -> np.ndarray:
     """The least size of each band: a set's partners are in its band and the two beside it."""
     found = [1]
     while found[-1] < 1 << 40:
-        found.append(max(found[-1] + 1, found[-1] * 100 // percent + 1))
+        found.append(max(found[-1] * 100 // percent + 1, int(found[-1] * STRETCH)))
+    if len(found) > 1 << BAND_BITS:
+        raise ValueError("the similarity needs more bands than fingerprints can tell")
     return np.array(found, np.int64)
 
 
-def fingerprints(h: np.ndarray, band: int, least: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """Those of a set's segments as cut for ``band``, and how many of them any
-    linked set shares at least, if the larger of both is in that band.
-
-    Equal segments number ``spare`` or more. Empty ones have no fingerprint, as
-    long as fewer than ``spare`` are empty; else they have, and a partner with
-    which only empty segments are shared has as many, and theirs, too."""
+def _cuts(band: int, least: np.ndarray, percent: int) -> tuple[int, int]:
+    """Into how many fragments a band cuts the order, and how many segments are equal at least."""
     differ = int(2 * (least[band + 1] - 1) * (100 - percent) // (100 + percent))
     if not differ:  # equal sets only
-        return np.empty(0, np.uint64), 0
-    spare = 2 + differ // 4
-    cuts = differ + spare
-    at = ((h >> np.uint64(32)) * np.uint64(cuts)) >> np.uint64(32)
-    ends = np.searchsorted(at, np.arange(cuts + 1, dtype=np.uint64))
+        return 0, 0
+    spare = 2 + differ // 8
+    return differ + spare, spare
+
+
+def _places(h: np.ndarray, cuts: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(cuts)) >> np.uint64(32)
+
+
+def needed(h: np.ndarray, band: int, least: np.ndarray, percent: int) -> int:
+    """How many fingerprints for ``band`` any linked set shares at least, if the larger of both is in that band.
+
+    Empty segments have no fingerprint, as long as fewer than ``spare`` are empty;
+    else they have (a need below 1 tells), and a partner with which only empty
+    segments are shared has as many, and theirs, too."""
+    cuts, spare = _cuts(band, least, percent)
+    return spare - (cuts - len(np.unique(_places(h, cuts)))) if cuts else 0
+
+
+def fingerprints(h: np.ndarray, band: int, least: np.ndarray, percent: int) -> np.ndarray:
+    """Those of a set's segments as cut for ``band``, which their low bits tell."""
+    cuts, spare = _cuts(band, least, percent)
+    if not cuts:
+        return np.empty(0, np.uint64)
+    ends = np.searchsorted(_places(h, cuts), np.arange(cuts + 1, dtype=np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h), dtype=np.uint64)])
     marks = _mix(sums[ends[1:]] - sums[ends[:-1]] + _mix(np.arange(cuts, dtype=np.uint64) + np.uint64(band << 40)) * _C)
+    marks = (marks >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) | np.uint64(band)
     filled = ends[1:] > ends[:-1]
-    need = spare - int(cuts - filled.sum())
-    return (marks[filled], need) if need > 0 else (marks, 1)
+    return marks[filled] if spare > cuts - filled.sum() else marks
 
 
 def _signature(h: np.ndarray) -> tuple[int, int]:
@@ -116,103 +142,182 @@ def _signature(h: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _band(n: int, least: np.ndarray, percent: int) -> tuple[int, bool]:
+    """A size's band, and whether a larger partner can be in the next one."""
+    band = int(np.searchsorted(least, n, "right")) - 1
+    return band, n * 100 // percent >= least[band + 1]
+
+
 def marked(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's signature), marks (fingerprints), own (how
-    many are of the set's own band), need, need_next (for either band): of each row."""
+    """doc_id, n, s1, s2 (the set's signature), band, need, need_next (of its fingerprints for its band and the next) of each row."""
     least = bands(percent)
+    names = ["doc_id", "n", "s1", "s2", "band", "need", "need_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            rows, heads = [], []
+            rows = []
             for text in batch.column(1):
                 h = shingles(text.as_py(), words, hashes)
-                n = len(h)
-                own = after = np.empty(0, np.uint64)
-                need = need_next = 0
-                if n:
-                    band = int(np.searchsorted(least, n, "right")) - 1
-                    own, need = fingerprints(h, band, least, percent)
-                    if n * 100 // percent >= least[band + 1]:
-                        after, need_next = fingerprints(h, band + 1, least, percent)
-                rows.append((n, *_signature(h), len(own), need, need_next))
-                heads += [own.view(np.int64), after.view(np.int64)]
-            offsets = np.cumsum([0, *map(len, heads)])[::2]
-            flat = np.concatenate(heads) if heads else np.empty(0, np.int64)
-            n, s1, s2, own, need, need_next = (pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 6))
-            yield pa.record_batch(
-                [batch.column(0), n, s1, s2, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), own, need, need_next],
-                ["doc_id", "n", "s1", "s2", "marks", "own", "need", "need_next"],
-            )
+                band = need = need_next = 0
+                if len(h):
+                    band, more = _band(len(h), least, percent)
+                    need, need_next = max(1, needed(h, band, least, percent)), max(1, needed(h, band + 1, least, percent)) if more else 0
+                rows.append((len(h), *_signature(h), band, need, need_next))
+            columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 6)]
+            yield pa.record_batch([batch.column(0), *columns], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, marks array<long>, own long, need long, need_next long")
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _filter_of(hashes: DataFrame) -> np.ndarray:
-    """A filter of 2**FILTER_BITS bits: those of the given hashes (column h) are
-    set. Its size is fixed; the fuller it is, the more others pass, which later joins remove."""
-    bit = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = (
-        hashes.select(F.shiftright(bit, 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 31L as int))").alias("mask"))
-        .groupBy("word")
-        .agg(F.bit_or("mask").alias("mask"))
-        .toArrow()
-    )
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    bits[words.column("word").to_numpy()] = words.column("mask").to_numpy()
-    return bits
+def _tokens(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """token, c, hub: a set's fingerprints, c being the set's signature.
 
-
-def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h & ((1 << FILTER_BITS) - 1)
-    return ((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
-
-
-def _postings(heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """id, n, band, need, token, often: the fingerprints that several classes share.
-
-    Only fingerprints that several documents have leave the rows of ``heads``;
-    of these, the ones of documents that stand for no class go."""
-    heads = heads.filter("n > 0 and doc_id is not null")
-    repeated = heads.select(F.explode("marks").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    bits = heads.sparkSession.sparkContext.broadcast(_filter_of(repeated.select("h")))
+    Of a fingerprint that more than RARE sets of a chunk of documents have, one
+    row stays, with its own c as hub; the others become rows (c, hub) that only
+    pass through, with a token of their own so that they spread."""
     least = bands(percent)
 
+    def summed(marks: list[np.ndarray], sets: list[int]) -> pa.RecordBatch:
+        token = np.concatenate(marks)
+        c = np.repeat(np.array(sets, np.int64), [len(m) for m in marks])
+        order = np.lexsort((c, token))
+        token, c = token[order], c[order]
+        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        size = np.diff(np.r_[start, len(token)])
+        often = np.repeat(size > RARE, size)
+        hub = np.repeat(c[start], size)
+        # the band stays readable in the low bits
+        spread = (_mix(c.view(np.uint64) ^ token) >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) | (token & np.uint64((1 << BAND_BITS) - 1))
+        token = np.where(often & (c != hub), spread, token)
+        return pa.record_batch([pa.array(token.view(np.int64)), pa.array(c), pa.array(hub, mask=~often)], ["token", "c", "hub"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        marks, sets, seen, room = [], [], set(), 0
         for batch in batches:
-            marks = batch.column(3)
-            flat = marks.flatten().to_numpy(zero_copy_only=False)
-            offsets = marks.offsets.to_numpy()
-            sizes = np.diff(offsets)
-            keep = _passes(bits.value, flat)
-            ids, s1, n, own, need, need_next, start = (np.repeat(x, sizes)[keep] for x in (*(batch.column(c).to_numpy() for c in (0, 1, 2, 4, 5, 6)), offsets[:-1] - offsets[0]))
-            after = np.flatnonzero(keep) - start >= own
-            band = np.searchsorted(least, n, "right") - 1 + after
-            yield pa.record_batch([pa.array(x) for x in (ids, s1, n, band.astype(np.int64), np.where(after, need_next, need), flat[keep])], ["id", "s1", "n", "band", "need", "token"])
-
-    met = heads.select("doc_id", "s1", "n", "marks", "own", "need", "need_next").mapInArrow(run, "id long, s1 long, n long, band long, need long, token long")
-    # repeated rows of a document count once
-    rows = cut(met.join(classes.select("id", "s1"), ["id", "s1"], "left_semi").distinct().drop("s1"))
-    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    return rows.join(often, "token")
+            for text in batch.column(0):
+                h = shingles(text.as_py(), words, hashes)
+                if not len(h) or (c := _signature(h)[0]) in seen:
+                    continue
+                seen.add(c)
+                band, more = _band(len(h), least, percent)
+                for at in (band, band + 1)[: 1 + more]:
+                    own = fingerprints(h, at, least, percent)
+                    marks.append(own)
+                    sets.append(c)
+                    room += len(own)
+                if room > CHUNK:
+                    yield summed(marks, sets)
+                    marks, sets, seen, room = [], [], set(), 0
+        if room:
+            yield summed(marks, sets)
+
+    return docs.filter("doc_id is not null").select("text").mapInArrow(run, "token long, c long, hub long")
+
+
+SELF, PAIR, TIE = 0, 1, 2
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, band, kind from rows sorted by token and c: of each fingerprint that
+    several sets have, a row for each of them (SELF) and either its pairs or each
+    one's tie to the first. Of a run that goes on in the next batch RARE rows are
+    kept at most, or its hub."""
+    mask = np.int64((1 << BAND_BITS) - 1)
+    token, c = np.empty(0, np.int64), np.empty(0, np.int64)
+    common, old = np.empty(0, bool), np.empty(0, bool)
+
+    def rows(a: np.ndarray, b: np.ndarray, token: np.ndarray, kind: int) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a), pa.array(b), pa.array((token & mask).astype(np.int32)), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "band", "kind"])
+
+    def found(token: np.ndarray, c: np.ndarray, common: np.ndarray, old: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole runs, or of one that is known to be common; ``old`` rows have their SELF row."""
+        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        size = np.diff(np.r_[start, len(token)])
+        often = np.logical_or.reduceat(common, start) | (size > RARE)
+        own = np.repeat(often | (size > 1), size) & ~old
+        yield rows(c[own], c[own], token[own], SELF)
+        hub, tied = np.repeat(c[start], size), np.repeat(often, size)
+        tied &= c != hub
+        yield rows(hub[tied], c[tied], token[tied], TIE)
+        for n in range(2, RARE + 1):
+            at = start[(size == n) & ~often]
+            if len(at):
+                i, j = np.triu_indices(n, 1)
+                first, second = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                yield rows(c[first], c[second], token[first], PAIR)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new_token, new_c = (batch.column(i).to_numpy() for i in (0, 1))
+        hub = batch.column(2).fill_null(0).to_numpy()
+        has = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        tie = has & (hub != new_c)
+        if tie.any():
+            yield rows(hub[tie], new_c[tie], new_token[tie], TIE)
+            yield rows(new_c[tie], new_c[tie], new_token[tie], SELF)
+            new_token, new_c, has = new_token[~tie], new_c[~tie], has[~tie]
+            if not len(new_token):
+                continue
+        token, c = np.concatenate([token, new_token]), np.concatenate([c, new_c])
+        common, old = np.concatenate([common, has]), np.concatenate([old, np.zeros(len(has), bool)])
+        # copies in several tasks have equal rows, one of which may tell that the fingerprint is common
+        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (c[1:] != c[:-1])])
+        common, old = np.logical_or.reduceat(common, first), np.logical_or.reduceat(old, first)
+        token, c = token[first], c[first]
+        last = int(np.flatnonzero(token == token[-1])[0])
+        if last:
+            yield from found(token[:last], c[:last], common[:last], old[:last])
+            token, c, common, old = token[last:], c[last:], common[last:], old[last:]
+        if len(token) > RARE:
+            yield from found(token, c, np.ones(len(c), bool), old)
+            token, c, common, old = token[:1], c[:1], np.ones(1, bool), np.ones(1, bool)
+    if len(token):
+        yield from found(token, c, common, old)
+
+
+def _candidates(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of classes to compare, and (id, component) of the groups that frequent fingerprints tie."""
+    rows = _tokens(texts, words, percent).repartition("token").sortWithinPartitions("token", "c")
+    with small_batches(texts.sparkSession, 100_000):
+        met = cut(rows.mapInArrow(_met, "a long, b long, band int, kind int").groupBy("a", "b", "band", "kind").agg(F.count(F.lit(1)).alias("met")))
+
+    def of(side: str) -> DataFrame:
+        return classes.select(F.col("s1").alias(side), F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), *[F.col(x).alias(f"{x}_{side}") for x in ("band", "need", "need_next")])
+
+    def need(side: str) -> Column:
+        return F.when(F.col("band") == F.col(f"band_{side}"), F.col(f"need_{side}")).otherwise(F.col(f"need_next_{side}"))
+
+    sizes = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
+    enough = met.filter(F.col("kind") == SELF).select("a", "band", "met").join(of("a").withColumnRenamed("band", "_"), "a").filter(F.col("met") >= need("a")).select(F.col("a").alias("b"), "band")
+    pairs = met.filter(F.col("kind") == PAIR).join(of("a"), "a").join(of("b"), "b")
+    larger = F.when(F.col("n_a") >= F.col("n_b"), F.col("band_a")).otherwise(F.col("band_b"))
+    pairs = pairs.filter(sizes & (larger == F.col("band")) & (F.col("met") >= F.greatest(need("a"), need("b"))))
+    tied = met.filter(F.col("kind") == TIE).select("a", "b", "band").join(enough, ["b", "band"], "left_semi").select("a", "b").distinct()
+    ties = cut(tied.join(of("a"), "a").join(of("b"), "b").select("id_a", "id_b", sizes.alias("near")))
+    near = ties.filter("near").select("id_a", "id_b").union(pairs.select("id_a", "id_b"))
+    found = cut(near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).filter("a <> b").distinct())
+    groups = cut(components(ties, "id_a", "id_b"))
+    discard(met, ties)
+    return found, groups
 
 
 def segments(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id, s1, n, fragment, segment (sorted hashes) of the documents whose id is
-    ``wanted``; some others pass, and repeated rows stay."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted.select(F.xxhash64("id").alias("h"))))
+    """id, s1, n, fragment, segment (sorted hashes) of the ``wanted`` classes (id, s1, s2); repeated rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         cuts = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
         for batch in batches:
-            hit = _passes(bits.value, batch.column(2).to_numpy())
             ids, firsts, sizes, fragments, parts = [], [], [], [], []
-            for i in np.flatnonzero(hit):
-                h = shingles(batch.column(1)[i].as_py(), words, hashes)
-                s1, doc = _signature(h)[0], batch.column(0)[i].as_py()
+            for doc, s1, s2, text in zip(*(batch.column(i) for i in range(4)), strict=True):
+                h = shingles(text.as_py(), words, hashes)
+                if _signature(h) != (s1.as_py(), s2.as_py()):  # another text of the id
+                    continue
                 for f, part in enumerate(np.split(h, np.searchsorted(h, cuts))):
-                    for column, value in zip((ids, firsts, sizes, fragments, parts), (doc, s1, len(h), f, part.view(np.int64)), strict=True):
+                    for column, value in zip((ids, firsts, sizes, fragments, parts), (doc.as_py(), s1.as_py(), len(h), f, part.view(np.int64)), strict=True):
                         column.append(value)
             offsets = np.cumsum([0, *map(len, parts)])
             flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
@@ -221,35 +326,11 @@ def segments(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 ["id", "s1", "n", "fragment", "segment"],
             )
 
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).filter("doc_id is not null")
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("id", "s1", "s2", "text")
     return rows.mapInArrow(run, "id long, s1 long, n long, fragment int, segment array<long>")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of allowed sizes within each rare fingerprint's list, if the larger is of its band."""
-    least = bands(percent)
-    names = ["a", "b", "na", "nb", "need"]
-    for batch in batches:
-        rows = []
-        for band, members in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
-            members = sorted((m["n"], m["id"], m["need"]) for m in members)
-            for i, (n, a, need) in enumerate(members):
-                for m, b, other in members[i + 1 :]:
-                    if m * percent > n * 100:
-                        break
-                    if a != b and m >= least[band]:
-                        (x, nx), (y, ny) = sorted(((a, n), (b, m)))
-                        rows.append((x, y, nx, ny, max(need, other)))
-        yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [()] * 5)], names)
-
-
-def _rare_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    lists = postings.groupBy("token").agg(F.min("band").alias("band"), F.collect_list(F.struct("n", "id", "need")).alias("members")).select("band", "members")
-    met = lists.mapInArrow(lambda it: _pairs(it, percent), "a long, b long, na long, nb long, need long")
-    return met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
-
-
-def _rare_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     one = parts.select(F.col("id").alias("a"), F.col("s1").alias("sa"), F.col("n").alias("na"), "fragment", F.col("segment").alias("x"))
     two = parts.select(F.col("id").alias("b"), F.col("s1").alias("sb"), F.col("n").alias("nb"), "fragment", F.col("segment").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
@@ -350,30 +431,27 @@ def _common_links(parts: DataFrame, groups: DataFrame, percent: int) -> DataFram
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    heads = cut(marked(texts, words, percent))
-    classes = cut(heads.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")))
-    found = cut(_postings(heads, classes, percent))
-    enough = found.groupBy("id", "n", "band").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need").select("id", "n", "band")
-    shared = found.join(enough, ["id", "n", "band"], "left_semi")
-    # documents that share a frequent fingerprint are tied to one of them, which gives the groups to compare
-    common = shared.filter(F.col("often") > RARE)
-    hubs = common.groupBy("token").agg(F.min(F.struct("id", "n")).alias("hub")).select("token", F.col("hub.id").alias("hub"), F.col("hub.n").alias("size"))
-    ties = cut(common.join(hubs, "token").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("size").alias("na"), F.col("n").alias("nb")).distinct())
-    near = ties.filter((F.col("na") * percent <= F.col("nb") * 100) & (F.col("nb") * percent <= F.col("na") * 100)).select("a", "b")
-    pairs = cut(_rare_pairs(shared.filter(F.col("often") <= RARE), percent).union(near).distinct())
-    groups = cut(components(ties))
+    with small_batches(spark):
+        heads = cut(marked(texts, words, percent))
+    kept = ["n", "band", "need", "need_next"]
+    classes = cut(heads.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in kept]))
+    with small_batches(spark):
+        pairs, groups = _candidates(texts, classes, words, percent)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(groups.select("id")).distinct()
-    parts = cut(segments(texts, ids, words))
-    links = cut(_rare_links(pairs, parts, percent))
-    links = links.union(_common_links(parts, _open_groups(groups, links), percent))
-    # one document may stand for several sets if its id is repeated
-    same = classes.select("s1", "s2", "id")
-    member = heads.select("doc_id", "n", "s1", "s2").join(same, ["s1", "s2"], "left")
+    with small_batches(spark):
+        parts = cut(segments(texts, classes.select("id", "s1", "s2").join(ids, "id", "left_semi"), words))
+    links = cut(_verified(pairs, parts, percent))
+    blocks = _common_links(parts, _open_groups(groups, links), percent)
+    # one document may stand for several sets, or for one while it copies another, if its id is repeated
+    member = heads.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "id"), ["s1", "s2"], "left")
     member = member.withColumn("id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("id")))
-    tied = member.filter("id <> doc_id").groupBy("doc_id").agg(F.count_distinct("s1").alias("sets"), F.min("id").alias("id"), F.max("id").alias("other"))
-    extra = tied.filter("sets > 1").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    found = components(links.union(extra))
+    sets = member.filter("id is not null").select("doc_id", "id").distinct()
+    tied = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets"), F.min("id").alias("least")).filter("sets > 1")
+    extra = sets.join(tied, "doc_id").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    found = components(links.union(blocks).union(extra))
+    discard(pairs, groups, parts, links, blocks)
     return (
         member.join(found, "id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
@@ -381,10 +459,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 
 def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id;
-    of repeated rows of an id, one. Rows without id stay."""
+    """The rows of ``docs`` without those whose component has a smaller id; of
+    repeated rows of an id, the one of the least text (then the least hash of
+    all columns). Rows without id stay."""
     first = join(docs, words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     names = [F.col(f"`{c}`") for c in docs.columns]
     whole = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*names).alias("row"))
-    kept = whole.filter("_id is not null").join(first, "_id", "left_semi").dropDuplicates(["_id"])
+    kept = whole.filter("_id is not null").join(first, "_id", "left_semi")
+    plain = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    kept = kept.groupBy("_id").agg(F.min_by("row", F.struct("row.text", F.xxhash64(*plain))).alias("row"))
     return kept.select("row.*").union(whole.filter("_id is null").select("row.*"))
