@@ -7,7 +7,7 @@ Patterns are written for Java's regular expressions.
 YEAR = r"(?:1[0-9]{3}|20[0-9]{2})"
 
 # --- works ---
-TITLE_WORD = r"(?:[A-Z][A-Za-z\x27’\-\.]*,?|\([^()]{1,70}\),?)"
+TITLE_WORD = r"(?:[A-Z][A-Za-z'’\-\.]*,?|\([^()]{1,70}\),?)"
 CONNECTIVE = r"(?:of|and|for|to|in|on|at|or|with|under|upon|by|from|against|into|over)"
 CONNECTOR = rf"(?:{CONNECTIVE}\s+the|{CONNECTIVE}|etc\.?)"
 KIND_NOUN = r"(?:Acts?|Measure|Regulations|Rules|Order|Scheme|Code)"
@@ -19,7 +19,7 @@ WORK = (
 #: groups: code, year, number
 INSTRUMENT = rf"(?U)\b(S\.?\s?I\.?|S\.?\s?S\.?\s?I\.?|S\.?\s?R\.?)\s*({YEAR})\s*/\s*(\d+)\b"
 INSTRUMENT_TYPES = {"SI": "uksi", "SSI": "ssi", "SR": "nisr"}
-SHORT_FORM = r"(?U)^\s*\(\s*[\"\x27“‘]?\s*(?:the\s+)?([A-Za-z0-9][A-Za-z0-9\s\x27’\.\-]{0,48}?)\s*[\"\x27”’]?\s*\)"
+SHORT_FORM = r"(?U)^\s*\(\s*[\"'“‘]?\s*(?:the\s+)?([A-Za-z0-9][A-Za-z0-9\s'’\.\-]{0,48}?)\s*[\"'”’]?\s*\)"
 ARTICLES = ("the", "this", "that", "a", "an")
 SHORT_FORM_NOUNS = ("act", "regulation", "rule", "order", "measure", "code", "scheme")
 
@@ -70,7 +70,7 @@ SERIES = (
     "Con LR", "PNLR", "Pens LR", "TC", "SFTD",
 )
 SERIES_WORDS = "|".join(
-    s.replace("(", r"\(").replace(")", r"\)").replace("'", r"\x27").replace(" ", r"\s+") for s in sorted(SERIES, key=len, reverse=True)
+    s.replace("(", r"\(").replace(")", r"\)").replace(" ", r"\s+") for s in sorted(SERIES, key=len, reverse=True)
 )
 #: groups: bracket, year, volume, series, page
 REPORT = rf"(?U)([\[(])({YEAR})[\])]\s+(?:(\d{{1,3}})\s+)?({SERIES_WORDS})\s+(\d{{1,5}})\b"
@@ -80,7 +80,7 @@ CASE_PINPOINT = (
     r"(?iuU)^\s*,?\s*at\s+(\[\d+\](?:\s*[-–]\s*\[\d+\])?|paras?\.?\s*\d+(?:\s*[-–]\s*\d+)?|"
     r"pp?\.?\s*\d+(?:\s*[-–]\s*\d+)?|\d+[A-H]?(?:\s*[-–]\s*\d+[A-H]?)?)"
 )
-PARTY_WORD = r"(?:[A-Z][\w\x27’.\-]*,?|\([^()\n]{1,80}\),?|&)"
+PARTY_WORD = r"(?:[A-Z][\w'’.\-]*,?|\([^()\n]{1,80}\),?|&)"
 PARTY_LINK = (
     r"(?:of\s+the|for\s+the|and\s+(?:others|another|ors|anor)|plc|ltd|llp|of|for|and|de|du|da|van|von|der|le|la|upon|"
     r"ex\s+p(?:arte)?\.?)"

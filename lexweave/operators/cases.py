@@ -114,9 +114,16 @@ def _named(text: Column, start: Column, after: Column) -> Column:
     return let(let(cut(text, low, start), strip), check)
 
 
+#: Characters after a citation in which its pinpoint is sought first, and what they are if it may go on.
+_NEAR = 400
+_ALL_PINPOINT = rf"(?iuU)^[\s\d,.\[\]\-–a-hprst]{{{_NEAR}}}"
+
+
 def _mentions(text: Column, clusters: Column) -> Column:
     def pin(c: Column) -> Column:
-        tail = F.substring(text, c["e"] + 1, F.lit(400))
+        near = F.substring(text, c["e"] + 1, F.lit(_NEAR))
+        # a pinpoint is longer than that only if all of it is white space, digits and the like
+        tail = F.when(near.rlike(_ALL_PINPOINT), F.substring(text, c["e"] + 1, F.length(text))).otherwise(near)
         found = F.regexp_extract(tail, fixed.CASE_PINPOINT, 1)
         return F.struct(
             c["s"].alias("s"), (c["e"] + F.length(F.regexp_extract(tail, fixed.CASE_PINPOINT, 0))).alias("e"), c["neutral"].alias("neutral"),

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from ..functions import fixed
 from ..functions.similarity import name_agreement, round4, similarity
 from ..functions.text import alias_key, empty, let, name_key, report_key, title_key, title_stem
 from ..sources.registry import CASE, WORK, Registers, case_id
+from ..sources.storage import kept
 from .cases import neutral_text, report_text
 from .links import case_search, held_by_primary, judgment_link, work_links
 from .works import PROVISION
@@ -123,9 +123,8 @@ def match_works(refs: DataFrame, registers: Registers, settings: Settings = Sett
         .when(F.coalesce(has_title, F.lit(False)), F.lit(None).cast(MATCH))
         .otherwise(match(None, 0.0, "unresolved", _strings("no title or number to resolve")))
     )
-    r = r.withColumn("match", direct).drop("numbered", "titled", "stemmed", "any_year", "alias_works")
     # distinct references, from which the look-ups below branch off
-    r = r.persist(StorageLevel.MEMORY_AND_DISK)
+    r = kept(r.withColumn("match", direct).drop("numbered", "titled", "stemmed", "any_year", "alias_works"))
 
     # several works of one number: the most similar title, the first of equals
     several = r.filter("match is null and size(_numbers) > 1").select("_norm", "year", "number", "_type", F.posexplode("_numbers").alias("i", "work")).distinct()
@@ -228,16 +227,16 @@ def _fold(rows: Column, shorts: Column) -> Column:
 
 
 def resolve_works(found: DataFrame, registers: Registers, settings: Settings = Settings()) -> DataFrame:
-    """Citations of ``found`` (doc_id, citations, definitions): one resolved row each.
+    """Citations of ``found`` (doc_id, text_key, citations, definitions): one resolved row each.
 
     Mentions leave the row without their document's text; one shuffle by
     document brings the matches back in order for the fold.
     """
-    flat = found.select("doc_id", F.posexplode("citations").alias("ord", "c")).select(
-        "doc_id", "ord", F.lit("cite").alias("role"), F.col("c.s").alias("start"), F.col("c.e").alias("end"), F.col("c.surface").alias("surface"), F.col("c.mention").alias("mention"), F.col("c.chain").alias("chain")
+    flat = found.select("doc_id", "text_key", F.posexplode("citations").alias("ord", "c")).select(
+        "doc_id", "text_key", "ord", F.lit("cite").alias("role"), F.col("c.s").alias("start"), F.col("c.e").alias("end"), F.col("c.surface").alias("surface"), F.col("c.mention").alias("mention"), F.col("c.chain").alias("chain")
     )
-    defined = found.select("doc_id", F.posexplode("definitions").alias("ord", "m")).select(
-        "doc_id", "ord", F.lit("define").alias("role"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("surface"), F.col("m").alias("mention"), empty(f"array<{PROVISION}>").alias("chain")
+    defined = found.select("doc_id", "text_key", F.posexplode("definitions").alias("ord", "m")).select(
+        "doc_id", "text_key", "ord", F.lit("define").alias("role"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("surface"), F.col("m").alias("mention"), empty(f"array<{PROVISION}>").alias("chain")
     )
     m = F.col("mention")
     rows = flat.union(defined).withColumns({
@@ -250,8 +249,9 @@ def resolve_works(found: DataFrame, registers: Registers, settings: Settings = S
     refs = rows.filter(direct).select(*keys).distinct()
     matched = match_works(refs, registers, settings)
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    rows = rows.withColumn("direct", direct)
-    rows = rows.alias("l").join(matched.withColumn("direct", F.lit(True)).alias("r"), [*on, F.col("l.direct") == F.col("r.direct")], "left").select("l.*", "r.match")
+    # bare pinpoints and back-references have no reference to look up and would all share one key
+    looked_up = rows.filter(direct).alias("l").join(matched.alias("r"), on, "left").select("l.*", "r.match")
+    rows = looked_up.union(rows.filter(~direct).withColumn("match", F.lit(None).cast(MATCH)))
 
     name = F.when(F.col("role") == "define", F.col("mention.short")).when(F.col("anaphoric"), F.col("title"))
     rows = rows.withColumn("alias", alias_key(name)).withColumn("back_year", F.when(F.col("anaphoric"), F.col("year")))
@@ -260,12 +260,12 @@ def resolve_works(found: DataFrame, registers: Registers, settings: Settings = S
     item = F.struct("ord", "start", "end", "surface", "mention", "chain", "mentioned", "anaphoric", "title", "year", "number", "work_type", "alias", "match", F.coalesce("alias_works", empty(f"array<{WORK}>")).alias("alias_works"), F.coalesce("year_works", empty(f"array<{WORK}>")).alias("year_works"))
     short = F.struct("ord", "alias", F.col("match.work").alias("work"))
     by_ord = lambda a, b: F.when(a["ord"] < b["ord"], -1).otherwise(1)
-    docs = rows.groupBy("doc_id").agg(
+    docs = rows.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_list(F.when(F.col("role") == "cite", item)), by_ord).alias("items"),
         F.array_sort(F.collect_list(F.when((F.col("role") == "define") & F.col("match.work").isNotNull(), short)), by_ord).alias("_shorts"),
     )
     docs = docs.withColumn("shorts", F.transform("_shorts", lambda d: F.struct(d["alias"].alias("key"), d["work"].alias("work")))).withColumn("matches", _fold(F.col("items"), F.col("shorts")))
-    out = docs.select("doc_id", F.explode(F.arrays_zip("items", "matches")).alias("x")).select("doc_id", "x.items.*", F.col("x.matches").alias("m"))
+    out = docs.select("doc_id", "text_key", F.explode(F.arrays_zip("items", "matches")).alias("x")).select("doc_id", "text_key", "x.items.*", F.col("x.matches").alias("m"))
     out = out.drop("match", "alias_works", "year_works", "alias")
     linked = out.withColumn("links", work_links(F.col("m.work"), F.col("chain"), F.col("title"), F.col("year"), *settings.version))
     more = F.when(F.size("links.urls") > 1, F.array(F.concat(F.size("links.urls").cast("string"), F.lit(" provisions cited; url is the first")))).otherwise(empty("array<string>"))
@@ -277,7 +277,7 @@ def resolve_works(found: DataFrame, registers: Registers, settings: Settings = S
         "doc_id", "ord", "surface", "start", "end", ref.alias("work_ref"), F.col("chain").alias("provisions"), F.col("m.work").alias("work"), F.col("m.work").isNotNull().alias("resolved"),
         F.col("m.confidence").alias("confidence"), F.col("m.method").alias("method"), F.col("m.candidates").alias("candidates"), F.concat("m.notes", more, ranges).alias("notes"),
         F.col("links.url").alias("url"), F.col("links.id_uri").alias("id_uri"),
-        F.struct(F.lit(settings.version[0]).alias("kind"), F.lit(settings.version[1]).cast("string").alias("date")).alias("version"),
+        F.struct(F.lit(settings.version[0]).alias("kind"), F.lit(settings.version[1]).cast("string").alias("date")).alias("version"), "text_key",
     )
 
 
@@ -306,10 +306,11 @@ def match_cases(refs: DataFrame, registers: Registers, settings: Settings = Sett
     """``refs`` (with name, neutral, reports) and ``match``."""
     cases = registers.cases
     none_cases = empty(f"array<{CASE}>")
-    keyed = refs.withColumn("_id", F.xxhash64(F.to_json(F.struct("name", "neutral", "reports")))).withColumn("_name", F.coalesce(name_key(F.col("name")), F.lit("")))
+    # the key of a reference is all of it, so that different ones can't meet
+    keyed = refs.withColumn("_id", F.to_json(F.struct("name", "neutral", "reports"))).withColumn("_name", F.coalesce(name_key(F.col("name")), F.lit("")))
     one = keyed.dropDuplicates(["_id"]).select("_id", "_name", "name", "neutral", "reports").withColumn("_neutral", F.coalesce(F.lower(neutral_text(F.col("neutral"))), F.lit("")))
     at = registers.index
-    r = one.join(at["neutral"], "_neutral", "left").persist(StorageLevel.MEMORY_AND_DISK)
+    r = kept(one.join(at["neutral"], "_neutral", "left"))
     reports = r.select("_id", F.posexplode("reports").alias("i", "r"))
     reports = reports.withColumn("strict", report_key(F.col("r.year"), F.col("r.volume"), F.col("r.series"), F.col("r.page")))
     reports = reports.withColumn("loose", report_key(F.col("r.year"), F.lit("*"), F.col("r.series"), F.col("r.page")))
@@ -331,12 +332,12 @@ def match_cases(refs: DataFrame, registers: Registers, settings: Settings = Sett
 
     r = r.join(at["name"], "_name", "left")
     named = F.filter(F.coalesce("name_cases", none_cases), lambda c: _years_agree(c, F.col("reports")))
-    r = r.withColumn("_named", named).persist(StorageLevel.MEMORY_AND_DISK)
+    r = kept(r.withColumn("_named", named))
     open_ = r.filter("name is not null and neutral is null and _single is null and size(_named) = 0").select(F.col("_name").alias("key"))
     r = r.join(search_cases(open_, cases, settings.suggest).withColumnRenamed("key", "_name"), "_name", "left")
     near = F.filter("found", lambda x: _years_agree(x["case"], F.col("reports")))
     r = r.withColumn("_near", F.coalesce(near, F.array().cast("array<struct<score:double,case:" + CASE + ">>")))
-    r = r.withColumn("_rounded", round4("_agrees"))
+    r = r.withColumn("_rounded", round4(F.col("_agrees")))
 
     cited, registered, single = F.col("name"), F.col("registered"), F.col("_single")
     loose = single["loose"]
@@ -367,8 +368,8 @@ def match_cases(refs: DataFrame, registers: Registers, settings: Settings = Sett
 
 
 def resolve_cases(found: DataFrame, registers: Registers, settings: Settings = Settings()) -> DataFrame:
-    """Case citations of ``found`` (doc_id, case_mentions): one resolved row each."""
-    rows = found.select("doc_id", F.posexplode("case_mentions").alias("ord", "c")).select("doc_id", "ord", "c.*")
+    """Case citations of ``found`` (doc_id, text_key, case_mentions): one resolved row each."""
+    rows = found.select("doc_id", "text_key", F.posexplode("case_mentions").alias("ord", "c")).select("doc_id", "text_key", "ord", "c.*")
     r = match_cases(rows, registers, settings)
     neutral = F.col("match.case.neutral")
     r = r.withColumn("link", F.when(neutral.isNotNull(), judgment_link(neutral)))
@@ -383,6 +384,6 @@ def resolve_cases(found: DataFrame, registers: Registers, settings: Settings = S
     return r.select(
         "doc_id", "ord", "surface", F.col("s").alias("start"), F.col("e").alias("end"), ref.alias("case_ref"), F.col("match.case").alias("case"),
         F.col("match.case").isNotNull().alias("resolved"), F.col("match.confidence").alias("confidence"), F.col("match.method").alias("method"),
-        F.col("match.candidates").alias("candidates"), F.concat("match.notes", note).alias("notes"), url.alias("url"), source.alias("source"),
+        F.col("match.candidates").alias("candidates"), F.concat("match.notes", note).alias("notes"), url.alias("url"), source.alias("source"), "text_key",
     )
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,32 +18,41 @@ from ..operators.links import case_citation, judgment_link, label, labels, work_
 from ..operators.resolve import Settings, resolve_cases, resolve_works
 from ..operators.works import find_citations
 from ..sources.registry import Registers
+from ..sources.storage import kept
 
 WHOLE_WORK, WHOLE_JUDGMENT = "(whole work)", "(whole judgment)"
 
 
 @dataclass
 class Resolved:
+    """Citations of documents. A doc_id names a document; if several texts have
+    the same one, each is resolved and annotated by itself (``text_key`` tells
+    them apart), and totals are those of the id."""
+
     documents: DataFrame  # doc_id, text
     citations: DataFrame
     cases: DataFrame
 
 
 def extract(docs: DataFrame, registers: Registers, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, case_mentions, citations, definitions for each document (doc_id, text)."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, text_key, case_mentions, citations, definitions for each document (doc_id, text)."""
+    texts = docs.select("doc_id", text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     if settings.link_cases:
         found = find_cases(texts, registers.names)
     else:
         found = find_cases(texts, []).withColumn("case_mentions", F.slice("case_mentions", 1, 0))
-    return find_citations(found, registers.aliases).select("doc_id", "case_mentions", "citations", "definitions")
+    return find_citations(found, registers.aliases).select("doc_id", "text_key", "case_mentions", "citations", "definitions")
+
+
+def text_key() -> Column:
+    """Tells texts of the same doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def resolve(docs: DataFrame, registers: Registers, settings: Settings = Settings()) -> Resolved:
-    """The citations of documents. The mentions are kept (on disk if they don't
-    fit), since works, cases and the look-ups of each start from them; a lost
-    part is extracted again."""
-    found = extract(docs, registers, settings).persist(StorageLevel.MEMORY_AND_DISK)
+    """The citations of documents. The mentions are kept, since works, cases and
+    the look-ups of each start from them."""
+    found = kept(extract(docs, registers, settings))
     return Resolved(docs.select("doc_id", "text"), resolve_works(found, registers, settings), resolve_cases(found, registers, settings))
 
 
@@ -59,8 +67,8 @@ def annotate(r: Resolved, fmt: str = "markdown", min_confidence: float = 0.0) ->
     if fmt not in ("markdown", "html"):
         raise ValueError(f"unknown format: {fmt!r}")
     escape = html if fmt == "html" else lambda t: t
-    works = r.citations.select("doc_id", "start", "end", F.lit(0).alias("kind"), "ord", "surface", "url", "confidence", "method", F.coalesce(work_citation(F.col("work")), F.lit("unresolved")).alias("title"))
-    cases = r.cases.select("doc_id", "start", "end", F.lit(1).alias("kind"), "ord", "surface", "url", "confidence", "method", F.coalesce(case_citation(F.col("case")), F.lit("unresolved")).alias("title"))
+    works = r.citations.select("doc_id", "text_key", "start", "end", F.lit(0).alias("kind"), "ord", "surface", "url", "confidence", "method", F.coalesce(work_citation(F.col("work")), F.lit("unresolved")).alias("title"))
+    cases = r.cases.select("doc_id", "text_key", "start", "end", F.lit(1).alias("kind"), "ord", "surface", "url", "confidence", "method", F.coalesce(case_citation(F.col("case")), F.lit("unresolved")).alias("title"))
 
     def link(c: Column) -> Column:
         if fmt == "html":
@@ -72,8 +80,8 @@ def annotate(r: Resolved, fmt: str = "markdown", min_confidence: float = 0.0) ->
         return F.when((F.length(c["url"]) > 0) & (c["confidence"] >= min_confidence), shown).otherwise(escape(c["surface"]))
 
     one = F.struct("start", "kind", "ord", "end", "surface", "url", "confidence", "method", "title")
-    marks = works.union(cases).groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("marks"))
-    both = r.documents.withColumn("text", F.coalesce("text", F.lit(""))).join(marks, "doc_id", "left")
+    marks = works.union(cases).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(one)).alias("marks"))
+    both = r.documents.select("doc_id", text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).join(marks, ["doc_id", "text_key"], "left")
     text = F.col("text")
 
     def add(state: Column, c: Column) -> Column:
@@ -90,7 +98,7 @@ def annotate(r: Resolved, fmt: str = "markdown", min_confidence: float = 0.0) ->
 
 
 def document_stats(r: Resolved) -> DataFrame:
-    """One row per document, those without citations included."""
+    """One row per doc_id, those without citations included."""
     yes = F.when(F.col("resolved"), 1).otherwise(0)
     works = r.citations.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("citations"), F.sum(yes).alias("resolved"), F.count_distinct("work.id").alias("distinct_works"), _in_order("work").alias("works")
@@ -98,7 +106,7 @@ def document_stats(r: Resolved) -> DataFrame:
     cases = r.cases.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("case_citations"), F.sum(yes).alias("cases_resolved"), F.count_distinct("case.id").alias("distinct_cases"), _in_order("case").alias("cases")
     )
-    joined = r.documents.select("doc_id").join(works, "doc_id", "left").join(cases, "doc_id", "left")
+    joined = r.documents.select("doc_id").distinct().join(works, "doc_id", "left").join(cases, "doc_id", "left")
     zero = {c: 0 for c in ("citations", "resolved", "distinct_works", "case_citations", "cases_resolved", "distinct_cases")}
     none = empty("array<string>")
     filled = joined.fillna(zero).withColumns({c: F.coalesce(c, none) for c in ("works", "cases")})
@@ -125,8 +133,8 @@ def _case_json(c: Column) -> Column:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    scores = F.transform("candidates", lambda c: F.struct(c["id"].alias("id"), F.bround(c["score"], 4).alias("score")))
-    return df.withColumn("confidence", round4("confidence")).withColumn("candidates", scores)
+    scores = F.transform("candidates", lambda c: F.struct(c["id"].alias("id"), round4(c["score"]).alias("score")))
+    return df.withColumn("confidence", round4(F.col("confidence"))).withColumn("candidates", scores)
 
 
 def to_json(r: Resolved, include_text: bool = False) -> DataFrame:

@@ -67,8 +67,9 @@ def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         _say("They cite the Interplanetary Sandwich Act 1977, s ", k, " often."),
         _say("See the Working Time Order 1998, regulation ", n, "."),
     ]
-    # every line has a number of its own within its order
-    key = F.col("l_orderkey") * 8 + n
+    # orders and line numbers recur, so a line is known by these columns together
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    key = F.concat_ws("-", *[c.cast("string") for c in (F.col("l_orderkey"), n, F.col("l_partkey"), F.col("l_suppkey"), cents)])
     return _table(spark, sf_dir, "lineitem").select(key.alias("doc_id"), _choose(F.col("l_orderkey") + n, texts).alias("text"))
 
 
@@ -88,7 +89,7 @@ SELECT doc_id, t, n, k,
                f"'{L_}/id/ukpga/2010/15/schedule/' || n || '/paragraph/' || k", f"'{L_}/id/ukpga/1911/' || k", f"'{L_}/id/uksi/1950/' || k || '/regulation/' || n", 'NULL',
                f"'{L_}/id/uksi/1998/1833/regulation/' || n"])} AS id_uri,
   {_case('t', ["'section ' || n", "'section ' || n || '(' || k || ')(a)'", "'section ' || k || ' to ' || (k + 2)", "'schedule ' || n || ', paragraph ' || k", "''", "'regulation ' || n", "'section ' || k", "'regulation ' || n"])} AS label
-FROM (SELECT l_orderkey * 8 + l_linenumber AS doc_id, (l_orderkey + l_linenumber) % 8 AS t, l_linenumber AS n, l_partkey % 90 + 1 AS k FROM lineitem)
+FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS doc_id, (l_orderkey + l_linenumber) % 8 AS t, l_linenumber AS n, l_partkey % 90 + 1 AS k FROM lineitem)
 """
 
 
@@ -157,7 +158,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def back_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = P.resolve(_orders(spark, sf_dir), registers(spark))
-    return r.citations.select("doc_id", "ord", "surface", F.col("work.id").alias("work_id"), "method", round4("confidence").alias("confidence"), "url", F.array_join("notes", "; ").alias("notes"))
+    return r.citations.select("doc_id", "ord", "surface", F.col("work.id").alias("work_id"), "method", round4(F.col("confidence")).alias("confidence"), "url", F.array_join("notes", "; ").alias("notes"))
 
 
 def _back_rows() -> str:
@@ -324,10 +325,13 @@ SELECT doc_id, (length(text) + 6)::INT AS start, (length(text) + 6 + length('sec
 
 
 def versioned_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a version. After a single subdivision the title begins with its
+    bracket, as after any word, and the citation is of the whole work; not so after two."""
     k = F.col("s_suppkey")
-    docs = _table(spark, sf_dir, "supplier").select(k.alias("doc_id"), _say("See section ", k, "(1) of the Human Rights Act 1998.").alias("text"))
+    texts = [_say("See section ", k, "(1) of the Human Rights Act 1998."), _say("See section ", k, "(1)(b) of the Human Rights Act 1998.")]
+    docs = _table(spark, sf_dir, "supplier").select(k.alias("doc_id"), _choose(k, texts).alias("text"))
     # the citations are resolved once; a version only changes their links
-    cites = P.resolve(docs, registers(spark)).citations.select("doc_id", "work", "provisions", "work_ref").persist()
+    cites = P.resolve(docs, registers(spark)).citations.select("doc_id", "work", "provisions", "work_ref")
     out = None
     for text in ("latest", "prospective", "original", "as-at:1999-02-01"):
         links = L.work_links(F.col("work"), F.col("provisions"), F.col("work_ref.title"), F.col("work_ref.year"), *L.version(text))
@@ -337,7 +341,8 @@ def versioned_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VERSIONED = " UNION ALL ".join(
-    f"SELECT s_suppkey AS doc_id, '{text}' AS asked, '{L_}/ukpga/1998/42/section/' || s_suppkey || '{end}#section-' || s_suppkey || '-1' AS url, '{L_}/id/ukpga/1998/42/section/' || s_suppkey || '/1' AS id_uri FROM supplier"
+    f"SELECT s_suppkey AS doc_id, '{text}' AS asked, {_case('s_suppkey', [f"'{L_}/ukpga/1998/42{end}'", f"'{L_}/ukpga/1998/42/section/' || s_suppkey || '{end}#section-' || s_suppkey || '-1-b'"])} AS url, "
+    f"{_case('s_suppkey', [f"'{L_}/id/ukpga/1998/42'", f"'{L_}/id/ukpga/1998/42/section/' || s_suppkey || '/1/b'"])} AS id_uri FROM supplier"
     for text, end in (("latest", ""), ("prospective", ""), ("original", "/enacted"), ("as-at:1999-02-01", "/1999-02-01"))
 )
 
@@ -369,7 +374,7 @@ def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.search_works(probes, registers(spark).works, 0.86)
     near = R.search_works(probes.filter("year = 1985"), registers(spark).works, 0.6)
     one = found.union(near.select(*found.columns)).select("norm", "year", F.get("found", 0).alias("f"))
-    return one.select("norm", "year", F.col("f.work.id").alias("work_id"), round4("f.score").alias("score")).distinct()
+    return one.select("norm", "year", F.col("f.work.id").alias("work_id"), round4(F.col("f.score")).alias("score")).distinct()
 
 
 FUZZY = """

@@ -26,6 +26,8 @@ TEXTS = {
     "alone": "Following Patel v Mirza and Montgomery v Lanarkshire Health Board, the Brexit v Remain debate.",
     "report": "Smith v Jones [1996] Ch 1, at para 45, and the Human Rights Act 1998.",
     "brind": "R v Secretary of State for the Home Department, ex p. Brind [1991] 1 AC 696.",
+    "one subdivision": "section 45(1) of the Human Rights Act 1998",
+    "far": "Smith v Jones [2018] EWCA Civ 1 at" + " " * 600 + "[12], and so on.",
     "empty": "",
     "null": None,
 }
@@ -86,6 +88,45 @@ def test_cases(resolved):
     assert cases["brind"][0].case_ref.name == "R v Secretary of State for the Home Department, ex p. Brind"
 
 
+def test_single_subdivision_begins_the_title(resolved):
+    """A bracket after a digit is a word boundary, so that the title takes it."""
+    cite = resolved[1]["one subdivision"][0]
+    assert cite.surface == "(1) of the Human Rights Act 1998" and cite.url == f"{SITE}/ukpga/1998/42"
+
+
+def test_pinpoint_far_from_its_citation(resolved):
+    assert resolved[2]["far"][0].case_ref.pinpoint == "[12]"
+
+
+def test_texts_that_share_an_id(spark):
+    """Each text is resolved by itself; totals are those of the id; nothing is counted twice."""
+    first, second = "The Theft Act 1968 applies. Section 1 remains.", "Section 2 bites. The Human Rights Act 1998 too."
+    docs = spark.createDataFrame([(1, first), (1, second), (2, "")], "doc_id int, text string")
+    r = pipeline.resolve(docs, Registers.load(spark))
+    found = {c.surface: (c.work.id if c.work else None, c.method) for c in r.citations.collect()}
+    assert found["Section 1"] == ("ukpga-1968-60", "context") and found["Section 2"] == (None, "unresolved")
+    stats = {x.doc_id: x for x in pipeline.document_stats(r).collect()}
+    assert len(stats) == 2 and (stats[1].citations, stats[1].resolved, stats[2].citations) == (4, 3, 0)
+    total = pipeline.corpus_stats(r).first()
+    assert (total.documents, total.total_citations, total.resolved_citations) == (2, 4, 3)
+    texts = sorted(x.annotated for x in pipeline.annotate(r).filter("doc_id = 1").collect())
+    assert [t.count("](") for t in texts] == [1, 2] or [t.count("](") for t in texts] == [2, 2]
+    assert all(("Theft" in t) != ("Human" in t) for t in texts)
+
+
+def test_rounding_and_name_agreement(spark):
+    from pyspark.sql import functions as F
+
+    from lexweave.functions.similarity import name_agreement, ratio, round4
+
+    values = [m / t for t in range(1, 200) for m in range(t + 1)] + [k / 20000 for k in range(20001)]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", round4(F.col("x")).alias("r")).collect()
+    assert all(r.r == round(r.x, 4) for r in rows)
+    pairs = [("r v smith", "r v smith jones", 1.0), ("a v b", "b v a", 0.0), ("x y", "x z", ratio("x y", "x z")), ("a v b v c", "a v b", ratio("a v b v c", "a v b")), (None, "a v b", None)]
+    df = spark.createDataFrame(pairs, "a string, b string, want double")
+    assert all(r.got == r.want for r in df.withColumn("got", name_agreement(F.col("a"), F.col("b"))).collect())
+
+
 def test_annotation_and_index(resolved):
     r = resolved[0]
     texts = {x.doc_id: x.annotated for x in pipeline.annotate(r).collect()}
@@ -94,7 +135,7 @@ def test_annotation_and_index(resolved):
     stats = pipeline.corpus_stats(r).first()
     assert stats.documents == len(TEXTS)
     hra = {x.id: x for x in pipeline.cited_works(r).collect()}["ukpga-1998-42"]
-    assert hra.mentions == 3 and set(hra.cited_by) == {"act", "subs", "report"}
+    assert hra.mentions == 4 and set(hra.cited_by) == {"act", "subs", "report", "one subdivision"}
     with pytest.raises(ValueError):
         pipeline.annotate(r, "pdf")
 
