@@ -1,10 +1,10 @@
 """Language identification by interpolated Kneser-Ney character language models.
 
-Letters are mapped to a small alphabet, upper and lower case alike; a run of
-anything else is one separator. For each language the n-grams of a sample of
+Letters are numbered, upper and lower case alike; a run of anything else is one
+separator, a letter that the sample doesn't have is one unknown. For each language the n-grams of a sample of
 labelled documents give a Kneser-Ney model of ORDER characters. The models are
-flattened into arrays sorted by the n-gram's hash (its characters' numbers in
-one integer, so without collisions): one row of log-probabilities, a column per
+flattened into arrays sorted by the n-gram's hash (its characters' numbers, 16
+bits each, in one integer, so without collisions): one row of log-probabilities, a column per
 language, for every n-gram that any language has, and one row of back-off
 weights for each context. A document goes to the language with the lowest
 cross-entropy per character.
@@ -19,7 +19,10 @@ where no language has two documents nothing can be measured nor rejected. A
 rejected document still gets its best language, so that a caller can decide.
 
 The sample is bounded: at most about PER_LANGUAGE documents of a language, dealt
-by the hash of doc_id. Whole texts are read, for training and prediction.
+by the hash of doc_id. Whole texts are read, for training and prediction, long
+ones in slices of SLICE characters, whose sums are added up. All letters of the
+sample have a number of their own: 16 bits hold more than the letters that a
+bounded sample of living scripts has (should it have more, the rarest are unknown).
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and
 is rejected; rows are judged one by one, so repeated rows and null ids are kept;
@@ -39,13 +42,22 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, cut
 
-ORDER, PER_LANGUAGE, ALPHABET, SLACK = 4, 1500, 1000, 3.0
+ORDER, PER_LANGUAGE, SLACK = 4, 1500, 3.0
 #: Folds of the sample for calibration, and documents from which on a language has a quantile of its own.
 FOLDS, FEW = 5, 20
 UNKNOWN = "und"
 #: Characters that are worked on at once, and letters' worth of evidence that a score counts at most.
 SLICE, EVIDENCE = 1 << 19, 50
-SPACE = 1 << 10  # numbers of characters; ALPHABET and two more fit
+#: Numbers of characters: 0 is the separator, 1 an unknown letter. ORDER of them fit into 64 bits.
+SPACE = 1 << 16
+
+
+_BITS = np.uint64(16)
+
+
+def _suffix(code: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` characters."""
+    return code & np.uint64((1 << 16 * order) - 1)
 
 
 def _letters() -> np.ndarray:
@@ -62,7 +74,7 @@ def numbers(text: str, table: np.ndarray) -> np.ndarray:
     """The text's characters as numbers, runs of separators as one 0, one 0 at both ends."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = table[codes]
-    out = np.zeros(len(n) + 2, np.int64)
+    out = np.zeros(len(n) + 2, np.uint64)
     out[1:-1] = n
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
@@ -71,12 +83,12 @@ def numbers(text: str, table: np.ndarray) -> np.ndarray:
 
 def grams(n: np.ndarray, order: int) -> np.ndarray:
     """The hash of the n-gram that ends at each character but the first; begins are padded with 0."""
-    padded = np.concatenate([np.zeros(max(0, order - 2), np.int64), n])
+    padded = np.concatenate([np.zeros(max(0, order - 2), np.uint64), n])
     size = len(n) - 1
-    code = np.zeros(size, np.int64)
+    code = np.zeros(size, np.uint64)
     for i in range(order):
         start = len(padded) - size - (order - 1) + i
-        code = code * SPACE + padded[start : start + size]
+        code = code << _BITS | padded[start : start + size]
     return code
 
 
@@ -105,8 +117,8 @@ class Model:
         out = self.logs[order - 1][at]
         if not found.all():
             miss = code[~found]
-            lower = self.log_prob(miss % SPACE ** (order - 1), order - 1)
-            where, known = _find(self.contexts[order - 1], miss // SPACE)
+            lower = self.log_prob(_suffix(miss, order - 1), order - 1)
+            where, known = _find(self.contexts[order - 1], miss >> _BITS)
             out[~found] = lower + np.where(known[:, None], self.weights[order - 1][where], 0)
         return out
 
@@ -125,25 +137,25 @@ class Model:
         levels = [(c["keys"], c["n"].astype(np.float64)) for c in counts]
         by_order = [levels]
         for order in range(ORDER - 1, 0, -1):  # continuation counts
-            levels = [np.unique(keys % SPACE**order, return_counts=True) for keys, _ in levels]
+            levels = [np.unique(_suffix(keys, order), return_counts=True) for keys, _ in levels]
             levels = [(k, n.astype(np.float64)) for k, n in levels]
             by_order.append(levels)
         for order, levels in enumerate(reversed(by_order), 1):
             keys = np.unique(np.concatenate([k for k, _ in levels]))
-            contexts = np.unique(keys // SPACE)
+            contexts = np.unique(keys >> _BITS)
             weights = np.zeros((len(contexts), len(levels)), np.float32)
             logs = np.zeros((len(keys), len(levels)), np.float32)
-            lower = self.log_prob(keys % SPACE ** (order - 1), order - 1)
+            lower = self.log_prob(_suffix(keys, order - 1), order - 1)
             for i, (own, n) in enumerate(levels):
                 once, twice = (n == 1).sum(), (n == 2).sum()
                 discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-                at = np.searchsorted(contexts, own // SPACE)
+                at = np.searchsorted(contexts, own >> _BITS)
                 total = np.bincount(at, n, len(contexts))
                 kinds = np.bincount(at, minlength=len(contexts))
                 weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
                 p = np.zeros(len(keys))
                 p[np.searchsorted(keys, own)] = (n - discount) / total[at]
-                p += weight[np.searchsorted(contexts, keys // SPACE)] * np.exp(lower[:, i])
+                p += weight[np.searchsorted(contexts, keys >> _BITS)] * np.exp(lower[:, i])
                 logs[:, i], weights[:, i] = np.log(p), np.log(weight)
             self.keys.append(keys)
             self.logs.append(logs)
@@ -199,7 +211,7 @@ def train(docs: DataFrame) -> Model:
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["letter", "n"])
 
     counted = sample.select("text").mapInArrow(alphabet, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    known = [r["letter"] for r in counted.orderBy(F.desc("n"), "letter").limit(ALPHABET).collect()]
+    known = [r["letter"] for r in counted.orderBy(F.desc("n"), "letter").limit(SPACE - 2).collect()]
     number = np.zeros(0x110000, np.int64)
     number[known] = np.arange(2, len(known) + 2)
     lower = letters.value
@@ -218,7 +230,7 @@ def train(docs: DataFrame) -> Model:
                 held.setdefault((lang, fold), []).append(grams(numbers(text, sent.value), ORDER))
             for (lang, fold), codes in held.items():
                 keys, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), fold, np.int32)), pa.array(keys), pa.array(n)], ["lang", "fold", "gram", "n"])
+                yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), fold, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "fold", "gram", "n"])
 
     found = sample.mapInArrow(count, "lang string, fold int, gram long, n long").groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n")).toPandas()
 
@@ -226,8 +238,10 @@ def train(docs: DataFrame) -> Model:
         m = Model(languages, table)
         sums = dict(iter(rows.groupby(["lang", "gram"], as_index=False)["n"].sum().groupby("lang")))
         none = rows.iloc[:0]
-        own = [sums.get(lang, none).sort_values("gram") for lang in languages]
-        m.fit([{"keys": c["gram"].to_numpy(np.int64), "n": c["n"].to_numpy(np.int64)} for c in own])
+        own = [sums.get(lang, none) for lang in languages]
+        grams_ = [c["gram"].to_numpy(np.int64).view(np.uint64) for c in own]
+        orders = [np.argsort(g) for g in grams_]
+        m.fit([{"keys": g[o], "n": c["n"].to_numpy(np.int64)[o]} for g, o, c in zip(grams_, orders, own, strict=True)])
         m.counts = [len(c) for c in own]
         return m
 
