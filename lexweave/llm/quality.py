@@ -1,29 +1,36 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are training documents labelled 1; the unlabelled set is a
-sample of all training documents, whatever their labels. The class prior is the
-share of ones among the training labels. A logistic model over FEATURES text
-statistics, each also cut into BINS by the unlabelled sample's quantiles,
-minimises the non-negative unbiased risk
-
-    prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
-
-turning back along the second term's gradient where it falls below 0.
-
-Both samples are bounded by SAMPLE rows, dealt by the hash of doc_id. Scoring
-reads every whole text once and shuffles nothing.
-
-Defined cases: null text is empty text; rows are scored one by one, so repeated
-rows and null ids are kept; several labels of one id count as their minimum;
-without positives every score is the prior, 0.5 without labels; an empty table
-gives an empty result. labels, lang, source and doc_id don't enter a score.
+Trusted positives are training documents labelled 1; the unlabelled set is every
+training document, whatever its labels. A logistic model over FEATURES text
+statistics, each also cut into BINS by the unlabelled set's quantiles, minimises
+the non-negative unbiased risk
+
+    prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
+
+by L-BFGS. Negative labels are never used. The class prior is estimated from
+positives and unlabelled: where a first score (the bins' log ratios) is so high
+that only positives reach it, the unlabelled share above it is the prior times the
+positives' share; the least ratio of both over all thresholds that a tenth of the
+positives reach is taken.
+
+Features of the training documents are computed once and kept as a table; mean,
+spread, quantiles, histograms and, in each step, the unlabelled risk and its
+gradient are sums over all of its rows, of which some hundred numbers come to the
+driver. Only the trusted positives are a sample: at most about SAMPLE rows, dealt
+by the hash of doc_id. Scoring reads every whole text once and shuffles nothing.
+
+Defined cases: null text is empty text; texts of any length are read whole; rows
+are scored one by one, so repeated rows and null ids are kept; several labels of
+one id count as their minimum; without trusted positives every score is 0.5; an
+empty table gives an empty result. labels, lang, source and doc_id don't enter a
+score; columns with other names don't matter.
 """
 
 from __future__ import annotations
 
 import operator
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,9 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut
+from .common import crc_mod, cut, discard, small_batches
 
-SAMPLE, BINS, STEPS, RATE, DECAY = 12_000, 10, 600, 0.05, 1e-3
+#: Trusted positives at most; bins of a feature; evaluations of the risk at most; weight decay; steps that L-BFGS remembers.
+SAMPLE, BINS, EVALUATIONS, DECAY, MEMORY = 12_000, 10, 60, 1e-3, 10
+#: Steps of the first score's histogram, and positives' share from which on a threshold can tell the prior.
+STEPS, REACHED = 1000, 0.1
 THRESHOLD = 0.3
 
 _CLASS = np.zeros(256, np.uint8)
@@ -62,77 +72,163 @@ class Model:
     edges: np.ndarray  # FEATURES x (BINS - 1)
     weights: np.ndarray
     constant: float | None = None
+    prior: float | None = None
 
-    def expand(self, x: np.ndarray) -> np.ndarray:
-        scaled = np.clip((x - self.mean) / self.spread, -5, 5)
+    def bins(self, x: np.ndarray) -> np.ndarray:
         at = np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, x.T, strict=True)], 1)
         hot = np.zeros((len(x), x.shape[1], BINS))
         np.put_along_axis(hot, at[:, :, None], 1, 2)
-        return np.hstack([scaled, hot.reshape(len(x), -1), np.ones((len(x), 1))])
+        return hot.reshape(len(x), -1)
+
+    def expand(self, x: np.ndarray) -> np.ndarray:
+        scaled = np.clip((x - self.mean) / self.spread, -5, 5)
+        return np.hstack([scaled, self.bins(x), np.ones((len(x), 1))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.expand(x) @ self.weights, -30, 30)))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    mean, spread = unlabelled.mean(0), unlabelled.std(0) + 1e-9
-    edges = np.quantile(unlabelled, np.arange(1, BINS) / BINS, axis=0).T
-    model = Model(mean, spread, edges, np.zeros(0))
-    p, u = model.expand(positive), model.expand(unlabelled)
-    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
-
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-    for step in range(1, STEPS + 1):
-        zp, zu = p @ w, u @ w
-        # logistic losses: log(1 + exp(-z)) as positive, log(1 + exp(z)) as negative
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        down = u.T @ sigmoid(zu) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
-        if negative >= 0:
-            gradient = -prior * (p.T @ sigmoid(-zp)) / len(p) + down
+        return _sigmoid(self.expand(x) @ self.weights)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior from histograms (counts by score, ascending) of both sets."""
+    p, u = (np.cumsum(h[::-1]) / h.sum() for h in (positive, unlabelled))
+    reached = p >= REACHED
+    # what chance can add to the unlabelled share
+    chance = np.sqrt(np.log(40) / (2 * unlabelled.sum()))
+    return float(np.clip(((u[reached] + chance) / p[reached]).min(), 1e-3, 1 - 1e-3))
+
+
+def risk(w: np.ndarray, positive: np.ndarray, prior: float, unlabelled: Callable[[np.ndarray], tuple[float, np.ndarray]]) -> tuple[float, np.ndarray]:
+    """The non-negative risk and its gradient. positive: expanded rows;
+    ``unlabelled(w)``: mean loss of the unlabelled rows as negatives and its gradient."""
+    z = positive @ w
+    # logistic losses: log(1 + exp(-z)) as positive, log(1 + exp(z)) as negative
+    value = prior * np.logaddexp(0, -z).mean()
+    gradient = -prior * (positive.T @ _sigmoid(-z)) / len(z)
+    loss, slope = unlabelled(w)
+    rest = loss - prior * np.logaddexp(0, z).mean()
+    if rest > 0:
+        value += rest
+        gradient = gradient + slope - prior * (positive.T @ _sigmoid(z)) / len(z)
+    return value + DECAY / 2 * (w @ w), gradient + DECAY * w
+
+
+def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, most: int = EVALUATIONS) -> np.ndarray:
+    """L-BFGS with a halving line search, at most ``most`` evaluations."""
+    w, used = np.zeros(size), 1
+    value, gradient = evaluate(w)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    while used < most and np.abs(gradient).max() > 1e-5:
+        way, heights = -gradient, []
+        for s, y in reversed(steps):
+            heights.append((s @ way) / (s @ y))
+            way = way - heights[-1] * y
+        if steps:
+            s, y = steps[-1]
+            way = way * (s @ y) / (y @ y)
+        for (s, y), height in zip(steps, reversed(heights), strict=True):
+            way = way + s * (height - (y @ way) / (s @ y))
+        slope, length = way @ gradient, 1.0
+        if slope >= 0:
+            way, slope, steps = -gradient, -(gradient @ gradient), []
+        while used < most:
+            there, (new, bent) = w + length * way, evaluate(w + length * way)
+            used += 1
+            if new <= value + 1e-4 * length * slope:
+                break
+            length /= 2
         else:
-            gradient = -down
-        gradient += DECAY * w
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model.weights = w
-    return model
+            return w
+        if (there - w) @ (bent - gradient) > 1e-12:
+            steps = [*steps, (there - w, bent - gradient)][-MEMORY:]
+        w, value, gradient = there, new, bent
+    return w
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([features(t.as_py()) for t in batch.column(0)]).reshape(-1)
         offsets = pa.array(np.arange(0, len(found) + 1, FEATURES), pa.int32())
-        yield pa.record_batch([pa.ListArray.from_arrays(offsets, pa.array(found)), batch.column(1), batch.column(2)], ["x", "p", "u"])
+        yield pa.record_batch([pa.ListArray.from_arrays(offsets, pa.array(found)), batch.column(1)], ["x", "p"])
+
+
+def _summed(table: DataFrame, size: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of ``of(x)``, ``size`` numbers, over the rows of ``table``: x is a matrix of some of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size)
+        for batch in batches:
+            sums += of(batch.column(0).flatten().to_numpy().reshape(-1, FEATURES))
+        yield pa.record_batch([pa.array(np.arange(size, dtype=np.int32)), pa.array(sums)], ["at", "sum"])
+
+    found = table.select("x").mapInArrow(run, "at int, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).toArrow()
+    out = np.zeros(size)
+    out[found.column("at").to_numpy()] = found.column("sum").to_numpy()
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     def dealt(salt: str, rate: float):
         return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rate))
 
+    nothing = Model(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), 0.5)
     usable = labels.filter((crc_mod("doc_id", 5) != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    known = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ones, all_ = known.agg(F.coalesce(F.sum("quality"), F.lit(0)), F.count(F.lit(1))).first()
-    mine = docs.filter(crc_mod("doc_id", 5) != 0)
-    rows = mine.select("doc_id").count()
-    nothing = Model(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), ones / all_ if all_ else 0.5)
-    if not ones or not rows:
+    known = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
+    ones = known.count()
+    if not ones:
         return nothing
-    trusted = known.filter((F.col("quality") == 1) & dealt("trusted", SAMPLE / ones)).select("doc_id", F.lit(True).alias("p"))
     # about SAMPLE ids by construction, so the broadcast is bounded
-    both = mine.select("doc_id", "text", dealt("unlabelled", SAMPLE / rows).alias("u")).join(F.broadcast(trusted), "doc_id", "left")
-    picked = both.filter("p or u").select("text", F.coalesce("p", F.lit(False)).alias("p"), F.coalesce("u", F.lit(False)).alias("u"))
-    table = picked.mapInArrow(_rows, "x array<double>, p boolean, u boolean").toArrow()
-    if not table.num_rows:
+    trusted = known.filter(dealt("trusted", SAMPLE / ones)).select("doc_id", F.lit(True).alias("p"))
+    mine = docs.filter(crc_mod("doc_id", 5) != 0).select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left")
+    with small_batches(docs.sparkSession):
+        table = cut(mine.select("text", F.coalesce("p", F.lit(False)).alias("p")).mapInArrow(_rows, "x array<double>, p boolean"))
+    found = table.filter("p").select("x").toArrow()
+    if not found.num_rows:
+        discard(table)
         return nothing
-    x = np.array(table.column("x").to_pylist(), np.float64).reshape(-1, FEATURES)
-    # the same order of sums on every run
-    order = np.lexsort(x.T)
-    x, p, u = x[order], table.column("p").to_numpy()[order].astype(bool), table.column("u").to_numpy()[order].astype(bool)
-    return fit(x[p], x[u], ones / all_) if p.any() and u.any() else nothing
+    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
+    x = x[np.lexsort(x.T)]  # the same order of sums on every run
+
+    columns = [F.get("x", i) for i in range(FEATURES)]
+    shares = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    row = table.agg(
+        F.count(F.lit(1)), F.array(*[F.avg(c) for c in columns]), F.array(*[F.stddev_pop(c) for c in columns]), F.array(*[F.percentile_approx(c, shares, 10_000) for c in columns])
+    ).first()
+    rows = row[0]
+    model = Model(np.array(row[1]), np.array(row[2]) + 1e-9, np.array(row[3]), np.zeros(0))
+
+    # a first score: by bin, the log ratio of shares
+    size = FEATURES * BINS
+    p, u = model.bins(x).sum(0), _summed(table, size, lambda x: model.bins(x).sum(0))
+    ratio = np.log((p + 1) / (len(x) + BINS)) - np.log((u + 1) / (rows + BINS))
+    low, high = (f(ratio.reshape(FEATURES, BINS), axis=1).sum() for f in (np.min, np.max))
+
+    def histogram(x: np.ndarray) -> np.ndarray:
+        at = (model.bins(x) @ ratio - low) / max(high - low, 1e-9) * (STEPS - 1)
+        return np.bincount(np.clip(at, 0, STEPS - 1).astype(np.int64), minlength=STEPS).astype(float)
+
+    prior = prior_of(histogram(x), _summed(table, STEPS, histogram))
+
+    positive = model.expand(x)
+
+    def unlabelled(w: np.ndarray) -> tuple[float, np.ndarray]:
+        def of(x: np.ndarray) -> np.ndarray:
+            e = model.expand(x)
+            z = e @ w
+            return np.append(e.T @ _sigmoid(z), np.logaddexp(0, z).sum())
+
+        sums = _summed(table, positive.shape[1] + 1, of) / rows
+        return float(sums[-1]), sums[:-1]
+
+    model.weights = minimise(lambda w: risk(w, positive, prior, unlabelled), positive.shape[1])
+    model.prior = prior
+    discard(table)
+    return model
 
 
 def _score(batch: pa.RecordBatch, at: int, model: Model) -> np.ndarray:

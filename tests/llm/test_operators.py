@@ -297,3 +297,109 @@ def test_jaccard_of_drifting_copies(spark, k, percent):
                 root[y] = x
     found = {r.doc_id: r.component_id for r in jaccard.join(_docs(spark, list(enumerate(rows))), k, percent).collect()}
     assert found == {i: top(i) for i in range(len(rows))}
+
+
+def test_language_models_against_brute_force():
+    """Interpolated Kneser-Ney by dictionaries of strings; after any context the probabilities of all characters sum to one."""
+    import numpy as np
+
+    texts = {"aa": ["aba cab", "abacus ab"], "bb": ["xyx aby", "yx xy漢字 漢"]}
+    letters = sorted({c for t in texts.values() for x in t for c in x if c != " "})
+    table = np.zeros(0x110000, np.uint16)
+    table[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
+    model = langid.Model(list(texts), table)
+    counts = []
+    for lang in texts:
+        keys, n = np.unique(np.concatenate([langid.grams(langid.numbers(t, table), langid.ORDER) for t in texts[lang]]), return_counts=True)
+        counts.append({"keys": keys, "n": n})
+    model.fit(counts)
+    alphabet = [0, 1, *range(2, len(letters) + 2)]
+
+    def levels(lang):
+        top = Counter()
+        for t in texts[lang]:
+            n = [0] * (langid.ORDER - 2) + [int(x) for x in langid.numbers(t, table)]
+            top.update(tuple(n[i : i + langid.ORDER]) for i in range(len(n) - langid.ORDER + 1))
+        found = {langid.ORDER: top}
+        for order in range(langid.ORDER - 1, 0, -1):
+            found[order] = Counter(g[1:] for g in found[order + 1])
+        return found
+
+    for i, lang in enumerate(texts):
+        counted = levels(lang)
+
+        def p(gram, counted=counted):
+            if not gram:
+                return 1 / langid.SPACE
+            own = counted[len(gram)]
+            once, twice = (sum(n == k for n in own.values()) for k in (1, 2))
+            d = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+            after = [n for g, n in own.items() if g[:-1] == gram[:-1]]
+            if not after:
+                return p(gram[1:])
+            return max(0, own.get(gram, 0) - (d if gram in own else 0)) / sum(after) + d * len(after) / sum(after) * p(gram[1:])
+
+        for context in [(0, 0, 0), (2, 3, 2), (5, 2, 0), (1, 1, 1), (3, 0, 2)]:
+            codes = np.array([sum(c << 16 * (3 - k) for k, c in enumerate((*context, last))) for last in alphabet], np.uint64)
+            got = np.exp(model.log_prob(codes)[:, i].astype(float))
+            assert np.allclose(got, [p((*context, last)) for last in alphabet], rtol=1e-4)
+            # numbers that no letter has are alike
+            rest = np.exp(model.log_prob(codes[:1] | np.uint64(60_000))[0, i].astype(float))
+            assert math.isclose(got.sum() + (langid.SPACE - len(alphabet)) * rest, 1, rel_tol=1e-4)
+
+
+def test_language_id_of_a_large_alphabet(spark):
+    """More letters than there are in two thousand, each with a number of its own."""
+    rng = random.Random(8)
+    low, high = [chr(0x4E00 + i) for i in range(1500)], [chr(0x4E00 + 1500 + i) for i in range(1500)]
+    rows = [(i, "".join(rng.choices(low if i % 2 else high, k=400)), "lo" if i % 2 else "hi") for i in range(120)]
+    df = spark.createDataFrame([*rows, rows[0], (None, rows[0][1], None)], "doc_id long, text string, lang string")
+    found = langid.identify(df).collect()
+    assert len(found) == 122 and all(r.lang_pred == ("lo" if r.doc_id % 2 else "hi") for r in found if r.doc_id is not None)
+    assert [r.lang_pred for r in found if r.doc_id is None] == ["hi"]
+
+
+def test_quality_risk_against_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1, 1, (40, 3)), rng.normal(0, 1, (90, 3))
+
+    def unlabelled(w):
+        return float(np.mean([math.log1p(math.exp(x @ w)) for x in u])), sum(x / (1 + math.exp(-(x @ w))) for x in u) / len(u)
+
+    def brute(w, prior):
+        plus = sum(math.log1p(math.exp(-(x @ w))) for x in p) / len(p)
+        rest = sum(math.log1p(math.exp(x @ w)) for x in u) / len(u) - prior * sum(math.log1p(math.exp(x @ w)) for x in p) / len(p)
+        return prior * plus + max(0.0, rest) + quality.DECAY / 2 * (w @ w)
+
+    for prior, w in ((0.3, rng.normal(0, 1, 3)), (0.9, np.array([4.0, 4.0, 4.0])), (0.5, np.zeros(3))):
+        value, gradient = quality.risk(w, p, prior, unlabelled)
+        assert math.isclose(value, brute(w, prior), rel_tol=1e-9)
+        for i in range(3):
+            e = np.eye(3)[i] * 1e-6
+            assert math.isclose(gradient[i], (brute(w + e, prior) - brute(w - e, prior)) / 2e-6, rel_tol=1e-4, abs_tol=1e-6)
+    best = quality.minimise(lambda w: quality.risk(w, p, 0.4, unlabelled), 3, 200)
+    for _ in range(200):
+        assert brute(best, 0.4) <= brute(best + rng.normal(0, 0.05, 3), 0.4) + 1e-9
+
+
+def test_quality_prior():
+    """Half of the unlabelled are like the positives, half never score as high."""
+    import numpy as np
+
+    positive, unlabelled = np.zeros(100), np.zeros(100)
+    positive[50:] = 20
+    unlabelled[50:], unlabelled[:50] = 2000, 2000
+    assert math.isclose(quality.prior_of(positive, unlabelled), 0.5, abs_tol=0.02)
+
+
+def test_quality_of_repeated_rows_and_nulls(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(WORDS, k=40)) + "." if i % 5 else "SPAM!! " * 40) for i in range(200)]
+    docs = spark.createDataFrame([*rows, rows[3], rows[3], (None, rows[3][1]), (999, "x " * 300_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(bool(i % 5))) for i in range(200)] + [(3, 1), (None, 1), (7, None)], "doc_id long, quality int")
+    found = quality.classify(docs, labels).collect()
+    assert len(found) == 204 and len({r.score for r in found if r.doc_id in (3, None)}) == 1
+    kept = quality.keep_good(docs, labels).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(r.doc_id) for r in found if r.predicted)
