@@ -31,52 +31,6 @@ SELECT d.doc_id, d.size, g.source_size, g.target,
 FROM sized d JOIN rests g USING (skey) LEFT JOIN edges e USING (skey)
 """
 
-
-
-def _urn(text: str) -> str:
-    h = f"sha256({text})"
-    return (
-        f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-8' || substr({h}, 14, 3)"
-        f" || '-a' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
-    )
-
-
-def _text() -> str:
-    text = r"regexp_replace(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<head\b.*?</head\s*>', ' ', 'gis')"
-    text = rf"regexp_replace({text}, '</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|main|aside|blockquote|pre|title|form)\b[^>]*>', chr(10), 'gi')"
-    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = f"replace({text}, '{name}', '{char}')"
-    text = rf"regexp_replace({text}, '[ \t\r\f]+', ' ', 'g')"
-    text = rf"regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g')"
-    return rf"regexp_replace({text}, '^[ \n]+|[ \n]+$', '', 'g')"
-
-
-_CRLF = "chr(13) || chr(10)"
-WARC = rf"""
-WITH base AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html FROM pages),
-found AS (
-  SELECT page_id, target_uri, {_urn("target_uri || chr(10) || html")} AS refers_to, 'sha256:' || sha256(html) AS source_digest,
-         'source-target-uri: ' || target_uri || {_CRLF} || 'source-content-type: text/html' || {_CRLF}
-         || 'source-content-length: ' || strlen(html) || {_CRLF} || 'source-payload-digest: sha256:' || sha256(html) || {_CRLF}
-         || 'title: ' || trim(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]*)', 1, 'is'), '[ \t\r\n]+', ' ', 'g')) || {_CRLF}
-         || 'language: ' || regexp_extract(html, '<html[^>]*\blang="([A-Za-z-]*)"', 1, 'i') || {_CRLF}
-         || 'outlinks: ' || len(regexp_extract_all(html, '<a[^>]*\bhref=', 0, 'i')) || {_CRLF} AS fields,
-         {_text()} AS text
-  FROM base),
-rows_ AS (
-  SELECT page_id, 'metadata' AS warc_type, target_uri, refers_to, source_digest, 'application/warc-fields' AS content_type, fields AS block FROM found
-  UNION ALL SELECT page_id, 'conversion', target_uri, refers_to, source_digest, 'text/plain; charset=utf-8', text FROM found),
-named AS (SELECT *, {_urn("refers_to || chr(10) || warc_type || chr(10) || block")} AS record_id, 'sha256:' || sha256(block) AS block_digest FROM rows_)
-SELECT page_id, warc_type, target_uri, refers_to, source_digest, content_type, block, record_id, block_digest,
-       sha256('WARC/1.1' || {_CRLF} || 'WARC-Type: ' || warc_type || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF}
-       || 'WARC-Date: 2024-01-01T00:00:00Z' || {_CRLF} || 'WARC-Target-URI: ' || target_uri || {_CRLF} || 'WARC-Refers-To: ' || refers_to || {_CRLF}
-       || 'WARC-Source-Payload-Digest: ' || source_digest || {_CRLF} || 'WARC-Block-Digest: ' || block_digest || {_CRLF}
-       || 'Content-Type: ' || content_type || {_CRLF} || 'Content-Length: ' || strlen(block) || {_CRLF} || {_CRLF}
-       || block || {_CRLF} || {_CRLF}) AS record_sha256
-FROM named
-"""
-
 NEAR_VECTORS = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
@@ -123,6 +77,5 @@ SQL = {
     "op1_embedding_neardup": NEAR_VECTORS,
     "op2_source_mix": MIX,
     "op4_cover_topk": TOP_K,
-    "op5_warc_derivatives": WARC,
     "op9_jaccard_join": f"WITH RECURSIVE {jaccard('documents', 3, 90)} SELECT * FROM joined",
 }

@@ -206,7 +206,7 @@ def test_warc(spark):
     rows = warc.derivatives(spark.createDataFrame([(1, "http://x", html, "t"), (2, None, None, "t")], "page_id long, url string, html string, text string")).collect()
     by = {(r.page_id, r.warc_type): r for r in rows}
     assert by[1, "conversion"].block == "One two\nthree\nl"
-    assert "title: A &amp; B" in by[1, "metadata"].block and by[1, "metadata"].refers_to == by[1, "conversion"].refers_to
+    assert "title: A & B" in by[1, "metadata"].block and by[1, "metadata"].refers_to == by[1, "conversion"].refers_to
     for r in rows:
         head, _, body = bytes(r.record).partition(b"\r\n\r\n")
         assert f"Content-Length: {len(r.block.encode())}".encode() in head and body == r.block.encode() + b"\r\n\r\n"
@@ -403,3 +403,95 @@ def test_quality_of_repeated_rows_and_nulls(spark):
     assert len(found) == 204 and len({r.score for r in found if r.doc_id in (3, None)}) == 1
     kept = quality.keep_good(docs, labels).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(r.doc_id) for r in found if r.predicted)
+
+
+def test_url_templates_against_brute_force(spark):
+    """The tree by dictionaries: hosts that mix labels, a shared ``*``, deep paths, hosts without labels."""
+    rng = random.Random(12)
+    rows = []
+    for host in ("a.net", "b.net", "c.org", "d.org"):
+        for _ in range(150):
+            path = [rng.choice(["es", "fr", "de", "*", "x", "y"])] + [rng.choice(["*", "p", "q", f"k{rng.randrange(40)}"]) for _ in range(rng.randrange(9))]
+            known = host.endswith("net") and rng.random() < 0.6
+            blocked = int(known and path[0] in ("es", "fr"))
+            rows.append((host, path, blocked, int(known and not blocked)))
+    rows += [("a.net", [], 0, 0), ("", [], 0, 0), ("a.net", ["deep"] * 30 + ["end"], 1, 0), ("a.net", ["deep"] * 30 + ["other"], 0, 1)]
+    base = {}
+    for host, path, blocked, allowed in rows:
+        found = base.setdefault((host, tuple(path)), [0, 0, 0])
+        found[0] += 1
+        found[1] += blocked
+        found[2] += blocked + allowed
+    t = {k: k[1] for k in base}
+    for level in range(1, 40):
+        child, new = {}, dict(t)
+        for k, path in t.items():
+            if len(path) >= level:
+                sums = child.setdefault((k[0], path[: level - 1]), {}).setdefault(path[level - 1], [0, 0, 0])
+                for i in range(3):
+                    sums[i] += base[k][i]
+        for k, path in t.items():
+            if len(path) < level or path[level - 1].startswith("*"):
+                continue
+            kids = {s: v for s, v in child[k[0], path[: level - 1]].items() if not s.startswith("*")}
+            n, b, lab = kids[path[level - 1]]
+            urls_, all_b, all_l = (sum(v[i] for v in kids.values()) for i in range(3))
+            wild = None
+            if len(kids) >= urls.MIN_CHILDREN and urls_ < urls.FEW_URLS * len(kids):
+                wild = "*"
+            elif 0 < lab < all_l:
+                share = all_b / all_l
+                spread = math.sqrt(share * (1 - share) * (1 / lab + 1 / (all_l - lab)))
+                if spread == 0 or abs(b / lab - (all_b - b) / (all_l - lab)) / spread < urls.Z_SAME:
+                    wild = urls.MERGED
+            if wild:
+                new[k] = (*path[: level - 1], wild, *path[level:])
+        t = new
+    by_host, everywhere, w = {}, {}, urls.PRIOR_WEIGHT
+    for k, path in t.items():
+        for table, key in ((by_host, (k[0], path)), (everywhere, path)):
+            sums = table.setdefault(key, [0, 0])
+            sums[0] += base[k][1]
+            sums[1] += base[k][2]
+    total = (sum(v[1] for v in base.values()) + w * urls.PRIOR_BLOCKED) / (sum(v[2] for v in base.values()) + w)
+    want = {}
+    for k, path in t.items():
+        b, lab = everywhere[path]
+        prior = (b + w * total) / (lab + w)
+        b, lab = by_host[k[0], path]
+        want[k] = ("/" + "/".join(path), round((b + w * prior) / (lab + w), 9))
+    df = spark.createDataFrame(rows, "host string, masked array<string>, blocked int, allowed int")
+    assert {(r.host, tuple(r.masked)): (r.template, round(r.purity, 9)) for r in urls.templates(df).collect()} == want
+
+
+def test_url_keys_are_not_merged_with_names(spark):
+    """Blocked branches that are alike don't take unrelated numeric paths with them."""
+    pages = [f"http://x.net/{a}/{i}" for a in ("es", "fr") for i in range(6)] + [f"http://x.net/{i}/{i}" for i in range(6)] + [f"http://com.com/{i}/{i}" for i in range(6)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*pages, pages[0], None])], "page_id long, url string")
+    found = urls.judge(df).collect()
+    assert len(found) == 26
+    assert {r.verdict for r in found if r.host == "x.net" and r.path[1].isdigit()} == {"allow"}
+    assert {r.verdict for r in found if r.host == "x.net" and not r.path[1].isdigit()} == {"block"}
+
+
+def test_warc_refers_to_the_response(spark):
+    rows = [(1, "http://x/a\r\nX-Evil: 1", "<p>a</p>"), (2, None, None), (2, None, None), (None, "http://y", "<p>b</p>" * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sources = {r.record_id: r for r in warc.responses(df).collect()}
+    derived = warc.derivatives(df).collect()
+    assert len(derived) == 8 and {r.refers_to for r in derived} == set(sources)
+    for r in [*derived, *sources.values()]:
+        head = bytes(r.record).split(b"\r\n\r\n")[0].decode().split("\r\n")
+        assert head[0] == "WARC/1.1" and all(": " in line or line.endswith(":") for line in head[1:]) and not any(x.startswith("X-Evil") for x in head)
+        if r.refers_to:
+            assert r.source_digest == sources[r.refers_to].payload_digest
+    texts = {r.target_uri: r for r in derived if r.warc_type == "conversion"}
+    assert texts["http://y"].block == "\n".join("b" * 50_000)
+
+
+def test_jaccard_of_ids_with_several_texts(spark):
+    """A document that has several texts ties the groups of all of them, whichever of them it represents."""
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "pqrs"]
+    rows = [(9, texts[0]), (5, texts[0]), (9, texts[1]), (9, texts[2]), (12, texts[2]), (20, texts[3]), (21, texts[3]), (21, texts[3])]
+    found = {(r.doc_id, r.component_id) for r in jaccard.join(_docs(spark, rows), 3, 90).collect()}
+    assert found == {(9, 5), (5, 5), (12, 5), (20, 20), (21, 20)}
