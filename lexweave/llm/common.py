@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, so that
-    later steps neither recompute it nor lose it with an executor."""
+    later steps neither recompute it nor lose it with an executor. What was
+    shuffled for it is deleted when it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again.cut_path = path
     return again
@@ -50,18 +52,22 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 10_000, octets: int = 1 << 24) -> Iterator[None]:
-    """Within it, what is run hands Python at most ``rows`` rows and about
-    ``octets`` bytes at a time (one row at least): for long texts and blocks."""
-    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": octets}
-    before = {name: spark.conf.get(name) for name in settings}
-    for name, value in settings.items():
-        spark.conf.set(name, str(value))
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Within it, the session has these settings."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def small_batches(spark: SparkSession, rows: int = 10_000, octets: int = 1 << 24) -> AbstractContextManager:
+    """Within it, what is run hands Python at most ``rows`` rows and about
+    ``octets`` bytes at a time (one row at least): for long texts and blocks."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(octets)})
 
 
 def crc_mod(column: str | Column, modulus: int) -> Column:
@@ -93,9 +99,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while mark[0]:
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _meet_all(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = meet_all(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = _meet_all(large, root)
+        joined = meet_all(large, root)
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             root.select("u", F.col("m").alias("v"))
         )
@@ -108,7 +114,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return tree.union(tree.select(F.col("component").alias("id"), "component").distinct())
 
 
-def _meet_all(rows: DataFrame, one: DataFrame) -> DataFrame:
+def meet_all(rows: DataFrame, one: DataFrame) -> DataFrame:
     """``rows`` (u, v) with the value m that ``one`` (u, m) has for u."""
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     each = one.select("u", "m", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))

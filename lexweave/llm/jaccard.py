@@ -46,11 +46,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, small_batches
+from .common import components, cut, discard, meet_all, small_batches
 from .neardup import _roots
 
 WORDS, PERCENT = 3, 90
-RARE, FRAGMENTS, BLOCK = 8, 4, 256
+RARE, FRAGMENTS, MEMBERS, BLOCK = 8, 4, 256, 1024
 #: Sizes of a band go up to STRETCH times its least one: more bands cost more sets
 #: of fingerprints, wider ones longer sets; the sum is least from 1.5 to 1.7.
 STRETCH = 1.6
@@ -304,66 +304,106 @@ def _candidates(texts: DataFrame, classes: DataFrame, words: int, percent: int)
     return found, groups
 
 
-def segments(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id, s1, n, fragment, segment (sorted hashes) of the ``wanted`` classes (id, s1, s2); repeated rows stay."""
+def _asked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, s1, s2, the further columns of ``wanted`` and text of the wanted classes (id, s1, s2, further)."""
+    return docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("id", "s1", "s2", *[c for c in wanted.columns if c not in ("id", "s1", "s2")], "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        cuts = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
-        for batch in batches:
-            ids, firsts, sizes, fragments, parts = [], [], [], [], []
-            for doc, s1, s2, text in zip(*(batch.column(i) for i in range(4)), strict=True):
-                h = shingles(text.as_py(), words, hashes)
-                if _signature(h) != (s1.as_py(), s2.as_py()):  # another text of the id
-                    continue
-                for f, part in enumerate(np.split(h, np.searchsorted(h, cuts))):
-                    for column, value in zip((ids, firsts, sizes, fragments, parts), (doc.as_py(), s1.as_py(), len(h), f, part.view(np.int64)), strict=True):
-                        column.append(value)
-            offsets = np.cumsum([0, *map(len, parts)])
-            flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fragments, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                ["id", "s1", "n", "fragment", "segment"],
-            )
-
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("id", "s1", "s2", "text")
-    return rows.mapInArrow(run, "id long, s1 long, n long, fragment int, segment array<long>")
-
-
-def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    one = parts.select(F.col("id").alias("a"), F.col("s1").alias("sa"), F.col("n").alias("na"), "fragment", F.col("segment").alias("x"))
-    two = parts.select(F.col("id").alias("b"), F.col("s1").alias("sb"), F.col("n").alias("nb"), "fragment", F.col("segment").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    met = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "sa", "sb", "na", "nb", "fragment", both.alias("both"))
-    # repeated rows of a document count once
-    once = met.groupBy("a", "b", "sa", "sb", "na", "nb", "fragment").agg(F.max("both").alias("both"))
-    return (
-        once.groupBy("a", "b", "sa", "sb", "na", "nb")
-        .agg(F.sum("both").alias("both"))
-        .filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
-        .select("a", "b")
-    )
 
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many shingles two sets share: partial overlaps are counted in each
+    fragment of the order and summed."""
+    cuts = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
+    both = 0
+    for x, y in zip(np.split(a, np.searchsorted(a, cuts)), np.split(b, np.searchsorted(b, cuts)), strict=True):
+        if len(x) and len(y):
+            at = np.searchsorted(x, y)
+            at[at == len(x)] = 0
+            both += int((x[at] == y).sum())
+    return both
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of sets of one group and linked component, sorted by size, become blocks."""
+
+def _compared(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of a star's members with its centre, from texts sorted by star and
+    place; only the centre's set is held. Repeated rows count once."""
+    hashes, at, centres, before = _Hashes(), None, [], None
+    for batch in batches:
+        rows = []
+        columns = (batch.column(c).to_pylist() for c in ("key", "salt", "place", "id", "s1", "s2"))
+        for *here, place, key, s1, s2, text in zip(*columns, batch.column("text"), strict=True):
+            if here != at:
+                at, centres, before = here, [], None
+            if before == (place, key, s1, s2):
+                continue
+            h = shingles(text.as_py(), words, hashes)
+            if _signature(h) != (s1, s2):  # another text of the id
+                continue
+            before = place, key, s1, s2
+            if not place:
+                centres.append((key, h))
+                continue
+            for other, centre in centres:
+                both = _overlap(centre, h)
+                if both * 100 >= (len(centre) + len(h) - both) * percent:
+                    rows.append((other, key))
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 2)], ["a", "b"])
+
+
+def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the ``pairs`` (a, b) that link. The pairs of an a form stars of
+    about MEMBERS members. A text goes to its star as it is, as it takes less room than its set."""
+    sizes = pairs.groupBy(F.col("a").alias("u")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("m"))
+    dealt = meet_all(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), sizes)
+    members = cut(dealt.select(F.col("v").alias("id"), F.col("u").alias("key"), F.pmod(F.xxhash64("v"), F.col("m")).alias("salt"), F.lit(1).alias("place")))
+    centres = members.select(F.col("key").alias("id"), "key", "salt", F.lit(0).alias("place")).distinct()
+    wanted = classes.select("id", "s1", "s2").join(members.union(centres), "id")
+    rows = _asked(texts, wanted).repartition("key", "salt").sortWithinPartitions("key", "salt", "place", "id", "s1", "s2")
+    with small_batches(texts.sparkSession):
+        links = cut(rows.mapInArrow(lambda it: _compared(it, words, percent), "a long, b long"))
+    discard(members)
+    return links
+
+
+def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that connect all that the links among ``pairs`` do: each class is
+    compared with its least partner first, then pairs that are still apart."""
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _verified(texts, classes, first, words, percent)
+    known = components(links)
+    apart = pairs.join(first, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        apart = apart.join(known.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    apart = cut(apart.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    more = _verified(texts, classes, apart, words, percent)
+    discard(apart)
+    return links.union(more)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Runs of sets of one group and linked component, sorted by size, become blocks; repeated rows count once."""
     names = ["block", "group", "linked", "low", "high", "ids", "sizes", "ends", "hashes"]
     types = [*[pa.int64()] * 5, *[pa.binary()] * 4]
 
     def block(at: tuple, held: list[tuple]) -> pa.RecordBatch:
-        hashes = [h[2] for h in held]
-        values = [held[0][3], *at, held[0][0], held[-1][0], np.array([h[1] for h in held], np.int64).tobytes(), np.array([h[0] for h in held], np.int64).tobytes(), np.cumsum([len(h) for h in hashes]).astype(np.int64).tobytes(), np.concatenate(hashes).tobytes()]
+        sizes = [len(h[1]) for h in held]
+        values = [held[0][2], *at, sizes[0], sizes[-1], np.array([h[0] for h in held], np.int64).tobytes(), np.array(sizes, np.int64).tobytes(), np.cumsum(sizes).astype(np.int64).tobytes(), np.concatenate([h[1] for h in held]).tobytes()]
         return pa.record_batch([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
-    at, held, room = None, [], 0
+    hashes, at, held, room, before = _Hashes(), None, [], 0, None
     for batch in batches:
-        for group, linked, n, key, name, parts in zip(*(batch.column(c).to_pylist() for c in ("group", "linked", "n", "id", "name", "parts")), strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("group", "linked", "id", "s1", "s2", "name")]
+        for group, linked, key, s1, s2, name, text in zip(*columns, batch.column("text"), strict=True):
+            if before == (group, key, s1, s2):
+                continue
+            h = shingles(text.as_py(), words, hashes)
+            if _signature(h) != (s1, s2):  # another text of the id
+                continue
+            before = group, key, s1, s2
             if held and ((group, linked) != at or len(held) == BLOCK or room > 4_000_000):
                 yield block(at, held)
                 held, room = [], 0
             at = group, linked
-            held.append((n, key, np.array(parts, np.int64), name))
-            room += n
+            held.append((key, h, name))
+            room += len(h)
     if held:
         yield block(at, held)
 
@@ -409,14 +449,17 @@ def _open_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
     counted = known.groupBy("group", "linked").agg(F.count(F.lit(1)).alias("members"))
     several = counted.groupBy("group").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("group")
     large = counted.filter(F.col("members") >= BLOCK).select("group", "linked", F.lit(True).alias("fills"))
-    return cut(known.join(several, "group", "left_semi").join(large, ["group", "linked"], "left").select("id", "group", F.when(F.col("fills"), F.col("linked")).alias("linked")))
+    open_ = cut(known.join(several, "group", "left_semi").join(large, ["group", "linked"], "left").select("id", "group", F.when(F.col("fills"), F.col("linked")).alias("linked")))
+    discard(known)
+    return open_
 
 
-def _common_links(parts: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    whole = parts.join(groups, "id").groupBy("group", "linked", "n", "id", "s1").agg(F.array_distinct(F.flatten(F.collect_list("segment"))).alias("parts"))
-    order = ["group", "linked", "n", "id", "s1"]
-    placed = whole.withColumn("name", F.xxhash64("id", "s1")).repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = cut(placed.mapInArrow(_blocks, "block long, group long, linked long, low long, high long, ids binary, sizes binary, ends binary, hashes binary"))
+def _common_links(texts: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+    whole = _asked(texts, classes.select("id", "s1", "s2", "n").join(groups, "id")).withColumn("name", F.xxhash64("group", "id", "s1", "s2"))
+    order = ["group", "linked", "n", "id", "s1", "s2"]
+    placed = whole.repartitionByRange(*order).sortWithinPartitions(*order)
+    with small_batches(texts.sparkSession):
+        blocks = cut(placed.mapInArrow(lambda it: _blocks(it, words), "block long, group long, linked long, low long, high long, ids binary, sizes binary, ends binary, hashes binary"))
     here = blocks.select("group", "block", "linked", "low", "high")
     there = here.select("group", *[F.col(c).alias(f"{c}2") for c in ("block", "linked", "low", "high")])
     within = F.coalesce(F.col("linked") == F.col("linked2"), F.lit(False))
@@ -425,8 +468,10 @@ def _common_links(parts: DataFrame, groups: DataFrame, percent: int) -> DataFram
     full = ["ids", "sizes", "ends", "hashes"]
     left = blocks.select("block", *full)
     right = blocks.select(F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in full])
-    with small_batches(parts.sparkSession, 8):
-        return cut(pairs.join(left, "block").join(right, "block2").mapInArrow(lambda it: _block_links(it, percent), "a long, b long"))
+    with small_batches(texts.sparkSession, 8):
+        found = cut(pairs.join(left, "block").join(right, "block2").mapInArrow(lambda it: _block_links(it, percent), "a long, b long"))
+    discard(blocks, groups)
+    return found
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -439,11 +484,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     classes = cut(heads.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in kept]))
     with small_batches(spark):
         pairs, groups = _candidates(texts, classes, words, percent)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(groups.select("id")).distinct()
     with small_batches(spark):
-        parts = cut(segments(texts, classes.select("id", "s1", "s2").join(ids, "id", "left_semi"), words))
-    links = cut(_verified(pairs, parts, percent))
-    blocks = _common_links(parts, _open_groups(groups, links), percent)
+        links = cut(_links(texts, classes, pairs, words, percent))
+    blocks = _common_links(texts, classes, _open_groups(groups, links), words, percent)
     # one document may stand for several sets, or for one while it copies another, if its id is repeated
     member = heads.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "id"), ["s1", "s2"], "left")
     member = member.withColumn("id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("id")))
@@ -451,7 +494,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     tied = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets"), F.min("id").alias("least")).filter("sets > 1")
     extra = sets.join(tied, "doc_id").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     found = components(links.union(blocks).union(extra))
-    discard(pairs, groups, parts, links, blocks)
+    discard(pairs, groups, links, blocks)
     return (
         member.join(found, "id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
