@@ -50,7 +50,7 @@ from .common import components, cut, discard, meet_all, small_batches
 from .neardup import _roots
 
 WORDS, PERCENT = 3, 90
-RARE, FRAGMENTS, MEMBERS, BLOCK = 8, 4, 256, 1024
+RARE, FRAGMENTS, MEMBERS, BLOCK = 8, 4, 256, 256
 #: Sizes of a band go up to STRETCH times its least one: more bands cost more sets
 #: of fingerprints, wider ones longer sets; the sum is least from 1.5 to 1.7.
 STRETCH = 1.6
@@ -468,7 +468,7 @@ def _common_links(texts: DataFrame, classes: DataFrame, groups: DataFrame, words
     full = ["ids", "sizes", "ends", "hashes"]
     left = blocks.select("block", *full)
     right = blocks.select(F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in full])
-    with small_batches(texts.sparkSession, 8):
+    with small_batches(texts.sparkSession, 2):
         found = cut(pairs.join(left, "block").join(right, "block2").mapInArrow(lambda it: _block_links(it, percent), "a long, b long"))
     discard(blocks, groups)
     return found
