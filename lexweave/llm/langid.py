@@ -37,6 +37,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,21 +233,28 @@ def train(docs: DataFrame) -> Model:
                 keys, n = np.unique(np.concatenate(codes), return_counts=True)
                 yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), fold, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "fold", "gram", "n"])
 
-    found = sample.mapInArrow(count, "lang string, fold int, gram long, n long").groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(count, "lang string, fold int, gram long, n long").groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n")).toArrow()
+    folds, keys, times = (found.column(c).to_numpy() for c in ("fold", "gram", "n"))
+    keys = keys.view(np.uint64)
+    of = pc.index_in(found.column("lang"), pa.array(languages, pa.string())).to_numpy()
+    # by language and n-gram, so that its counts in several folds stand side by side
+    order = np.lexsort((keys, of))
+    folds, keys, times, of = folds[order], keys[order], times[order], of[order]
 
-    def fitted(rows) -> Model:
+    def fitted(rows: np.ndarray) -> Model:
+        """The model of the counts that ``rows``, a mask, names."""
         m = Model(languages, table)
-        sums = dict(iter(rows.groupby(["lang", "gram"], as_index=False)["n"].sum().groupby("lang")))
-        none = rows.iloc[:0]
-        own = [sums.get(lang, none) for lang in languages]
-        grams_ = [c["gram"].to_numpy(np.int64).view(np.uint64) for c in own]
-        orders = [np.argsort(g) for g in grams_]
-        m.fit([{"keys": g[o], "n": c["n"].to_numpy(np.int64)[o]} for g, o, c in zip(grams_, orders, own, strict=True)])
-        m.counts = [len(c) for c in own]
+        counts = []
+        for i in range(len(languages)):
+            mine = rows & (of == i)
+            own, first = np.unique(keys[mine], return_index=True)
+            counts.append({"keys": own, "n": np.add.reduceat(times[mine], first) if len(own) else np.zeros(0, np.int64)})
+        m.fit(counts)
+        m.counts = [len(c["keys"]) for c in counts]
         return m
 
-    model = fitted(found)
-    trained = spark.sparkContext.broadcast([fitted(found[found["fold"] != k]) for k in range(FOLDS)])
+    model = fitted(np.ones(len(keys), bool))
+    trained = spark.sparkContext.broadcast([fitted(folds != k) for k in range(FOLDS)])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,8 +268,8 @@ def train(docs: DataFrame) -> Model:
                         entropies.append(float(each[i]))
             yield pa.record_batch([pa.array(of, pa.string()), pa.array(entropies, pa.float64())], ["lang", "h"])
 
-    scored = sample.mapInArrow(check, "lang string, h double").toPandas()
-    model.limit = _limits(languages, {lang: scored.loc[scored["lang"] == lang, "h"].to_numpy() for lang in languages})
+    scored = sample.mapInArrow(check, "lang string, h double").toArrow()
+    model.limit = _limits(languages, {lang: scored.filter(pc.equal(scored.column("lang"), lang)).column("h").to_numpy() for lang in languages})
     return model
 
 
