@@ -115,13 +115,15 @@ def _places(h: np.ndarray, cuts: int) -> np.ndarray:
 
 
 def needed(h: np.ndarray, band: int, least: np.ndarray, percent: int) -> int:
-    """How many fingerprints for ``band`` any linked set shares at least, if the larger of both is in that band.
+    """How many fingerprints for ``band`` any linked set shares at least, and how many
+    shingles they differ in, in sum, if the larger of both is in that band: of
+    two sets that can't differ in so many, more fingerprints are shared.
 
     Empty segments have no fingerprint, as long as fewer than ``spare`` are empty;
     else they have (a need below 1 tells), and a partner with which only empty
     segments are shared has as many, and theirs, too."""
     cuts, spare = _cuts(band, least, percent)
-    return spare - (cuts - len(np.unique(_places(h, cuts)))) if cuts else 0
+    return max(1, spare - (cuts - len(np.unique(_places(h, cuts))))) + cuts - spare if cuts else 1
 
 
 def fingerprints(h: np.ndarray, band: int, least: np.ndarray, percent: int) -> np.ndarray:
@@ -162,7 +164,7 @@ def marked(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 band = need = need_next = 0
                 if len(h):
                     band, more = _band(len(h), least, percent)
-                    need, need_next = max(1, needed(h, band, least, percent)), max(1, needed(h, band + 1, least, percent)) if more else 0
+                    need, need_next = needed(h, band, least, percent), needed(h, band + 1, least, percent) if more else 0
                 rows.append((len(h), *_signature(h), band, need, need_next))
             columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 6)]
             yield pa.record_batch([batch.column(0), *columns], names)
@@ -290,11 +292,17 @@ def _candidates(texts: DataFrame, classes: DataFrame, words: int, percent: int)
     def need(side: str) -> Column:
         return F.when(F.col("band") == F.col(f"band_{side}"), F.col(f"need_{side}")).otherwise(F.col(f"need_next_{side}"))
 
+    def differ(both: Column) -> Column:
+        return F.floor(both * (100 - percent) / (100 + percent))
+
     sizes = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
-    enough = met.filter(F.col("kind") == SELF).select("a", "band", "met").join(of("a").withColumnRenamed("band", "_"), "a").filter(F.col("met") >= need("a")).select(F.col("a").alias("b"), "band")
+    tops = F.array(*[F.lit(int(n) - 1) for n in bands(percent)[1:]])
+    partner = F.least(F.expr(f"n_a * 100 div {percent}"), F.element_at(tops, F.col("band") + 1))
+    own = met.filter(F.col("kind") == SELF).select("a", "band", "met").join(of("a"), "a")
+    enough = own.filter(F.col("met") >= need("a") - differ(F.col("n_a") + partner)).select(F.col("a").alias("b"), "band")
     pairs = met.filter(F.col("kind") == PAIR).join(of("a"), "a").join(of("b"), "b")
     larger = F.when(F.col("n_a") >= F.col("n_b"), F.col("band_a")).otherwise(F.col("band_b"))
-    pairs = pairs.filter(sizes & (larger == F.col("band")) & (F.col("met") >= F.greatest(need("a"), need("b"))))
+    pairs = pairs.filter(sizes & (larger == F.col("band")) & (F.col("met") >= F.greatest(need("a"), need("b")) - differ(F.col("n_a") + F.col("n_b"))))
     tied = met.filter(F.col("kind") == TIE).select("a", "b", "band").join(enough, ["b", "band"], "left_semi").select("a", "b").distinct()
     ties = cut(tied.join(of("a"), "a").join(of("b"), "b").select("id_a", "id_b", sizes.alias("near")))
     near = ties.filter("near").select("id_a", "id_b").union(pairs.select("id_a", "id_b"))
