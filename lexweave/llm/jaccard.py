@@ -55,7 +55,7 @@ RARE, FRAGMENTS, MEMBERS, BLOCK = 8, 4, 256, 256
 #: of fingerprints, wider ones longer sets; the sum is least from 1.5 to 1.7.
 STRETCH = 1.6
 #: Word hashes that a task keeps at hand, and fingerprints that it sums up at once.
-HELD, CHUNK = 1_000_000, 500_000
+HELD, CHUNK = 200_000, 500_000
 #: Low bits of a fingerprint that tell its band.
 BAND_BITS = 6
 
