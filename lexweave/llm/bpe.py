@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-#: Words that a task keeps encoded.
-HELD = 500_000
+#: Words that a task keeps encoded (twice as many at most), and ids that it hands on at once (more, if one text has more).
+HELD, CHUNK = 250_000, 500_000
 #: Longer words are merged with a heap, which gives the same ids in less time.
 LONG = 64
 
@@ -91,16 +91,21 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit integers."""
+    """word -> its ids as little-endian unsigned 32-bit integers. Of what was held
+    before the last HELD new words, what occurs again is taken over."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.before = ranks, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > HELD:
+            self.before = dict(self)
             self.clear()
-        ids = self[word] = np.array(merge(word.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes()
+        ids = self.before.pop(word, None)
+        if ids is None:
+            ids = np.array(merge(word.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes()
+        self[word] = ids
         return ids
 
 
@@ -114,9 +119,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep_ids: boo
         pieces = np.array([None] * len(sent.value), object)
         for token, rank in sent.value.items():
             pieces[rank] = token
+
+        def out(ids_of: pa.Array) -> pa.RecordBatch:
+            columns = [ids_of, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            if keep_ids:
+                offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32))))
+            return pa.record_batch(columns, names)
+
         for batch in batches:
-            sizes, digests, decoded, arrays = [], [], [], []
-            for text in batch.column(1):
+            sizes, digests, decoded, arrays, start, room = [], [], [], [], 0, 0
+            for at, text in enumerate(batch.column(1), 1):
                 packed = b"".join(map(words.__getitem__, split(text.as_py() or "")))
                 ids = np.frombuffer(packed, "<u4")
                 sizes.append(len(ids))
@@ -124,11 +137,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep_ids: boo
                 decoded.append(hashlib.sha256(b"".join(pieces[ids].tolist())).hexdigest())
                 if keep_ids:
                     arrays.append(ids.astype(np.int32))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            if keep_ids:
-                offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
-                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32))))
-            yield pa.record_batch(columns, names)
+                room += len(ids)
+                if room > CHUNK:
+                    yield out(batch.column(0).slice(start, at - start))
+                    sizes, digests, decoded, arrays, start, room = [], [], [], [], at, 0
+            yield out(batch.column(0).slice(start))
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
