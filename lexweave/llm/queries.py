@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, lm, mixing, neardup, oracle, quality, topk, urls, warc
+from . import bpe, jaccard, langid, lm, mixing, neardup, negatives, oracle, packing, quality, topk, trie, urls, warc
 from .common import table
 
 
@@ -54,6 +54,20 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.shared_openings(*trie.positions(table(spark, sf_dir, "conversations"))))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_neardup": op1_embedding_neardup,
@@ -66,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_pu_quality": op10_pu_quality,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
