@@ -19,8 +19,9 @@ most GROUP_BYTES, which are broadcast; a group takes one pass over the rows for
 positives and one for negatives. Each task keeps the best few of an anchor; those of
 all tasks meet in a window by anchor.
 
-The pivots are chosen from a sample of SAMPLE rows, the farthest from the others in
-turn; the choice decides how much is passed over, not what is found.
+A sample of SAMPLE rows gives the pivots, the farthest from the others in turn, and
+each window's first bound: if enough rows of the sample lie in it, the worst of the
+best of them. The sample decides how much is passed over, not what is found.
 
 Defined cases: rows with a null id, label or vector, or a null, NaN or infinite
 component (also one that is infinite after scaling) take no part; only vectors of equal length are
@@ -135,8 +136,7 @@ class Anchors:
         self.ids = np.array([r["vec_id"] for r in rows], np.int64)
         self.labels = np.array([r["label"] for r in rows], np.int64)
         self.points = np.frombuffer(b"".join(r["v"] for r in rows), np.float64).reshape(len(rows), dims)
-        raw = np.frombuffer(b"".join(r["v"] for r in rows), np.float64).reshape(len(rows), dims)
-        self.top, self.square = top, (raw**2).sum(1)
+        self.top, self.square = top, (self.points**2).sum(1)
         self.positives = positives or {}
 
     def to_pivots(self, pivots: np.ndarray | None) -> np.ndarray:
@@ -169,7 +169,7 @@ def _exact(a: np.ndarray, b: np.ndarray, wide: bool) -> np.ndarray:
 class Search:
     """The best rows of each anchor's windows [low, high] of scores, as blocks come by."""
 
-    def __init__(self, anchors: Anchors, pivots: np.ndarray | None, wide: bool, keep: int, other_label: bool):
+    def __init__(self, anchors: Anchors, pivots: np.ndarray | None, wide: bool, keep: int, other_label: bool, sample: tuple | None = None):
         self.a, self.keep, self.other, self.wide = anchors, keep, other_label, wide
         self.d = anchors.to_pivots(None if wide else pivots)
         self.bound = pivots is not None and not wide
@@ -177,12 +177,23 @@ class Search:
             self.windows = [[(-(-LOW * p // 100), HIGH * p // 100) for p in anchors.positives.get(int(i), [])] for i in anchors.ids]
         else:
             self.windows = [[(-math.inf, math.inf)] for _ in anchors.ids]
-        self.windows = [[(low, high) for low, high in w] for w in self.windows]
+        if sample and self.bound:
+            self._seed(*sample)
         self.best: list[list[list[tuple[int, int]]]] = [[[] for _ in w] for w in self.windows]
         self.least = np.array([min((low for low, high in w if low <= high), default=math.inf) for w in self.windows], object if wide else float)
         self.most = np.array([max((high for low, high in w if low <= high), default=-math.inf) for w in self.windows], object if wide else float)
         self.met = self.computed = 0
 
+    def _seed(self, ids: np.ndarray, labels: np.ndarray, points: np.ndarray) -> None:
+        """Raise windows to the ``keep``-th best score that the sample has in them."""
+        scores = _exact(self.a.points, points, False)
+        for i, windows in enumerate(self.windows):
+            mine = np.sort(scores[i, (ids != self.a.ids[i]) & ((labels != self.a.labels[i]) if self.other else (labels == self.a.labels[i]))])
+            for k, (low, high) in enumerate(windows):
+                held = mine[: np.searchsorted(mine, high, side="right")]
+                if len(held) >= self.keep and held[-self.keep] > low:
+                    windows[k] = (int(held[-self.keep]), high)
+
     def offer(self, label: int, ids: np.ndarray, points: np.ndarray, d: np.ndarray) -> None:
         here = np.flatnonzero(((self.a.labels != label) if self.other else (self.a.labels == label)) & (self.least <= self.most))
         if len(here) and self.bound:
@@ -238,8 +249,8 @@ _FOUND = "anchor_id long, slot int, vec_id long, score long, exact string"
 
 def _pass(blocks: DataFrame, sent, top: float, wide: bool, keep: int, other_label: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_dims, pivots, positives = sent.value
-        searches = {dims: Search(Anchors(rows, dims, top, positives), pivots.get(dims), wide, keep, other_label) for dims, rows in by_dims.items()}
+        by_dims, pivots, positives, samples = sent.value
+        searches = {dims: Search(Anchors(rows, dims, top, positives), pivots.get(dims), wide, keep, other_label, samples.get(dims)) for dims, rows in by_dims.items()}
         for batch in batches:
             for row in batch.to_pylist():
                 search = searches.get(row["dims"])
@@ -271,13 +282,17 @@ def hard_negatives(vectors: DataFrame, every: int = EVERY, positives: int = POSI
     top = rows.agg(F.max(length)).first()[0]
     top = 0.0 if top is None else float(top)
     wide = not top < EXACT
-    picked = rows.orderBy(F.xxhash64("vec_id", "vector"), "vec_id").limit(SAMPLE).select("vector").collect()
+    picked = rows.orderBy(F.xxhash64("vec_id", "vector"), "vec_id").limit(SAMPLE).collect()
     pivots: dict[int, np.ndarray] = {}
+    samples: dict[int, tuple] = {}
     if not wide:
         by_length: dict[int, list] = {}
         for r in picked:
-            by_length.setdefault(len(r["vector"]), []).append(r["vector"])
-        pivots = {n: choose_pivots(np.floor(np.array(v, np.float64).reshape(len(v), n) * SCALE), top) for n, v in by_length.items()}
+            by_length.setdefault(len(r["vector"]), []).append(r)
+        for n, some in by_length.items():
+            points = np.floor(np.array([r["vector"] for r in some], np.float64).reshape(len(some), n) * SCALE)
+            samples[n] = (np.array([r["vec_id"] for r in some], np.int64), np.array([r["label"] for r in some], np.int64), points)
+            pivots[n] = choose_pivots(points, top)
     placed = rows.mapInArrow(_place(pivots, top), "label long, dims int, cell int, near double, vec_id long, v binary, d binary")
     by_place = ["label", "dims", "cell", "near", "vec_id"]
     blocks = cut(placed.repartitionByRange(*by_place).sortWithinPartitions(*by_place).mapInArrow(_cut_blocks, "label long, dims int, ids binary, vs binary, ds binary"))
@@ -294,13 +309,13 @@ def hard_negatives(vectors: DataFrame, every: int = EVERY, positives: int = POSI
         by_dims: dict[int, list] = {}
         for r in mine:
             by_dims.setdefault(r["dims"], []).append(r)
-        sent = spark.sparkContext.broadcast((by_dims, pivots, {}))
+        sent = spark.sparkContext.broadcast((by_dims, pivots, {}, samples))
         firsts = cut(_best(_pass(blocks, sent, top, wide, positives, False), positives, wide))
         sent.unpersist()
         slots: dict[int, list[int]] = {}
         for r in sorted(firsts.select("anchor_id", "rank", "exact").collect(), key=lambda r: (r["anchor_id"], r["rank"])):
             slots.setdefault(r["anchor_id"], []).append(int(r["exact"]))
-        sent = spark.sparkContext.broadcast((by_dims, pivots, slots))
+        sent = spark.sparkContext.broadcast((by_dims, pivots, slots, samples))
         found = _best(_pass(blocks, sent, top, wide, keep, True), keep, wide)
         sent.unpersist()
         pos = firsts.select("anchor_id", F.col("rank").alias("slot"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))

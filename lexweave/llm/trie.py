@@ -145,7 +145,9 @@ def prefix_trie(turns: DataFrame, members: DataFrame) -> DataFrame:
     live, alive, levels = classes.filter("len > 0").select("rep", F.lit(whole["root"]).alias("parent"), "n", "len"), whole["live"], []
     while alive:
         depth = len(levels) + 1
-        step = cut(live.join(mine.filter(F.col("at") == depth).select("rep", "key", "bytes"), "rep"))
+        step = live.join(mine.filter(F.col("at") == depth).select("rep", "key", "bytes"), "rep")
+        if alive > HOT_LEAST:  # read three times below
+            step = cut(step)
         nodes = step.groupBy("parent", "key").agg(
             F.min("rep").alias("node"), F.sum("n").alias("n_convs"), F.count(F.lit(1)).alias("classes"), F.max(F.when(F.col("len") == depth, F.col("rep"))).alias("ended")
         )
