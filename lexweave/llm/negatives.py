@@ -49,7 +49,9 @@ from .common import cut, small_batches
 SCALE, POSITIVES, NEGATIVES, EVERY = 256, 5, 3, 50
 #: A negative's score, in hundredths of the positive's.
 LOW, HIGH = 50, 95
-PIVOTS, SAMPLE, BLOCK, GROUP_BYTES = 8, 512, 2048, 1 << 24
+PIVOTS, SAMPLE, BLOCK, GROUP_BYTES = 32, 512, 2048, 1 << 24
+#: Pivots that bracket each row of a block which all PIVOTS left over.
+FEW = 8
 EXACT = 2.0**52
 _LONG = 2**63
 
@@ -85,14 +87,21 @@ def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.floor(values.reshape(len(at), dims) * SCALE)
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    width = rows.shape[1] * 8
+def _binary(rows: np.ndarray, narrow: bool) -> pa.Array:
+    rows = rows.astype(np.float32 if narrow else np.float64)
+    width = rows.shape[1] * rows.itemsize
     offsets = np.arange(len(rows) + 1, dtype=np.int64) * width
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
+def _unpack(packed: bytes, rows: int, columns: int) -> np.ndarray:
+    narrow = len(packed) == rows * columns * 4
+    return np.frombuffer(packed, np.float32 if narrow else np.float64).reshape(rows, columns).astype(np.float64)
+
+
 def _place(pivots: dict[int, np.ndarray], top: float):
-    """label, dims, cell (nearest pivot), near, vec_id, v and d (distances to pivots) of each row."""
+    """label, dims, cell (nearest pivot), near, vec_id, v and d (distances to pivots) of each row.
+    Whole numbers below 2**24 are packed as floats of 32 bits, distances too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +112,7 @@ def _place(pivots: dict[int, np.ndarray], top: float):
                 cell = d.argmin(1)
                 rows = pa.array(at)
                 yield pa.record_batch(
-                    [batch.column(0).take(rows), pa.array(np.full(len(at), dims, np.int32)), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(at)), cell]), batch.column(1).take(rows), _binary(points), _binary(d)],
+                    [batch.column(0).take(rows), pa.array(np.full(len(at), dims, np.int32)), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(at)), cell]), batch.column(1).take(rows), _binary(points, top < 2.0**48), _binary(d, True)],
                     ["label", "dims", "cell", "near", "vec_id", "v", "d"],
                 )
 
@@ -135,7 +144,7 @@ class Anchors:
     def __init__(self, rows: list, dims: int, top: float, positives: dict[int, list[int]] | None = None):
         self.ids = np.array([r["vec_id"] for r in rows], np.int64)
         self.labels = np.array([r["label"] for r in rows], np.int64)
-        self.points = np.frombuffer(b"".join(r["v"] for r in rows), np.float64).reshape(len(rows), dims)
+        self.points = _unpack(b"".join(r["v"] for r in rows), len(rows), dims)
         self.top, self.square = top, (self.points**2).sum(1)
         self.positives = positives or {}
 
@@ -155,7 +164,7 @@ def _bracket(d: np.ndarray, low: np.ndarray, high: np.ndarray, square: np.ndarra
         near, far = (least, most) if near is None else (np.maximum(near, least), np.minimum(far, most))
     near = np.maximum(near, 0.0)
     total = square[:, None] + top
-    slack = total * 1e-9 + 1e-3
+    slack = total * 2e-6 + 1e-3  # distances have 24 bits
     return (total - far**2) / 2 - slack, (total - near**2) / 2 + slack
 
 
@@ -206,7 +215,7 @@ class Search:
         least, most = self.least[here][:, None], self.most[here][:, None]
         self.met += len(here) * len(ids)
         if self.bound:
-            low, high = _bracket(self.d[here], d, d, self.a.square[here], self.a.top)
+            low, high = _bracket(self.d[here, :FEW], d[:, :FEW], d[:, :FEW], self.a.square[here], self.a.top)
             alive = (high >= least) & (low <= most)
         else:
             alive = np.ones((len(here), len(ids)), bool)
@@ -256,7 +265,7 @@ def _pass(blocks: DataFrame, sent, top: float, wide: bool, keep: int, other_labe
                 search = searches.get(row["dims"])
                 if search:
                     ids = np.frombuffer(row["ids"], np.int64)
-                    search.offer(row["label"], ids, np.frombuffer(row["vs"], np.float64).reshape(len(ids), -1), np.frombuffer(row["ds"], np.float64).reshape(len(ids), -1))
+                    search.offer(row["label"], ids, _unpack(row["vs"], len(ids), row["dims"]), np.frombuffer(row["ds"], np.float32).reshape(len(ids), -1).astype(np.float64))
         for search in searches.values():
             yield search.rows()
 
