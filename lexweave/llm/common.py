@@ -30,12 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, so that
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder (to ``path``, if given) and read it back, so that
     later steps neither recompute it nor lose it with an executor. What was
     shuffled for it is deleted when it is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)

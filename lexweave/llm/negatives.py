@@ -26,7 +26,7 @@ best of them. The sample decides how much is passed over, not what is found.
 Defined cases: rows with a null id, label or vector, or a null, NaN or infinite
 component (also one that is infinite after scaling) take no part; only vectors of equal length are
 compared; ties go to the smaller id; rows that recur are candidates each by itself,
-an anchor that recurs is one anchor (the least label and vector, if they differ); rows
+an anchor that recurs is one anchor (if they differ, the least label, then vector by its bytes); rows
 with an anchor's id aren't its positives or negatives; an empty table gives an empty
 result; further columns are left out of the plan and can't clash. Where products may
 pass 2**52, nothing is passed over and sums are Python integers; scores beyond a long

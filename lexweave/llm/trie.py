@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, new_path, small_batches
 
 BLOCK = 1 << 16
 #: Ids that are joined into one piece of text.
@@ -141,8 +141,15 @@ def prefix_trie(turns: DataFrame, members: DataFrame) -> DataFrame:
     # by position, so that a level reads its own part of the files
     mine = cut(mine.repartitionByRange("at", "rep").sortWithinPartitions("at", "rep"))
 
+    spark = turns.sparkSession
+    # one folder for all levels of each direction, so that all of them are one scan
+    down, up = new_path(spark), new_path(spark)
+
+    def every_level(path: str, one: DataFrame) -> DataFrame:
+        return spark.read.schema(f"{', '.join(' '.join(x) for x in one.dtypes)}, depth long").parquet(path)
+
     # down
-    live, alive, levels = classes.filter("len > 0").select("rep", F.lit(whole["root"]).alias("parent"), "n", "len"), whole["live"], []
+    live, alive, levels = classes.filter("len > 0").select("rep", F.lit(whole["root"]).cast("long").alias("parent"), "n", "len"), whole["live"], []
     while alive:
         depth = len(levels) + 1
         step = live.join(mine.filter(F.col("at") == depth).select("rep", "key", "bytes"), "rep")
@@ -151,17 +158,14 @@ def prefix_trie(turns: DataFrame, members: DataFrame) -> DataFrame:
         nodes = step.groupBy("parent", "key").agg(
             F.min("rep").alias("node"), F.sum("n").alias("n_convs"), F.count(F.lit(1)).alias("classes"), F.max(F.when(F.col("len") == depth, F.col("rep"))).alias("ended")
         )
-        levels.append(cut(_meet(step, nodes, ["parent", "key"], alive).select("rep", "parent", "node", "n_convs", "classes", "ended", "bytes", "n", "len")))
+        levels.append(cut(_meet(step, nodes, ["parent", "key"], alive).select("rep", "parent", "node", "n_convs", "classes", "ended", "bytes", "n", "len"), f"{down}/depth={depth}"))
         live = levels[-1].filter((F.col("classes") > 1) & (F.col("len") > depth)).select("rep", F.col("node").alias("parent"), "n", "len")
         alive = live.count()
 
     # what is alone from some depth on
-    chains = None
-    for depth, level in enumerate(levels, 1):
-        one = level.filter("classes = 1").select("rep", "parent", "n", "len", F.lit(depth).cast("long").alias("begin"))
-        chains = one if chains is None else chains.union(one)
     chain_rows = None
-    if chains is not None:
+    if levels:
+        chains = every_level(down, levels[0]).filter("classes = 1").select("rep", "parent", "n", "len", F.col("depth").alias("begin"))
         chains = cut(chains.join(classes.select("rep", "ends"), "rep"))
         spread = chains.withColumn("block", F.explode(F.sequence(F.expr(f"begin div {BLOCK}"), F.expr(f"len div {BLOCK}"))))
         chain_rows = mine.join(spread, ["rep", "block"]).filter("at >= begin")
@@ -182,7 +186,7 @@ def prefix_trie(turns: DataFrame, members: DataFrame) -> DataFrame:
     for depth in range(len(levels), 0, -1):
         own = levels[depth - 1].filter("classes > 1 and rep = node").withColumn("own", (F.col("n_convs") - 1) * F.col("bytes"))
         own = own.join(sums, own["node"] == sums["above"], "left") if sums is not None else own.withColumns({c: F.lit(None).cast("long") for c in ("kids", "leaves", "saved")})
-        trunks.append(cut(own.select("node", F.lit(depth).alias("depth"), "parent", "n_convs", F.coalesce("kids", F.lit(0)).alias("kids"), F.coalesce("leaves", F.lit(1)).alias("leaves"), (F.col("own") + F.coalesce("saved", F.lit(0))).alias("saved"), "ended")))
+        trunks.append(cut(own.select("node", "parent", "n_convs", F.coalesce("kids", F.lit(0)).alias("kids"), F.coalesce("leaves", F.lit(1)).alias("leaves"), (F.col("own") + F.coalesce("saved", F.lit(0))).alias("saved"), "ended"), f"{up}/depth={depth}"))
         heads = chain_rows.filter(F.col("head") & (F.col("depth") == depth)).select("parent", F.lit(1).alias("leaves"), "saved")
         sums = trunks[-1].select("parent", "leaves", "saved").unionByName(heads).groupBy(F.col("parent").alias("above")).agg(F.count(F.lit(1)).alias("kids"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
 
@@ -191,11 +195,12 @@ def prefix_trie(turns: DataFrame, members: DataFrame) -> DataFrame:
     result = _out(top.withColumns({"kids": F.coalesce("kids", F.lit(0)), "leaves": F.coalesce("leaves", F.lit(1)), "saved": F.coalesce("saved", F.lit(0))}))
     if chain_rows is not None:
         result = result.unionByName(_out(chain_rows))
+    if not trunks:
+        return result
+    shared = every_level(up, trunks[0])
+    # nodes at which nothing ends have no key
     ends = classes.select(F.col("rep").alias("ended"), "ends")
-    shared = None
-    for trunk in trunks:
-        shared = trunk if shared is None else shared.unionByName(trunk)
-    return result if shared is None else result.unionByName(_out(shared.join(ends, "ended", "left")))
+    return result.unionByName(_out(shared.filter("ended is not null").join(ends, "ended"))).unionByName(_out(shared.filter("ended is null").withColumn("ends", F.lit(None).cast("string"))))
 
 
 def _out(rows: DataFrame) -> DataFrame:
