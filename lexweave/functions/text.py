@@ -22,26 +22,34 @@ def empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+#: Marks around matches, and what stands for them where a text has them itself: none is a letter, digit or white space.
+_BEGIN, _END, _OTHER = "\x00", "\x01", "\x02"
+
+
 def find(text: Column, pattern: str) -> Column:
     """All matches with their offsets, in code points: array of (s, e, m).
 
-    The pieces between matches and the matches alternate, so their lengths add
-    up to offsets.
+    One scan puts marks around the matches; the pieces between the marks add up
+    to offsets. (A split by the pattern would compile it for every row.)
     """
-    p = F.lit(pattern)
-    both = F.struct(F.split(text, p, -1).alias("g"), F.regexp_extract_all(text, p, F.lit(0)).alias("m"))
+    marked = F.regexp_replace(F.translate(text, _BEGIN + _END, _OTHER * 2), F.lit(pattern), F.lit(f"{_BEGIN}$0{_END}"))
+    pieces = F.split(marked, _BEGIN, -1)
 
     def add(state: Column, x: Column) -> Column:
-        s = state["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(state["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+        m = F.substring_index(x, _END, 1)
+        s = state["at"]
+        e = s + F.length(m)
+        # without its mark, a piece is the match and what follows it
+        return F.struct((s + F.length(x) - 1).alias("at"), F.concat(state["out"], F.array(F.struct(s.alias("s"), e.alias("e"), m.alias("m")))).alias("out"))
 
     def offsets(v: Column) -> Column:
-        pairs = F.zip_with(F.slice(v["g"], F.lit(1), F.size(v["m"])), v["m"], lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-        start = F.struct(F.lit(0).alias("at"), empty(SPAN).alias("out"))
-        return F.when(F.size(v["m"]) == 0, empty(SPAN)).otherwise(F.aggregate(pairs, start, add, lambda a: a["out"]))
+        start = F.struct(F.length(F.get(v, 0)).alias("at"), empty(SPAN).alias("out"))
+        return F.when(F.size(v) <= 1, empty(SPAN)).otherwise(F.aggregate(F.slice(v, F.lit(2), F.size(v)), start, add, lambda a: a["out"]))
 
-    return F.coalesce(let(both, offsets), empty(SPAN))
+    found = let(pieces, offsets)
+    # a match that held a mark gets its own characters back
+    own = F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["m"].contains(_OTHER), cut(text, x["s"], x["e"])).otherwise(x["m"]).alias("m")))
+    return F.coalesce(own, empty(SPAN))
 
 
 def group(match: Column, pattern: str, index: int) -> Column:

@@ -1,24 +1,30 @@
 """Resolution of mentions against the registers.
 
-Direct matches are joins of mentions with the registers' indexes (one row per
-key; Spark broadcasts them if they are small). Fuzzy scores are computed once
-for each distinct title or name that nothing else resolves. Back-references are
-a fold over a document's citations in order.
+Direct matches are joins of distinct references with the registers' indexes, whose
+size is known, so that small ones are broadcast from the start. Fuzzy scores are
+computed once for each distinct title or name that nothing else resolves. Documents
+without back-references end there. For the others, citations are shuffled by document
+and read in order, with a state of a few works: time grows with their number, memory
+with the distinct years and short forms of a document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import fixed
 from ..functions.similarity import name_agreement, round4, similarity
 from ..functions.text import alias_key, empty, let, name_key, report_key, title_key, title_stem
 from ..sources.registry import CASE, WORK, Registers, case_id
-from ..sources.storage import kept
+from ..sources.storage import Held, kept
 from .cases import neutral_text, report_text
+from .fuzzy import close
 from .links import case_search, held_by_primary, judgment_link, work_links
 from .works import PROVISION
 
@@ -63,48 +69,47 @@ def inferred_type(title: Column, year: Column) -> Column:
     )
 
 
-def search_works(probes: DataFrame, works: DataFrame, cutoff: float = fixed.SEARCH_CUTOFF, limit: int = fixed.SEARCH_LIMIT) -> DataFrame:
+def search_works(probes: DataFrame, registers: Registers, cutoff: float = fixed.SEARCH_CUTOFF, limit: int = fixed.SEARCH_LIMIT) -> DataFrame:
     """probes(norm, year) with ``found``: the best works as array of (score, work).
     Works of the year come first; the others, at a penalty, only if none of them passes."""
-    best = Window.partitionBy("norm", "year_key").orderBy(F.desc("score"), F.desc("work.year"), "work.title", "ord")
-    asked = probes.filter("norm <> ''").select("norm", F.coalesce("year", F.lit(-1)).alias("year_key")).distinct()
-    pool = works.select("ord", "work", F.col("norm").alias("title"))
-    # a ratio is at most twice the shorter length over the sum of lengths
-    may = 2 * F.least(F.length("norm"), F.length("title")) >= F.lit(cutoff) * (F.length("norm") + F.length("title"))
-    same = asked.join(pool, F.col("year_key") == F.col("work.year")).filter(may)
-    same = same.withColumn("score", similarity("norm", "title")).filter(F.col("score") >= cutoff)
-    rest = asked.join(same.select("norm", "year_key").distinct(), ["norm", "year_key"], "left_anti")
-    # titles are few and the register is one small table
-    penalty = F.when(F.col("year_key") < 0, 1.0).otherwise(fixed.CROSS_YEAR)
-    other = rest.join(pool, may).withColumn("score", similarity("norm", "title") * penalty).filter(F.col("score") >= cutoff)
-    ranked = same.select("norm", "year_key", "ord", "work", "score").union(other.select("norm", "year_key", "ord", "work", "score"))
-    top = ranked.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
-    rows = F.array_sort(F.collect_list(F.struct("place", "score", "work")))
-    found = top.groupBy("norm", "year_key").agg(F.transform(rows, lambda r: F.struct(r["score"].alias("score"), r["work"].alias("work"))).alias("found"))
-    return found.withColumn("year", F.when(F.col("year_key") >= 0, F.col("year_key"))).drop("year_key")
-
-
-def match_works(refs: DataFrame, registers: Registers, settings: Settings = Settings()) -> DataFrame:
+    asked = probes.filter("norm <> ''").select(F.col("norm").alias("key"), F.col("year").cast("int").alias("year")).distinct()
+    scored = close(asked, registers.titles, cutoff, fixed.CROSS_YEAR)
+    works = registers.works.select(F.col("ord").alias("ref"), "work")
+    order = [F.desc("same"), F.desc("score"), F.desc("work.year"), "work.title", "ref"]
+    # at most ``limit`` rows of a probe leave a task
+    top = scored.join(works, "ref").withColumn("place", F.row_number().over(Window.partitionBy("key", "year").orderBy(*order))).filter(F.col("place") <= limit)
+    rows = F.array_sort(F.collect_list(F.struct("place", "same", "score", "work")))
+    found = top.groupBy("key", "year").agg(rows.alias("rows"))
+    best = F.filter("rows", lambda r: r["same"] == F.get("rows", 0)["same"])
+    return found.select(F.col("key").alias("norm"), "year", F.transform(best, lambda r: F.struct(r["score"].alias("score"), r["work"].alias("work"))).alias("found"))
+
+
+def _looked_up(rows: DataFrame, registers: Registers, kind: str, name: str, key: str | None, year: str | None) -> DataFrame:
+    """``rows`` with (n, works) as ``name``: what the index has for their key and year."""
+    right = registers.work_index(kind).select(F.col("key").alias("_k"), F.col("year").alias("_y"), F.struct("n", "works").alias(name))
+    on = [rows[c] == right[k] for c, k in ((key, "_k"), (year, "_y")) if c]
+    return rows.join(right, on, "left").drop("_k", "_y")
+
+
+def match_works(refs: DataFrame, registers: Registers, settings: Settings = Settings(), held: Held | None = None) -> DataFrame:
     """``refs`` (with title, year, number, work_type) and ``match``, for references that aren't anaphoric."""
-    works = registers.works
     r = (
         refs.withColumn("_norm", F.coalesce(title_key(F.col("title")), F.lit("")))
         .withColumn("_stem", F.coalesce(title_stem(F.col("title")), F.lit("")))
         .withColumn("_alias", F.coalesce(alias_key(F.col("title")), F.lit("")))
         .withColumn("_type", F.coalesce(F.when(F.col("work_type") != "", F.col("work_type")), inferred_type(F.col("title"), F.col("year"))))
     )
-    at = registers.index
-    r = r.join(at["number"], ["year", "number"], "left").join(at["title_year"], ["_norm", "year"], "left").join(at["stem_year"], ["_stem", "year"], "left")
-    r = r.join(at["title"], "_norm", "left").join(at["alias"].withColumnRenamed("alias", "_alias"), "_alias", "left")
+    for kind, key, at in (("number", "number", "year"), ("title_year", "_norm", "year"), ("stem_year", "_stem", "year"), ("title", "_norm", None), ("alias", "_alias", None), ("alias_year", "_alias", "year")):
+        r = _looked_up(r, registers, kind, f"_of_{kind}", key, at)
 
     none = empty(f"array<{WORK}>")
-    numbered, titled_, alias = (F.coalesce(c, none) for c in ("numbered", "any_year", "alias_works"))
-    exact_year = F.coalesce(F.when(F.size("titled") > 0, F.col("titled")), F.col("stemmed"), none)
     title, year, number = F.col("title"), F.col("year"), F.col("number")
+    numbered = F.coalesce("_of_number.works", none)
     typed = F.filter(numbered, lambda w: w["work_type"] == F.col("_type"))
     r = r.withColumn("_numbers", F.when(F.size(typed) > 0, typed).otherwise(numbered))
-    r = r.withColumn("_titles", F.when(year.isNotNull(), exact_year).otherwise(titled_)).withColumn("_aliases", alias)
-    same_year = F.filter("_aliases", lambda w: w["year"] == year)
+    r = r.withColumn("_titles", F.when(year.isNotNull(), F.coalesce("_of_title_year", "_of_stem_year")).otherwise(F.col("_of_title")))
+    titles, aliases, same_year = (F.coalesce(F.col(f"{c}.n"), F.lit(0)) for c in ("_titles", "_of_alias", "_of_alias_year"))
+    first = lambda c: F.get(f"{c}.works", 0)
     has_number = (number != "") & (year != 0)
     has_title = title != ""
     made = F.struct(
@@ -116,15 +121,15 @@ def match_works(refs: DataFrame, registers: Registers, settings: Settings = Sett
         F.when(has_number & (F.size("_numbers") == 1), match(F.get("_numbers", 0), 1.0, "number"))
         .when(has_number & ((F.size("_numbers") == 0) | ~F.coalesce(has_title, F.lit(False))), match(made, 0.95, "number", _strings("constructed from the cited number; not in registry")))
         .when(has_number, F.lit(None).cast(MATCH))
-        .when(has_title & (F.size("_titles") == 1), match(F.get("_titles", 0), 1.0, "exact"))
-        .when(has_title & (F.size("_titles") > 1), match(F.get("_titles", 0), 0.90, "exact", _strings("ambiguous title; first match used")))
-        .when(has_title & (F.size("_aliases") == 1), match(F.get("_aliases", 0), 0.95, "alias"))
-        .when(has_title & (F.size("_aliases") > 1) & (F.size(same_year) == 1), match(F.get(same_year, 0), 0.95, "alias"))
+        .when(has_title & (titles == 1), match(first("_titles"), 1.0, "exact"))
+        .when(has_title & (titles > 1), match(first("_titles"), 0.90, "exact", _strings("ambiguous title; first match used")))
+        .when(has_title & (aliases == 1), match(first("_of_alias"), 0.95, "alias"))
+        .when(has_title & (aliases > 1) & (same_year == 1), match(first("_of_alias_year"), 0.95, "alias"))
         .when(F.coalesce(has_title, F.lit(False)), F.lit(None).cast(MATCH))
         .otherwise(match(None, 0.0, "unresolved", _strings("no title or number to resolve")))
     )
     # distinct references, from which the look-ups below branch off
-    r = kept(r.withColumn("match", direct).drop("numbered", "titled", "stemmed", "any_year", "alias_works"))
+    r = kept(r.withColumn("match", direct).drop("_titles", *[c for c in r.columns if c.startswith("_of_")]), held)
 
     # several works of one number: the most similar title, the first of equals
     several = r.filter("match is null and size(_numbers) > 1").select("_norm", "year", "number", "_type", F.posexplode("_numbers").alias("i", "work")).distinct()
@@ -132,7 +137,7 @@ def match_works(refs: DataFrame, registers: Registers, settings: Settings = Sett
     best = scored.groupBy("_norm", "year", "number", "_type").agg(F.max_by("work", F.struct("score", -F.col("i"))).alias("_best"))
     r = r.join(best, ["_norm", "year", "number", "_type"], "left")
     probes = r.filter("match is null and _best is null").select("_norm", "year").distinct()
-    found = search_works(probes.withColumnRenamed("_norm", "norm"), works, settings.suggest)
+    found = search_works(probes.withColumnRenamed("_norm", "norm"), registers, settings.suggest)
     r = _with_found(r, found)
     r = _asked(r, settings)
     top = F.get("found", 0)
@@ -176,97 +181,152 @@ def _asked(r: DataFrame, settings: Settings) -> DataFrame:
 
 # --- back-references ---------------------------------------------------------
 
-_STATE = f"struct<seen:array<{WORK}>,out:array<{MATCH}>>"
-
-
-def _last(seen: Column, test=None) -> Column:
-    return F.try_element_at(F.filter(seen, test) if test else seen, F.lit(-1))
-
-
-def _anaphor(x: Column, seen: Column, shorts: Column) -> Column:
-    """The match of a back-reference, given the works mentioned so far."""
-    surface = F.lower(x["surface"])
-    short = F.try_element_at(F.filter(shorts, lambda d: d["key"] == x["alias"]), F.lit(-1))["work"]
-    many = _strings("ambiguous acronym; first match used")
-    of_year = _last(seen, lambda w: w["year"] == x["year"])
-    noun = F.when(surface.rlike("act|measure"), F.lit("act")).when(surface.rlike("regulations|order|rules"), "si")
+#: Rules by which a citation that names no work finds one: method, confidence and note.
+_RULES = {
+    "short": ("short-form", 0.92, None), "alias": ("alias", 0.88, None), "aliases": ("alias", 0.70, "ambiguous acronym; first match used"), "of year": ("anaphora", 0.90, None),
+    "year known": ("anaphora", 0.65, "year matched the registry, not the document"), "no year": ("unresolved", 0.0, None), "noun": ("anaphora", 0.80, None),
+    "recent": ("anaphora", 0.60, "fell back to the most recent work"), "nothing": ("unresolved", 0.0, "back-reference with no antecedent"),
+    "bare": ("context", 0.70, "pinpoint attached to most recent work"), "alone": ("unresolved", 0.0, "pinpoint with no antecedent work"),
+}
+
+
+class _Antecedents:
+    """What a document's citations have named so far: places in a pool of works."""
+
+    def __init__(self):
+        self.last = self.act = self.si = None
+        self.by_year: dict[int, int] = {}
+        self.shorts: dict[str, int] = {}
+
+    def see(self, at: int, year: int | None, kind: str | None) -> None:
+        self.last = at
+        self.by_year[year] = at
+        if kind in fixed.ACT_TYPES:
+            self.act = at
+        if kind in fixed.SI_TYPES:
+            self.si = at
+
+    def find(self, row: dict, alias: int | None, of_year: int | None) -> tuple[str, int | None]:
+        """The rule and the work of a back-reference; ``alias`` and ``of_year``: the first of the register's."""
+        if row["alias"] in self.shorts:
+            return "short", self.shorts[row["alias"]]
+        if row["alias_n"]:
+            return ("alias" if row["alias_n"] == 1 else "aliases"), alias
+        if row["year"] is not None:
+            if row["year"] in self.by_year:
+                return "of year", self.by_year[row["year"]]
+            return ("year known", of_year) if row["year_n"] == 1 else ("no year", None)
+        wanted = {"act": self.act, "si": self.si}.get(row["noun"])
+        if wanted is not None:
+            return "noun", wanted
+        return ("recent", self.last) if self.last is not None else ("nothing", None)
+
+    def moved(self, to: dict[int, int]) -> None:
+        self.last, self.act, self.si = (to.get(x) for x in (self.last, self.act, self.si))
+        self.by_year = {k: to[v] for k, v in self.by_year.items()}
+        self.shorts = {k: to[v] for k, v in self.shorts.items()}
+
+    def places(self) -> set[int]:
+        return {x for x in (self.last, self.act, self.si, *self.by_year.values(), *self.shorts.values()) if x is not None}
+
+
+_READ = ["doc_id", "text_key", "role", "mentioned", "anaphoric", "alias", "alias_n", "year", "year_n", "noun"]
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``rule`` and ``found`` to rows that come by document, definitions first, then citations in order.
+    Works stay in Arrow: the state names their places."""
+    at, state, pool = None, _Antecedents(), None
+    for batch in batches:
+        n = batch.num_rows
+        own = [batch.column(c) for c in ("direct_work", "alias_work", "year_work")]
+        begin = len(pool) if pool is not None else 0
+        pool = pa.concat_arrays(([pool] if begin else []) + own)
+        known, years, kinds = pool.is_valid().to_pylist(), pool.field("year").to_pylist(), pool.field("work_type").to_pylist()
+        columns = [batch.column(c).to_pylist() for c in _READ]
+        rules, found = [], []
+        for i, values in enumerate(zip(*columns, strict=True)):
+            row = dict(zip(_READ, values, strict=True))
+            if (row["doc_id"], row["text_key"]) != at:
+                at, state = (row["doc_id"], row["text_key"]), _Antecedents()
+            direct = begin + i if known[begin + i] else None
+            rule, work = None, direct
+            if row["role"] == "define":
+                if direct is not None:
+                    state.shorts[row["alias"]] = direct
+            else:
+                if not row["mentioned"]:
+                    rule, work = ("bare", state.last) if state.last is not None else ("alone", None)
+                elif row["anaphoric"]:
+                    rule, work = state.find(row, begin + n + i, begin + 2 * n + i)
+                if work is not None:
+                    state.see(work, years[work], kinds[work])
+            rules.append(rule)
+            found.append(work)
+        yield pa.record_batch([*batch.columns, pa.array(rules, pa.string()), pool.take(pa.array(found, pa.int64()))], [*batch.schema.names, "rule", "found"])
+        places = sorted(state.places())
+        pool = pool.take(pa.array(places, pa.int64()))
+        state.moved({old: new for new, old in enumerate(places)})
+
+
+def _antecedents(rows: DataFrame, registers: Registers) -> DataFrame:
+    """``rows`` of documents with back-references, with the match of each citation."""
+    name = F.when(F.col("role") == "define", F.col("mention.short")).when(F.col("anaphoric"), F.col("title"))
+    rows = rows.withColumn("alias", alias_key(name))
+    # what has no key gets one that no index has, so that it isn't one hot key
+    apart = F.concat(F.lit("-"), F.col("text_key").cast("string"), F.lit("-"), F.col("ord").cast("string"))
+    rows = rows.withColumn("_ask", F.coalesce(F.when(F.col("anaphoric"), F.col("alias")), apart)).withColumn("_ask_year", F.coalesce(F.when(F.col("anaphoric"), F.col("year")), -1 - F.pmod(F.col("text_key"), F.lit(1 << 20)).cast("int")))
+    rows = _looked_up(rows, registers, "alias", "_of_alias", "_ask", None)
+    rows = _looked_up(rows, registers, "year", "_of_year", None, "_ask_year")
+    surface = F.lower("mention.surface")
     # the first noun of the list that occurs decides; acts come first
-    wanted = F.when(noun == "act", _last(seen, lambda w: w["work_type"].isin(*fixed.ACT_TYPES))).when(noun == "si", _last(seen, lambda w: w["work_type"].isin(*fixed.SI_TYPES)))
-    five = F.transform(F.slice(x["year_works"], 1, 5), lambda w: F.struct(w["id"].alias("id"), F.lit(0.5).alias("score")))
-    nothing = _strings(F.concat(F.lit("no work from "), x["year"].cast("string"), F.lit(" mentioned earlier")))
-    return (
-        F.when(short.isNotNull(), match(short, 0.92, "short-form"))
-        .when(F.size(x["alias_works"]) == 1, match(F.get(x["alias_works"], 0), 0.88, "alias"))
-        .when(F.size(x["alias_works"]) > 1, match(F.get(x["alias_works"], 0), 0.70, "alias", many))
-        .when(x["year"].isNotNull() & of_year.isNotNull(), match(of_year, 0.90, "anaphora"))
-        .when(x["year"].isNotNull() & (F.size(x["year_works"]) == 1), match(F.get(x["year_works"], 0), 0.65, "anaphora", _strings("year matched the registry, not the document")))
-        .when(x["year"].isNotNull(), match(None, 0.0, "unresolved", nothing, five))
-        .when(wanted.isNotNull(), match(wanted, 0.80, "anaphora"))
-        .when(_last(seen).isNotNull(), match(_last(seen), 0.60, "anaphora", _strings("fell back to the most recent work")))
-        .otherwise(match(None, 0.0, "unresolved", _strings("back-reference with no antecedent")))
-    )
-
-
-def _fold(rows: Column, shorts: Column) -> Column:
-    def add(state: Column, x: Column) -> Column:
-        last = _last(state["seen"])
-        bare = F.when(last.isNotNull(), match(last, 0.70, "context", _strings("pinpoint attached to most recent work"))).otherwise(
-            match(None, 0.0, "unresolved", _strings("pinpoint with no antecedent work"))
-        )
-        found = F.when(~x["mentioned"], bare).when(x["anaphoric"], _anaphor(x, state["seen"], shorts)).otherwise(x["match"])
-        return let(
-            found,
-            lambda m: F.struct(
-                F.when(m["work"].isNotNull(), F.concat(state["seen"], F.array(m["work"]))).otherwise(state["seen"]).alias("seen"),
-                F.concat(state["out"], F.array(m)).alias("out"),
-            ).cast(_STATE),
-        )
-
-    start = F.struct(empty(f"array<{WORK}>").alias("seen"), empty(f"array<{MATCH}>").alias("out"))
-    return F.aggregate(rows, start, add, lambda s: s["out"])
-
-
-def resolve_works(found: DataFrame, registers: Registers, settings: Settings = Settings()) -> DataFrame:
+    noun = F.when(surface.rlike("act|measure"), "act").when(surface.rlike("regulations|order|rules"), "si")
+    rows = rows.withColumns({
+        "alias_n": F.col("_of_alias.n"), "alias_work": F.get("_of_alias.works", 0), "year_n": F.col("_of_year.n"), "year_work": F.get("_of_year.works", 0), "noun": noun,
+        "direct_work": F.col("match.work"), "five": F.transform("_of_year.works", lambda w: F.struct(w["id"].alias("id"), F.lit(0.5).alias("score"))),
+    })
+    columns = ["doc_id", "text_key", "ord", "role", "start", "end", "surface", "mention", "chain", "mentioned", "anaphoric", "title", "year", "number", "work_type", "match", "alias", "alias_n", "alias_work", "year_n", "year_work", "noun", "direct_work", "five"]
+    sorted_ = rows.select(*columns).repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", F.desc("role"), "ord")
+    kind = sorted_.schema["direct_work"].dataType
+    told = sorted_.mapInArrow(_in_order, StructType([*sorted_.schema.fields, StructField("rule", sorted_.schema["noun"].dataType), StructField("found", kind)]))
+    told = told.filter("role = 'cite'")
+    ruled = F.col("match")
+    for rule, (method, score, note) in _RULES.items():
+        notes = _strings(F.concat(F.lit("no work from "), F.col("year").cast("string"), F.lit(" mentioned earlier"))) if rule == "no year" else _strings(note) if note else None
+        five = F.coalesce("five", empty(f"array<{CANDIDATE}>")) if rule == "no year" else None
+        ruled = F.when(F.col("rule") == rule, match(F.col("found"), score, method, notes, five)).otherwise(ruled)
+    return told.withColumn("m", ruled)
+
+
+def resolve_works(found: DataFrame, registers: Registers, settings: Settings = Settings(), held: Held | None = None) -> DataFrame:
     """Citations of ``found`` (doc_id, text_key, citations, definitions): one resolved row each.
 
-    Mentions leave the row without their document's text; one shuffle by
-    document brings the matches back in order for the fold.
+    Mentions leave the row without their document's text. Only documents with a
+    back-reference are shuffled by document.
     """
-    flat = found.select("doc_id", "text_key", F.posexplode("citations").alias("ord", "c")).select(
-        "doc_id", "text_key", "ord", F.lit("cite").alias("role"), F.col("c.s").alias("start"), F.col("c.e").alias("end"), F.col("c.surface").alias("surface"), F.col("c.mention").alias("mention"), F.col("c.chain").alias("chain")
+    back = F.exists("citations", lambda c: c["mention"].isNull() | F.coalesce(c["mention"]["anaphoric"], F.lit(False)))
+    found = found.withColumn("back", back)
+    flat = found.select("doc_id", "text_key", "back", F.posexplode("citations").alias("ord", "c")).select(
+        "doc_id", "text_key", "back", "ord", F.lit("cite").alias("role"), F.col("c.s").alias("start"), F.col("c.e").alias("end"), F.col("c.surface").alias("surface"), F.col("c.mention").alias("mention"), F.col("c.chain").alias("chain")
     )
-    defined = found.select("doc_id", "text_key", F.posexplode("definitions").alias("ord", "m")).select(
-        "doc_id", "text_key", "ord", F.lit("define").alias("role"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("surface"), F.col("m").alias("mention"), empty(f"array<{PROVISION}>").alias("chain")
+    defined = found.filter("back").select("doc_id", "text_key", "back", F.posexplode("definitions").alias("ord", "m")).select(
+        "doc_id", "text_key", "back", "ord", F.lit("define").alias("role"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("surface"), F.col("m").alias("mention"), empty(f"array<{PROVISION}>").alias("chain")
     )
     m = F.col("mention")
+    keys = ["title", "year", "number", "work_type"]
     rows = flat.union(defined).withColumns({
-        "title": m["title"], "year": m["year"], "number": m["number"], "work_type": m["work_type"],
-        "mentioned": m.isNotNull(), "anaphoric": F.coalesce(m["anaphoric"], F.lit(False)),
+        **{k: m[k] for k in keys}, "mentioned": m.isNotNull(), "anaphoric": F.coalesce(m["anaphoric"], F.lit(False)),
     })
+    # what is direct is looked up once per distinct reference; what isn't gets keys of its own
     direct = F.col("mentioned") & ~F.col("anaphoric")
-    # what is direct is looked up once per distinct reference
-    keys = ["title", "year", "number", "work_type"]
-    refs = rows.filter(direct).select(*keys).distinct()
-    matched = match_works(refs, registers, settings)
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    # bare pinpoints and back-references have no reference to look up and would all share one key
-    looked_up = rows.filter(direct).alias("l").join(matched.alias("r"), on, "left").select("l.*", "r.match")
-    rows = looked_up.union(rows.filter(~direct).withColumn("match", F.lit(None).cast(MATCH)))
-
-    name = F.when(F.col("role") == "define", F.col("mention.short")).when(F.col("anaphoric"), F.col("title"))
-    rows = rows.withColumn("alias", alias_key(name)).withColumn("back_year", F.when(F.col("anaphoric"), F.col("year")))
-    rows = rows.join(registers.index["alias"], "alias", "left").join(registers.index["year"], "back_year", "left")
-
-    item = F.struct("ord", "start", "end", "surface", "mention", "chain", "mentioned", "anaphoric", "title", "year", "number", "work_type", "alias", "match", F.coalesce("alias_works", empty(f"array<{WORK}>")).alias("alias_works"), F.coalesce("year_works", empty(f"array<{WORK}>")).alias("year_works"))
-    short = F.struct("ord", "alias", F.col("match.work").alias("work"))
-    by_ord = lambda a, b: F.when(a["ord"] < b["ord"], -1).otherwise(1)
-    docs = rows.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_list(F.when(F.col("role") == "cite", item)), by_ord).alias("items"),
-        F.array_sort(F.collect_list(F.when((F.col("role") == "define") & F.col("match.work").isNotNull(), short)), by_ord).alias("_shorts"),
-    )
-    docs = docs.withColumn("shorts", F.transform("_shorts", lambda d: F.struct(d["alias"].alias("key"), d["work"].alias("work")))).withColumn("matches", _fold(F.col("items"), F.col("shorts")))
-    out = docs.select("doc_id", "text_key", F.explode(F.arrays_zip("items", "matches")).alias("x")).select("doc_id", "text_key", "x.items.*", F.col("x.matches").alias("m"))
-    out = out.drop("match", "alias_works", "year_works", "alias")
+    apart = F.concat(F.lit("-"), F.col("text_key").cast("string"), F.lit("-"), F.col("ord").cast("string"))
+    rows = rows.withColumn("ref", F.when(direct, F.to_json(F.struct(*keys))).otherwise(apart))
+    refs = flat.union(defined.filter(m["anaphoric"] == F.lit(False))).filter(m.isNotNull() & ~m["anaphoric"]).select(*[m[k].alias(k) for k in keys]).distinct().withColumn("ref", F.to_json(F.struct(*keys)))
+    matched = kept(match_works(refs, registers, settings, held).select("ref", "match"), held)
+    rows = rows.join(matched, "ref", "left").drop("ref")
+    simple = rows.filter("not back and role = 'cite'").withColumn("m", F.col("match"))
+    shown = ["doc_id", "text_key", "ord", "start", "end", "surface", "mention", "chain", "mentioned", "anaphoric", *keys, "m"]
+    out = simple.select(*shown).unionByName(_antecedents(rows.filter("back").drop("back"), registers).select(*shown))
     linked = out.withColumn("links", work_links(F.col("m.work"), F.col("chain"), F.col("title"), F.col("year"), *settings.version))
     more = F.when(F.size("links.urls") > 1, F.array(F.concat(F.size("links.urls").cast("string"), F.lit(" provisions cited; url is the first")))).otherwise(empty("array<string>"))
     ranges = F.when(F.exists("chain", lambda p: p["end_number"].isNotNull()), _strings("range cited; url targets the first provision")).otherwise(empty("array<string>"))
@@ -284,12 +344,11 @@ def resolve_works(found: DataFrame, registers: Registers, settings: Settings = S
 # --- cases -------------------------------------------------------------------
 
 
-def search_cases(probes: DataFrame, cases: DataFrame, cutoff: float = fixed.SEARCH_CUTOFF, limit: int = fixed.SEARCH_LIMIT) -> DataFrame:
+def search_cases(probes: DataFrame, registers: Registers, cutoff: float = fixed.SEARCH_CUTOFF, limit: int = fixed.SEARCH_LIMIT) -> DataFrame:
     """probes(key) with ``found``: the cases whose best name is most similar, as array of (score, case)."""
-    names = cases.select("ord", "case", F.explode(F.array_distinct("names")).alias("name"))
-    may = 2 * F.least(F.length("key"), F.length("name")) >= F.lit(cutoff) * (F.length("key") + F.length("name"))
-    scored = probes.filter("key <> ''").select("key").distinct().join(names, may).withColumn("score", similarity("key", "name")).filter(F.col("score") >= cutoff)
-    best = scored.groupBy("key", "ord", "case").agg(F.max("score").alias("score"))
+    asked = probes.filter("key <> ''").select("key", F.lit(None).cast("int").alias("year")).distinct()
+    scored = close(asked, registers.case_names, cutoff).groupBy("key", F.col("ref").alias("ord")).agg(F.max("score").alias("score"))
+    best = scored.join(registers.cases.select("ord", "case"), "ord")
     place = Window.partitionBy("key").orderBy(F.desc("score"), "case.name", "ord")
     top = best.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit)
     rows = F.array_sort(F.collect_list(F.struct("place", "score", "case")))
@@ -302,19 +361,20 @@ def _years_agree(case: Column, reports: Column) -> Column:
     return (F.size(reports) == 0) | year.isNull() | near
 
 
-def match_cases(refs: DataFrame, registers: Registers, settings: Settings = Settings()) -> DataFrame:
+def match_cases(refs: DataFrame, registers: Registers, settings: Settings = Settings(), held: Held | None = None) -> DataFrame:
     """``refs`` (with name, neutral, reports) and ``match``."""
-    cases = registers.cases
     none_cases = empty(f"array<{CASE}>")
     # the key of a reference is all of it, so that different ones can't meet
     keyed = refs.withColumn("_id", F.to_json(F.struct("name", "neutral", "reports"))).withColumn("_name", F.coalesce(name_key(F.col("name")), F.lit("")))
     one = keyed.dropDuplicates(["_id"]).select("_id", "_name", "name", "neutral", "reports").withColumn("_neutral", F.coalesce(F.lower(neutral_text(F.col("neutral"))), F.lit("")))
-    at = registers.index
-    r = kept(one.join(at["neutral"], "_neutral", "left"))
+    def at(kind: str, key: str, name: str) -> DataFrame:
+        return registers.case_index(kind).select(F.col("key").alias(key), F.col("cases").alias(name))
+
+    r = kept(one.join(at("neutral", "_neutral", "_held"), "_neutral", "left").withColumn("registered", F.get("_held", 0)).drop("_held"), held)
     reports = r.select("_id", F.posexplode("reports").alias("i", "r"))
     reports = reports.withColumn("strict", report_key(F.col("r.year"), F.col("r.volume"), F.col("r.series"), F.col("r.page")))
     reports = reports.withColumn("loose", report_key(F.col("r.year"), F.lit("*"), F.col("r.series"), F.col("r.page")))
-    reports = reports.join(at["strict"], "strict", "left").join(at["loose"], "loose", "left")
+    reports = reports.join(at("strict", "strict", "strict_cases"), "strict", "left").join(at("loose", "loose", "loose_cases"), "loose", "left")
     hits = F.when(F.size("strict_cases") > 0, F.col("strict_cases")).otherwise(F.coalesce("loose_cases", none_cases))
     reports = reports.select("_id", F.struct("i", "r", hits.alias("hits"), (F.coalesce(F.size("strict_cases"), F.lit(0)) <= 0).alias("loose")).alias("hit"))
     r = r.join(reports.groupBy("_id").agg(F.array_sort(F.collect_list("hit"), lambda a, b: a["i"] - b["i"]).alias("hits")), "_id", "left")
@@ -330,11 +390,11 @@ def match_cases(refs: DataFrame, registers: Registers, settings: Settings = Sett
     agreed = pairs.withColumn("score", name_agreement("_name", name_key(F.col("other")))).groupBy("_id").agg(F.max("score").alias("_agrees"))
     r = r.join(agreed, "_id", "left")
 
-    r = r.join(at["name"], "_name", "left")
+    r = r.join(at("name", "_name", "name_cases"), "_name", "left")
     named = F.filter(F.coalesce("name_cases", none_cases), lambda c: _years_agree(c, F.col("reports")))
-    r = kept(r.withColumn("_named", named))
+    r = kept(r.withColumn("_named", named), held)
     open_ = r.filter("name is not null and neutral is null and _single is null and size(_named) = 0").select(F.col("_name").alias("key"))
-    r = r.join(search_cases(open_, cases, settings.suggest).withColumnRenamed("key", "_name"), "_name", "left")
+    r = r.join(search_cases(open_, registers, settings.suggest).withColumnRenamed("key", "_name"), "_name", "left")
     near = F.filter("found", lambda x: _years_agree(x["case"], F.col("reports")))
     r = r.withColumn("_near", F.coalesce(near, F.array().cast("array<struct<score:double,case:" + CASE + ">>")))
     r = r.withColumn("_rounded", round4(F.col("_agrees")))
@@ -367,10 +427,10 @@ def match_cases(refs: DataFrame, registers: Registers, settings: Settings = Sett
     return keyed.join(r.select("_id", found.alias("match")), "_id").drop("_id", "_name")
 
 
-def resolve_cases(found: DataFrame, registers: Registers, settings: Settings = Settings()) -> DataFrame:
+def resolve_cases(found: DataFrame, registers: Registers, settings: Settings = Settings(), held: Held | None = None) -> DataFrame:
     """Case citations of ``found`` (doc_id, text_key, case_mentions): one resolved row each."""
     rows = found.select("doc_id", "text_key", F.posexplode("case_mentions").alias("ord", "c")).select("doc_id", "text_key", "ord", "c.*")
-    r = match_cases(rows, registers, settings)
+    r = match_cases(rows, registers, settings, held)
     neutral = F.col("match.case.neutral")
     r = r.withColumn("link", F.when(neutral.isNotNull(), judgment_link(neutral)))
     court = F.concat(neutral["court"], F.when(neutral["division"].isNotNull(), F.concat(F.lit(" ("), neutral["division"], F.lit(")"))).otherwise(""))

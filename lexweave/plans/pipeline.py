@@ -6,7 +6,7 @@ The text of a document is read once for extraction; only mentions are shuffled.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from ..operators.links import case_citation, judgment_link, label, labels, work_
 from ..operators.resolve import Settings, resolve_cases, resolve_works
 from ..operators.works import find_citations
 from ..sources.registry import Registers
-from ..sources.storage import kept
+from ..sources.storage import Held, kept, release
 
 WHOLE_WORK, WHOLE_JUDGMENT = "(whole work)", "(whole judgment)"
 
@@ -32,11 +32,17 @@ class Resolved:
     documents: DataFrame  # doc_id, text
     citations: DataFrame
     cases: DataFrame
+    #: what was kept on the way
+    held: Held = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop what was kept on the way, when the results are written."""
+        release(self.held)
 
 
 def extract(docs: DataFrame, registers: Registers, settings: Settings = Settings()) -> DataFrame:
     """doc_id, text_key, case_mentions, citations, definitions for each document (doc_id, text)."""
-    texts = docs.select("doc_id", text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = dealt(docs.select("doc_id", "text")).select("doc_id", text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     if settings.link_cases:
         found = find_cases(texts, registers.names)
     else:
@@ -44,6 +50,20 @@ def extract(docs: DataFrame, registers: Registers, settings: Settings = Settings
     return find_citations(found, registers.aliases).select("doc_id", "text_key", "case_mentions", "citations", "definitions")
 
 
+#: A table of less than this many bytes a core is dealt over all cores before its texts are searched.
+SMALL_SHARE = 16 << 20
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt evenly if it is small: a file of one row group is one task,
+    and finding citations takes far longer than moving so few texts. Large tables
+    stay where they are."""
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return docs.repartition(cores) if int(size) < cores * SMALL_SHARE else docs
+
+
 def text_key() -> Column:
     """Tells texts of the same doc_id apart."""
     return F.xxhash64(F.coalesce("text", F.lit("")))
@@ -52,8 +72,9 @@ def text_key() -> Column:
 def resolve(docs: DataFrame, registers: Registers, settings: Settings = Settings()) -> Resolved:
     """The citations of documents. The mentions are kept, since works, cases and
     the look-ups of each start from them."""
-    found = kept(extract(docs, registers, settings))
-    return Resolved(docs.select("doc_id", "text"), resolve_works(found, registers, settings), resolve_cases(found, registers, settings))
+    held: Held = []
+    found = kept(extract(docs, registers, settings), held)
+    return Resolved(docs.select("doc_id", "text"), resolve_works(found, registers, settings, held), resolve_cases(found, registers, settings, held), held)
 
 
 # --- annotation --------------------------------------------------------------

@@ -371,8 +371,8 @@ def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best works for misspelt titles, across years at a penalty."""
     probes = _frame(spark, [("data protecton act", 2018), ("companies act", 1985), ("human rights act", None)], "norm string, year int")
-    found = R.search_works(probes, registers(spark).works, 0.86)
-    near = R.search_works(probes.filter("year = 1985"), registers(spark).works, 0.6)
+    found = R.search_works(probes, registers(spark), 0.86)
+    near = R.search_works(probes.filter("year = 1985"), registers(spark), 0.6)
     one = found.union(near.select(*found.columns)).select("norm", "year", F.get("found", 0).alias("f"))
     return one.select("norm", "year", F.col("f.work.id").alias("work_id"), round4(F.col("f.score")).alias("score")).distinct()
 

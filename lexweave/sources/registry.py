@@ -1,7 +1,9 @@
-"""Registers of works and cases as dimension tables, with their lookup keys.
+"""Registers of works and cases as tables, with an index per lookup.
 
-A register is a small table; what is collected from it - the keys that
-extraction needs - is checked against MOST_KEYS.
+Registers may be of any size. An index has one row per key, with the number of entries
+and the first few of them, so a year or an alias that many works have makes no large row.
+A small table becomes a literal of known size, which Spark broadcasts; a large one is
+written to the shared folder, so that its size is known too and joins shuffle it.
 """
 
 from __future__ import annotations
@@ -11,17 +13,24 @@ import os
 from dataclasses import dataclass, field
 from importlib import resources
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import alias_key, empty, name_key, report_key, title_key, title_stem
 from ..operators.cases import NEUTRAL, neutral_text, parse_neutral, parse_report, report_text
+from ..operators.fuzzy import POOL_BLOCK, blocks_of
+from .storage import kept
 
 WORK = "struct<id:string,title:string,year:int,work_type:string,number:string,aliases:array<string>>"
 CASE = f"struct<id:string,name:string,neutral:{NEUTRAL},reports:array<string>,aliases:array<string>>"
 WORKS_VARIABLE, CASES_VARIABLE = "LEXWEAVE_WORKS", "LEXWEAVE_CASES"
-MOST_KEYS = 50_000
+#: Rows up to which a table becomes a literal; keys up to which extraction knows them as a literal.
+LITERAL_ROWS, LITERAL_KEYS = 20_000, 5_000
+#: Entries of a key that an index lists (of numbers, all: a number has one per type).
+LISTED = 5
+#: What an acronym's key looks like.
+ACRONYM_KEY = r"^[a-z][a-z0-9]{1,9}( [0-9]{4})?$"
 _WORK_FILE = "id string, title string, year int, work_type string, number string, aliases array<string>"
 _CASE_FILE = "id string, name string, neutral string, reports array<string>, aliases array<string>"
 
@@ -110,58 +119,107 @@ def cases_of(parts: list[DataFrame]) -> DataFrame:
     return last.select("r.*")
 
 
-def _grouped(rows: list[Row], key, value: str, schema: str, spark: SparkSession) -> DataFrame:
-    """One row per key with the list of ``value`` in load order, as a literal table."""
-    found: dict[tuple, list] = {}
-    for row in sorted(rows, key=lambda r: r["ord"]):
-        for k in key(row):
-            found.setdefault(k, []).append(row[value])
-    return spark.createDataFrame([(*k, v) for k, v in found.items()], schema)
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed once, as a table whose size planning knows."""
+    first = df.limit(LITERAL_ROWS + 1).toArrow()
+    return df.sparkSession.createDataFrame(first, df.schema) if first.num_rows <= LITERAL_ROWS else kept(df)
+
+
+def _work_lookups(works: DataFrame) -> DataFrame:
+    """kind, key, year, n, works: how many works a key has, and the first of them in load order."""
+    w, year = F.col("work"), F.col("work.year")
+    none = F.lit(None).cast("int")
+
+    def one(kind: str, key: Column, at: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), at.alias("year"))
+
+    every = F.array(one("number", w["number"], year), one("title_year", F.col("norm"), year), one("stem_year", F.col("stem"), year), one("title", F.col("norm"), none), one("year", F.lit(""), year))
+    aliases = F.flatten(F.transform("alias_keys", lambda a: F.array(one("alias", a, none), one("alias_year", a, year))))
+    rows = works.select("ord", "work", F.explode(F.concat(every, aliases)).alias("k")).select("ord", "work", "k.*")
+    key = ["kind", "key", "year"]
+    place = Window.partitionBy(*key).orderBy("ord")
+    first = rows.filter("kind <> 'number'").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= LISTED).drop("place")
+    listed = first.unionByName(rows.filter("kind = 'number'")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "work"))).alias("rows"))
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed({k: f"_{k}" for k in key})
+    met = listed.join(counts, (F.col("kind") == F.col("_kind")) & F.col("key").eqNullSafe(F.col("_key")) & F.col("year").eqNullSafe(F.col("_year")))
+    return met.select(*key, "n", F.transform("rows", lambda r: r["work"]).alias("works"))
+
+
+def _case_lookups(cases: DataFrame) -> DataFrame:
+    """kind, key, cases in load order; of a neutral citation, the last."""
+    def some(kind: str, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+    neutral = F.filter(F.array("neutral_key"), lambda k: k != "")
+    keys = F.concat(some("strict", F.col("keys")), some("loose", F.col("loose")), some("name", F.col("names")), some("neutral", neutral))
+    rows = cases.select("ord", "case", F.explode(keys).alias("k")).select("ord", "case", "k.*")
+    listed = rows.filter("kind <> 'neutral'").groupBy("kind", "key").agg(F.array_sort(F.collect_list(F.struct("ord", "case")), lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)).alias("rows"))
+    listed = listed.select("kind", "key", F.transform("rows", lambda r: r["case"]).alias("cases"))
+    return listed.unionByName(rows.filter("kind = 'neutral'").groupBy("kind", "key").agg(F.array(F.max_by("case", "ord")).alias("cases")))
 
 
 @dataclass
 class Registers:
-    """The registers that documents are resolved against, with an index per
-    lookup. A register is a dimension of at most MOST_KEYS entries, so its
-    indexes are literal tables, built once; joins see their size."""
+    """The registers that documents are resolved against. ``of`` makes the indexes;
+    ``aliases`` and ``names`` are the keys that extraction looks for, None if they are
+    too many for a literal: extraction then joins its candidates with the index."""
 
     works: DataFrame
     cases: DataFrame
-    aliases: list[str] = field(default_factory=list)
-    names: list[str] = field(default_factory=list)
-    index: dict[str, DataFrame] = field(default_factory=dict)
+    aliases: list[str] | None = field(default_factory=list)
+    names: list[str] | None = field(default_factory=list)
+    work_lookups: DataFrame | None = None
+    case_lookups: DataFrame | None = None
+    titles: DataFrame | None = None
+    case_names: DataFrame | None = None
+    #: what ``of`` was given, by which ``add`` goes on
+    entries: tuple[list[DataFrame], list[DataFrame]] | None = None
 
     @staticmethod
     def of(works: DataFrame, cases: DataFrame) -> Registers:
-        spark = works.sparkSession
-        w, c = (df.limit(MOST_KEYS + 1).collect() for df in (works, cases))
-        if max(len(w), len(c)) > MOST_KEYS:
-            raise ValueError(f"a register has more than {MOST_KEYS} entries")
-        work, case = f"array<{WORK}>", f"array<{CASE}>"
-        last = {r["neutral_key"]: r for r in sorted(c, key=lambda r: r["ord"]) if r["neutral_key"]}
-        index = {
-            "number": _grouped(w, lambda r: [(r["work"]["year"], r["work"]["number"])], "work", f"year int, number string, numbered {work}", spark),
-            "title_year": _grouped(w, lambda r: [(r["norm"], r["work"]["year"])], "work", f"_norm string, year int, titled {work}", spark),
-            "stem_year": _grouped(w, lambda r: [(r["stem"], r["work"]["year"])], "work", f"_stem string, year int, stemmed {work}", spark),
-            "title": _grouped(w, lambda r: [(r["norm"],)], "work", f"_norm string, any_year {work}", spark),
-            "alias": _grouped(w, lambda r: [(k,) for k in r["alias_keys"]], "work", f"alias string, alias_works {work}", spark),
-            "year": _grouped(w, lambda r: [(r["work"]["year"],)], "work", f"back_year int, year_works {work}", spark),
-            "neutral": spark.createDataFrame([(k, r["case"]) for k, r in last.items()], f"_neutral string, registered {CASE}"),
-            "strict": _grouped(c, lambda r: [(k,) for k in r["keys"]], "case", f"strict string, strict_cases {case}", spark),
-            "loose": _grouped(c, lambda r: [(k,) for k in r["loose"]], "case", f"loose string, loose_cases {case}", spark),
-            "name": _grouped(c, lambda r: [(k,) for k in r["names"]], "case", f"_name string, name_cases {case}", spark),
-        }
-        aliases, names = {k for r in w for k in r["alias_keys"]}, {k for r in c for k in r["names"]}
-        return Registers(spark.createDataFrame(w, works.schema), spark.createDataFrame(c, cases.schema), sorted(aliases), sorted(names), index)
+        works, cases = settled(works), settled(cases)
+        by_work, by_case = settled(_work_lookups(works)), settled(_case_lookups(cases))
+
+        def literal(keys: DataFrame) -> list[str] | None:
+            rows = keys.limit(LITERAL_KEYS + 1).collect()
+            return None if len(rows) > LITERAL_KEYS else sorted(r[0] for r in rows)
+
+        # only these can be found in a text without a definition
+        aliases = by_work.filter((F.col("kind") == "alias") & F.col("key").rlike(ACRONYM_KEY)).select("key")
+        names = by_case.filter("kind = 'name'").select("key")
+        titles = settled(blocks_of(works.select(F.col("norm").alias("key"), F.col("work.year").alias("year"), F.col("ord").alias("ref")), POOL_BLOCK))
+        called = cases.select("ord", F.explode(F.array_distinct("names")).alias("key"))
+        case_names = settled(blocks_of(called.select("key", F.lit(None).cast("int").alias("year"), F.col("ord").alias("ref")), POOL_BLOCK))
+        return Registers(works, cases, literal(aliases), literal(names), by_work, by_case, titles, case_names)
+
+    def work_index(self, kind: str) -> DataFrame:
+        """key, year, n, works of one kind of lookup."""
+        return self.work_lookups.filter(F.col("kind") == kind).drop("kind")
+
+    def case_index(self, kind: str) -> DataFrame:
+        return self.case_lookups.filter(F.col("kind") == kind).drop("kind")
+
+    @staticmethod
+    def from_entries(works: list[DataFrame], cases: list[DataFrame]) -> Registers:
+        """Of entries as in register files, in load order."""
+        found = Registers.of(works_of(works), cases_of(cases))
+        found.entries = (works, cases)
+        return found
+
+    def add(self, works: DataFrame | None = None, cases: DataFrame | None = None) -> Registers:
+        """Registers with further entries, as if loaded last: a work that is there already keeps
+        its fields and gains aliases; a case that is there already is replaced, keys included."""
+        if self.entries is None:
+            raise ValueError("these registers were not made from entries")
+        mine, theirs = self.entries
+        return Registers.from_entries([*mine, *([works] if works is not None else [])], [*theirs, *([cases] if cases is not None else [])])
 
     @staticmethod
     def load(spark: SparkSession, works: list[str] = (), cases: list[str] = (), seed: bool = True) -> Registers:
         """The seed and the files named, in order."""
         parts = ([work_entries(spark)] if seed else []) + [read_works(spark, p) for p in works]
         more = ([case_entries(spark)] if seed else []) + [read_cases(spark, p) for p in cases]
-        w = works_of(parts or [spark.createDataFrame([], _WORK_FILE)])
-        c = cases_of(more or [spark.createDataFrame([], _CASE_FILE)])
-        return Registers.of(w, c)
+        return Registers.from_entries(parts or [spark.createDataFrame([], _WORK_FILE)], more or [spark.createDataFrame([], _CASE_FILE)])
 
     @staticmethod
     def default(spark: SparkSession) -> Registers:
@@ -174,6 +232,46 @@ class Registers:
     def case(self, case_id_: str) -> DataFrame:
         return self.cases.filter(F.col("case.id") == case_id_).select("case.*")
 
+    # --- lookups by key: works or cases in load order ---
+
+    def _works_by(self, keep: Column) -> DataFrame:
+        return self.works.filter(keep).orderBy("ord").select("work.*")
+
+    def _cases_by(self, keep: Column) -> DataFrame:
+        return self.cases.filter(keep).orderBy("ord").select("case.*")
+
+    def by_number(self, year: int, number: str, work_type: str | None = None) -> DataFrame:
+        hit = (F.col("work.year") == year) & (F.col("work.number") == str(number))
+        return self._works_by(hit & (F.col("work.work_type") == work_type) if work_type else hit)
+
+    def by_title(self, title: str, year: int | None = None) -> DataFrame:
+        """Of a year, works of that title, else of its stem; without, of any year."""
+        norm, stem = title_key(F.lit(title)), title_stem(F.lit(title))
+        if year is None:
+            return self._works_by(F.col("norm") == norm)
+        of_year = self.works.filter(F.col("work.year") == year)
+        exact = of_year.agg(F.coalesce(F.bool_or(F.col("norm") == norm), F.lit(False)).alias("exact"))  # one row
+        hits = of_year.crossJoin(F.broadcast(exact)).filter(F.when(F.col("exact"), F.col("norm") == norm).otherwise(F.col("stem") == stem))
+        return hits.orderBy("ord").select("work.*")
+
+    def by_alias(self, alias: str) -> DataFrame:
+        return self._works_by(F.array_contains("alias_keys", alias_key(F.lit(alias))))
+
+    def by_year(self, year: int) -> DataFrame:
+        return self._works_by(F.col("work.year") == year)
+
+    def by_neutral(self, text: str) -> DataFrame:
+        """The last case of a neutral citation."""
+        return self._cases_by(F.col("neutral_key") == F.lower(neutral_text(parse_neutral(F.lit(text))))).limit(1) if text else self._cases_by(F.lit(False))
+
+    def by_report(self, text: str, any_volume: bool = False) -> DataFrame:
+        r = parse_report(F.lit(text))
+        key = report_key(r["year"], F.lit("*") if any_volume else r["volume"], r["series"], r["page"])
+        return self._cases_by(F.array_contains("loose" if any_volume else "keys", key))
+
+    def by_name(self, name: str) -> DataFrame:
+        return self._cases_by(F.array_contains("names", name_key(F.lit(name))))
+
     def list_works(self, year: int | None = None, limit: int = 20) -> DataFrame:
         rows = self.works if year is None else self.works.filter(F.col("work.year") == year)
         return rows.select("work.*").orderBy("year", "title").limit(limit)
@@ -186,8 +284,8 @@ class Registers:
 
 
 def local(df: DataFrame) -> DataFrame:
-    """A register's rows as a literal table: planning knows its size, so joins broadcast it only if it is small."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """A few rows as a literal table, whose size planning knows."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def courts(spark: SparkSession) -> DataFrame:
