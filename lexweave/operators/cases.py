@@ -5,6 +5,8 @@ Everything happens within the row, so a document's text is never shuffled.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,38 +148,58 @@ def _mentions(text: Column, clusters: Column) -> Column:
     return let(F.transform(clusters, pin), name)
 
 
-def _known(text: Column, taken: Column, names: list[str]) -> Column:
-    """Cases cited by a registered name alone, around a pivot: the longest words that make a known name."""
-    known = F.array(*[F.lit(n) for n in sorted(names)])
-    last_words = F.array(F.lit("others"), F.lit("another"))
+_LAST_WORDS = ("others", "another")
 
-    def edge(word: Column) -> Column:
-        return F.substring(word, 1, 1).rlike(r"^[\p{Lu}\p{Lt}\p{Nd}(]$")
 
-    def best(p: Column) -> Column:
-        right_text = F.get(F.split(F.substring(text, p["e"] + 1, F.lit(fixed.PIVOT_REACH)), fixed.SENTENCE_END, -1), 0)
-        low = sentence_start(text, F.greatest(F.lit(0), p["s"] - fixed.PIVOT_REACH), p["s"])
-        words = find(cut(text, low, p["s"]), r"(?U)\S+")
-        lefts = F.transform(F.slice(words, F.greatest(F.size(words) - fixed.PIVOT_WORDS + 1, F.lit(1)), F.lit(fixed.PIVOT_WORDS)), lambda w: low + w["s"])
-        lefts = F.when(p["left"], lefts).otherwise(F.array(p["s"]))
+def _edge(word: Column) -> Column:
+    return F.substring(word, 1, 1).rlike(r"^[\p{Lu}\p{Lt}\p{Nd}(]$")
 
-        def end(w: Column) -> Column:
-            word = F.regexp_replace(w["m"], "[,.;:]+$", "")
-            return F.struct((p["e"] + w["s"] + F.length(word)).alias("e"), word.alias("w"))
 
-        rights = F.filter(F.transform(F.slice(find(right_text, r"(?U)\S+"), 1, fixed.PIVOT_WORDS), end), lambda r: edge(r["w"]) | F.array_contains(last_words, r["w"]))
-        starts = F.filter(lefts, lambda s: edge(cut(text, s, s + 1)))
+def _pivots(text: Column) -> Column:
+    def some(pattern: str, left: bool) -> Column:
+        return F.transform(find(text, pattern), lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.lit(left).alias("left")))
 
-        def spans(r: Column) -> Column:
-            every = F.flatten(F.transform(starts, lambda s, i: F.transform(r, lambda x, j: F.struct((s - x["e"]).alias("minus"), i.alias("i"), j.alias("j"), s.alias("s"), x["e"].alias("e")))))
-            return F.array_min(F.filter(every, lambda c: F.array_contains(known, name_key(cut(text, c["s"], c["e"])))))
+    return F.array_sort(F.concat(some(fixed.V_PIVOT, True), some(fixed.RE_PIVOT, False)))
 
-        return let(rights, spans)
 
-    def pivots(pattern: str, left: bool) -> Column:
-        return F.transform(find(text, pattern), lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.lit(left).alias("left")))
+def _around(text: Column, p: Column) -> Column:
+    """What may be a name around a pivot: spans (minus, i, j, s, e), in the order in which they are preferred."""
+    right_text = F.get(F.split(F.substring(text, p["e"] + 1, F.lit(fixed.PIVOT_REACH)), fixed.SENTENCE_END, -1), 0)
+    low = sentence_start(text, F.greatest(F.lit(0), p["s"] - fixed.PIVOT_REACH), p["s"])
+    words = find(cut(text, low, p["s"]), r"(?U)\S+")
+    lefts = F.transform(F.slice(words, F.greatest(F.size(words) - fixed.PIVOT_WORDS + 1, F.lit(1)), F.lit(fixed.PIVOT_WORDS)), lambda w: low + w["s"])
+    lefts = F.when(p["left"], lefts).otherwise(F.array(p["s"]))
+
+    def end(w: Column) -> Column:
+        word = F.regexp_replace(w["m"], "[,.;:]+$", "")
+        return F.struct((p["e"] + w["s"] + F.length(word)).alias("e"), word.alias("w"))
+
+    rights = F.filter(F.transform(F.slice(find(right_text, r"(?U)\S+"), 1, fixed.PIVOT_WORDS), end), lambda r: _edge(r["w"]) | r["w"].isin(*_LAST_WORDS))
+    starts = F.filter(lefts, lambda s: _edge(cut(text, s, s + 1)))
+
+    def spans(r: Column) -> Column:
+        return F.flatten(F.transform(starts, lambda s, i: F.transform(r, lambda x, j: F.struct((s - x["e"]).alias("minus"), i.alias("i"), j.alias("j"), s.alias("s"), x["e"].alias("e")))))
+
+    return let(rights, spans)
+
+
+def name_keys(text: Column) -> Column:
+    """Keys of all that may be a registered name in the text."""
+    keys = F.flatten(F.transform(_pivots(text), lambda p: F.transform(_around(text, p), lambda c: name_key(cut(text, c["s"], c["e"])))))
+    return F.when(_has_pivot(text), F.array_distinct(keys)).otherwise(empty("array<string>"))
+
+
+def _has_pivot(text: Column) -> Column:
+    return text.rlike(rf"{fixed.V_PIVOT}|{fixed.RE_PIVOT[4:]}")
+
+
+def _known(text: Column, taken: Column, known: Column) -> Column:
+    """Cases cited by a registered name alone, around a pivot: the longest words that make a known name."""
+
+    def best(p: Column) -> Column:
+        return F.array_min(F.filter(_around(text, p), lambda c: F.array_contains(known, name_key(cut(text, c["s"], c["e"])))))
 
-    free = F.filter(F.array_sort(F.concat(pivots(fixed.V_PIVOT, True), pivots(fixed.RE_PIVOT, False))), lambda p: ~clash(p, taken))
+    free = F.filter(_pivots(text), lambda p: ~clash(p, taken))
     found = F.filter(F.transform(free, best), lambda b: b.isNotNull())
 
     def pick(done: Column, b: Column) -> Column:
@@ -195,16 +217,29 @@ def _known(text: Column, taken: Column, names: list[str]) -> Column:
     )
 
 
-def find_cases(docs: DataFrame, names: list[str]) -> DataFrame:
-    """``docs`` with ``case_mentions``: an array of MENTION in text order. ``names``: keys of registered names."""
+@cache
+def _steps(names: tuple[str, ...] | None) -> list[tuple[str, Column]]:
+    """The columns of ``find_cases`` in order."""
     text = F.col("text")
+    none = empty(f"array<{MENTION}>")
     neutrals = F.transform(find(text, fixed.NEUTRAL), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), neutral(x["m"]).alias("neutral"), F.lit(None).cast(REPORT).alias("report")).cast(TOKEN))
     reports = F.transform(find(text, fixed.REPORT), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(None).cast(NEUTRAL).alias("neutral"), report(x["m"]).alias("report")).cast(TOKEN))
-    cites = docs.withColumn("_n", neutrals).withColumn("_r", reports)
-    cites = cites.withColumn("_t", F.array_sort(F.concat("_n", F.filter("_r", lambda x: ~clash(x, F.col("_n"))))))
-    found = cites.withColumn("_c", _clusters(text, F.col("_t"))).withColumn("_m", _mentions(text, F.col("_c")))
-    extra = _known(text, F.col("_m"), names) if names else empty(f"array<{MENTION}>")
-    maybe = text.rlike(rf"{fixed.V_PIVOT}|{fixed.RE_PIVOT[4:]}")
-    found = found.withColumn("_k", F.when(maybe, extra).otherwise(empty(f"array<{MENTION}>")).cast(f"array<{MENTION}>"))
+    known = F.coalesce("known_names", empty("array<string>")) if names is None else F.array(*[F.lit(n) for n in names])
+    extra = F.when(_has_pivot(text), _known(text, F.col("_m"), known)).otherwise(none) if names != () else none
     by_start = lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).otherwise(0)
-    return found.withColumn("case_mentions", F.array_sort(F.concat(F.col("_m").cast(f"array<{MENTION}>"), "_k"), by_start)).drop("_n", "_r", "_t", "_c", "_m", "_k")
+    return [
+        ("_n", neutrals), ("_r", reports),
+        ("_t", F.array_sort(F.concat("_n", F.filter("_r", lambda x: ~clash(x, F.col("_n")))))),
+        ("_c", _clusters(text, F.col("_t"))), ("_m", _mentions(text, F.col("_c"))),
+        ("_k", extra.cast(f"array<{MENTION}>")),
+        ("case_mentions", F.array_sort(F.concat(F.col("_m").cast(f"array<{MENTION}>"), "_k"), by_start)),
+    ]
+
+
+def find_cases(docs: DataFrame, names: list[str] | None) -> DataFrame:
+    """``docs`` with ``case_mentions``: an array of MENTION in text order. ``names``: keys of
+    registered names; None if ``docs`` has those of each text as ``known_names``."""
+    d = docs
+    for name, column in _steps(None if names is None else tuple(names)):
+        d = d.withColumn(name, column)
+    return d.drop("_n", "_r", "_t", "_c", "_m", "_k")

@@ -5,6 +5,8 @@ Everything happens within the row, so a document's text is never shuffled.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,28 +168,46 @@ def _bound(text: Column, mentions: Column, groups: Column) -> Column:
     return F.array_sort(let(stream, lambda t: let(forward(t), lambda f: citations(t, f))), by_place)
 
 
-def find_citations(docs: DataFrame, aliases: list[str]) -> DataFrame:
+def acronym_keys(text: Column) -> Column:
+    """Keys of all that may be an acronym of a registered work."""
+    return F.array_distinct(F.transform(_back(text, fixed.ACRONYM_ANAPHOR, title=True), lambda m: alias_key(m["title"])))
+
+
+@cache
+def _steps(aliases: tuple[str, ...] | None) -> list[tuple[str, Column]]:
+    """The columns of ``find_citations`` in order; building them takes longer than most queries' planning."""
+    text, c = F.col("text"), F.col
+    if aliases is None:
+        registered = F.coalesce("known_aliases", empty("array<string>"))
+    else:
+        registered = F.array(*[F.lit(a) for a in aliases]).cast("array<string>")
+    return [
+        ("_x", _spans(c("case_mentions"))),
+        ("_w", titled_works(text)), ("_w", _free(c("_w"), c("_x"))),
+        ("definitions", F.filter("_w", lambda m: m["short"].isNotNull())),
+        ("_x", F.concat("_x", _spans(c("_w")))),
+        ("_i", instruments(text)), ("_i", _free(c("_i"), c("_x"))),
+        ("_x", F.concat("_x", _spans(c("_i")))),
+        ("_a", _back(text, fixed.YEAR_ANAPHOR, year=True)), ("_a", _free(c("_a"), c("_x"))),
+        ("_x", F.concat("_x", _spans(c("_a")))),
+        ("_known", F.concat(F.transform("definitions", lambda m: alias_key(m["short"])), registered)),
+        ("_s", _back(text, fixed.ACRONYM_ANAPHOR, title=True)),
+        ("_s", F.filter("_s", lambda m: ~clash(m, c("_x")) & F.array_contains(c("_known"), alias_key(m["title"])))),
+        ("_x", F.concat("_x", _spans(c("_s")))),
+        ("_b", _back(text, fixed.BARE_ANAPHOR)), ("_b", _free(c("_b"), c("_x"))),
+        ("_x", F.concat("_x", _spans(c("_b")))),
+        ("_p", F.filter(_raw_pinpoints(text), lambda p: ~clash(p, c("_x")))),
+        ("_g", _nested(text, c("_p"))),
+        ("_m", F.concat("_w", "_i", "_a", "_s", "_b")),
+        ("citations", _bound(text, c("_m"), c("_g"))),
+    ]
+
+
+def find_citations(docs: DataFrame, aliases: list[str] | None) -> DataFrame:
     """``docs`` (with ``case_mentions``) and ``citations`` (array of CITATION, by
     place) and ``definitions`` (mentions that define a short form). ``aliases``:
-    keys of registered aliases."""
-    text = F.col("text")
-    registered = F.array(*[F.lit(a) for a in sorted(aliases)]) if aliases else empty("array<string>")
-    d = docs.withColumn("_x", _spans(F.col("case_mentions")))
-    d = d.withColumn("_w", titled_works(text)).withColumn("_w", _free(F.col("_w"), F.col("_x")))
-    d = d.withColumn("definitions", F.filter("_w", lambda m: m["short"].isNotNull()))
-    d = d.withColumn("_x", F.concat("_x", _spans(F.col("_w"))))
-    d = d.withColumn("_i", instruments(text)).withColumn("_i", _free(F.col("_i"), F.col("_x")))
-    d = d.withColumn("_x", F.concat("_x", _spans(F.col("_i"))))
-    d = d.withColumn("_a", _back(text, fixed.YEAR_ANAPHOR, year=True)).withColumn("_a", _free(F.col("_a"), F.col("_x")))
-    d = d.withColumn("_x", F.concat("_x", _spans(F.col("_a"))))
-    d = d.withColumn("_known", F.concat(F.transform("definitions", lambda m: alias_key(m["short"])), registered))
-    d = d.withColumn("_s", _back(text, fixed.ACRONYM_ANAPHOR, title=True))
-    d = d.withColumn("_s", F.filter("_s", lambda m: ~clash(m, F.col("_x")) & F.array_contains(F.col("_known"), alias_key(m["title"]))))
-    d = d.withColumn("_x", F.concat("_x", _spans(F.col("_s"))))
-    d = d.withColumn("_b", _back(text, fixed.BARE_ANAPHOR)).withColumn("_b", _free(F.col("_b"), F.col("_x")))
-    d = d.withColumn("_x", F.concat("_x", _spans(F.col("_b"))))
-    d = d.withColumn("_p", F.filter(_raw_pinpoints(text), lambda p: ~clash(p, F.col("_x"))))
-    d = d.withColumn("_g", _nested(text, F.col("_p")))
-    d = d.withColumn("_m", F.concat("_w", "_i", "_a", "_s", "_b"))
-    d = d.withColumn("citations", _bound(text, F.col("_m"), F.col("_g")))
+    keys of registered aliases; None if ``docs`` has those of each text as ``known_aliases``."""
+    d = docs
+    for name, column in _steps(None if aliases is None else tuple(aliases)):
+        d = d.withColumn(name, column)
     return d.drop("_x", "_w", "_i", "_a", "_s", "_b", "_p", "_g", "_m", "_known")

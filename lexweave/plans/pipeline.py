@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import round4
 from ..functions.text import empty, html
-from ..operators.cases import find_cases, neutral_text
+from ..operators.cases import find_cases, name_keys, neutral_text
 from ..operators.links import case_citation, judgment_link, label, labels, work_citation, work_url
 from ..operators.resolve import Settings, resolve_cases, resolve_works
-from ..operators.works import find_citations
+from ..operators.works import acronym_keys, find_citations
 from ..sources.registry import Registers
 from ..sources.storage import Held, kept, release
 
@@ -43,11 +43,24 @@ class Resolved:
 def extract(docs: DataFrame, registers: Registers, settings: Settings = Settings()) -> DataFrame:
     """doc_id, text_key, case_mentions, citations, definitions for each document (doc_id, text)."""
     texts = dealt(docs.select("doc_id", "text")).select("doc_id", text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    if settings.link_cases:
-        found = find_cases(texts, registers.names)
-    else:
-        found = find_cases(texts, []).withColumn("case_mentions", F.slice("case_mentions", 1, 0))
-    return find_citations(found, registers.aliases).select("doc_id", "text_key", "case_mentions", "citations", "definitions")
+    names, aliases = registers.names if settings.link_cases else [], registers.aliases
+    if names is None:
+        texts = _registered(texts, name_keys(F.col("text")), registers.case_index("name"), "known_names")
+    if aliases is None:
+        texts = _registered(texts, acronym_keys(F.col("text")), registers.work_index("alias"), "known_aliases")
+    found = find_cases(texts, names)
+    if not settings.link_cases:
+        found = found.withColumn("case_mentions", F.slice("case_mentions", 1, 0))
+    return find_citations(found, aliases).select("doc_id", "text_key", "case_mentions", "citations", "definitions")
+
+
+def _registered(texts: DataFrame, candidates: Column, index: DataFrame, name: str) -> DataFrame:
+    """``texts`` and, as ``name``, those of a text's candidates that the index has. For
+    registers too large for a literal: the candidates' keys are joined with the index, and
+    the texts that have one get theirs by the hash of the text."""
+    asked = texts.select("text_key", F.explode(candidates).alias("key")).distinct()
+    held = asked.join(index.select("key").distinct(), "key", "left_semi").groupBy("text_key").agg(F.collect_set("key").alias(name))
+    return texts.join(held, "text_key", "left")
 
 
 #: A table of less than this many bytes a core is dealt over all cores before its texts are searched.
