@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import round4
@@ -206,25 +206,60 @@ def report_table(r: Resolved) -> DataFrame:
 # --- the citator -------------------------------------------------------------
 
 
-def _index(rows: DataFrame, target: str, whole: str, pin: Column) -> DataFrame:
-    """rows(doc_id, ord, resolved, target): works or cases, by mentions, with the documents and pinpoints that cite them."""
+#: Documents of a row of postings.
+POSTINGS = 1_000
+
+
+def _citing(rows: DataFrame, target: str, whole: str, pin: Column, held: Held) -> tuple[DataFrame, DataFrame]:
+    """rows(doc_id, ord, resolved, target): a directory, one row per work or case, and
+    postings: per work, blocks of POSTINGS documents with their pinpoints, by doc_id. No row
+    grows with the corpus: places come from a range sort and counts of the partitions before."""
     hit = rows.filter("resolved").select(F.col(f"{target}.id").alias("id"), "doc_id", "ord", F.col(target).alias("entry"), F.when(pin != "", pin).otherwise(whole).alias("label"))
     # counts of equal pinpoints combine before the shuffle, so a work that all cite is no hot key
     pins = hit.groupBy("id", "doc_id", "label").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
     docs = pins.groupBy("id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("pins"), F.sum("n").alias("n"))
-    docs = docs.select("id", "doc_id", "n", F.transform("pins", lambda p: p["label"]).alias("pinpoints"))
-    first = hit.groupBy("id").agg(F.min(F.struct("doc_id", "ord")).alias("first_seen"), F.min_by("entry", F.struct("doc_id", "ord")).alias("entry"))
-    return docs.groupBy("id").agg(F.sum("n").alias("mentions"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("doc"), "pinpoints")))).alias("cited_by")).join(first, "id")
+    docs = docs.select("id", "doc_id", "n", F.get("pins", 0)["ord"].alias("ord"), F.transform("pins", lambda p: p["label"]).alias("pinpoints"))
+    placed = kept(docs.repartitionByRange("id", "doc_id").sortWithinPartitions("id", "doc_id").withColumn("seq", F.monotonically_increasing_id()), held)
+    placed = placed.withColumn("part", F.shiftright("seq", 33))
+    runs = placed.groupBy("id", "part").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("docs"))
+    before = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select("id", "part", (F.coalesce(F.sum("docs").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    numbered = placed.join(starts, ["id", "part"]).withColumn("place", F.col("seq") + F.col("shift"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "doc_id", "pinpoints", "n")), lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0))
+    blocks = numbered.groupBy("id", F.expr(f"place div {POSTINGS}").alias("block")).agg(listed.alias("documents"))
+    totals = placed.groupBy("id").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("documents"), F.min(F.struct("doc_id", "ord")).alias("first_seen"))
+    entries = hit.groupBy("id").agg(F.min_by("entry", F.struct("doc_id", "ord")).alias("entry"))
+    return totals.join(entries, "id").withColumn("blocks", F.ceil(F.col("documents") / POSTINGS)), blocks
+
+
+_SHOWN = ["mentions", "documents", "blocks"]
+
+
+def _works_index(r: Resolved) -> tuple[DataFrame, DataFrame]:
+    return _citing(r.citations, "work", WHOLE_WORK, labels(F.col("provisions")), r.held)
+
+
+def _cases_index(r: Resolved) -> tuple[DataFrame, DataFrame]:
+    return _citing(r.cases, "case", WHOLE_JUDGMENT, F.col("case_ref.pinpoint"), r.held)
+
+
+def _ordered(directory: DataFrame, entry: Column) -> DataFrame:
+    """The most cited first, then the first seen."""
+    return directory.select(entry.alias("e"), *_SHOWN, "first_seen").select("e.*", *_SHOWN, "first_seen").orderBy(F.desc("mentions"), "first_seen").drop("first_seen")
 
 
 def cited_works(r: Resolved) -> DataFrame:
-    found = _index(r.citations, "work", WHOLE_WORK, labels(F.col("provisions")))
-    return found.select(_work_json(F.col("entry")).alias("w"), "mentions", "cited_by", "first_seen").select("w.*", "mentions", "cited_by", "first_seen").orderBy(F.desc("mentions"), "first_seen").drop("first_seen")
+    """The directory of the citator: cited works with mentions, documents and blocks of postings."""
+    return _ordered(_works_index(r)[0], _work_json(F.col("entry")))
 
 
 def cited_cases(r: Resolved) -> DataFrame:
-    found = _index(r.cases, "case", WHOLE_JUDGMENT, F.col("case_ref.pinpoint"))
-    return found.select(_case_json(F.col("entry")).alias("c"), "mentions", "cited_by", "first_seen").select("c.*", "mentions", "cited_by", "first_seen").orderBy(F.desc("mentions"), "first_seen").drop("first_seen")
+    return _ordered(_cases_index(r)[0], _case_json(F.col("entry")))
+
+
+def cited_by(r: Resolved, kind: str = "work") -> DataFrame:
+    """id, block, documents: the postings of cited works (or cases), up to POSTINGS documents a row."""
+    return {"work": _works_index, "case": _cases_index}[kind](r)[1]
 
 
 def citing_pinpoints(r: Resolved) -> DataFrame:
@@ -261,10 +296,12 @@ def corpus_stats(r: Resolved) -> DataFrame:
 
 
 def index(r: Resolved) -> dict[str, DataFrame]:
-    """The corpus index: documents, works, unresolved, cases, unresolved_cases, stats."""
+    """The corpus index: documents, works and cases with their postings, unresolved, unresolved_cases, stats."""
+    works, cases = _works_index(r), _cases_index(r)
     return {
         "documents": document_stats(r).select("doc_id", "citations", "resolved", "works", "case_citations", "cases_resolved", "cases"),
-        "works": cited_works(r), "unresolved": unresolved_works(r), "cases": cited_cases(r), "unresolved_cases": unresolved_cases(r), "stats": corpus_stats(r),
+        "works": _ordered(works[0], _work_json(F.col("entry"))), "work_postings": works[1], "unresolved": unresolved_works(r),
+        "cases": _ordered(cases[0], _case_json(F.col("entry"))), "case_postings": cases[1], "unresolved_cases": unresolved_cases(r), "stats": corpus_stats(r),
     }
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,7 +18,7 @@ from ..operators import cases as C
 from ..operators import links as L
 from ..operators import resolve as R
 from ..operators import works as W
-from ..sources.registry import Registers, courts, local
+from ..sources.registry import Registers, courts
 from . import pipeline as P
 
 _held: dict[str, Registers] = {}
@@ -113,7 +113,7 @@ PINPOINTS = f"SELECT work_id AS id, CASE WHEN label = '' THEN '(whole work)' ELS
 
 def citator_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = P.cited_works(P.resolve(_lineitem(spark, sf_dir), registers(spark)))
-    return found.select("id", "citation", "url", "mentions", F.size("cited_by").cast("long").alias("documents"))
+    return found.select("id", "citation", "url", "mentions", "documents")
 
 
 WORKS = f"""
@@ -124,6 +124,32 @@ FROM ({LINES}) WHERE work_id IS NOT NULL GROUP BY work_id
 """
 
 
+def citator_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of documents that cite a work: how many, from which to which, and with how many pinpoints."""
+    blocks = P.cited_by(P.resolve(_lineitem(spark, sf_dir), registers(spark)))
+    d = F.col("documents")
+    return blocks.select(
+        "id", "block", F.size(d).cast("long").alias("documents"), F.get(d, 0)["doc_id"].alias("first"), F.try_element_at(d, F.lit(-1))["doc_id"].alias("last"),
+        F.aggregate(d, F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("mentions"), F.md5(F.array_join(F.flatten(F.transform(d, lambda x: x["pinpoints"])), "|").cast("binary")).alias("pinpoints"),
+    )
+
+
+POSTED = f"""
+WITH x AS (SELECT work_id AS id, doc_id, CASE WHEN label = '' THEN '(whole work)' ELSE label END AS p, count(*) AS n FROM ({LINES}) WHERE work_id IS NOT NULL GROUP BY ALL),
+y AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY doc_id) - 1) // 1000 AS block FROM x)
+SELECT id, block::BIGINT AS block, count(*) AS documents, min(doc_id) AS first, max(doc_id) AS last, sum(n)::BIGINT AS mentions, md5(string_agg(p, '|' ORDER BY doc_id)) AS pinpoints FROM y GROUP BY id, block
+"""
+
+
+def citator_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each work in the index. The window runs over one row per work."""
+    found = P.cited_works(P.resolve(_lineitem(spark, sf_dir), registers(spark)))
+    return found.withColumn("seq", F.monotonically_increasing_id()).select("id", F.row_number().over(Window.orderBy("seq")).cast("long").alias("place"))
+
+
+ORDERED = f"SELECT work_id AS id, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS place FROM ({LINES}) WHERE work_id IS NOT NULL GROUP BY work_id"
+
+
 def citator_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.unresolved_works(P.resolve(_lineitem(spark, sf_dir), registers(spark)))
 
@@ -249,7 +275,7 @@ def _case_rows() -> str:
 
 def citator_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = P.cited_cases(P.resolve(_customers(spark, sf_dir), registers(spark)))
-    return found.select("id", "mentions", F.size("cited_by").cast("long").alias("documents"))
+    return found.select("id", "mentions", "documents")
 
 
 CASES = "SELECT case_id AS id, count(*)::BIGINT AS mentions, count(DISTINCT doc_id)::BIGINT AS documents FROM ({}) WHERE case_id IS NOT NULL GROUP BY case_id"
@@ -364,21 +390,120 @@ SELECT s_suppkey AS doc_id, '{L_}/ukpga/2006/46' || {_case('s_suppkey', ["'/sche
 """
 
 
-def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return local(spark.createDataFrame(rows, schema))
+def _part_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A register of works from parts: every part is an Act of a year, known by two aliases, and
+    loaded again with a third, under another title that doesn't count."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    entry = lambda title, aliases: F.struct(F.lit(None).cast("string").alias("id"), title.alias("title"), (key % 200 + 1800).cast("int").alias("year"), F.lit("ukpga").alias("work_type"), key.cast("string").alias("number"), aliases.alias("aliases"))
+    first = entry(F.concat(F.initcap(name), F.lit(" Act")), F.array(F.concat(F.lit("P"), key), F.concat(F.lit("ALL"), key % 3)))
+    again = entry(F.concat(name, F.lit(" again")), F.array(F.concat(F.lit("Q"), key), F.concat(F.lit("P"), key)))
+    return _table(spark, sf_dir, "part").select(F.explode(F.array(F.struct(F.lit(0).alias("at"), first.alias("e")), F.struct(F.lit(1).alias("at"), again.alias("e")))).alias("x")).orderBy("x.at", "x.e.year", F.col("x.e.number").cast("long")).select("x.e.*")
+
+
+def _supplier_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A register of cases from suppliers; every tenth is loaded again with another name and report."""
+    key = F.col("s_suppkey")
+    entry = lambda name, page: F.struct(F.lit(None).cast("string").alias("id"), name.alias("name"), F.concat(F.lit("[2010] UKSC "), key).alias("neutral"), F.array(F.concat(F.lit("[2011] 1 AC "), page)).alias("reports"), F.array(F.concat(F.lit("Re Supplier "), key)).alias("aliases"))
+    first, again = entry(F.concat(F.lit("Smith"), key, F.lit(" v Jones")), key), entry(F.concat(F.lit("Brown"), key, F.lit(" v Jones")), key + 2_000)
+    rows = F.filter(F.array(F.struct(F.lit(0).alias("at"), first.alias("e")), F.struct(F.lit(1).alias("at"), again.alias("e"))), lambda x: (x["at"] == 0) | (key % 10 == 0))
+    return _table(spark, sf_dir, "supplier").select(F.explode(rows).alias("x")).orderBy("x.at", "x.e.neutral").select("x.e.*")
+
+
+def _table_registers(spark: SparkSession, sf_dir: str) -> Registers:
+    return Registers.from_entries([_part_works(spark, sf_dir)], [_supplier_cases(spark, sf_dir)])
+
+
+def register_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works loaded twice: the first entry stands, aliases are joined; the listing of a year too."""
+    found = _table_registers(spark, sf_dir)
+    rows = found.works.select("work.*").select("id", "title", "year", F.array_join("aliases", ",").alias("aliases"), F.lit("all").alias("of"))
+    listed = found.list_works(1807, 1_000_000).select("id", "title", "year", F.array_join("aliases", ",").alias("aliases"), F.lit("1807").alias("of"))
+    numbered = found.by_number(1803, "3").select("id", "title", "year", F.array_join("aliases", ",").alias("aliases"), F.lit("number").alias("of"))
+    by_alias = found.by_alias("the ALL2").select("id", "title", "year", F.array_join("aliases", ",").alias("aliases"), F.lit("alias").alias("of"))
+    return rows.union(listed).union(numbered).union(by_alias)
+
+
+_INITCAP = "list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ')"
+REGISTERED = f"""
+WITH w AS (SELECT 'ukpga-' || (p_partkey % 200 + 1800) || '-' || p_partkey AS id, {_INITCAP} || ' Act' AS title, (p_partkey % 200 + 1800)::INT AS year,
+  'P' || p_partkey || ',ALL' || (p_partkey % 3) || ',Q' || p_partkey AS aliases, p_partkey AS k FROM part)
+SELECT id, title, year, aliases, 'all' AS of FROM w UNION ALL SELECT id, title, year, aliases, '1807' FROM w WHERE year = 1807
+UNION ALL SELECT id, title, year, aliases, 'number' FROM w WHERE k = 3 UNION ALL SELECT id, title, year, aliases, 'alias' FROM w WHERE k % 3 = 2
+"""
+
+
+def register_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases loaded twice: the last entry stands, and the keys of the first are gone."""
+    found = _table_registers(spark, sf_dir)
+    keys = found.case_lookups.select("kind", "key", F.explode("cases").alias("c"))
+    return keys.select("kind", "key", F.col("c.id").alias("id"), F.col("c.name").alias("name"))
+
+
+CASES_REGISTERED = """
+WITH c AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 = 0 THEN 'Brown' ELSE 'Smith' END || s_suppkey || ' v Jones' AS name, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey + 2000 ELSE s_suppkey END AS page FROM supplier)
+SELECT x.kind, x.key, 'uksc-2010-' || k AS id, name FROM c, unnest([{'kind': 'strict', 'key': '2011|1|ac|' || page}, {'kind': 'loose', 'key': '2011|*|ac|' || page}, {'kind': 'name', 'key': lower(name)},
+  {'kind': 'name', 'key': 're supplier ' || k}, {'kind': 'neutral', 'key': '[2010] uksc ' || k}]) t(x)
+"""
+
+
+def register_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many works and cases the registers of parts and suppliers have, and with some entries added."""
+    found = _table_registers(spark, sf_dir)
+    extra = _part_works(spark, sf_dir).withColumn("year", F.col("year") + 200)
+    return found.sizes().withColumn("of", F.lit("tables")).union(found.add(works=extra).sizes().withColumn("of", F.lit("added")))
+
+
+def registered_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that cite works and cases of registers made from tables: by title, direct alias, alias of several works, number, report, name."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    texts = [
+        _say("See section ", s, " of the ", F.initcap("p_name"), " Act ", k % 200 + 1800, "."),
+        _say("Under P", k, ", s ", s, ", it falls."),
+        _say("Under ALL", k % 3, ", s ", s, ", it falls."),
+        _say("The Nonesuch Act ", k % 200 + 1800, " (c. ", k, ") has a number."),
+        _say("The ", k % 200 + 1800, " Act is a guess."),
+    ]
+    docs = _table(spark, sf_dir, "part").select(k.alias("doc_id"), _choose(k, texts).alias("text"))
+    r = P.resolve(docs, _table_registers(spark, sf_dir))
+    return r.citations.select("doc_id", "surface", F.col("work.id").alias("work_id"), "method", "confidence", F.size("candidates").cast("long").alias("candidates"), F.array_join("notes", "; ").alias("notes"))
+
+
+def _registered_sql() -> str:
+    own = "'ukpga-' || y || '-' || k"
+    rows = [
+        ("'section ' || s || ' of the ' || n || ' Act ' || y", f"CASE WHEN twins = 1 THEN {own} ELSE first_twin END", "'exact'", "CASE WHEN twins = 1 THEN 1.0 ELSE 0.9 END", "0", "CASE WHEN twins = 1 THEN '' ELSE 'ambiguous title; first match used' END"),
+        ("'P' || k || ', s ' || s", own, "'alias'", "0.88", "0", "''"),
+        ("'ALL' || (k % 3) || ', s ' || s", "first_all", "'alias'", "CASE WHEN alls = 1 THEN 0.88 ELSE 0.7 END", "0", "CASE WHEN alls = 1 THEN '' ELSE 'ambiguous acronym; first match used' END"),
+        ("'The Nonesuch Act ' || y || ' (c. ' || k || ')'", own, "'number'", "1.0", "0", "''"),
+        ("'The ' || y || ' Act'", f"CASE WHEN of_year = 1 THEN {own} END", "CASE WHEN of_year = 1 THEN 'anaphora' ELSE 'unresolved' END", "CASE WHEN of_year = 1 THEN 0.65 ELSE 0.0 END",
+         "CASE WHEN of_year = 1 THEN 0 ELSE least(of_year, 5) END", "CASE WHEN of_year = 1 THEN 'year matched the registry, not the document' ELSE 'no work from ' || y || ' mentioned earlier' END"),
+    ]
+    column = lambda i: _case("k", [r[i] for r in rows])
+    return f"""
+WITH p AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 200 + 1800 AS y, {_INITCAP} AS n FROM part),
+q AS (SELECT *, count(*) OVER (PARTITION BY n, y) AS twins, count(*) OVER (PARTITION BY k % 3) AS alls, count(*) OVER (PARTITION BY y) AS of_year,
+  first_value('ukpga-' || y || '-' || k) OVER (PARTITION BY n, y ORDER BY k) AS first_twin, first_value('ukpga-' || y || '-' || k) OVER (PARTITION BY k % 3 ORDER BY y, k) AS first_all FROM p)
+SELECT k AS doc_id, {column(0)} AS surface, {column(1)} AS work_id, {column(2)} AS method, ({column(3)})::DOUBLE AS confidence, ({column(4)})::BIGINT AS candidates, {column(5)} AS notes FROM q
+"""
 
 
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best works for misspelt titles, across years at a penalty."""
-    probes = _frame(spark, [("data protecton act", 2018), ("companies act", 1985), ("human rights act", None)], "norm string, year int")
-    found = R.search_works(probes, registers(spark), 0.86)
-    near = R.search_works(probes.filter("year = 1985"), registers(spark), 0.6)
-    one = found.union(near.select(*found.columns)).select("norm", "year", F.get("found", 0).alias("f"))
-    return one.select("norm", "year", F.col("f.work.id").alias("work_id"), round4(F.col("f.score")).alias("score")).distinct()
+    """For each part's name with a letter too many, the equally best of at most five works in
+    the register of parts: of its year, or, where that year has none, the most recent at a penalty."""
+    name = F.concat(F.lower("p_name"), F.lit("x act"))
+    probes = _table(spark, sf_dir, "part").select(name.alias("norm"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 200 + 1800).otherwise(1700).cast("int").alias("year"))
+    found = R.search_works(probes, _table_registers(spark, sf_dir), 0.6)
+    best = F.filter("found", lambda f: f["score"] == F.get("found", 0)["score"])
+    return found.select("norm", "year", F.posexplode(best).alias("place", "f")).select("norm", "year", "place", F.col("f.work.id").alias("work_id"), round4(F.col("f.score")).alias("score"))
 
 
+#: all letters of the title are matched, one of the probe is over
 FUZZY = """
-SELECT * FROM (VALUES ('data protecton act', 2018, 'ukpga-2018-12', 0.973::DOUBLE), ('companies act', 1985, 'ukpga-1985-6', 1.0::DOUBLE), ('human rights act', NULL, 'ukpga-1998-42', 1.0::DOUBLE)) v(norm, year, work_id, score)
+WITH w AS (SELECT p_partkey AS k, lower(p_name) AS n, p_partkey % 200 + 1800 AS y FROM part),
+p AS (SELECT DISTINCT n, CASE WHEN k % 2 = 0 THEN y ELSE 1700 END AS year FROM w),
+m AS (SELECT p.n, p.year, w.y, w.k, row_number() OVER (PARTITION BY p.n, p.year ORDER BY w.y DESC, w.k) - 1 AS place FROM p JOIN w ON w.n = p.n AND (w.y = p.year OR p.year = 1700))
+SELECT n || 'x act' AS norm, year::INT AS year, place::INT AS place, 'ukpga-' || y || '-' || k AS work_id,
+  round(CASE WHEN year = 1700 THEN 0.75 ELSE 1 END * 2.0 * (length(n) + 4) / (2.0 * (length(n) + 4) + 1), 4)::DOUBLE AS score FROM m WHERE place < 5
 """
 
 
@@ -421,14 +546,6 @@ SELECT n_nationkey, code, '[' || year || '] ' || code || ' ' || n_nationkey AS t
 """
 
 
-def register_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registers(spark).list_works(2010).select("id", "title", "year")
-
-
-def register_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registers(spark).sizes()
-
-
 def short_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which bracketed strings define a short form."""
     k = F.col("s_suppkey")
@@ -456,8 +573,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     found = [
         citations_full, back_references, case_citations, embedded_citations, document_totals, citator_pinpoints, citator_works, citator_unresolved, citator_stats, citator_cases,
-        citator_unresolved_cases, annotated_markdown, annotated_html, documents_json, versioned_links, pinpoint_targets, fuzzy_search, normal_forms, judgment_pages, register_listing,
-        register_sizes, short_forms, title_similarity,
+        citator_unresolved_cases, annotated_markdown, annotated_html, documents_json, versioned_links, pinpoint_targets, fuzzy_search, normal_forms, judgment_pages,
+        register_works, register_cases, register_sizes, registered_citations, citator_postings, citator_order, short_forms, title_similarity,
     ]
     return {f.__name__: f for f in found}
 
@@ -470,7 +587,7 @@ def oracle_sql() -> dict[str, str]:
         "citator_unresolved_cases": f"SELECT name AS reference, count(*) AS count FROM ({cases}) WHERE case_id IS NULL GROUP BY name",
         "annotated_markdown": _annotated(False), "annotated_html": _annotated(True), "documents_json": JSON, "versioned_links": VERSIONED, "pinpoint_targets": TARGETS, "fuzzy_search": FUZZY,
         "normal_forms": NORMAL, "judgment_pages": _judgments(),
-        "register_listing": "SELECT * FROM (VALUES ('ukpga-2010-23', 'Bribery Act 2010', 2010), ('ukpga-2010-25', 'Constitutional Reform and Governance Act 2010', 2010), ('ukpga-2010-4', 'Corporation Tax Act 2010', 2010), ('ukpga-2010-15', 'Equality Act 2010', 2010), ('uksi-2010-2214', 'The Building Regulations 2010', 2010)) v(id, title, year)",
-        "register_sizes": "SELECT 178::BIGINT AS works, 10::BIGINT AS cases",
+        "register_works": REGISTERED, "register_cases": CASES_REGISTERED, "registered_citations": _registered_sql(), "citator_postings": POSTED, "citator_order": ORDERED,
+        "register_sizes": "SELECT (SELECT count(*) FROM part) * m AS works, (SELECT count(*) FROM supplier) AS cases, o AS of FROM (VALUES (1, 'tables'), (2, 'added')) v(m, o)",
         "short_forms": SHORT, "title_similarity": "SELECT p_partkey, 1.0::DOUBLE AS score FROM part",
     }

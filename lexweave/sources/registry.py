@@ -94,7 +94,7 @@ def works_of(parts: list[DataFrame]) -> DataFrame:
 
 
 def case_id(n: Column) -> Column:
-    return F.concat_ws("-", F.replace(F.lower(n["court"]), F.lit(" "), F.lit("-")), F.lower(n["division"]), n["year"].cast("string"), F.lower(n["number"]))
+    return F.when(n.isNotNull(), F.concat_ws("-", F.replace(F.lower(n["court"]), F.lit(" "), F.lit("-")), F.lower(n["division"]), n["year"].cast("string"), F.lower(n["number"])))
 
 
 def cases_of(parts: list[DataFrame]) -> DataFrame:
@@ -283,11 +283,6 @@ class Registers:
         return self.works.agg(F.count(F.lit(1)).alias("works")).crossJoin(self.cases.agg(F.count(F.lit(1)).alias("cases")))
 
 
-def local(df: DataFrame) -> DataFrame:
-    """A few rows as a literal table, whose size planning knows."""
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
-
-
 def courts(spark: SparkSession) -> DataFrame:
     rows = [(code, first, second, list(divisions), needed) for code, first, second, divisions, needed in fixed.COURTS]
     return spark.createDataFrame(rows, "code string, primary_path string, secondary_page string, divisions array<string>, division_required boolean")
