@@ -11,7 +11,7 @@ with the distinct years and short forms of a document.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +26,7 @@ from ..sources.storage import Held, kept
 from .cases import neutral_text, report_text
 from .fuzzy import close
 from .links import case_search, held_by_primary, judgment_link, work_links
+from .remote import Remote, answers
 from .works import PROVISION
 
 CANDIDATE = "struct<id:string,score:double>"
@@ -39,8 +40,8 @@ class Settings:
     suggest: float = fixed.SUGGEST
     version: tuple[str, str | None] = ("latest", None)
     link_cases: bool = True
-    #: (title, year) -> id, title, year, work_type, number as a dict, or None; asked on the driver
-    remote: object = None
+    #: asked for titles that the registers don't have
+    remote: Remote | None = None
 
 
 def _strings(*texts: str | Column) -> Column:
@@ -139,7 +140,7 @@ def match_works(refs: DataFrame, registers: Registers, settings: Settings = Sett
     probes = r.filter("match is null and _best is null").select("_norm", "year").distinct()
     found = search_works(probes.withColumnRenamed("_norm", "norm"), registers, settings.suggest)
     r = _with_found(r, found)
-    r = _asked(r, settings)
+    r = _asked(r, settings, held)
     top = F.get("found", 0)
     listed = F.coalesce(F.transform("found", lambda x: F.struct(x["work"]["id"].alias("id"), x["score"].alias("score"))), empty(f"array<{CANDIDATE}>"))
     later = (
@@ -159,24 +160,27 @@ def _with_found(r: DataFrame, found: DataFrame) -> DataFrame:
     return joined.drop("norm", "year_key", "_year")
 
 
-def _asked(r: DataFrame, settings: Settings) -> DataFrame:
-    """``_remote``: what the remote service knows of titles that stay unresolved.
-    Each distinct title and year is asked once, before anything is resolved, so a
-    hit doesn't depend on the order of documents. Errors count as no hit."""
+def _asked(r: DataFrame, settings: Settings, held: Held | None) -> DataFrame:
+    """``_remote``: what the remote service knows of titles that stay unresolved."""
     if settings.remote is None:
         return r.withColumn("_remote", F.lit(None).cast(WORK))
     open_ = r.filter("match is null and _best is null").filter(F.coalesce(F.get("found", 0)["score"] < settings.accept, F.lit(True)))
-    hits = []
-    for row in open_.groupBy("_norm", "year").agg(F.min("title").alias("title")).toLocalIterator():
-        try:
-            hit = settings.remote(row["title"], row["year"])
-        except Exception:  # noqa: BLE001  a service that fails is one that doesn't know
-            hit = None
-        if hit:
-            hits.append((row["_norm"], row["year"], {"aliases": []} | hit))
-    answers = r.sparkSession.createDataFrame(hits, f"_norm string, year int, _remote {WORK}")
-    left, right = r.alias("l"), answers.alias("a")
-    return left.join(right, (F.col("l._norm") == F.col("a._norm")) & F.col("l.year").eqNullSafe(F.col("a.year")), "left").select("l.*", "a._remote")
+    titles = open_.groupBy(F.col("_norm").alias("norm"), "year").agg(F.min("title").alias("title"))
+    known = answers(titles, settings.remote, WORK, held).select(F.col("norm").alias("_n"), F.col("year").alias("_y"), F.col("work").alias("_remote"))
+    return r.join(known, (r["_norm"] == known["_n"]) & r["year"].eqNullSafe(known["_y"]), "left").drop("_n", "_y")
+
+
+def _learn(rows: DataFrame, refs: DataFrame, matched: DataFrame, registers: Registers, settings: Settings, held: Held | None) -> DataFrame:
+    """A work that was found remotely is in the register from then on: only the first mention
+    of a reference, by document and place, keeps the method; others are matched once more."""
+    from_afar = matched.filter(F.col("match.method") == "remote")
+    works = kept(from_afar.select("match.work.*").dropDuplicates(["id"]), held)
+    again = refs.join(from_afar.select("ref"), "ref", "left_semi")
+    later = match_works(again, registers.add(works=works), replace(settings, remote=None), held).select("ref", F.col("match").alias("later"))
+    place = F.struct("doc_id", "text_key", "ord")
+    first = rows.filter((F.col("role") == "cite") & (F.col("match.method") == "remote")).groupBy("ref").agg(F.min(place).alias("first"))
+    met = rows.join(later, "ref", "left").join(first, "ref", "left")
+    return met.withColumn("match", F.when(F.col("first").isNotNull() & (place > F.col("first")), F.col("later")).otherwise(F.col("match"))).drop("later", "first")
 
 
 # --- back-references ---------------------------------------------------------
@@ -323,7 +327,10 @@ def resolve_works(found: DataFrame, registers: Registers, settings: Settings = S
     rows = rows.withColumn("ref", F.when(direct, F.to_json(F.struct(*keys))).otherwise(apart))
     refs = flat.union(defined.filter(m["anaphoric"] == F.lit(False))).filter(m.isNotNull() & ~m["anaphoric"]).select(*[m[k].alias(k) for k in keys]).distinct().withColumn("ref", F.to_json(F.struct(*keys)))
     matched = kept(match_works(refs, registers, settings, held).select("ref", "match"), held)
-    rows = rows.join(matched, "ref", "left").drop("ref")
+    rows = rows.join(matched, "ref", "left")
+    if settings.remote is not None:
+        rows = _learn(rows, refs, matched, registers, settings, held)
+    rows = rows.drop("ref")
     simple = rows.filter("not back and role = 'cite'").withColumn("m", F.col("match"))
     shown = ["doc_id", "text_key", "ord", "start", "end", "surface", "mention", "chain", "mentioned", "anaphoric", *keys, "m"]
     out = simple.select(*shown).unionByName(_antecedents(rows.filter("back").drop("back"), registers).select(*shown))

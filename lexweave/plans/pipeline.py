@@ -90,6 +90,11 @@ def resolve(docs: DataFrame, registers: Registers, settings: Settings = Settings
     return Resolved(docs.select("doc_id", "text"), resolve_works(found, registers, settings, held), resolve_cases(found, registers, settings, held), held)
 
 
+def learned(r: Resolved) -> DataFrame:
+    """Works that were found remotely, as entries for ``Registers.add``."""
+    return r.citations.filter("method = 'remote'").select("work.*").dropDuplicates(["id"])
+
+
 # --- annotation --------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,25 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), _text().alias("text"))
 
 
+def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """doc_id (the path), text, place of files and folders together. A folder gives its files of
+    SUFFIXES at any depth by path, a file itself whatever its suffix; ``place`` (path's number,
+    file) tells the order, which later steps that go by doc_id don't know otherwise."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    parts = []
+    for i, path in enumerate(paths):
+        at = hadoop(path)
+        folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+        part = read_folder(spark, path) if folder else read_file(spark, path)
+        parts.append(part.select("doc_id", "text", F.struct(F.lit(i).alias("argument"), F.col("doc_id").alias("file")).alias("place")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def in_order(docs: DataFrame, width: int = 12) -> DataFrame:
+    """``docs`` of ``read_paths`` under ids that sort in their order: number of the path, then the file."""
+    return docs.select(F.concat(F.lpad(F.col("place.argument").cast("string"), width, "0"), F.lit(":"), "doc_id").alias("doc_id"), "text")
+
+
 def read_table(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     return spark.read.parquet(path).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
