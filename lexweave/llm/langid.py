@@ -254,21 +254,27 @@ def train(docs: DataFrame) -> Model:
         return m
 
     model = fitted(np.ones(len(keys), bool))
-    trained = spark.sparkContext.broadcast([fitted(folds != k) for k in range(FOLDS)])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, entropies = [], []
-            for lang, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                m, i = trained.value[fold], languages.index(lang)
-                if m.counts[i]:  # the language has documents in other folds
-                    each, n = m.entropy(text)
-                    if n:
-                        of.append(lang)
-                        entropies.append(float(each[i]))
-            yield pa.record_batch([pa.array(of, pa.string()), pa.array(entropies, pa.float64())], ["lang", "h"])
-
-    scored = sample.mapInArrow(check, "lang string, h double").toArrow()
+    parts = []
+    # one fold's model at a time, so that the driver never holds all of them
+    for k in range(FOLDS):
+        trained = spark.sparkContext.broadcast(fitted(folds != k))
+
+        def check(batches: Iterator[pa.RecordBatch], trained=trained) -> Iterator[pa.RecordBatch]:
+            m = trained.value
+            for batch in batches:
+                of, entropies = [], []
+                for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    i = languages.index(lang)
+                    if m.counts[i]:  # the language has documents in other folds
+                        each, n = m.entropy(text)
+                        if n:
+                            of.append(lang)
+                            entropies.append(float(each[i]))
+                yield pa.record_batch([pa.array(of, pa.string()), pa.array(entropies, pa.float64())], ["lang", "h"])
+
+        parts.append(sample.filter(F.col("fold") == k).select("lang", "text").mapInArrow(check, "lang string, h double").toArrow())
+        trained.destroy()
+    scored = pa.concat_tables(parts)
     model.limit = _limits(languages, {lang: scored.filter(pc.equal(scored.column("lang"), lang)).column("h").to_numpy() for lang in languages})
     return model
 
