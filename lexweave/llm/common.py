@@ -80,6 +80,13 @@ def crc_mod(column: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def share(column: str, salt: str, rate: float) -> Column:
+    """Is the row among about ``rate`` of all rows, by the whole 64-bit hash of the value as text?"""
+    if rate >= 1:
+        return F.lit(True)
+    return F.xxhash64(F.col(column).cast("string"), F.lit(salt)) < F.lit(int(rate * 2.0**64) - 2**63)
+
+
 #: Parts into which a vertex's edges are dealt where they meet its one row.
 SALTS = 8
 

@@ -14,9 +14,12 @@ positives' share; the least ratio of both over all thresholds that a tenth of th
 positives reach is taken.
 
 Features of the training documents are computed once and kept as a table; mean,
-spread, quantiles, histograms and, in each step, the unlabelled risk and its
-gradient are sums over all of its rows, of which some hundred numbers come to the
-driver. Only the trusted positives are a sample: at most about SAMPLE rows, dealt
+spread and quantiles come from counts of its values on a grid of 131,072 numbers a
+feature, and histograms and, in each step, the unlabelled risk and its gradient are
+sums over all of its rows, of which some hundred numbers come to the driver. Terms
+are whole multiples of 1 / UNIT, so that no sum depends on the order of rows, batches or
+partitions. The model notes how often the risk was evaluated and the greatest part of
+its last gradient; a warning tells if that is above FLAT. Only the trusted positives are a sample: at most about SAMPLE rows, dealt
 by the hash of doc_id. Scoring reads every whole text once and shuffles nothing.
 
 Defined cases: null text is empty text; texts of any length are read whole; rows
@@ -28,6 +31,7 @@ score; columns with other names don't matter.
 
 from __future__ import annotations
 
+import logging
 import operator
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -38,13 +42,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, discard, small_batches
+from .common import crc_mod, cut, discard, share, small_batches
 
 #: Trusted positives at most; bins of a feature; evaluations of the risk at most; weight decay; steps that L-BFGS remembers.
 SAMPLE, BINS, EVALUATIONS, DECAY, MEMORY = 12_000, 10, 60, 1e-3, 10
 #: Steps of the first score's histogram, and positives' share from which on a threshold can tell the prior.
 STEPS, REACHED = 1000, 0.1
 THRESHOLD = 0.3
+#: Sums are of multiples of 1 / UNIT: of values of SCALED times slopes of SLOPE steps; a batch has fewer than 400,000 rows. Gradient of a minimum.
+SCALED, SLOPE = 2**12, 2**20
+UNIT = SCALED * SLOPE
+FLAT = 1e-5
+
+_LOG = logging.getLogger(__name__)
 
 _CLASS = np.zeros(256, np.uint8)
 for _i, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?'\"()-", b"!", b"#$%&*+/<=>@[\\]^_`{|}~", b" \t", b"\n\r\x0b\x0c", bytes(range(128, 256))), 1):
@@ -73,6 +83,8 @@ class Model:
     weights: np.ndarray
     constant: float | None = None
     prior: float | None = None
+    evaluations: int = 0
+    gradient: float = 0.0
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         at = np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, x.T, strict=True)], 1)
@@ -81,7 +93,7 @@ class Model:
         return hot.reshape(len(x), -1)
 
     def expand(self, x: np.ndarray) -> np.ndarray:
-        scaled = np.clip((x - self.mean) / self.spread, -5, 5)
+        scaled = np.rint(np.clip((x - self.mean) / self.spread, -5, 5) * SCALED) / SCALED
         return np.hstack([scaled, self.bins(x), np.ones((len(x), 1))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -118,12 +130,15 @@ def risk(w: np.ndarray, positive: np.ndarray, prior: float, unlabelled: Callable
     return value + DECAY / 2 * (w @ w), gradient + DECAY * w
 
 
-def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, most: int = EVALUATIONS) -> np.ndarray:
-    """L-BFGS with a halving line search, at most ``most`` evaluations."""
+def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, most: int = EVALUATIONS, trace: list | None = None) -> np.ndarray:
+    """L-BFGS with a halving line search, at most ``most`` evaluations. ``trace`` is
+    given (evaluations so far, greatest part of the gradient) of each point reached."""
     w, used = np.zeros(size), 1
+    trace = [] if trace is None else trace
     value, gradient = evaluate(w)
+    trace.append((used, float(np.abs(gradient).max())))
     steps: list[tuple[np.ndarray, np.ndarray]] = []
-    while used < most and np.abs(gradient).max() > 1e-5:
+    while used < most and np.abs(gradient).max() > FLAT:
         way, heights = -gradient, []
         for s, y in reversed(steps):
             heights.append((s @ way) / (s @ y))
@@ -147,6 +162,7 @@ def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], size: i
         if (there - w) @ (bent - gradient) > 1e-12:
             steps = [*steps, (there - w, bent - gradient)][-MEMORY:]
         w, value, gradient = there, new, bent
+        trace.append((used, float(np.abs(gradient).max())))
     return w
 
 
@@ -158,24 +174,50 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summed(table: DataFrame, size: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum of ``of(x)``, ``size`` numbers, over the rows of ``table``: x is a matrix of some of them."""
+    """The sum of ``of(x)``, ``size`` multiples of 1 / UNIT, over the rows of ``table``: x is a matrix of some of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(size)
+        sums = np.zeros(size, np.int64)
         for batch in batches:
-            sums += of(batch.column(0).flatten().to_numpy().reshape(-1, FEATURES))
+            sums += np.rint(of(batch.column(0).flatten().to_numpy().reshape(-1, FEATURES)) * UNIT).astype(np.int64)
         yield pa.record_batch([pa.array(np.arange(size, dtype=np.int32)), pa.array(sums)], ["at", "sum"])
 
-    found = table.select("x").mapInArrow(run, "at int, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).toArrow()
+    found = table.select("x").mapInArrow(run, "at int, sum long").groupBy("at").agg(F.sum(F.col("sum").cast("decimal(20,0)")).alias("sum")).toArrow()
     out = np.zeros(size)
-    out[found.column("at").to_numpy()] = found.column("sum").to_numpy()
+    out[found.column("at").to_numpy()] = [int(n) / UNIT for n in found.column("sum").to_pylist()]
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    def dealt(salt: str, rate: float):
-        return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rate))
+def _cells(x: np.ndarray) -> np.ndarray:
+    """The place on a grid, in order, of numbers that aren't negative: the leading bits of single precision."""
+    return x.astype(np.float32).view(np.int32) >> 15
+
 
+def _grid(table: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, mean, spread and quantiles (a row for each feature), from counts of the values on the grid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, FEATURES)
+            cells, n = np.unique(_cells(x).astype(np.int64) + (np.arange(FEATURES) << 17), return_counts=True)
+            held.update(dict(zip(cells.tolist(), n.tolist(), strict=True)))
+        yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["cell", "n"])
+
+    found = table.select("x").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    order = np.argsort(found.column("cell").to_numpy())
+    cells, n = (found.column(c).to_numpy()[order] for c in ("cell", "n"))
+    value = ((cells & 0x1FFFF) << 15).astype(np.int32).view(np.float32).astype(float)  # the least of its cell
+    mean, spread, edges = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros((FEATURES, BINS - 1))
+    for i in range(FEATURES):
+        v, k = value[cells >> 17 == i], n[cells >> 17 == i]
+        mean[i] = (v * k).sum() / k.sum()
+        spread[i] = np.sqrt((k * (v - mean[i]) ** 2).sum() / k.sum())
+        edges[i] = v[np.searchsorted(np.cumsum(k), k.sum() * np.arange(1, BINS) / BINS)]
+    return int(n[cells >> 17 == 0].sum()), mean, spread, edges
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
     nothing = Model(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), 0.5)
     usable = labels.filter((crc_mod("doc_id", 5) != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     known = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
@@ -183,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not ones:
         return nothing
     # about SAMPLE ids by construction, so the broadcast is bounded
-    trusted = known.filter(dealt("trusted", SAMPLE / ones)).select("doc_id", F.lit(True).alias("p"))
+    trusted = known.filter(share("doc_id", "trusted", SAMPLE / ones)).select("doc_id", F.lit(True).alias("p"))
     mine = docs.filter(crc_mod("doc_id", 5) != 0).select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left")
     with small_batches(docs.sparkSession):
         table = cut(mine.select("text", F.coalesce("p", F.lit(False)).alias("p")).mapInArrow(_rows, "x array<double>, p boolean"))
@@ -194,13 +236,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
     x = x[np.lexsort(x.T)]  # the same order of sums on every run
 
-    columns = [F.get("x", i) for i in range(FEATURES)]
-    shares = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    row = table.agg(
-        F.count(F.lit(1)), F.array(*[F.avg(c) for c in columns]), F.array(*[F.stddev_pop(c) for c in columns]), F.array(*[F.percentile_approx(c, shares, 10_000) for c in columns])
-    ).first()
-    rows = row[0]
-    model = Model(np.array(row[1]), np.array(row[2]) + 1e-9, np.array(row[3]), np.zeros(0))
+    rows, mean, spread, edges = _grid(table)
+    model = Model(mean, spread + 1e-9, edges, np.zeros(0))
 
     # a first score: by bin, the log ratio of shares
     size = FEATURES * BINS
@@ -220,12 +257,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         def of(x: np.ndarray) -> np.ndarray:
             e = model.expand(x)
             z = e @ w
-            return np.append(e.T @ _sigmoid(z), np.logaddexp(0, z).sum())
+            loss = np.rint(np.logaddexp(0, z) * UNIT) / UNIT
+            return np.append(e.T @ (np.rint(_sigmoid(z) * SLOPE) / SLOPE), loss.sum())
 
         sums = _summed(table, positive.shape[1] + 1, of) / rows
         return float(sums[-1]), sums[:-1]
 
-    model.weights = minimise(lambda w: risk(w, positive, prior, unlabelled), positive.shape[1])
+    trace: list[tuple[int, float]] = []
+    model.weights = minimise(lambda w: risk(w, positive, prior, unlabelled), positive.shape[1], trace=trace)
+    model.evaluations, model.gradient = trace[-1]
+    _LOG.log(logging.WARNING if model.gradient > FLAT else logging.INFO, "%d evaluations, gradient %.1e at most", *trace[-1])
     model.prior = prior
     discard(table)
     return model
