@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut
+from .common import crc_mod, cut, discard, share
 
 ORDER, PER_LANGUAGE, SLACK = 4, 1500, 3.0
 #: Folds of the sample for calibration, and documents from which on a language has a quantile of its own.
@@ -168,10 +168,9 @@ def _sample(docs: DataFrame) -> DataFrame:
     """lang, fold and text of the training sample; two documents of a language are never in one fold only."""
     usable = docs.filter((crc_mod("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rates = [(r["lang"], PER_LANGUAGE / r["n"]) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
-    dealt = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     picked = F.lit(False)
     for lang, rate in sorted(rates):
-        picked = picked | ((F.col("lang") == lang) & (dealt < rate))
+        picked = picked | ((F.col("lang") == lang) & share("doc_id", "sample", rate))
     dealt_in = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("check")), "doc_id", "text")  # PER_LANGUAGE rows
     return usable.filter(picked).select("lang", (F.row_number().over(dealt_in) % FOLDS).alias("fold"), "text")
 
@@ -240,6 +239,7 @@ def train(docs: DataFrame) -> Model:
     # by language and n-gram, so that its counts in several folds stand side by side
     order = np.lexsort((keys, of))
     folds, keys, times, of = folds[order], keys[order], times[order], of[order]
+    del found, order
 
     def fitted(rows: np.ndarray) -> Model:
         """The model of the counts that ``rows``, a mask, names."""
@@ -274,6 +274,7 @@ def train(docs: DataFrame) -> Model:
 
         parts.append(sample.filter(F.col("fold") == k).select("lang", "text").mapInArrow(check, "lang string, h double").toArrow())
         trained.destroy()
+    discard(sample)
     scored = pa.concat_tables(parts)
     model.limit = _limits(languages, {lang: scored.filter(pc.equal(scored.column("lang"), lang)).column("h").to_numpy() for lang in languages})
     return model
