@@ -41,16 +41,24 @@ def name_agreement(a: Column, b: Column) -> Column:
     return F.when(both_have_two, F.least(side(0), side(1))).otherwise(whole)
 
 
-def round4(x: Column) -> Column:
-    """Rounded to four digits as Python does: half to even on the exact binary value.
+def _half_even(x: Column, scale: int) -> Column:
+    """``x`` as a multiple of 1 / ``scale``, rounded as Python does: half to even on the exact binary value.
 
     ``twice`` is the value in half units. Where that is odd, the value lies next to
     the middle of two results; its difference from there is formed without error,
     from the two halves of its bits."""
-    twice = F.rint(x * 20000)
+    twice = F.rint(x * (2 * scale))
     big = x * 134217729.0
     high = big - (big - x)
-    off = (high * 20000 - twice) + (x - high) * 20000
+    off = (high * (2 * scale) - twice) + (x - high) * (2 * scale)
     even = F.rint(twice / 4) * 2
     unit = F.when(twice % 2 == 0, twice / 2).when(off > 0, (twice + 1) / 2).when(off < 0, (twice - 1) / 2).otherwise(even)
-    return unit / 10000
+    return unit / scale
+
+
+def round4(x: Column) -> Column:
+    return _half_even(x, 10_000)
+
+
+def round2(x: Column) -> Column:
+    return _half_even(x, 100)

@@ -17,6 +17,7 @@ from ..functions.similarity import round4, similarity
 from ..operators import cases as C
 from ..operators import links as L
 from ..operators import resolve as R
+from ..operators import verify as V
 from ..operators import works as W
 from ..sources.registry import Registers, courts
 from . import pipeline as P
@@ -507,6 +508,78 @@ SELECT n || 'x act' AS norm, year::INT AS year, place::INT AS place, 'ukpga-' ||
 """
 
 
+def _part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pages of the works made from parts say: the title, another one, nothing, no answer."""
+    k, title = F.col("p_partkey"), F.concat(F.initcap("p_name"), F.lit(" Act"))
+    url = F.concat(F.lit(f"{L_}/ukpga/"), k % 200 + 1800, F.lit("/"), k)
+    bodies = [
+        F.concat(F.lit("<html><title>\n  "), title, F.lit("\t 1999 </title><title>no</title>")), F.concat(F.lit("<TITLE>"), title, F.repeat(F.lit("7"), F.length("p_name") + 4), F.lit("</Title>")),
+        F.lit("<title>not found</title>"), F.lit(None).cast("string"), F.lit("<p>no title</p>"), F.concat(F.lit("<title>"), title, F.lit("7</title>")), F.lit(""),
+    ]
+    status = F.when(k % 7 == 2, 404).when(k % 7 != 3, 200)
+    made = _table(spark, sf_dir, "part").select(k.alias("k"), url.alias("url"), status.cast("int").alias("status"), _choose(k, bodies).alias("body"), F.when(k % 7 == 3, "TimeoutError").alias("error"))
+    return made.filter("k % 7 <> 6").drop("k")
+
+
+def verification_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on works whose pages were fetched: right, another title, refused, no answer, never asked."""
+    return V.check_works(_table_registers(spark, sf_dir), _part_pages(spark, sf_dir)).select("id", "status", "detail", "line")
+
+
+def _lined(rows: str, width: int) -> str:
+    return f"SELECT id, status, detail, CASE WHEN status <> 'OK' THEN '  ' || rpad(status, 6, ' ') || ' ' || rpad(id, greatest({width}, length(id))::INT, ' ') || ' ' || detail END AS line FROM ({rows})"
+
+
+_WORKS_VERIFIED = f"""
+SELECT 'ukpga-' || (p_partkey % 200 + 1800) || '-' || p_partkey AS id, {_case('p_partkey', ["'OK'", "'TITLE'", "'HTTP'", "'ERROR'", "'OK'", "'OK'", "'ERROR'"])} AS status,
+  {_case('p_partkey', ["''", "'registry=''' || t || ' Act'' site=''' || t || ' Act' || repeat('7', length(p_name) + 4) || ''' (0.67)'", f"'404 {L_}/ukpga/' || (p_partkey % 200 + 1800) || '/' || p_partkey", "'TimeoutError'", "''", "''", "'not fetched'"])} AS detail
+FROM (SELECT *, {_INITCAP} AS t FROM part)
+"""
+
+
+def _checked_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on cases made from suppliers, some of which have no page or one that isn't asked for."""
+    k = F.col("s_suppkey")
+    neutral = F.when(k % 7 == 4, F.concat(F.lit("[2010] UKHL "), k)).when(k % 7 != 5, F.concat(F.lit("[2010] UKSC "), k))
+    rows = _table(spark, sf_dir, "supplier").select(
+        F.lit(None).cast("string").alias("id"), F.concat(F.lit("Smith"), k, F.lit(" v Jones")).alias("name"), neutral.alias("neutral"),
+        F.array(F.concat(F.lit("[2011] 1 AC "), k)).alias("reports"), F.array(F.concat(F.lit("Re Supplier "), k)).alias("aliases"),
+    )
+    end = F.lit(" - Find Case Law - Archives</title>")
+    bodies = [
+        F.concat(F.lit("<title>Smith"), k, F.lit(" -v- Jones"), end), F.concat(F.lit("<title>Re Supplier "), k, end), F.concat(F.lit("<title>@@@"), end), F.lit(""),
+        F.lit("<title>not asked</title>"), F.lit("<title>not asked</title>"), F.lit(None).cast("string"),
+    ]
+    pages = _table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit(f"{T_}/uksc/2010/"), k).alias("url"), F.when(k % 7 == 3, 503).when(k % 7 != 6, 200).cast("int").alias("status"), _choose(k, bodies).alias("body"), F.when(k % 7 == 6, "ConnectError").alias("error")
+    )
+    return V.check_cases(Registers.from_entries([_part_works(spark, sf_dir)], [rows]), pages)
+
+
+def verification_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked_cases(spark, sf_dir).select("id", "status", "detail", "line")
+
+
+_CASES_VERIFIED = f"""
+SELECT {_case('s_suppkey', ["'uksc-2010-' || s_suppkey"] * 4 + ["'ukhl-2010-' || s_suppkey", "'report-2011-1-ac-' || s_suppkey", "'uksc-2010-' || s_suppkey"])} AS id,
+  {_case('s_suppkey', ["'OK'", "'OK'", "'NAME'", "'HTTP'", "'SKIP'", "'SKIP'", "'ERROR'"])} AS status,
+  {_case('s_suppkey', ["''", "''", "'registry=''Smith' || s_suppkey || ' v Jones'' site=''@@@'' (0.00)'", f"'503 {T_}/uksc/2010/' || s_suppkey", f"'not checkable: {B_}/uk/cases/UKHL/2010/' || s_suppkey || '.html'", "'no direct link'", "'ConnectError'"])} AS detail
+FROM supplier
+"""
+
+
+def verification_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = V.totals(V.check_works(_table_registers(spark, sf_dir), _part_pages(spark, sf_dir))).withColumn("of", F.lit("works"))
+    return works.union(V.totals(_checked_cases(spark, sf_dir)).withColumn("of", F.lit("cases")))
+
+
+VERIFIED_TOTALS = " UNION ALL ".join(
+    f"SELECT count(*) FILTER (WHERE status <> 'SKIP') AS checked, count(*) FILTER (WHERE status = 'OK') AS verified, count(*) FILTER (WHERE status NOT IN ('OK', 'SKIP')) AS failed, "
+    f"count(*) FILTER (WHERE status = 'SKIP') AS skipped, '{of}' AS of FROM ({rows})"
+    for of, rows in (("works", _WORKS_VERIFIED), ("cases", _CASES_VERIFIED))
+)
+
+
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparison keys of part names dressed up."""
     name = F.col("p_name")
@@ -575,6 +648,7 @@ def queries() -> dict[str, Query]:
         citations_full, back_references, case_citations, embedded_citations, document_totals, citator_pinpoints, citator_works, citator_unresolved, citator_stats, citator_cases,
         citator_unresolved_cases, annotated_markdown, annotated_html, documents_json, versioned_links, pinpoint_targets, fuzzy_search, normal_forms, judgment_pages,
         register_works, register_cases, register_sizes, registered_citations, citator_postings, citator_order, short_forms, title_similarity,
+        verification_works, verification_cases, verification_totals,
     ]
     return {f.__name__: f for f in found}
 
@@ -589,5 +663,6 @@ def oracle_sql() -> dict[str, str]:
         "normal_forms": NORMAL, "judgment_pages": _judgments(),
         "register_works": REGISTERED, "register_cases": CASES_REGISTERED, "registered_citations": _registered_sql(), "citator_postings": POSTED, "citator_order": ORDERED,
         "register_sizes": "SELECT (SELECT count(*) FROM part) * m AS works, (SELECT count(*) FROM supplier) AS cases, o AS of FROM (VALUES (1, 'tables'), (2, 'added')) v(m, o)",
+        "verification_works": _lined(_WORKS_VERIFIED, 18), "verification_cases": _lined(_CASES_VERIFIED, 22), "verification_totals": VERIFIED_TOTALS,
         "short_forms": SHORT, "title_similarity": "SELECT p_partkey, 1.0::DOUBLE AS score FROM part",
     }
