@@ -3,7 +3,7 @@
 import pytest
 
 from lexweave.operators.links import chosen_version, suffix, version
-from lexweave.plans import pipeline
+from lexweave.plans import pipeline, suite
 from lexweave.sources.registry import Registers
 
 TEXTS = {
@@ -148,3 +148,11 @@ def test_versions():
     assert chosen_version(original=True, as_at="x") == ("original", None)
     with pytest.raises(ValueError):
         version("yesterday")
+
+
+def test_embedded_citations_beside_pinpoints_of_the_text_itself(spark, tmp_path):
+    """A text's own "SS 49" is a pinpoint by context, not a citation of the Act."""
+    text = "Im berge er schß die.\nSS 4914997113902518 enieäach."
+    spark.createDataFrame([(3654, text), (3655, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = suite.embedded_citations(spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.start) for r in found] == [(3654, len(text) + 6)]
