@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from ..functions.similarity import ratio
 
 CLASS, POOL_BLOCK, PROBE_BLOCK, DEALT = 8, 1024, 256, 16
+#: Hits of a pair of blocks that are handed on at once; tasks a core among which blocks of probes are dealt.
+HITS, TASKS = 100_000, 4
 _BLOCK = "bucket int, keys array<string>, years array<int>, refs array<long>"
 _LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}
 _KINDS = len(_LETTERS) + 16
@@ -87,23 +89,39 @@ def possible(a: str, b: str, need: float) -> bool:
     return False
 
 
-def close_in(keys: list[str], years: list[int | None], pool: list[str], pool_years: list[int | None], cutoff: float, cross_year: float) -> Iterator[tuple[int, int, float, bool]]:
-    """Pairs (probe, entry, score, of the probe's year) of two blocks with a score of at least ``cutoff``."""
-    shared = np.zeros((len(keys), len(pool)), np.int32)
-    for x, y in zip(_counts(keys).T, _counts(pool).T, strict=True):
+def _places(keys: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct keys, and the places of each: those of key i are ``order[ends[i]:ends[i + 1]]``."""
+    number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+    of = np.fromiter((number[k] for k in keys), np.int64, len(keys))
+    return list(number), np.argsort(of, kind="stable"), np.r_[0, np.cumsum(np.bincount(of, minlength=len(number)))]
+
+
+def close_in(keys: list[str], years: list[int | None], pool: list[str], pool_years: list[int | None], cutoff: float, cross_year: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of two blocks with a score of at least ``cutoff``, as columns: probe, entry, score, of
+    the probe's year. Strings that recur, with other years or entries, are compared once."""
+    mine, order, ends = _places(keys)
+    theirs, p_order, p_ends = _places(pool)
+    shared = np.zeros((len(mine), len(theirs)), np.int32)
+    for x, y in zip(_counts(mine).T, _counts(theirs).T, strict=True):
         if x.any() and y.any():
             shared += np.minimum(x[:, None], y[None, :])
     # words that are sorted lose what white space was more than one
-    size = [np.array([len(" ".join(k.split())) for k in ks]) for ks in (keys, pool)]
+    size = [np.array([len(" ".join(k.split())) for k in ks]) for ks in (mine, theirs)]
     bound = 2.0 * shared / np.maximum(size[0][:, None] + size[1][None, :], 1)
-    asked, had = (np.array([-1 if y is None else y for y in ys]) for ys in (years, pool_years))
-    same = asked[:, None] == had[None, :]
-    weight = np.where(same | (asked[:, None] < 0), 1.0, cross_year)
-    for i, j in zip(*np.nonzero(bound * weight >= cutoff - 1e-9), strict=True):
-        if possible(keys[i], pool[j], cutoff / weight[i, j]):
-            score = ratio(keys[i], pool[j]) * float(weight[i, j])
-            if score >= cutoff:
-                yield int(i), int(j), score, bool(same[i, j])
+    asked, had = (np.array([-1 if y is None else y for y in ys], np.int64) for ys in (years, pool_years))
+    found: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.int64, np.int64, np.float64, bool)]
+    for i, j in zip(*np.nonzero(bound >= cutoff - 1e-9), strict=True):
+        a, b = order[ends[i] : ends[i + 1]], p_order[p_ends[j] : p_ends[j + 1]]
+        same = asked[a][:, None] == had[b][None, :]
+        weight = np.where(same | (asked[a][:, None] < 0), 1.0, cross_year)
+        most = float(weight.max())
+        if bound[i, j] * most < cutoff - 1e-9 or not possible(mine[i], theirs[j], cutoff / most):
+            continue
+        score = ratio(mine[i], theirs[j]) * weight
+        x, y = np.nonzero(score >= cutoff)
+        for column, values in zip(found, (a[x], b[y], score[x, y], same[x, y]), strict=True):
+            column.append(values)
+    return tuple(np.concatenate(column) for column in found)
 
 
 def close(probes: DataFrame, pool: DataFrame, cutoff: float, cross_year: float = 1.0) -> DataFrame:
@@ -114,9 +132,12 @@ def close(probes: DataFrame, pool: DataFrame, cutoff: float, cross_year: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                hits = list(close_in(row["keys"], row["years"], row["p_keys"], row["p_years"], cutoff, cross_year))
-                values = [[row["keys"][i] for i, *_ in hits], [row["years"][i] for i, *_ in hits], [row["p_refs"][j] for _, j, *_ in hits], [s for *_, s, _ in hits], [s for *_, s in hits]]
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(values, (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["key", "year", "ref", "score", "same"])
+                i, j, score, same = close_in(row["keys"], row["years"], row["p_keys"], row["p_years"], cutoff, cross_year)
+                refs = np.array(row["p_refs"], np.int64)
+                for lo in range(0, len(i), HITS):
+                    at = slice(lo, lo + HITS)
+                    keys, years = pa.array(row["keys"], pa.string()).take(pa.array(i[at])), pa.array(row["years"], pa.int32()).take(pa.array(i[at]))
+                    yield pa.record_batch([keys, years, pa.array(refs[j[at]]), pa.array(score[at]), pa.array(same[at])], ["key", "year", "ref", "score", "same"])
 
     asked = blocks_of(probes.select("key", "year", F.lit(0).alias("ref")), PROBE_BLOCK)
     # a ratio is at most twice the shorter length over the sum of lengths
@@ -124,6 +145,8 @@ def close(probes: DataFrame, pool: DataFrame, cutoff: float, cross_year: float =
     low = F.floor(F.col("bucket") * CLASS * share / CLASS - 1e-9).cast("int")
     high = F.floor((F.col("bucket") * CLASS + CLASS - 1) / share / CLASS + 1e-9).cast("int") if share else F.lit(1 << 16)
     spread = asked.select(F.explode(F.sequence(low, high)).alias("bucket"), "keys", "years")
+    # a number of its own, as blocks are few bytes and much work, which would be put into one task
+    spread = spread.repartition(TASKS * probes.sparkSession.sparkContext.defaultParallelism, "bucket", F.xxhash64("keys", "years"))
     right = pool.select("bucket", F.col("keys").alias("p_keys"), F.col("years").alias("p_years"), F.col("refs").alias("p_refs"))
     return spread.join(right, "bucket").mapInArrow(run, "key string, year int, ref long, score double, same boolean")
 

@@ -74,7 +74,8 @@ def search_works(probes: DataFrame, registers: Registers, cutoff: float = fixed.
     """probes(norm, year) with ``found``: the best works as array of (score, work).
     Works of the year come first; the others, at a penalty, only if none of them passes."""
     asked = probes.filter("norm <> ''").select(F.col("norm").alias("key"), F.col("year").cast("int").alias("year")).distinct()
-    scored = close(asked, registers.titles, cutoff, fixed.CROSS_YEAR)
+    titles = registers.titles if limit <= fixed.SEARCH_LIMIT else registers.titles_of(limit)
+    scored = close(asked, titles, cutoff, fixed.CROSS_YEAR)
     works = registers.works.select(F.col("ord").alias("ref"), "work")
     order = [F.desc("same"), F.desc("score"), F.desc("work.year"), "work.title", "ref"]
     # at most ``limit`` rows of a probe leave a task

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,7 +21,7 @@ from ..functions import fixed
 from ..functions.text import alias_key, empty, name_key, report_key, title_key, title_stem
 from ..operators.cases import NEUTRAL, neutral_text, parse_neutral, parse_report, report_text
 from ..operators.fuzzy import POOL_BLOCK, blocks_of
-from .storage import kept
+from .storage import Held, kept, release
 
 WORK = "struct<id:string,title:string,year:int,work_type:string,number:string,aliases:array<string>>"
 CASE = f"struct<id:string,name:string,neutral:{NEUTRAL},reports:array<string>,aliases:array<string>>"
@@ -72,13 +73,20 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return _from_file(spark, path, "cases", _CASE_FILE)
 
 
+#: Bits of ``ord`` below the number of the part: a part may have 2**20 partitions of 2**33 rows, and there may be 2**10 parts.
+ROW_BITS = 53
+
+
 def _ordered(parts: list[DataFrame]) -> DataFrame:
-    """The union in load order, with ``ord``. The window runs over a register, not over documents."""
+    """The union with ``ord``, a long that grows in load order, with gaps: each row
+    gets it where it lies, so no task sees a whole register."""
+    if len(parts) > 1 << 10:
+        raise ValueError("more than 1024 lists of entries")
     stacked = None
     for i, part in enumerate(parts):
-        one = part.withColumn("_part", F.lit(i)).withColumn("_row", F.monotonically_increasing_id())
+        one = part.withColumn("ord", F.lit(i << ROW_BITS) + F.monotonically_increasing_id())
         stacked = one if stacked is None else stacked.unionByName(one)
-    return stacked.withColumn("ord", F.row_number().over(Window.partitionBy().orderBy("_part", "_row"))).drop("_part", "_row")
+    return stacked
 
 
 def works_of(parts: list[DataFrame]) -> DataFrame:
@@ -119,10 +127,15 @@ def cases_of(parts: list[DataFrame]) -> DataFrame:
     return last.select("r.*")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df``, computed once, as a table whose size planning knows."""
-    first = df.limit(LITERAL_ROWS + 1).toArrow()
-    return df.sparkSession.createDataFrame(first, df.schema) if first.num_rows <= LITERAL_ROWS else kept(df)
+def settled(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``df``, computed once, as a table whose size planning knows. ``weight``: for how many entries a row counts."""
+    held: Held = []
+    whole = kept(df, held)
+    if whole.agg(F.coalesce(F.sum(weight if weight is not None else F.lit(1)), F.lit(0))).first()[0] > LITERAL_ROWS:
+        return whole
+    first = whole.toArrow()
+    release(held)
+    return df.sparkSession.createDataFrame(first, df.schema)
 
 
 def _work_lookups(works: DataFrame) -> DataFrame:
@@ -158,39 +171,58 @@ def _case_lookups(cases: DataFrame) -> DataFrame:
     return listed.unionByName(rows.filter("kind = 'neutral'").groupBy("kind", "key").agg(F.array(F.max_by("case", "ord")).alias("cases")))
 
 
+def _literal(keys: DataFrame) -> list[str] | None:
+    rows = keys.limit(LITERAL_KEYS + 1).collect()
+    return None if len(rows) > LITERAL_KEYS else sorted(r[0] for r in rows)
+
+
 @dataclass
 class Registers:
-    """The registers that documents are resolved against. ``of`` makes the indexes;
-    ``aliases`` and ``names`` are the keys that extraction looks for, None if they are
-    too many for a literal: extraction then joins its candidates with the index."""
+    """The registers that documents are resolved against. An index is made when it is first
+    asked for; ``aliases`` and ``names`` are the keys that extraction looks for, None if they
+    are too many for a literal: extraction then joins its candidates with the index."""
 
     works: DataFrame
     cases: DataFrame
-    aliases: list[str] | None = field(default_factory=list)
-    names: list[str] | None = field(default_factory=list)
-    work_lookups: DataFrame | None = None
-    case_lookups: DataFrame | None = None
-    titles: DataFrame | None = None
-    case_names: DataFrame | None = None
-    #: what ``of`` was given, by which ``add`` goes on
+    #: what ``from_entries`` was given, by which ``add`` goes on
     entries: tuple[list[DataFrame], list[DataFrame]] | None = None
 
     @staticmethod
     def of(works: DataFrame, cases: DataFrame) -> Registers:
-        works, cases = settled(works), settled(cases)
-        by_work, by_case = settled(_work_lookups(works)), settled(_case_lookups(cases))
+        return Registers(settled(works), settled(cases))
+
+    @cached_property
+    def work_lookups(self) -> DataFrame:
+        return settled(_work_lookups(self.works))
 
-        def literal(keys: DataFrame) -> list[str] | None:
-            rows = keys.limit(LITERAL_KEYS + 1).collect()
-            return None if len(rows) > LITERAL_KEYS else sorted(r[0] for r in rows)
+    @cached_property
+    def case_lookups(self) -> DataFrame:
+        return settled(_case_lookups(self.cases))
 
+    @cached_property
+    def aliases(self) -> list[str] | None:
         # only these can be found in a text without a definition
-        aliases = by_work.filter((F.col("kind") == "alias") & F.col("key").rlike(ACRONYM_KEY)).select("key")
-        names = by_case.filter("kind = 'name'").select("key")
-        titles = settled(blocks_of(works.select(F.col("norm").alias("key"), F.col("work.year").alias("year"), F.col("ord").alias("ref")), POOL_BLOCK))
-        called = cases.select("ord", F.explode(F.array_distinct("names")).alias("key"))
-        case_names = settled(blocks_of(called.select("key", F.lit(None).cast("int").alias("year"), F.col("ord").alias("ref")), POOL_BLOCK))
-        return Registers(works, cases, literal(aliases), literal(names), by_work, by_case, titles, case_names)
+        return _literal(self.work_lookups.filter((F.col("kind") == "alias") & F.col("key").rlike(ACRONYM_KEY)).select("key"))
+
+    @cached_property
+    def names(self) -> list[str] | None:
+        return _literal(self.case_lookups.filter("kind = 'name'").select("key"))
+
+    def titles_of(self, limit: int) -> DataFrame:
+        """Blocks of titles for a search of the first ``limit``. Works of one title and year
+        score alike, and the first of them by title and load order are all that it can list."""
+        place = Window.partitionBy("norm", "work.year").orderBy("work.title", "ord")
+        first = self.works.select("norm", "work", "ord").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit)
+        return settled(blocks_of(first.select(F.col("norm").alias("key"), F.col("work.year").alias("year"), F.col("ord").alias("ref")), POOL_BLOCK), F.size("keys"))
+
+    @cached_property
+    def titles(self) -> DataFrame:
+        return self.titles_of(fixed.SEARCH_LIMIT)
+
+    @cached_property
+    def case_names(self) -> DataFrame:
+        called = self.cases.select("ord", F.explode(F.array_distinct("names")).alias("key"))
+        return settled(blocks_of(called.select("key", F.lit(None).cast("int").alias("year"), F.col("ord").alias("ref")), POOL_BLOCK), F.size("keys"))
 
     def work_index(self, kind: str) -> DataFrame:
         """key, year, n, works of one kind of lookup."""

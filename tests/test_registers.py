@@ -241,3 +241,39 @@ def test_postings_in_blocks(spark, small, monkeypatch, tmp_path):
     assert [(w.id, w.mentions, w.documents, w.blocks) for w in pipeline.cited_works(r).collect()] == [("ukpga-1968-60", 90, 45, 7), ("ukpga-2006-35", 15, 15, 3)]
     pipeline.write_index(r, str(tmp_path / "index"))
     assert spark.read.json(str(tmp_path / "index" / "works")).count() == 2 and spark.read.json(str(tmp_path / "index" / "work_postings")).select(F.sum(F.size("documents"))).first()[0] == 60
+
+
+def test_recurring_strings_are_compared_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(fuzzy, "ratio", lambda a, b: calls.append((a, b)) or ratio(a, b))
+    keys, pool = ["theft act"] * 40 + ["fraud act"], ["thefts act"] * 300
+    i, j, score, same = fuzzy.close_in(keys, [1900 + k for k in range(40)] + [None], pool, [1900 + k % 50 for k in range(300)], 0.9, 0.75)
+    assert set(calls) == {("theft act", "thefts act")} and len(calls) == 1
+    assert len(i) == 40 * 6 and same.all() and set(score) == {ratio("theft act", "thefts act")} and all(j % 50 == i)
+
+
+def test_blocks_of_probes_are_dealt_over_tasks(spark):
+    probes = spark.createDataFrame([(f"act {i} of {i * 7}", None) for i in range(200)], "key string, year int")
+    blocks = fuzzy.blocks_of(spark.createDataFrame([("act 3 of 20", 1990, 1)], "key string, year int, ref long"), 100)
+    assert fuzzy.close(probes, blocks, 0.6).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_search_lists_the_first_of_many_works_of_a_title_and_year(spark):
+    works = _works(spark, *[("Theft Act", 1968 + i % 2, "ukpga", str(i), []) for i in range(40)])
+    found = Registers.from_entries([works], [_cases(spark, ("A v B", "[2010] UKSC 5", [], []))])
+    assert sum(len(r["keys"]) for r in found.titles.collect()) == 10
+    probes = spark.createDataFrame([("theft act", 1968)], "norm string, year int")
+    for limit in (5, 12):
+        listed = [x.work.number for x in search_works(probes, found, 0.6, limit).first().found]
+        assert listed == [str(i) for i in range(0, 2 * limit, 2)]
+
+
+def test_no_task_sees_a_whole_register(spark, small):
+    """Load order without a window over all entries; indexes only when they are asked for."""
+    for made in (registry.works_of([small.entries[0][0]] * 2), registry.cases_of([small.entries[1][0]] * 2)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SinglePartition" not in plan
+    parts = [spark.createDataFrame([(None, f"T{p}", 2000, "ukpga", str(i), [f"a{p}"]) for i in range(50)], WORK).repartition(7) for p in range(3)]
+    found = Registers.from_entries(parts, small.entries[1])
+    assert {(r.work.title, tuple(r.work.aliases)) for r in found.works.collect()} == {("T0", ("a0", "a1", "a2"))}
+    assert found.sizes().first() == (50, 4) and not {"work_lookups", "case_lookups", "titles", "case_names"} & set(vars(found))
