@@ -86,8 +86,33 @@ def resolve(docs: DataFrame, registers: Registers, settings: Settings = Settings
     """The citations of documents. The mentions are kept, since works, cases and
     the look-ups of each start from them."""
     held: Held = []
+    texts = docs.select("doc_id", "text")
+    # what a remote service knows goes to the first mention of a corpus, so documents aren't alike there
+    if settings.remote is None and recurring(texts):
+        return _resolved_once(texts, registers, settings, held)
     found = kept(extract(docs, registers, settings), held)
-    return Resolved(docs.select("doc_id", "text"), resolve_works(found, registers, settings, held), resolve_cases(found, registers, settings, held), held)
+    return Resolved(texts, resolve_works(found, registers, settings, held), resolve_cases(found, registers, settings, held), held)
+
+
+def recurring(texts: DataFrame) -> bool:
+    """Does a text occur twice or more on average? One pass that only hashes the texts."""
+    rows, different = texts.agg(F.count(F.lit(1)), F.approx_count_distinct(text_key())).first()
+    return 0 < 2 * different <= rows
+
+
+def _resolved_once(texts: DataFrame, registers: Registers, settings: Settings, held: Held) -> Resolved:
+    """As ``resolve``, for texts that recur: citations depend on the text alone, so each
+    different text is resolved once, and documents meet its citations by two hashes of it."""
+    other = F.xxhash64(F.lit("other"), F.coalesce("text", F.lit("")))
+    once = kept(texts.select(F.coalesce("text", F.lit("")).alias("text")).distinct().select(other.alias("doc_id"), "text"), held)
+    found = kept(extract(once, registers, settings), held)
+    keys = texts.select("doc_id", text_key().alias("text_key"), other.alias("_other"))
+
+    def back(rows: DataFrame) -> DataFrame:
+        one = kept(rows, held)
+        return keys.join(one.withColumnRenamed("doc_id", "_other"), ["text_key", "_other"]).select(*one.columns)
+
+    return Resolved(texts, back(resolve_works(found, registers, settings, held)), back(resolve_cases(found, registers, settings, held)), held)
 
 
 def learned(r: Resolved) -> DataFrame:
@@ -215,15 +240,31 @@ def report_table(r: Resolved) -> DataFrame:
 POSTINGS = 1_000
 
 
-def _citing(rows: DataFrame, target: str, whole: str, pin: Column, held: Held) -> tuple[DataFrame, DataFrame]:
-    """rows(doc_id, ord, resolved, target): a directory, one row per work or case, and
-    postings: per work, blocks of POSTINGS documents with their pinpoints, by doc_id. No row
+def _hits(rows: DataFrame, target: str) -> DataFrame:
+    return rows.filter("resolved").withColumn("id", F.col(f"{target}.id"))
+
+
+def _directory(rows: DataFrame, target: str) -> DataFrame:
+    """rows(doc_id, ord, resolved, target): one row per work or case, with its entry as first
+    seen. What is sorted is no more than a place per work and document."""
+    hit = _hits(rows, target)
+    # counts of documents combine before the shuffle, so a work that all cite is no hot key
+    docs = hit.groupBy("id", "doc_id").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+    totals = docs.groupBy("id").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("documents"), F.min(F.struct("doc_id", "ord")).alias("first_seen"))
+    first = totals.select(F.col("id").alias("_id"), F.col("first_seen.doc_id").alias("_doc"), F.col("first_seen.ord").alias("_ord"))
+    met = (F.col("id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("ord") == F.col("_ord"))
+    entries = hit.select("id", "doc_id", "ord", F.col(target).alias("entry")).join(first, met).select("id", "entry").dropDuplicates(["id"])
+    return totals.join(entries, "id").withColumn("blocks", F.ceil(F.col("documents") / POSTINGS))
+
+
+def _postings(rows: DataFrame, target: str, whole: str, pin: Column, held: Held) -> DataFrame:
+    """Per work or case, blocks of POSTINGS documents with their pinpoints, by doc_id. No row
     grows with the corpus: places come from a range sort and counts of the partitions before."""
-    hit = rows.filter("resolved").select(F.col(f"{target}.id").alias("id"), "doc_id", "ord", F.col(target).alias("entry"), F.when(pin != "", pin).otherwise(whole).alias("label"))
-    # counts of equal pinpoints combine before the shuffle, so a work that all cite is no hot key
+    hit = _hits(rows, target).select("id", "doc_id", "ord", F.when(pin != "", pin).otherwise(whole).alias("label"))
+    # counts of equal pinpoints combine before the shuffle
     pins = hit.groupBy("id", "doc_id", "label").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
     docs = pins.groupBy("id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("pins"), F.sum("n").alias("n"))
-    docs = docs.select("id", "doc_id", "n", F.get("pins", 0)["ord"].alias("ord"), F.transform("pins", lambda p: p["label"]).alias("pinpoints"))
+    docs = docs.select("id", "doc_id", "n", F.transform("pins", lambda p: p["label"]).alias("pinpoints"))
     placed = kept(docs.repartitionByRange("id", "doc_id").sortWithinPartitions("id", "doc_id").withColumn("seq", F.monotonically_increasing_id()), held)
     placed = placed.withColumn("part", F.shiftright("seq", 33))
     runs = placed.groupBy("id", "part").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("docs"))
@@ -231,23 +272,12 @@ def _citing(rows: DataFrame, target: str, whole: str, pin: Column, held: Held) -
     starts = runs.select("id", "part", (F.coalesce(F.sum("docs").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     numbered = placed.join(starts, ["id", "part"]).withColumn("place", F.col("seq") + F.col("shift"))
     listed = F.array_sort(F.collect_list(F.struct("place", "doc_id", "pinpoints", "n")), lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0))
-    blocks = numbered.groupBy("id", F.expr(f"place div {POSTINGS}").alias("block")).agg(listed.alias("documents"))
-    totals = placed.groupBy("id").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("documents"), F.min(F.struct("doc_id", "ord")).alias("first_seen"))
-    entries = hit.groupBy("id").agg(F.min_by("entry", F.struct("doc_id", "ord")).alias("entry"))
-    return totals.join(entries, "id").withColumn("blocks", F.ceil(F.col("documents") / POSTINGS)), blocks
+    return numbered.groupBy("id", F.expr(f"place div {POSTINGS}").alias("block")).agg(listed.alias("documents"))
 
 
 _SHOWN = ["mentions", "documents", "blocks"]
 
 
-def _works_index(r: Resolved) -> tuple[DataFrame, DataFrame]:
-    return _citing(r.citations, "work", WHOLE_WORK, labels(F.col("provisions")), r.held)
-
-
-def _cases_index(r: Resolved) -> tuple[DataFrame, DataFrame]:
-    return _citing(r.cases, "case", WHOLE_JUDGMENT, F.col("case_ref.pinpoint"), r.held)
-
-
 def _ordered(directory: DataFrame, entry: Column) -> DataFrame:
     """The most cited first, then the first seen."""
     return directory.select(entry.alias("e"), *_SHOWN, "first_seen").select("e.*", *_SHOWN, "first_seen").orderBy(F.desc("mentions"), "first_seen").drop("first_seen")
@@ -255,16 +285,18 @@ def _ordered(directory: DataFrame, entry: Column) -> DataFrame:
 
 def cited_works(r: Resolved) -> DataFrame:
     """The directory of the citator: cited works with mentions, documents and blocks of postings."""
-    return _ordered(_works_index(r)[0], _work_json(F.col("entry")))
+    return _ordered(_directory(r.citations, "work"), _work_json(F.col("entry")))
 
 
 def cited_cases(r: Resolved) -> DataFrame:
-    return _ordered(_cases_index(r)[0], _case_json(F.col("entry")))
+    return _ordered(_directory(r.cases, "case"), _case_json(F.col("entry")))
 
 
 def cited_by(r: Resolved, kind: str = "work") -> DataFrame:
     """id, block, documents: the postings of cited works (or cases), up to POSTINGS documents a row."""
-    return {"work": _works_index, "case": _cases_index}[kind](r)[1]
+    if kind == "work":
+        return _postings(r.citations, "work", WHOLE_WORK, labels(F.col("provisions")), r.held)
+    return _postings(r.cases, "case", WHOLE_JUDGMENT, F.col("case_ref.pinpoint"), r.held)
 
 
 def citing_pinpoints(r: Resolved) -> DataFrame:
@@ -291,22 +323,25 @@ def unresolved_cases(r: Resolved) -> DataFrame:
 
 
 def corpus_stats(r: Resolved) -> DataFrame:
-    docs = document_stats(r).agg(
-        F.count(F.lit(1)).alias("documents"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("citations", "total_citations"), ("resolved", "resolved_citations"), ("case_citations", "total_case_citations"), ("cases_resolved", "resolved_case_citations"))],
-    )
-    works = r.citations.agg(F.count_distinct("work.id").alias("distinct_works"))
-    cases = r.cases.agg(F.count_distinct("case.id").alias("distinct_cases"))
-    return docs.crossJoin(works).crossJoin(cases)  # one row each
+    """One row; citations count if their document has an id, as in ``document_stats``."""
+    docs = r.documents.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("documents"))
+    named, yes = F.col("doc_id").isNotNull(), F.col("resolved")
+
+    def of(rows: DataFrame, target: str, total: str, resolved: str, distinct: str) -> tuple[DataFrame, DataFrame]:
+        # ids are told apart by themselves, so that sums don't pass through their shuffle
+        return rows.agg(F.count(F.when(named, 1)).alias(total), F.count(F.when(named & yes, 1)).alias(resolved)), rows.agg(F.count_distinct(f"{target}.id").alias(distinct))
+
+    works, which = of(r.citations, "work", "total_citations", "resolved_citations", "distinct_works")
+    cases, whose = of(r.cases, "case", "total_case_citations", "resolved_case_citations", "distinct_cases")
+    return docs.crossJoin(works).crossJoin(cases).crossJoin(which).crossJoin(whose)  # one row each
 
 
 def index(r: Resolved) -> dict[str, DataFrame]:
     """The corpus index: documents, works and cases with their postings, unresolved, unresolved_cases, stats."""
-    works, cases = _works_index(r), _cases_index(r)
     return {
         "documents": document_stats(r).select("doc_id", "citations", "resolved", "works", "case_citations", "cases_resolved", "cases"),
-        "works": _ordered(works[0], _work_json(F.col("entry"))), "work_postings": works[1], "unresolved": unresolved_works(r),
-        "cases": _ordered(cases[0], _case_json(F.col("entry"))), "case_postings": cases[1], "unresolved_cases": unresolved_cases(r), "stats": corpus_stats(r),
+        "works": cited_works(r), "work_postings": cited_by(r), "unresolved": unresolved_works(r),
+        "cases": cited_cases(r), "case_postings": cited_by(r, "case"), "unresolved_cases": unresolved_cases(r), "stats": corpus_stats(r),
     }
 
 

@@ -156,3 +156,23 @@ def test_embedded_citations_beside_pinpoints_of_the_text_itself(spark, tmp_path)
     spark.createDataFrame([(3654, text), (3655, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = suite.embedded_citations(spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.start) for r in found] == [(3654, len(text) + 6)]
+
+
+def test_recurring_texts_are_resolved_once(spark, monkeypatch):
+    """With the same rows as if each document were resolved by itself."""
+    texts = [TEXTS["short"], TEXTS["miller"], TEXTS["typo"], None, "no law", "The Theft Act 1968. The 1968 Act, s 2."]
+    docs = spark.createDataFrame([(f"d{i}", texts[i % 6]) for i in range(30)] + [(None, texts[0])], "doc_id string, text string")
+    registers = Registers.default(spark)
+    asked = []
+    extract = pipeline.extract
+    monkeypatch.setattr(pipeline, "extract", lambda d, *a: asked.append(d.count()) or extract(d, *a))
+    once = pipeline.resolve(docs, registers)
+    monkeypatch.setattr(pipeline, "recurring", lambda texts: False)
+    each = pipeline.resolve(docs, registers)
+    # a null text is an empty one, as is each of its kind
+    assert asked == [6, 31]
+    rows = lambda df: sorted(map(str, df.collect()))
+    for a, b in ((once.citations, each.citations), (once.cases, each.cases)):
+        assert a.columns == b.columns and rows(a) == rows(b) and rows(a)
+    assert rows(pipeline.corpus_stats(once)) == rows(pipeline.corpus_stats(each))
+    assert rows(pipeline.cited_works(once)) == rows(pipeline.cited_works(each)) and rows(pipeline.cited_by(once)) == rows(pipeline.cited_by(each))
