@@ -495,3 +495,14 @@ def test_jaccard_of_ids_with_several_texts(spark):
     rows = [(9, texts[0]), (5, texts[0]), (9, texts[1]), (9, texts[2]), (12, texts[2]), (20, texts[3]), (21, texts[3]), (21, texts[3])]
     found = {(r.doc_id, r.component_id) for r in jaccard.join(_docs(spark, rows), 3, 90).collect()}
     assert found == {(9, 5), (5, 5), (12, 5), (20, 20), (21, 20)}
+
+
+def test_no_word_is_lost_beyond_the_top(spark, monkeypatch):
+    """Words beyond TOP get their counts by a join: the same totals, known words and scores of the base."""
+    monkeypatch.setattr(lm, "ALONE", 2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 23}" for j in range(1, 30))) for i in range(40)], "doc_id long, text string")
+    found = []
+    for top in (3, 100_000):
+        monkeypatch.setattr(lm, "TOP", top)
+        found.append({r.doc_id: (r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in lm.class_lm(docs).collect()})
+    assert found[0] == found[1] and len(found[0]) == 40
