@@ -54,6 +54,8 @@ RARE, FRAGMENTS, MEMBERS, BLOCK = 8, 4, 256, 256
 #: Sizes of a band go up to STRETCH times its least one: more bands cost more sets
 #: of fingerprints, wider ones longer sets; the sum is least from 1.5 to 1.7.
 STRETCH = 1.6
+#: Of the pairs of blocks compared at once: shuffled bytes as a multiple of the blocks', and bytes that are always allowed.
+ROUND, LEAST = 3, 1 << 26
 #: Word hashes that a task keeps at hand, and fingerprints that it sums up at once.
 HELD, CHUNK = 200_000, 500_000
 #: Low bits of a fingerprint that tell its band.
@@ -462,24 +464,41 @@ def _open_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
     return open_
 
 
+def _rounds(blocks: DataFrame, pairs: DataFrame) -> int:
+    """In how many rounds the pairs of blocks are compared. Blocks are shuffled once for each pair,
+    which grows with the square of a group; what one round shuffles, and deletes when
+    it ends, is ROUND times the blocks themselves, or LEAST bytes."""
+    size, asked = (df.agg(F.coalesce(F.sum("octets"), F.lit(0))).first()[0] for df in (blocks, pairs))
+    return max(1, -(-asked // max(ROUND * size, LEAST)))
+
+
 def _common_links(texts: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
     whole = _asked(texts, classes.select("id", "s1", "s2", "n").join(groups, "id")).withColumn("name", F.xxhash64("group", "id", "s1", "s2"))
     order = ["group", "linked", "n", "id", "s1", "s2"]
     placed = whole.repartitionByRange(*order).sortWithinPartitions(*order)
     with small_batches(texts.sparkSession):
         blocks = cut(placed.mapInArrow(lambda it: _blocks(it, words), "block long, group long, linked long, low long, high long, ids binary, sizes binary, ends binary, hashes binary"))
-    here = blocks.select("group", "block", "linked", "low", "high")
-    there = here.select("group", *[F.col(c).alias(f"{c}2") for c in ("block", "linked", "low", "high")])
+    octets = F.length("ids") + F.length("sizes") + F.length("ends") + F.length("hashes")
+    here = cut(blocks.select("group", "block", "linked", "low", "high", octets.cast("long").alias("octets")))
+    there = here.select("group", *[F.col(c).alias(f"{c}2") for c in ("block", "linked", "low", "high", "octets")])
     within = F.coalesce(F.col("linked") == F.col("linked2"), F.lit(False))
     pairs = here.join(there, "group").filter("block <= block2").filter(~within)
-    pairs = pairs.filter((F.col("low2") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("high2") * 100)).select("block", "block2")
+    pairs = cut(pairs.filter((F.col("low2") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("high2") * 100)).select("block", "block2", (F.col("octets") + F.col("octets2")).alias("octets")))
     full = ["ids", "sizes", "ends", "hashes"]
     left = blocks.select("block", *full)
     right = blocks.select(F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in full])
-    with small_batches(texts.sparkSession, 2):
-        found = cut(pairs.join(left, "block").join(right, "block2").mapInArrow(lambda it: _block_links(it, percent), "a long, b long"))
-    discard(blocks, groups)
-    return found
+    found = []
+    rounds = _rounds(here, pairs)
+    for i in range(rounds):
+        some = pairs.filter(F.pmod(F.xxhash64("block", "block2"), F.lit(rounds)) == i).select("block", "block2")
+        with small_batches(texts.sparkSession, 2):
+            found.append(cut(some.join(left, "block").join(right, "block2").mapInArrow(lambda it: _block_links(it, percent), "a long, b long")))
+    whole = found[0]
+    for links in found[1:]:
+        whole = whole.union(links)
+    whole = cut(whole)
+    discard(blocks, groups, here, pairs, *found)
+    return whole
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -506,3 +506,21 @@ def test_no_word_is_lost_beyond_the_top(spark, monkeypatch):
         monkeypatch.setattr(lm, "TOP", top)
         found.append({r.doc_id: (r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in lm.class_lm(docs).collect()})
     assert found[0] == found[1] and len(found[0]) == 40
+
+
+def test_pairs_of_blocks_are_compared_in_rounds(spark, monkeypatch):
+    """What is shuffled at once is a multiple of the blocks, and the links are those of one round."""
+    monkeypatch.setattr(jaccard, "ROUND", 0)
+    texts = [" ".join(f"w{i // 3}x{j}" if j % 12 else f"v{i}" for j in range(40)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = jaccard.marked(docs, 3, 50).select(F.col("doc_id").alias("id"), "n", "s1", "s2")
+    groups = spark.createDataFrame([(i, 0, None) for i in range(60)], "id long, group long, linked long")
+    found = []
+    for least in (1 << 26, 8_000):
+        monkeypatch.setattr(jaccard, "LEAST", least)
+        asked, real = [], jaccard._rounds
+        monkeypatch.setattr(jaccard, "_rounds", lambda b, p, real=real: asked.append(real(b, p)) or asked[-1])
+        links = jaccard._common_links(docs, sets, jaccard.cut(groups), 3, 50)
+        found.append((asked[0], {tuple(r) for r in jaccard.components(links).collect()}))
+        monkeypatch.setattr(jaccard, "_rounds", real)
+    assert found[0][0] == 1 < found[1][0] and found[0][1] == found[1][1] and found[0][1]
