@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 from importlib import resources
@@ -178,18 +179,22 @@ def _literal(keys: DataFrame) -> list[str] | None:
 
 @dataclass
 class Registers:
-    """The registers that documents are resolved against. An index is made when it is first
-    asked for; ``aliases`` and ``names`` are the keys that extraction looks for, None if they
+    """The registers that documents are resolved against. Works and indexes are made when they are
+    first asked for, cases at once, since an entry may be unusable; ``aliases`` and ``names`` are the keys that extraction looks for, None if they
     are too many for a literal: extraction then joins its candidates with the index."""
 
-    works: DataFrame
+    make_works: Callable[[], DataFrame]
     cases: DataFrame
     #: what ``from_entries`` was given, by which ``add`` goes on
     entries: tuple[list[DataFrame], list[DataFrame]] | None = None
 
     @staticmethod
     def of(works: DataFrame, cases: DataFrame) -> Registers:
-        return Registers(settled(works), settled(cases))
+        return Registers(lambda: settled(works), settled(cases))
+
+    @cached_property
+    def works(self) -> DataFrame:
+        return self.make_works()
 
     @cached_property
     def work_lookups(self) -> DataFrame:

@@ -258,6 +258,15 @@ def test_blocks_of_probes_are_dealt_over_tasks(spark):
     assert fuzzy.close(probes, blocks, 0.6).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_works_are_made_when_asked_for(spark, small, monkeypatch):
+    """What only asks for cases makes no register of works."""
+    made, settled = [], registry.settled
+    monkeypatch.setattr(registry, "settled", lambda df, *a: made.append(df.columns[1]) or settled(df, *a))
+    found = Registers.from_entries(*small.entries)
+    assert found.cases.count() == small.cases.count() and made == ["case"]
+    assert found.works.count() == small.works.count() == found.works.count() and made == ["case", "work"]
+
+
 def test_search_lists_the_first_of_many_works_of_a_title_and_year(spark):
     works = _works(spark, *[("Theft Act", 1968 + i % 2, "ukpga", str(i), []) for i in range(40)])
     found = Registers.from_entries([works], [_cases(spark, ("A v B", "[2010] UKSC 5", [], []))])
