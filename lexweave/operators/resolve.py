@@ -25,7 +25,7 @@ from ..sources.registry import CASE, WORK, Registers, case_id
 from ..sources.storage import Held, kept
 from .cases import neutral_text, report_text
 from .fuzzy import close
-from .links import case_search, held_by_primary, judgment_link, work_links
+from .links import case_search, held_by_primary, judgment_link, labels, work_links
 from .remote import Remote, answers
 from .works import PROVISION
 
@@ -345,7 +345,7 @@ def resolve_works(found: DataFrame, registers: Registers, settings: Settings = S
         "doc_id", "ord", "surface", "start", "end", ref.alias("work_ref"), F.col("chain").alias("provisions"), F.col("m.work").alias("work"), F.col("m.work").isNotNull().alias("resolved"),
         F.col("m.confidence").alias("confidence"), F.col("m.method").alias("method"), F.col("m.candidates").alias("candidates"), F.concat("m.notes", more, ranges).alias("notes"),
         F.col("links.url").alias("url"), F.col("links.id_uri").alias("id_uri"),
-        F.struct(F.lit(settings.version[0]).alias("kind"), F.lit(settings.version[1]).cast("string").alias("date")).alias("version"), "text_key",
+        F.struct(F.lit(settings.version[0]).alias("kind"), F.lit(settings.version[1]).cast("string").alias("date")).alias("version"), "text_key", labels(F.col("chain")).alias("label"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import round4
 from ..functions.text import empty, html
 from ..operators.cases import find_cases, name_keys, neutral_text
-from ..operators.links import case_citation, judgment_link, label, labels, work_citation, work_url
+from ..operators.links import case_citation, judgment_link, label, work_citation, work_url
 from ..operators.resolve import Settings, resolve_cases, resolve_works
 from ..operators.works import acronym_keys, find_citations
 from ..sources.registry import Registers
@@ -203,7 +203,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def to_json(r: Resolved, include_text: bool = False) -> DataFrame:
     """doc_id, json: a document's citations, cases and totals."""
-    cites = _rounded(r.citations).withColumn("provision_label", labels(F.col("provisions"))).withColumn("work", _work_json(F.col("work")))
+    cites = _rounded(r.citations).withColumnRenamed("label", "provision_label").withColumn("work", _work_json(F.col("work")))
     order = ["ord", "surface", "start", "end", "work_ref", "provisions", "provision_label", "work", "resolved", "confidence", "method", "candidates", "notes", "url", "id_uri", "version"]
     works = cites.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order)), _by_ord).alias("citations_"))
     cases = _rounded(r.cases).withColumn("case", _case_json(F.col("case")))
@@ -295,13 +295,13 @@ def cited_cases(r: Resolved) -> DataFrame:
 def cited_by(r: Resolved, kind: str = "work") -> DataFrame:
     """id, block, documents: the postings of cited works (or cases), up to POSTINGS documents a row."""
     if kind == "work":
-        return _postings(r.citations, "work", WHOLE_WORK, labels(F.col("provisions")), r.held)
+        return _postings(r.citations, "work", WHOLE_WORK, F.col("label"), r.held)
     return _postings(r.cases, "case", WHOLE_JUDGMENT, F.col("case_ref.pinpoint"), r.held)
 
 
 def citing_pinpoints(r: Resolved) -> DataFrame:
     """The citator in rows: id, doc_id, pinpoint, n. Scales where a map per work would not."""
-    works = r.citations.filter("resolved").select(F.lit("work").alias("kind"), F.col("work.id").alias("id"), "doc_id", labels(F.col("provisions")).alias("p"), F.lit(WHOLE_WORK).alias("whole"))
+    works = r.citations.filter("resolved").select(F.lit("work").alias("kind"), F.col("work.id").alias("id"), "doc_id", F.col("label").alias("p"), F.lit(WHOLE_WORK).alias("whole"))
     cases = r.cases.filter("resolved").select(F.lit("case").alias("kind"), F.col("case.id").alias("id"), "doc_id", F.col("case_ref.pinpoint").alias("p"), F.lit(WHOLE_JUDGMENT).alias("whole"))
     rows = works.union(cases)
     return rows.groupBy("kind", "id", "doc_id", F.when(F.col("p") != "", F.col("p")).otherwise(F.col("whole")).alias("pinpoint")).agg(F.count(F.lit(1)).alias("n"))

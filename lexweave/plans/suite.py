@@ -97,7 +97,7 @@ FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, roun
 def citations_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a text per line, each citation with offsets, target, method, page and identifier."""
     r = P.resolve(_lineitem(spark, sf_dir), registers(spark))
-    return r.citations.select("doc_id", "surface", "start", "end", F.col("work.id").alias("work_id"), "method", "confidence", "url", "id_uri", L.labels(F.col("provisions")).alias("label"))
+    return r.citations.select("doc_id", "surface", "start", "end", F.col("work.id").alias("work_id"), "method", "confidence", "url", "id_uri", "label")
 
 
 FULL = f"SELECT doc_id, surface, start::INT AS start, (start + length(surface))::INT AS \"end\", work_id, method, confidence, url, id_uri, label FROM ({LINES})"
@@ -105,8 +105,9 @@ FULL = f"SELECT doc_id, surface, start::INT AS start, (start + length(surface)):
 
 def citator_pinpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = P.resolve(_lineitem(spark, sf_dir), registers(spark))
+    # a document has one row of a work and pinpoint
     rows = P.citing_pinpoints(r).filter("kind = 'work'")
-    return rows.groupBy("id", "pinpoint").agg(F.count_distinct("doc_id").alias("documents"), F.sum("n").alias("mentions"))
+    return rows.groupBy("id", "pinpoint").agg(F.count("doc_id").alias("documents"), F.sum("n").alias("mentions"))
 
 
 PINPOINTS = f"SELECT work_id AS id, CASE WHEN label = '' THEN '(whole work)' ELSE label END AS pinpoint, count(DISTINCT doc_id) AS documents, count(*)::BIGINT AS mentions FROM ({LINES}) WHERE work_id IS NOT NULL GROUP BY ALL"

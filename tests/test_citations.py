@@ -176,3 +176,27 @@ def test_recurring_texts_are_resolved_once(spark, monkeypatch):
         assert a.columns == b.columns and rows(a) == rows(b) and rows(a)
     assert rows(pipeline.corpus_stats(once)) == rows(pipeline.corpus_stats(each))
     assert rows(pipeline.cited_works(once)) == rows(pipeline.cited_works(each)) and rows(pipeline.cited_by(once)) == rows(pipeline.cited_by(each))
+
+
+@pytest.fixture(scope="module")
+def recurring(spark):
+    """60 documents of three texts, all in one partition, and how often an id was made."""
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    def named(i):
+        made.add(1)
+        return f"d{i:02}"
+
+    texts = ["section 45(2)(a) of the Human Rights Act 1998", "the Theft Act 1968 (c. 60). The 1968 Act, s 2.", "the Fictional Widgets Act 1911 (c. 7)"]
+    docs = spark.createDataFrame([(i, texts[i % 3]) for i in range(60)], "i int, text string").coalesce(1)
+    docs = docs.select(F.udf(named, "string")("i").alias("doc_id"), "text")
+    return pipeline.resolve(docs, Registers.load(spark)), made
+
+
+def test_labels_are_made_with_the_citations(recurring):
+    from lexweave.operators.links import labels
+
+    rows = recurring[0].citations.select("label", labels(recurring[0].citations["provisions"]).alias("own")).collect()
+    assert len(rows) == 80 and all(x.label == x.own for x in rows) and {x.label for x in rows} == {"", "section 45(2)(a)", "section 2"}
