@@ -23,6 +23,15 @@ from ..sources.storage import Held, kept, release
 WHOLE_WORK, WHOLE_JUDGMENT = "(whole work)", "(whole judgment)"
 
 
+@dataclass
+class Once:
+    """Where texts recur: citations and cases of each different text, with ``named``, the
+    number of documents with an id that have it."""
+
+    citations: DataFrame
+    cases: DataFrame
+
+
 @dataclass
 class Resolved:
     """Citations of documents. A doc_id names a document; if several texts have
@@ -34,6 +43,7 @@ class Resolved:
     cases: DataFrame
     #: what was kept on the way
     held: Held = field(default_factory=list)
+    once: Once | None = None
 
     def release(self) -> None:
         """Drop what was kept on the way, when the results are written."""
@@ -104,15 +114,17 @@ def _resolved_once(texts: DataFrame, registers: Registers, settings: Settings, h
     """As ``resolve``, for texts that recur: citations depend on the text alone, so each
     different text is resolved once, and documents meet its citations by two hashes of it."""
     other = F.xxhash64(F.lit("other"), F.coalesce("text", F.lit("")))
-    once = kept(texts.select(F.coalesce("text", F.lit("")).alias("text")).distinct().select(other.alias("doc_id"), "text"), held)
+    counted = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).groupBy("text").agg(F.count("doc_id").alias("named"))
+    once = kept(counted.select(other.alias("doc_id"), "text", "named"), held)
     found = kept(extract(once, registers, settings), held)
     keys = texts.select("doc_id", text_key().alias("text_key"), other.alias("_other"))
+    times = once.select("doc_id", text_key().alias("text_key"), "named")
 
-    def back(rows: DataFrame) -> DataFrame:
-        one = kept(rows, held)
+    def back(one: DataFrame) -> DataFrame:
         return keys.join(one.withColumnRenamed("doc_id", "_other"), ["text_key", "_other"]).select(*one.columns)
 
-    return Resolved(texts, back(resolve_works(found, registers, settings, held)), back(resolve_cases(found, registers, settings, held)), held)
+    works, cases = kept(resolve_works(found, registers, settings, held), held), kept(resolve_cases(found, registers, settings, held), held)
+    return Resolved(texts, back(works), back(cases), held, Once(*(one.join(times, ["doc_id", "text_key"]) for one in (works, cases))))
 
 
 def learned(r: Resolved) -> DataFrame:
@@ -329,10 +341,13 @@ def corpus_stats(r: Resolved) -> DataFrame:
 
     def of(rows: DataFrame, target: str, total: str, resolved: str, distinct: str) -> tuple[DataFrame, DataFrame]:
         # ids are told apart by themselves, so that sums don't pass through their shuffle
+        if r.once:
+            times = lambda n: F.coalesce(F.sum(n), F.lit(0))
+            return rows.agg(times(F.col("named")).alias(total), times(F.when(yes, F.col("named"))).alias(resolved)), rows.agg(F.count_distinct(f"{target}.id").alias(distinct))
         return rows.agg(F.count(F.when(named, 1)).alias(total), F.count(F.when(named & yes, 1)).alias(resolved)), rows.agg(F.count_distinct(f"{target}.id").alias(distinct))
 
-    works, which = of(r.citations, "work", "total_citations", "resolved_citations", "distinct_works")
-    cases, whose = of(r.cases, "case", "total_case_citations", "resolved_case_citations", "distinct_cases")
+    works, which = of((r.once or r).citations, "work", "total_citations", "resolved_citations", "distinct_works")
+    cases, whose = of((r.once or r).cases, "case", "total_case_citations", "resolved_case_citations", "distinct_cases")
     return docs.crossJoin(works).crossJoin(cases).crossJoin(which).crossJoin(whose)  # one row each
 
 

@@ -200,3 +200,11 @@ def test_labels_are_made_with_the_citations(recurring):
 
     rows = recurring[0].citations.select("label", labels(recurring[0].citations["provisions"]).alias("own")).collect()
     assert len(rows) == 80 and all(x.label == x.own for x in rows) and {x.label for x in rows} == {"", "section 45(2)(a)", "section 2"}
+
+
+def test_stats_of_recurring_texts_come_from_the_different_texts(recurring):
+    from dataclasses import replace
+
+    r = recurring[0]
+    total = pipeline.corpus_stats(replace(r, citations=None, cases=None)).first()
+    assert (total.documents, total.total_citations, total.resolved_citations, total.distinct_works, total.total_case_citations) == (60, 80, 80, 3, 0)
