@@ -275,9 +275,10 @@ def _postings(rows: DataFrame, target: str, whole: str, pin: Column, held: Held)
     hit = _hits(rows, target).select("id", "doc_id", "ord", F.when(pin != "", pin).otherwise(whole).alias("label"))
     # counts of equal pinpoints combine before the shuffle
     pins = hit.groupBy("id", "doc_id", "label").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
-    docs = pins.groupBy("id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("pins"), F.sum("n").alias("n"))
+    # the pinpoints of a document and work lie in one part of the range sort, so they need no shuffle of their own
+    docs = pins.repartitionByRange("id", "doc_id").groupBy("id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("pins"), F.sum("n").alias("n"))
     docs = docs.select("id", "doc_id", "n", F.transform("pins", lambda p: p["label"]).alias("pinpoints"))
-    placed = kept(docs.repartitionByRange("id", "doc_id").sortWithinPartitions("id", "doc_id").withColumn("seq", F.monotonically_increasing_id()), held)
+    placed = kept(docs.sortWithinPartitions("id", "doc_id").withColumn("seq", F.monotonically_increasing_id()), held)
     placed = placed.withColumn("part", F.shiftright("seq", 33))
     runs = placed.groupBy("id", "part").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("docs"))
     before = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

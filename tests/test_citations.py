@@ -208,3 +208,12 @@ def test_stats_of_recurring_texts_come_from_the_different_texts(recurring):
     r = recurring[0]
     total = pipeline.corpus_stats(replace(r, citations=None, cases=None)).first()
     assert (total.documents, total.total_citations, total.resolved_citations, total.distinct_works, total.total_case_citations) == (60, 80, 80, 3, 0)
+
+
+def test_postings_are_shuffled_twice_before_they_are_numbered(recurring, monkeypatch):
+    plans, kept = [], pipeline.kept
+    monkeypatch.setattr(pipeline, "kept", lambda df, held=None: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, held))
+    assert pipeline.cited_by(recurring[0]).count() == 3
+    (plan,) = plans
+    # one of counts by pinpoint, one by range
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange rangepartitioning") == 1
