@@ -256,16 +256,17 @@ def _hits(rows: DataFrame, target: str) -> DataFrame:
     return rows.filter("resolved").withColumn("id", F.col(f"{target}.id"))
 
 
-def _directory(rows: DataFrame, target: str) -> DataFrame:
-    """rows(doc_id, ord, resolved, target): one row per work or case, with its entry as first
-    seen. What is sorted is no more than a place per work and document."""
-    hit = _hits(rows, target)
+def _directory(r: Resolved, target: str) -> DataFrame:
+    """One row per work or case, with its entry as first seen: the documents' citations are read
+    once, and the entry is looked up among those of the different texts if texts recur."""
+    name = "citations" if target == "work" else "cases"
+    hit, entries = _hits(getattr(r, name), target), _hits(getattr(r.once or r, name), target)
     # counts of documents combine before the shuffle, so a work that all cite is no hot key
-    docs = hit.groupBy("id", "doc_id").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
-    totals = docs.groupBy("id").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("documents"), F.min(F.struct("doc_id", "ord")).alias("first_seen"))
-    first = totals.select(F.col("id").alias("_id"), F.col("first_seen.doc_id").alias("_doc"), F.col("first_seen.ord").alias("_ord"))
-    met = (F.col("id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("ord") == F.col("_ord"))
-    entries = hit.select("id", "doc_id", "ord", F.col(target).alias("entry")).join(first, met).select("id", "entry").dropDuplicates(["id"])
+    docs = hit.groupBy("id", "doc_id").agg(F.min(F.struct("ord", "text_key")).alias("at"), F.count(F.lit(1)).alias("n"))
+    totals = docs.groupBy("id").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("documents"), F.min(F.struct("doc_id", "at.ord", "at.text_key")).alias("first_seen"))
+    totals = kept(totals, r.held)
+    first = totals.select("id", "first_seen.ord", "first_seen.text_key")
+    entries = entries.select("id", "ord", "text_key", F.col(target).alias("entry")).join(first, ["id", "ord", "text_key"]).select("id", "entry").dropDuplicates(["id"])
     return totals.join(entries, "id").withColumn("blocks", F.ceil(F.col("documents") / POSTINGS))
 
 
@@ -298,11 +299,11 @@ def _ordered(directory: DataFrame, entry: Column) -> DataFrame:
 
 def cited_works(r: Resolved) -> DataFrame:
     """The directory of the citator: cited works with mentions, documents and blocks of postings."""
-    return _ordered(_directory(r.citations, "work"), _work_json(F.col("entry")))
+    return _ordered(_directory(r, "work"), _work_json(F.col("entry")))
 
 
 def cited_cases(r: Resolved) -> DataFrame:
-    return _ordered(_directory(r.cases, "case"), _case_json(F.col("entry")))
+    return _ordered(_directory(r, "case"), _case_json(F.col("entry")))
 
 
 def cited_by(r: Resolved, kind: str = "work") -> DataFrame:

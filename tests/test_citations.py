@@ -217,3 +217,11 @@ def test_postings_are_shuffled_twice_before_they_are_numbered(recurring, monkeyp
     (plan,) = plans
     # one of counts by pinpoint, one by range
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange rangepartitioning") == 1
+
+
+def test_directory_reads_documents_once(recurring):
+    r, made = recurring
+    before = made.value
+    found = [(x.id, x.mentions, x.documents) for x in pipeline.cited_works(r).collect()]
+    assert found == [("ukpga-1968-60", 40, 20), ("ukpga-1998-42", 20, 20), ("ukpga-1911-7", 20, 20)]
+    assert made.value - before == 60
