@@ -87,6 +87,13 @@ def dealt(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if int(size) < cores * SMALL_SHARE else docs
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt over all cores if fewer tasks than these have rows: a file of a few
+    megabytes may hold a million short documents."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.select(F.spark_partition_id()).distinct().count() < cores else docs
+
+
 def text_key() -> Column:
     """Tells texts of the same doc_id apart."""
     return F.xxhash64(F.coalesce("text", F.lit("")))
@@ -117,7 +124,7 @@ def _resolved_once(texts: DataFrame, registers: Registers, settings: Settings, h
     counted = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).groupBy("text").agg(F.count("doc_id").alias("named"))
     once = kept(counted.select(other.alias("doc_id"), "text", "named"), held)
     found = kept(extract(once, registers, settings), held)
-    keys = texts.select("doc_id", text_key().alias("text_key"), other.alias("_other"))
+    keys = spread(texts.select("doc_id", text_key().alias("text_key"), other.alias("_other")))
     times = once.select("doc_id", text_key().alias("text_key"), "named")
 
     def back(one: DataFrame) -> DataFrame:

@@ -225,3 +225,10 @@ def test_directory_reads_documents_once(recurring):
     found = [(x.id, x.mentions, x.documents) for x in pipeline.cited_works(r).collect()]
     assert found == [("ukpga-1968-60", 40, 20), ("ukpga-1998-42", 20, 20), ("ukpga-1911-7", 20, 20)]
     assert made.value - before == 60
+
+
+def test_few_tasks_of_documents_are_dealt(recurring):
+    """A file of one task is spread, however few bytes it has."""
+    from pyspark.sql import functions as F
+
+    assert recurring[0].citations.select(F.spark_partition_id()).distinct().count() > 1
