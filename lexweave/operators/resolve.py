@@ -86,11 +86,26 @@ def search_works(probes: DataFrame, registers: Registers, cutoff: float = fixed.
     return found.select(F.col("key").alias("norm"), "year", F.transform(best, lambda r: F.struct(r["score"].alias("score"), r["work"].alias("work"))).alias("found"))
 
 
-def _looked_up(rows: DataFrame, registers: Registers, kind: str, name: str, key: str | None, year: str | None) -> DataFrame:
-    """``rows`` with (n, works) as ``name``: what the index has for their key and year."""
-    right = registers.work_index(kind).select(F.col("key").alias("_k"), F.col("year").alias("_y"), F.struct("n", "works").alias(name))
-    on = [rows[c] == right[k] for c, k in ((key, "_k"), (year, "_y")) if c]
-    return rows.join(right, on, "left").drop("_k", "_y")
+def _looked_up(rows: DataFrame, asking: DataFrame, registers: Registers, kind: str, name: str, key: str | None, year: str | None, asks: Column) -> DataFrame:
+    """``rows`` with (n, works) as ``name``, if they ask: what the index has for their key and year.
+    Each key that ``asking`` (the rows, before other look-ups) asks for meets the index once, which
+    is dealt over the register's parts; only what it has meets the rows."""
+    on = [(c, k) for c, k in ((key, "_k"), (year, "_y")) if c]
+    asked = asking.filter(asks).select(*[F.col(c).alias(k) for c, k in on]).distinct()
+    index = registers.work_index(kind)
+    index = index.select(*[F.col(c).alias(k) for c, k in (("key", "_k"), ("year", "_y")) if k in {k for _, k in on}], F.struct("n", "works").alias(name))
+    index = index.repartition(registers.parts, *[k for _, k in on]) if registers.parts > 1 else index
+    found = asked.join(index, [k for _, k in on])
+    # rows that don't ask get keys that no index has, so that they aren't one hot key
+    apart = F.xxhash64(*[F.col(c) for c in asking.columns if c in _APART])
+    spread = F.concat(F.lit("-"), apart.cast("string")) if key else -1 - F.pmod(apart, F.lit(1 << 20)).cast("int")
+    rows = rows.withColumn("_ask", F.when(asks, F.col(on[0][0])).otherwise(spread))
+    met = rows.join(found, [F.col("_ask") == F.col(on[0][1]), *[F.col(c) == F.col(k) for c, k in on[1:]]], "left")
+    return met.withColumn(name, F.when(asks, F.col(name))).drop("_ask", *[k for _, k in on])
+
+
+#: Columns that tell rows apart which look nothing up.
+_APART = ("title", "year", "number", "work_type", "doc_id", "text_key", "ord")
 
 
 def match_works(refs: DataFrame, registers: Registers, settings: Settings = Settings(), held: Held | None = None) -> DataFrame:
@@ -101,11 +116,19 @@ def match_works(refs: DataFrame, registers: Registers, settings: Settings = Sett
         .withColumn("_alias", F.coalesce(alias_key(F.col("title")), F.lit("")))
         .withColumn("_type", F.coalesce(F.when(F.col("work_type") != "", F.col("work_type")), inferred_type(F.col("title"), F.col("year"))))
     )
-    for kind, key, at in (("number", "number", "year"), ("title_year", "_norm", "year"), ("stem_year", "_stem", "year"), ("title", "_norm", None), ("alias", "_alias", None), ("alias_year", "_alias", "year")):
-        r = _looked_up(r, registers, kind, f"_of_{kind}", key, at)
-
     none = empty(f"array<{WORK}>")
     title, year, number = F.col("title"), F.col("year"), F.col("number")
+    # a number decides; titles and aliases are looked up for those that have none
+    by_number = F.coalesce((number != "") & (year != 0), F.lit(False))
+    by_title = ~by_number & F.coalesce(title != "", F.lit(False))
+    # six look-ups start from these
+    asking = r = kept(r, held)
+    for kind, key, at, asks in (
+        ("number", "number", "year", by_number), ("title_year", "_norm", "year", by_title & year.isNotNull()), ("stem_year", "_stem", "year", by_title & year.isNotNull()),
+        ("title", "_norm", None, by_title & year.isNull()), ("alias", "_alias", None, by_title), ("alias_year", "_alias", "year", by_title & year.isNotNull()),
+    ):
+        r = _looked_up(r, asking, registers, kind, f"_of_{kind}", key, at, asks)
+
     numbered = F.coalesce("_of_number.works", none)
     typed = F.filter(numbered, lambda w: w["work_type"] == F.col("_type"))
     r = r.withColumn("_numbers", F.when(F.size(typed) > 0, typed).otherwise(numbered))
@@ -278,11 +301,9 @@ def _antecedents(rows: DataFrame, registers: Registers) -> DataFrame:
     """``rows`` of documents with back-references, with the match of each citation."""
     name = F.when(F.col("role") == "define", F.col("mention.short")).when(F.col("anaphoric"), F.col("title"))
     rows = rows.withColumn("alias", alias_key(name))
-    # what has no key gets one that no index has, so that it isn't one hot key
-    apart = F.concat(F.lit("-"), F.col("text_key").cast("string"), F.lit("-"), F.col("ord").cast("string"))
-    rows = rows.withColumn("_ask", F.coalesce(F.when(F.col("anaphoric"), F.col("alias")), apart)).withColumn("_ask_year", F.coalesce(F.when(F.col("anaphoric"), F.col("year")), -1 - F.pmod(F.col("text_key"), F.lit(1 << 20)).cast("int")))
-    rows = _looked_up(rows, registers, "alias", "_of_alias", "_ask", None)
-    rows = _looked_up(rows, registers, "year", "_of_year", None, "_ask_year")
+    asking, back = rows, F.col("anaphoric")
+    rows = _looked_up(rows, asking, registers, "alias", "_of_alias", "alias", None, back & F.col("alias").isNotNull())
+    rows = _looked_up(rows, asking, registers, "year", "_of_year", None, "year", back & F.col("year").isNotNull())
     surface = F.lower("mention.surface")
     # the first noun of the list that occurs decides; acts come first
     noun = F.when(surface.rlike("act|measure"), "act").when(surface.rlike("regulations|order|rules"), "si")

@@ -29,6 +29,8 @@ CASE = f"struct<id:string,name:string,neutral:{NEUTRAL},reports:array<string>,al
 WORKS_VARIABLE, CASES_VARIABLE = "LEXWEAVE_WORKS", "LEXWEAVE_CASES"
 #: Rows up to which a table becomes a literal; keys up to which extraction knows them as a literal.
 LITERAL_ROWS, LITERAL_KEYS = 20_000, 5_000
+#: Works of a part of a large register's look-ups.
+PART_WORKS = 25_000
 #: Entries of a key that an index lists (of numbers, all: a number has one per type).
 LISTED = 5
 #: What an acronym's key looks like.
@@ -139,23 +141,37 @@ def settled(df: DataFrame, weight: Column | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame(first, df.schema)
 
 
-def _work_lookups(works: DataFrame) -> DataFrame:
-    """kind, key, year, n, works: how many works a key has, and the first of them in load order."""
-    w, year = F.col("work"), F.col("work.year")
+def parts_of(works: int) -> int:
+    """Into how many parts the look-ups of so many works are dealt, so that none grows with the register."""
+    return max(1, -(-works // PART_WORKS))
+
+
+def _work_lookups(works: DataFrame, parts: int = 1) -> DataFrame:
+    """kind, key, year, n, works: how many works a key has, and the first of them in load order.
+
+    Keys are sorted by the work's place alone; works join those that are listed. A large
+    register is dealt over ``parts``, as what a task sorts would else grow with it."""
+    year = F.col("year")
     none = F.lit(None).cast("int")
 
     def one(kind: str, key: Column, at: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), key.alias("key"), at.alias("year"))
 
-    every = F.array(one("number", w["number"], year), one("title_year", F.col("norm"), year), one("stem_year", F.col("stem"), year), one("title", F.col("norm"), none), one("year", F.lit(""), year))
+    def deal(df: DataFrame, *by: str) -> DataFrame:
+        return df.repartition(parts, *by) if parts > 1 else df
+
+    every = F.array(one("number", F.col("number"), year), one("title_year", F.col("norm"), year), one("stem_year", F.col("stem"), year), one("title", F.col("norm"), none), one("year", F.lit(""), year))
     aliases = F.flatten(F.transform("alias_keys", lambda a: F.array(one("alias", a, none), one("alias_year", a, year))))
-    rows = works.select("ord", "work", F.explode(F.concat(every, aliases)).alias("k")).select("ord", "work", "k.*")
+    keyed = deal(works.select("ord", "work.number", "work.year", "norm", "stem", "alias_keys"), "ord")
+    rows = keyed.select("ord", F.explode(F.concat(every, aliases)).alias("k")).select("ord", "k.*")
     key = ["kind", "key", "year"]
     place = Window.partitionBy(*key).orderBy("ord")
     first = rows.filter("kind <> 'number'").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= LISTED).drop("place")
-    listed = first.unionByName(rows.filter("kind = 'number'")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "work"))).alias("rows"))
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed({k: f"_{k}" for k in key})
-    met = listed.join(counts, (F.col("kind") == F.col("_kind")) & F.col("key").eqNullSafe(F.col("_key")) & F.col("year").eqNullSafe(F.col("_year")))
+    listed = deal(first.unionByName(rows.filter("kind = 'number'")), "ord").join(deal(works.select("ord", "work"), "ord"), "ord")
+    # counts come as rows of their own, so that lists and counts need one shuffle and no join
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("row", F.lit(None).cast(f"struct<ord:bigint,work:{WORK}>"))
+    both = listed.select(*key, F.lit(0).cast("long").alias("n"), F.struct("ord", "work").alias("row")).unionByName(counts)
+    met = deal(both, *key).groupBy(*key).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("row")).alias("rows"))
     return met.select(*key, "n", F.transform("rows", lambda r: r["work"]).alias("works"))
 
 
@@ -196,9 +212,14 @@ class Registers:
     def works(self) -> DataFrame:
         return self.make_works()
 
+    @cached_property
+    def parts(self) -> int:
+        """Into how many parts what is made of the works is dealt."""
+        return parts_of(self.works.count())
+
     @cached_property
     def work_lookups(self) -> DataFrame:
-        return settled(_work_lookups(self.works))
+        return settled(_work_lookups(self.works, self.parts))
 
     @cached_property
     def case_lookups(self) -> DataFrame:
@@ -217,7 +238,9 @@ class Registers:
         """Blocks of titles for a search of the first ``limit``. Works of one title and year
         score alike, and the first of them by title and load order are all that it can list."""
         place = Window.partitionBy("norm", "work.year").orderBy("work.title", "ord")
-        first = self.works.select("norm", "work", "ord").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit)
+        works = self.works.select("norm", "work", "ord")
+        works = works.repartition(self.parts, "ord") if self.parts > 1 else works
+        first = works.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit)
         return settled(blocks_of(first.select(F.col("norm").alias("key"), F.col("work.year").alias("year"), F.col("ord").alias("ref")), POOL_BLOCK), F.size("keys"))
 
     @cached_property

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import fixed
 from lexweave.functions.similarity import ratio
-from lexweave.operators import fuzzy
-from lexweave.operators.resolve import Settings, search_cases, search_works
+from lexweave.operators import fuzzy, resolve
+from lexweave.operators.resolve import Settings, match_works, search_cases, search_works
 from lexweave.plans import pipeline
 from lexweave.sources import registry
 from lexweave.sources.registry import Registers, read_cases, read_works
@@ -286,3 +286,28 @@ def test_no_task_sees_a_whole_register(spark, small):
     found = Registers.from_entries(parts, small.entries[1])
     assert {(r.work.title, tuple(r.work.aliases)) for r in found.works.collect()} == {("T0", ("a0", "a1", "a2"))}
     assert found.sizes().first() == (50, 4) and not {"work_lookups", "case_lookups", "titles", "case_names"} & set(vars(found))
+
+
+def test_lookups_of_a_large_register_are_dealt(spark, small, monkeypatch):
+    """The parts grow with the register, not what a task sorts; and look-ups that are dealt find the same."""
+    works = _works(spark, *[("Theft Act", 1968 + i % 2, "ukpga", str(i), ["TA", f"A{i % 50}"]) for i in range(200)], ("Fraud Act", 2006, "ukpga", "35", []))
+    made = registry.works_of([works]).persist()
+    whole, dealt = (sorted(r for r in registry._work_lookups(made, parts).select("kind", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("year", F.lit(0)).alias("year"), "n", F.transform("works", lambda w: w["id"]).alias("ids")).collect()) for parts in (1, 9))
+    assert whole == dealt and {(r.n, len(r.ids)) for r in whole if r.kind == "title"} == {(200, 5), (1, 1)}
+    assert registry._work_lookups(made, 9).rdd.getNumPartitions() == 9 and [registry.parts_of(n) for n in (0, 1, 1_200_000, 7_200_000)] == [1, 1, 48, 288]
+    want = _resolved(spark, small)
+    monkeypatch.setattr(registry, "PART_WORKS", 2)
+    monkeypatch.setattr(registry, "LITERAL_ROWS", 2)
+    large = Registers.of(registry.works_of(small.entries[0]), registry.cases_of(small.entries[1]))
+    assert large.parts == 4 and _resolved(spark, large) == want
+
+
+def test_references_with_a_number_are_no_hot_key(spark, small):
+    """Many numbers of one title: only the numbers are looked up, so the title is no key that one task gets."""
+    refs = spark.createDataFrame([("Fraud Act", 2006, str(i), None) for i in range(200)], "title string, year int, number string, work_type string")
+    keys = refs.select("*", F.lit("fraud act").alias("_norm"))
+    met = resolve._looked_up(keys, keys, small, "title", "hit", "_norm", None, F.col("number") == "35")
+    assert met.filter("hit is not null").select("number").collect() == [("35",)] and met.count() == 200
+    assert met.columns == [*keys.columns, "hit"]
+    found = match_works(refs, small).select("number", "match.work.id", "match.method", "match.confidence").collect()
+    assert {tuple(r) for r in found} == {(str(i), f"ukpga-2006-{i}", "number", 1.0 if i == 35 else 0.95) for i in range(200)} - {("25", "ukpga-2006-25", "number", 0.95)} | {("25", "ukpga-2006-25", "number", 1.0)}
