@@ -89,9 +89,12 @@ def dealt(docs: DataFrame) -> DataFrame:
 
 def spread(docs: DataFrame) -> DataFrame:
     """``docs``, dealt over all cores if fewer tasks than these have rows: a file of a few
-    megabytes may hold a million short documents."""
+    megabytes may hold a million short documents. They are dealt by the hash of their place,
+    as dealing them in turn first sorts all rows of a task."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.select(F.spark_partition_id()).distinct().count() < cores else docs
+    if docs.select(F.spark_partition_id()).distinct().count() >= cores:
+        return docs
+    return docs.withColumn("_at", F.monotonically_increasing_id()).repartition(cores, "_at").drop("_at")
 
 
 def text_key() -> Column:

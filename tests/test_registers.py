@@ -311,3 +311,11 @@ def test_references_with_a_number_are_no_hot_key(spark, small):
     assert met.columns == [*keys.columns, "hit"]
     found = match_works(refs, small).select("number", "match.work.id", "match.method", "match.confidence").collect()
     assert {tuple(r) for r in found} == {(str(i), f"ukpga-2006-{i}", "number", 1.0 if i == 35 else 0.95) for i in range(200)} - {("25", "ukpga-2006-25", "number", 0.95)} | {("25", "ukpga-2006-25", "number", 1.0)}
+
+
+def test_documents_of_few_tasks_are_dealt_without_a_sort(spark):
+    docs = spark.range(0, 4_000, 1, 1).select(F.lit(None).cast("string").alias("doc_id"), F.lit("the same").alias("text"))
+    dealt = pipeline.spread(docs)
+    assert "RoundRobinPartitioning" not in dealt._jdf.queryExecution().executedPlan().toString() and dealt.columns == docs.columns
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and sum(sizes) == 4_000 and max(sizes) < 2 * min(sizes)
